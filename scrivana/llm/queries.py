@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
 
-from scrivana.llm import fingerprints, language_id, mixing, packing, quality, sharding, simhash, toxicity, url_filter
+from scrivana.llm import fingerprints, language_id, mixing, packing, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (
         fingerprints.op1_syncmer_fingerprints,
+        suffix_dedup.op2_suffix_dedup,
         toxicity.op3_toxicity,
         packing.op4_nnls_packing,
         language_id.op5_language_id,
