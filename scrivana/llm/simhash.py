@@ -26,36 +26,49 @@ _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes.maketrans(_UPPER, _LOWER)
 
 
-def simhash(text: str | None, n: int = SHINGLE_WORDS, seed: int = 42) -> int:
-    """64 bits, each set if it is in over half the hashes of the n-word shingles (repeats count); 0 without words."""
+def _bits(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _again(h: np.ndarray) -> np.ndarray:
+    """Independent hashes from hashes (the finaliser of splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def simhash(text: str | None, n: int = SHINGLE_WORDS, seed: int = 42, wide: int = 1) -> tuple[int, ...]:
+    """``wide`` times 64 bits, each set if it is in over half the hashes of the n-word shingles (repeats count); 0 without words.
+
+    The first 64 are of the shingles' XXH64, each further 64 of hashes of the hashes before.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
     if not words:
-        return 0
-    if len(words) <= n:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    digest, ones, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(words) - n + 1
+        return (0,) * wide
+    digest, ones, total = xxhash.xxh64_intdigest, np.zeros((wide, 64), np.int64), max(1, len(words) - n + 1)
     for at in range(0, total, 1 << 16):  # a bounded slice of a long text at a time
         part = words[at : at + (1 << 16) + n - 1]
-        joined = map(b" ".join, zip(*(part[k:] for k in range(n)), strict=False))
-        h = np.fromiter((digest(s, seed) for s in joined), np.uint64, len(part) - n + 1)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
+        joined = map(b" ".join, zip(*(part[k:] for k in range(n)), strict=False)) if len(words) > n else [b" ".join(words)]
+        h = np.fromiter((digest(s, seed) for s in joined), np.uint64)
+        for k in range(wide):
+            ones[k] += _bits(h)
+            h = _again(h) if k + 1 < wide else h
+    return tuple(np.packbits(2 * ones > total, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist())
 
 
-def fingerprints(docs: DataFrame, *, n: int = SHINGLE_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp``: the SimHash of every whole text as a (signed) long; null and wordless texts have 0."""
+def fingerprints(docs: DataFrame, *, n: int = SHINGLE_WORDS, wide: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, fp0, fp1 ...``: the SimHash of every whole text as (signed) longs; null and wordless texts have 0."""
 
     def make(rows: Iterator[tuple]) -> Iterator[tuple]:
         for i, t in rows:
-            v = simhash(t, n)
-            yield i, v - (1 << 64) if v >> 63 else v
+            yield i, *map(_signed, simhash(t, n, wide=wide))
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     kind = d.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("fp", pa.int64())])
-    return d.mapInArrow(batched(make, schema, ("doc_id", "text")), f"doc_id {kind.simpleString()}, fp long")
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), *((f"fp{k}", pa.int64()) for k in range(wide))])
+    return d.mapInArrow(batched(make, schema, ("doc_id", "text")), f"doc_id {kind.simpleString()}, " + ", ".join(f"fp{k} long" for k in range(wide)))
 
 
 def _segments(radius: int, blocks: int) -> list[tuple[int, ...]]:
@@ -76,57 +89,66 @@ def _root(up: np.ndarray, k: int) -> int:
     return k
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
-    """Links between two tiles that keep their connectivity: a spanning forest, of under len(a) + len(b) edges.
+def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, total: int | None = None) -> list[tuple[int, int]]:
+    """Links between the rows of two tiles that keep their connectivity: a spanning forest, as row numbers (those of b after a's).
 
-    Rows come sorted by population count; runs of 256 whose counts cannot come within the radius are skipped.
+    Column 0 of a tile is the word that must agree within the radius; ``total`` bounds the bits by
+    which all words differ. Rows come sorted by the population count of column 0; runs of 256 whose
+    counts cannot come within the radius are skipped.
     """
     if not len(a) or not len(b):
         return []
-    everyone = a if same else np.concatenate([a, b])
-    up, out, shift = np.arange(len(everyone)), [], 0 if same else len(a)
-    pa_, pb = np.bitwise_count(a).astype(np.int16), np.bitwise_count(b).astype(np.int16)
+    shift = 0 if same else len(a)
+    up, out = np.arange(shift + len(b)), []
+    ones_a, ones_b = (np.bitwise_count(x[:, 0]).astype(np.int16) for x in (a, b))
     for i in range(0, len(a), 256):
-        x, px = a[i : i + 256], pa_[i : i + 256]
+        x, px = a[i : i + 256], ones_a[i : i + 256]
         for j in range(i if same else 0, len(b), 256):
-            y, py = b[j : j + 256], pb[j : j + 256]
+            y, py = b[j : j + 256], ones_b[j : j + 256]
             if py[0] > px[-1] + radius or px[0] > py[-1] + radius:
                 continue
-            near = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
-            for p, q in zip(*(k.tolist() for k in np.nonzero(near)), strict=True):
-                m, n = _root(up, i + p), _root(up, shift + j + q)
-                if m != n:
-                    up[m] = n
-                    out.append((int(everyone[i + p]), int(everyone[shift + j + q])))
+            p, q = np.nonzero(np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]) <= radius)
+            if total is not None and a.shape[1] > 1:
+                near = np.bitwise_count(x[p] ^ y[q]).sum(axis=1, dtype=np.int64) <= total
+                p, q = p[near], q[near]
+            for k, m in zip((p + i).tolist(), (q + j + shift).tolist(), strict=True):
+                r, t = _root(up, k), _root(up, m)
+                if r != t:
+                    up[r] = t
+                    out.append((k, m))
     return out
 
 
-def hamming_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """``src, dst`` links over distinct fingerprints (column ``fp``) with the same components as all pairs within the radius.
+def hamming_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, total: int | None = None) -> DataFrame:
+    """``src, dst`` links over distinct fingerprints (columns ``node``, ``fp0``, ``fp1`` ...).
 
-    Rows meet by the bits of a mask: over ``blocks`` blocks any near pair agrees on blocks - radius
-    of them, so buckets hold what agrees there and nothing is missed. A bucket is cut into tiles
-    by population count and order; a task gets one tile or one pair of tiles, and pairs whose counts
-    lie apart beyond the radius are never formed. Tiles are bounded however large a bucket is.
+    Two fingerprints are linked if one of their words differs in at most ``radius`` bits and, where
+    given, all words together in at most ``total``; the links returned have the same components as
+    all of these. Rows meet by the bits of a mask: over ``blocks`` blocks of a word any near pair agrees
+    on blocks - radius of them, so buckets hold what agrees there and nothing is missed. A bucket is
+    cut into tiles by population count and order; a task gets one tile or one pair of tiles, and pairs
+    whose counts lie apart beyond the radius are never formed. Tiles are bounded however large a bucket is.
     """
     blocks = blocks or radius + 2
-    masks = F.array(*[F.lit(_signed(m)) for m in _segments(radius, blocks)])
-    each = fps.select("fp", F.posexplode(masks).alias("mask", "bits")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("key"))
-    each = each.withColumn("ones", F.bit_count("fp"))
+    words = [c for c in fps.columns if c.startswith("fp")]
+    masks = _segments(radius, blocks)
+    at = F.posexplode(F.array(*[F.struct(F.col(w).alias("word"), F.lit(_signed(m)).alias("bits")) for w in words for m in masks])).alias("mask", "m")
+    each = fps.select("node", *words, at).select("node", *words, "mask", F.col("m.word").bitwiseAND(F.col("m.bits")).alias("key"), F.bit_count("m.word").alias("ones"))
     # tile numbers: by population count, then by as many hash chunks as keep a chunk near TILE rows
     sizes = each.groupBy("mask", "key", "ones").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
     per = sizes.groupBy("mask", "key").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("ones", "chunks"))).alias("chunks")).where("all > 1")
     rows = each.join(per, ["mask", "key"])
-    small = rows.where(F.col("all") <= TILE).select("mask", "key", F.lit("").alias("tiles"), "fp", F.lit(0).alias("side"))
-    large = rows.where(F.col("all") > TILE).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")[F.col("ones")]).cast("int"))
+    small = rows.where(F.col("all") <= TILE).select("mask", "key", F.lit("").alias("tiles"), "node", *words, F.lit(0).alias("side"))
+    large = rows.where(F.col("all") > TILE).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")[F.col("ones")]).cast("int"))
     # partners: tiles of counts ones - radius .. ones + radius; a pair is named by its two (count, chunk) numbers in order
     has = F.filter(F.sequence(F.col("ones") - radius, F.col("ones") + radius), lambda o: F.try_element_at("chunks", o).isNotNull())
     other = F.explode(F.flatten(F.transform(has, lambda o: F.transform(F.sequence(F.lit(0), F.col("chunks")[o] - 1), lambda c: F.struct(o.alias("ones"), c.alias("chunk"))))))
     large = large.withColumn("me", F.struct("ones", "chunk")).withColumn("other", other)
-    large = large.select("mask", "key", F.concat_ws("|", *[F.concat_ws(".", p["ones"].cast("string"), p["chunk"].cast("string")) for p in (F.least("me", "other"), F.greatest("me", "other"))]).alias("tiles"), "fp", F.when(F.col("me") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("me") == F.col("other")).alias("same"))
+    pair = F.concat_ws("|", *[F.concat_ws(".", p["ones"].cast("string"), p["chunk"].cast("string")) for p in (F.least("me", "other"), F.greatest("me", "other"))])
+    large = large.select("mask", "key", pair.alias("tiles"), "node", *words, F.when(F.col("me") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("me") == F.col("other")).alias("same"))
     both = small.withColumn("same", F.lit(True)).unionByName(large)
-
     dealt = both.repartition(shuffle_partitions(fps.sparkSession), "mask", "key", "tiles").sortWithinPartitions("mask", "key", "tiles")
+    per_word = len(masks)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -139,18 +161,24 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = Non
             cut = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1]) | (tiles[1:] != tiles[:-1])) + 1
             end = len(key) if batch is None else int(cut[-1]) if len(cut) else 0
             held = now.slice(end)
-            fp, side, same = now.column("fp").to_numpy().view(np.uint64), now.column("side").to_numpy(), now.column("same").to_numpy()
-            links: list[tuple[int, int]] = []
+            fp = np.stack([now.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
+            node, side, same = (now.column(c).to_numpy() for c in ("node", "side", "same"))
             starts = [0, *(c for c in cut.tolist() if c <= end)] if end else []
             starts = starts if not starts or starts[-1] == end else [*starts, end]
+            src, dst = [], []
             for a, b in zip(starts, starts[1:], strict=False):
-                order = a + np.argsort(np.bitwise_count(fp[a:b]), kind="stable")
+                first = int(mask[a]) // per_word  # the word this mask is of stands first
+                view = fp[a:b, [first, *(k for k in range(len(words)) if k != first)]]
+                order = np.argsort(np.bitwise_count(view[:, 0]), kind="stable")
                 if same[a]:
-                    links += tile_links(fp[order], fp[order], radius, True)
+                    links, ids = tile_links(view[order], view[order], radius, True, total), node[a + order]
                 else:
-                    links += tile_links(fp[order[side[order] == 0]], fp[order[side[order] == 1]], radius, False)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([p[k] for p in links], np.uint64).view(np.int64)) for k in (0, 1)], names=["src", "dst"])
+                    x, y = order[side[a + order] == 0], order[side[a + order] == 1]
+                    links, ids = tile_links(view[x], view[y], radius, False, total), node[a + np.concatenate([x, y])]
+                src += [ids[k] for k, _ in links]
+                dst += [ids[k] for _, k in links]
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
     return dealt.mapInArrow(compare, "src long, dst long")
 
@@ -159,32 +187,37 @@ def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     return (pa.Table.from_batches([b]) for b in batches)
 
 
-def near_duplicates(docs: DataFrame, *, n: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, n: int = SHINGLE_WORDS, radius: int = RADIUS, blocks: int | None = None, wide: int = 1, total: int | None = None) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``.
 
-    component_id is the least doc_id that a document reaches over links of at most ``radius``
-    differing bits, itself included. Documents are collapsed to distinct fingerprints first, so a
-    group of copies costs one row. Null and wordless texts have fingerprint zero, linked like any
-    other. Null ids keep their rows and never name a component unless all its ids are null;
-    repeated rows are kept; an empty table gives no row; other columns are ignored.
+    component_id is the least doc_id that a document reaches over links of :func:`hamming_links`,
+    itself included. Documents are collapsed to distinct fingerprints first, so a group of copies
+    costs one row. Null and wordless texts have fingerprint zero, linked like any other. Null ids
+    keep their rows and never name a component unless all its ids are null; repeated rows are kept;
+    an empty table gives no row; other columns are ignored.
     """
-    f = materialise(fingerprints(docs, n=n), "fingerprints")
-    least = materialise(f.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fp")
-    links = materialise(hamming_links(least.select("fp"), radius), "fp_links")
-    parts = connected_components(links)
-    labelled = least.join(parts, least["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
+    words = [f"fp{k}" for k in range(wide)]
+    f = materialise(fingerprints(docs, n=n, wide=wide).withColumn("node", F.col("fp0") if wide == 1 else F.xxhash64(*words)), "fingerprints")
+    least = materialise(f.groupBy("node", *words).agg(F.min("doc_id").alias("least")), "distinct_fp")
+    parts = connected_components(hamming_links(least.select("node", *words), radius, blocks, total))
+    labelled = least.select("node", "least").join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("part"))
     # a part has one row per distinct fingerprint; its least id is a partial aggregate
     ids = labelled.groupBy("part").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(ids, "part").select("fp", "component_id")
-    return f.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_node = labelled.join(ids, "part").select("node", "component_id")
+    return f.join(by_node, "node").select("doc_id", F.concat(*[F.lower(F.lpad(F.hex(w), 16, "0")) for w in words]).alias("fingerprint"), "component_id")
+
+
+#: Near copies of a pipeline: five-word shingles, two words of 64 bits, of which one differs in at most
+#: 6 bits and both in at most 22 (of unrelated texts 64 differ on average, of texts with a shingle
+#: similarity of 0.8 about 19).
+STAGE = {"n": 5, "wide": 2, "radius": 6, "blocks": 8, "total": 22}
 
 
-def keep_one(docs: DataFrame, *, n: int = 5, radius: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     """The rows of ``docs`` (all its columns) that stay: of each component the document of the least id, once."""
-    m = near_duplicates(docs, n=n, radius=radius)
+    m = near_duplicates(docs, **(STAGE | options))
     kept = m.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"])).drop("__id")
-    return out.dropDuplicates(["doc_id"])
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"])).drop("__id").dropDuplicates(["doc_id"])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
