@@ -18,21 +18,22 @@ from pyspark.sql.types import LongType, StructType
 from scrivana.llm.common import discard, materialise, shuffle_partitions
 
 
-def strictly_before(df: DataFrame, keys: list[str], flags: list[str], name: str) -> DataFrame:
-    """Add ``<flag>_before`` for each 0/1 flag: how many flagged rows have smaller keys (equal keys count alike).
+def strictly_before(df: DataFrame, keys: list[str], flags: list[str], keep: list[str], name: str) -> DataFrame:
+    """The ``keep`` columns with ``<flag>_before`` for each 0/1 flag: how many flagged rows have smaller keys (equal keys count alike).
 
-    ``df`` has long columns only. One range shuffle, which brings equal keys together; one row of
-    totals per partition goes to the driver and back.
+    ``df`` has long columns only and a column ``i`` that is never negative. One range shuffle, which
+    brings equal keys together; each partition adds a row of totals (i is -1), which goes to the driver and back.
     """
     spark = df.sparkSession
-    d = df.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).withColumn("__pid", F.spark_partition_id())
+    d = df.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).withColumn("__pid", F.spark_partition_id().cast("long"))
     names = d.columns
-    schema = StructType([*d.schema.fields])
-    for f in flags:
-        schema = schema.add(f"{f}_before", LongType()).add(f"__{f}_end", LongType())
+    out = [*keep, "__pid", *(f"{f}_before" for f in flags)]
+    schema = StructType()
+    for c in out:
+        schema = schema.add(c, LongType())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, at_group, total = None, dict.fromkeys(flags, 0), dict.fromkeys(flags, 0)
+        last, at_group, total, pid = None, dict.fromkeys(flags, 0), dict.fromkeys(flags, 0), None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -46,48 +47,58 @@ def strictly_before(df: DataFrame, keys: list[str], flags: list[str], name: str)
                 v = b.column(names.index(f)).to_numpy()
                 end = np.cumsum(v) + total[f]
                 before = np.where(start >= 0, (end - v)[np.maximum(start, 0)], at_group[f])
-                more += [pa.array(before, pa.int64()), pa.array(end, pa.int64())]
+                more.append(pa.array(before, pa.int64()))
                 at_group[f], total[f] = int(before[-1]), int(end[-1])
-            last = [int(c[-1]) for c in cols]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=schema.names)
+            last, pid = [int(c[-1]) for c in cols], b.column(names.index("__pid"))[0].as_py()
+            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in out[: len(keep) + 1]), *more], names=out)
+        if pid is not None:
+            ends = [*(-1 for _ in keep), pid, *(total[f] for f in flags)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in ends], names=out)
 
     done = materialise(d.mapInArrow(count, schema), name)
-    totals = done.groupBy("__pid").agg(*[F.max(f"__{f}_end").alias(f) for f in flags]).orderBy("__pid").collect()
+    totals = done.where("i = -1").orderBy("__pid").collect()
     starts, run = [], dict.fromkeys(flags, 0)
     for r in totals:
         starts.append((r["__pid"], *(run[f] for f in flags)))
         for f in flags:
-            run[f] += r[f]
-    offsets = spark.createDataFrame(starts, "__pid int, " + ", ".join(f"__{f}_start long" for f in flags))
-    out = done.join(F.broadcast(offsets), "__pid")
-    for f in flags:
-        out = out.withColumn(f"{f}_before", F.col(f"{f}_before") + F.col(f"__{f}_start"))
-    out = out.drop("__pid", *[f"__{f}_{x}" for f in flags for x in ("end", "start")])
-    out._scrivana_path = done._scrivana_path
-    return out
+            run[f] += r[f"{f}_before"]
+    offsets = spark.createDataFrame(starts, "__pid long, " + ", ".join(f"__{f}_start long" for f in flags))
+    got = done.where("i >= 0").join(F.broadcast(offsets), "__pid")
+    got = got.select(*keep, *[(F.col(f"{f}_before") + F.col(f"__{f}_start")).alias(f"{f}_before") for f in flags])
+    got._scrivana_path = done._scrivana_path
+    return got
 
 
-def suffix_ranks(strings: DataFrame, need: int) -> DataFrame:
-    """``sid, ranks`` for strings (sid long, syms array<long> of positive numbers).
+def suffix_ranks(strings: DataFrame) -> DataFrame:
+    """``sid, ranks`` for strings (sid long, syms array<long> of positive numbers, need int).
 
-    ranks[i] is the number of suffixes, of all strings, that are smaller than suffix i. Suffixes are
-    told apart by their first ``need`` symbols at least, which bounds the recursion to log3(need)
-    levels; those equal that far may or may not share a rank, but always stand together.
+    ranks[i] is the number of suffixes, of all strings, that are smaller than suffix i. A string's
+    suffixes are told apart by their first ``need`` symbols at least, so a string leaves the recursion
+    at level log3(need); suffixes equal that far may or may not share a rank, but always stand
+    together. (Equal prefixes must come with equal needs, as they do where the need follows from the symbols.)
     """
-    if need <= 1:
+    if (strings.agg(F.max("need")).first()[0] or 0) <= 1:
         return strings.select("sid", F.transform("syms", lambda s: s - 1).alias("ranks"))
-    spark = strings.sparkSession
     sym = lambda i: F.coalesce(F.try_element_at("syms", (i + 1).cast("int")), F.lit(0)).cast("long")
     places = strings.where(F.size("syms") > 1).select("sid", "syms", F.explode(F.sequence(F.lit(1), F.size("syms") - 1)).alias("i")).where("i % 3 != 0")
     triples = places.select("sid", F.col("i").cast("long").alias("i"), *[sym(F.col("i") + k).alias(f"t{k}") for k in range(3)], F.lit(1).cast("long").alias("n"))
-    named = strictly_before(triples, ["t0", "t1", "t2"], ["n"], "triples")
+    named = strictly_before(triples, ["t0", "t1", "t2"], ["n"], ["sid", "i"], "triples")
     halves = named.groupBy((F.col("sid") * 2 + F.col("i") % 3 - 1).alias("sid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("n_before") + 1).alias("s")))), lambda x: x["s"]).alias("syms"))
-    halves = materialise(halves, "names")
-    inner = materialise(suffix_ranks(halves, -(-need // 3)), "inner")
+    needs = strings.select(F.explode(F.array(F.col("sid") * 2, F.col("sid") * 2 + 1)).alias("sid"), F.ceil(F.col("need") / 3).cast("int").alias("need"))
+    halves = materialise(halves.join(needs, "sid"), "names")
+    inner = halves.where("need <= 1").select("sid", F.transform("syms", lambda s: s - 1).alias("ranks"))
+    deep = halves.where("need > 1")
+    if not deep.isEmpty():
+        # among suffixes of one name the deeper order decides; names have room for as many ranks as they have suffixes
+        fine = suffix_ranks(deep)
+        each = fine.join(deep, "sid").select("sid", F.posexplode(F.arrays_zip("syms", "ranks")).alias("i", "x")).select("sid", "i", "x.syms", "x.ranks")
+        least = each.groupBy("syms").agg(F.min("ranks").alias("least"))
+        each = each.join(least, "syms").groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("syms") - 1 + F.col("ranks") - F.col("least")).alias("r")))), lambda x: x["r"]).alias("ranks"))
+        inner = inner.unionByName(each)
     sampled = inner.select(F.shiftright("sid", 1).alias("sid"), F.when(F.col("sid") % 2 == 0, F.col("ranks")).alias("r1"), F.when(F.col("sid") % 2 == 1, F.col("ranks")).alias("r2"))
     sampled = sampled.groupBy("sid").agg(F.first("r1", ignorenulls=True).alias("r1"), F.first("r2", ignorenulls=True).alias("r2"))
-    both = materialise(strings.join(sampled, "sid", "left"), "sampled")
-    discard(named, halves, inner)
+    both = materialise(strings.select("sid", "syms").join(sampled, "sid", "left"), "sampled")
+    discard(named, halves)
 
     # ranks of sampled suffixes, 1 higher so that 0 is the end; r1[k] is of suffix 3k + 1, r2[k] of 3k + 2
     def rank(i):
@@ -99,8 +110,8 @@ def suffix_ranks(strings: DataFrame, need: int) -> DataFrame:
     flag = lambda c: c.cast("int").cast("long")
     a = every.where("i % 3 != 2").select("sid", "i", sym(i).alias("s"), rank(i + 1).alias("r"), flag(kind == 0).alias("zero"), flag(kind == 1).alias("one"), rank(i).alias("own"))
     b = every.where("i % 3 != 1").select("sid", "i", sym(i).alias("s"), sym(i + 1).alias("s2"), rank(i + 2).alias("r"), flag(kind == 0).alias("zero"), flag(kind == 2).alias("two"), rank(i).alias("own"))
-    a = strictly_before(a, ["s", "r"], ["zero", "one"], "merge_a")
-    b = strictly_before(b, ["s", "s2", "r"], ["zero", "two"], "merge_b")
+    a = strictly_before(a, ["s", "r"], ["zero", "one"], ["sid", "i", "zero", "own"], "merge_a")
+    b = strictly_before(b, ["s", "s2", "r"], ["zero", "two"], ["sid", "i", "zero", "own"], "merge_b")
     # a sampled suffix: the sampled ones before it and the others before it; another one: all three kinds before it
     parts = a.select("sid", "i", F.when(F.col("zero") == 1, F.col("zero_before") + F.col("one_before")).otherwise(F.col("own") - 1 + F.col("zero_before")).alias("part"))
     parts = parts.union(b.select("sid", "i", F.when(F.col("zero") == 1, F.col("two_before")).otherwise(F.col("own") - 1 + F.col("zero_before")).alias("part")))

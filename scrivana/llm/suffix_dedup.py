@@ -7,8 +7,9 @@ that occurs twice, and what does occur twice mostly occurs as long passages. So
 1. closed syncmers cut each text into phrases (two anchors in a row with what lies between), a
    choice that depends on content alone: any 100-byte string holds a whole phrase, and equal strings
    hold equal phrases. What holds a phrase that occurs once in the corpus occurs once;
-2. runs of repeated phrases are strings; equal strings are kept once, with their earliest place and
-   their number;
+2. runs of repeated phrases are cut into strings, again by content alone, each with as many of the
+   phrases that follow as its suffixes are compared by; equal strings are kept once, with their
+   earliest place and their number;
 3. the suffixes of these strings are sorted, and adjacent ones with equal prefixes of 100 bytes and
    more form runs. In a run all but the earliest place are repeats; if in addition every occurrence
    of the run's inner phrase belongs to the run, all is known about the strings around its start;
@@ -35,11 +36,14 @@ from scrivana.llm.suffix_array import suffix_ranks
 #: Bytes of a string whose repeats go; bytes of an anchor and of its inner strings: 3 K - 2 S - 2 <= LENGTH
 #: makes each string hold two whole anchors, hence a phrase.
 LENGTH, K, S = 100, 36, 5
+#: A string of phrases is cut before every phrase whose hash is a multiple of PIECE, and after LONGEST phrases
+#: (which makes a periodic passage a few strings over and over).
+PIECE, LONGEST = 16, 32
 _SLICE, _FLUSH = 1 << 20, 1 << 20
 _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _P = {1: 0xD6E8FEB86659FD93}
-for _n in (2, 4, 8, 16, 32, 36, 64):
+for _n in (2, 4, 8):
     _P[_n] = pow(_P[1], _n, 1 << 64)
 _P = {n: np.uint64(v) for n, v in _P.items()}
 
@@ -52,21 +56,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _ladder(raw: np.ndarray, most: int) -> dict[int, np.ndarray]:
-    """Rolling hashes of every 1, 2, 4 ... up to ``most`` bytes."""
-    out, n = {1: _TABLE[raw]}, 1
-    while 2 * n <= most and len(out[n]) > n:
-        h = out[n]
-        out[2 * n] = h[:-n] * _P[n] + h[n:]
-        n *= 2
-    return out
+def _eights(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rolling hashes of every byte, of every 4 and of every 8 bytes."""
+    one = _TABLE.take(raw)
+    two = one[:-1] * _P[1] + one[1:]
+    four = two[:-2] * _P[2] + two[2:]
+    return one, four, four[:-4] * _P[4] + four[4:]
+
+
+def _joined(eight: np.ndarray, four: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of ``length`` bytes (a multiple of 8, plus 4) from each place."""
+    h = eight[at]
+    for k in range(8, length - 4, 8):
+        h = h * _P[8] + eight[at + k]
+    return h * _P[4] + four[at + length - 4]
 
 
 def _anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(raw) < K:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = _ladder(raw, 32)
-    inner = _mix(h[4][: len(raw) - S + 1] * _P[1] + h[1][4 : len(raw)])
+    one, four, eight = _eights(raw)
+    inner = (_mix(four[: len(raw) - S + 1] * _P[1] + one[4:]) >> np.uint64(32)).astype(np.uint32)
     width, least, have = K - S + 1, inner, 1
     while 2 * have <= width:
         least = np.minimum(least[:-have], least[have:])
@@ -74,7 +84,7 @@ def _anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if have < width:
         least = np.minimum(least[: len(least) - width + have], least[width - have :])
     at = np.flatnonzero((least == inner[: len(least)]) | (least == inner[width - 1 :]))
-    return at, h[32][at] * _P[4] + h[4][at + 32]
+    return at, _joined(eight, four, at, K)
 
 
 def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +110,8 @@ def string_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         low = int(starts[first])
         last = int(np.searchsorted(starts, low + _SLICE))
         q = starts[first:last] - low
-        h = _ladder(raw[low : int(starts[last - 1]) + LENGTH], 64)
-        out.append(_mix((h[64][q] * _P[32] + h[32][q + 64]) * _P[4] + h[4][q + 96]))
+        _, four, eight = _eights(raw[low : int(starts[last - 1]) + LENGTH])
+        out.append(_mix(_joined(eight, four, q, LENGTH)))
         first = last
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -129,7 +139,7 @@ def _unblob(rows: list[tuple]) -> tuple[np.ndarray, ...]:
 
 def _dealt(keys, idx, val, num, to: np.ndarray) -> Iterator[tuple]:
     """One blob for each bucket of ``to``, rows in order of key and index."""
-    order = np.argsort(to, kind="stable")
+    order = np.argsort(to.astype(np.uint16) if len(to) and to.max() < 1 << 16 else to, kind="stable")
     s, n = _runs(to[order])
     for a, b in zip(s, s + n, strict=True):
         o = order[a:b]
@@ -210,7 +220,8 @@ _STRING = "sid long, key long, first int, length int, syms binary, nums binary,
 
 
 def _strings(repeated: DataFrame, n: int) -> DataFrame:
-    """A row per maximal run of repeated phrases: its hash, place and length; the first of its kind in a task has the phrases too."""
+    """A row per piece of a maximal run of repeated phrases: its hash, place and length; the first of its kind in a task has
+    the phrases too, and after its own those that its suffixes' prefixes reach into."""
     schema = _schema(_STRING)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,14 +230,34 @@ def _strings(repeated: DataFrame, n: int) -> DataFrame:
         keys, gap, idx, val, num = keys[order], (idx[order] % 32).astype(np.uint8), idx[order] // 32, val[order], num[order]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (idx[1:] != idx[:-1] + 1)
+        if not len(keys):
+            return
+        run = np.cumsum(new) - 1
         starts = np.flatnonzero(new)
-        seen, out = set(), []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-            sid = int.from_bytes(hashlib.blake2b(val[a:b].tobytes(), digest_size=8).digest(), "little") >> 8  # the sorting doubles it once a level
-            known = sid in seen
-            seen.add(sid)
-            out.append((sid, int(keys[a]), int(idx[a]), b - a, *((None,) * 3 if known else (val[a:b].tobytes(), num[a:b].tobytes(), gap[a:b].tobytes()))))
-            if len(out) >= 2048:
+        ends = np.append(starts[1:], len(keys))
+        head = new | (val % np.uint64(PIECE) == 0)
+        since = np.arange(len(keys)) - np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))
+        begin = np.flatnonzero(since % LONGEST == 0)
+        end = np.append(begin[1:], len(keys))  # of the piece's own phrases
+        # places of phrases' first anchors within a corpus-wide order; a run's last anchor stands one step beyond its last phrase
+        place = np.cumsum(np.insert(gap.astype(np.int64), starts, 4 * LENGTH))
+        mine = np.arange(len(keys)) + run
+        stop = np.where(end == ends[run[begin]], mine[end - 1] + 1, mine[np.minimum(end, len(keys) - 1)])
+        reach = np.searchsorted(place, place[stop] + LENGTH - K) - run[begin]
+        reach = np.maximum(np.minimum(reach, ends[run[begin]]), end)
+        # a polynomial in an odd base, by prefix sums that the base's inverse shifts back to each piece's begin
+        base, many = _M1 | np.uint64(1), len(keys) + 1
+        power, back = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(many, b, np.uint64)]), dtype=np.uint64) for b in (base, np.uint64(pow(int(base), -1, 1 << 64))))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(_mix(val.copy()) * power[: len(keys)], dtype=np.uint64)])
+        h = (total[reach] - total[begin]) * back[begin]
+        sid = (_mix(h + _mix((reach - begin).astype(np.uint64) * _M2 + (end - begin).astype(np.uint64))) >> np.uint64(8)).astype(np.int64)  # the sorting doubles it once a level
+        fresh = np.zeros(len(sid), bool)
+        fresh[np.unique(sid, return_index=True)[1]] = True
+        raw = val.tobytes(), num.tobytes(), gap.tobytes()
+        out = []
+        for c, d, e, s, f in zip(begin.tolist(), end.tolist(), reach.tolist(), sid.tolist(), fresh.tolist(), strict=True):
+            out.append((s, int(keys[c]), int(idx[c]), d - c, *((raw[0][8 * c : 8 * e], raw[1][4 * c : 4 * e], raw[2][c:e]) if f else (None,) * 3)))
+            if len(out) >= 4096:
                 yield _batch(out, schema)
                 out = []
         if out:
@@ -236,14 +267,21 @@ def _strings(repeated: DataFrame, n: int) -> DataFrame:
 
 
 def _names(strings: DataFrame) -> DataFrame:
-    """Phrase hashes as positive longs, which sort as such; only their order's consistency matters."""
-    schema = _schema("sid long, syms array<long>")
+    """Phrase hashes as positive longs (any consistent order will do), and the most phrases by which one of its suffixes is compared."""
+    ddl = "sid long, syms array<long>, need int"
+    schema = _schema(ddl)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _batch([(s, (np.frombuffer(v, "<u8") >> np.uint64(1)).astype(np.int64) | 1) for s, v in _columns(b, ["sid", "syms"])], schema)
+            out = []
+            for sid, syms, gaps in _columns(b, ["sid", "syms", "gaps"]):
+                place = np.concatenate([[0], np.cumsum(np.frombuffer(gaps, np.uint8), dtype=np.int64)])
+                last = np.searchsorted(place, place[1:] + LENGTH - K)
+                need = int((np.minimum(last, len(place) - 1) - np.arange(len(last))).max())
+                out.append((sid, (np.frombuffer(syms, "<u8") >> np.uint64(1)).astype(np.int64) | 1, need))
+            yield _batch(out, schema)
 
-    return strings.select("sid", "syms").mapInArrow(make, "sid long, syms array<long>")
+    return strings.select("sid", "syms", "gaps").mapInArrow(make, ddl)
 
 
 def _prefixes(strings: DataFrame) -> DataFrame:
@@ -253,20 +291,29 @@ def _prefixes(strings: DataFrame) -> DataFrame:
     schema = _schema(ddl)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sid, syms, gaps, nums, ranks, occurs, key, first in _small(batches, ["sid", "syms", "gaps", "nums", "ranks", "occurs", "key", "first"]):
-            val, num, rank = np.frombuffer(syms, "<u8"), np.frombuffer(nums, "<u4").astype(np.int64), np.array(ranks, np.int64)
-            place = np.concatenate([[0], np.cumsum(np.frombuffer(gaps, np.uint8), dtype=np.int64)])
-            i = np.arange(len(val) - 1)
-            last = np.searchsorted(place, place[i + 1] + LENGTH - K)  # the anchor whose K bytes reach far enough
-            i, last = i[last <= len(val)], last[last <= len(val)]
-            if not len(i):
-                continue
-            h = np.zeros(len(i), np.uint64)
-            for k in range(int((last - i).max())):
-                go = last - i > k
-                h[go] = _mix(h[go] * _M2 + val[i[go] + k])
-            full = lambda v: pa.array(np.full(len(i), v, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(rank[i]), full(sid), pa.array(i), pa.array(h.view(np.int64)), full(occurs), full(key), pa.array(first + i), pa.array(num[i + 1])], schema=schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                col = lambda c, b=b: b.column(c).to_numpy(zero_copy_only=False)
+                val, num, gap = (np.frombuffer(b"".join(b.column(c).to_pylist()), t) for c, t in (("syms", "<u8"), ("nums", "<u4"), ("gaps", np.uint8)))
+                rank = b.column("ranks").flatten().to_numpy()
+                many = col("occurs") * 0 + np.array([len(v) for v in b.column("gaps").to_pylist()])
+                end = np.cumsum(many)
+                row = np.repeat(np.arange(len(many)), many)
+                i = np.arange(len(val)) - (end - many)[row]
+                # anchors' places, every string's beyond those of the one before; a string has one anchor more than phrases
+                step = np.insert(gap.astype(np.int64), end - many, 4 * LENGTH)
+                place = np.cumsum(step)
+                mine = np.arange(len(val)) + row  # a phrase's first anchor
+                last = np.searchsorted(place, place[mine + 1] + LENGTH - K)
+                good = np.flatnonzero((i < np.minimum(col("length"), many - 1)[row]) & (last <= (end + np.arange(len(many)))[row]))
+                n, h = (last - mine)[good], np.zeros(len(good), np.uint64)
+                for k in range(int(n.max(initial=0))):
+                    go = np.flatnonzero(n > k)
+                    h[go] = _mix(h[go] * _M2 + val[good[go] + k])
+                r = row[good]
+                cols = rank[good], col("sid")[r], i[good], h.view(np.int64), col("occurs")[r], col("key")[r], col("first")[r] + i[good], num[good + 1].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], schema=schema)
 
     return strings.mapInArrow(make, ddl)
 
@@ -276,7 +323,7 @@ def _adjacent_runs(suffixes: DataFrame, n: int) -> DataFrame:
 
     Runs that go on over the border of two partitions are joined by their ends, two rows a partition.
     """
-    d = suffixes.repartitionByRange(n, "rank").sortWithinPartitions("rank").withColumn("pid", F.spark_partition_id())
+    d = materialise(suffixes, "suffixes").repartitionByRange(n, "rank").sortWithinPartitions("rank").withColumn("pid", F.spark_partition_id())
     names = d.columns
     ddl = "sid long, i long, prefix long, occurs long, key long, first long, inner long, pid int, part long"
     schema = _schema(ddl)
@@ -311,12 +358,10 @@ _OPEN, _REPEATED, _FIRST = 0, 1, 2
 
 
 def _verdicts(strings: DataFrame, n: int) -> DataFrame:
-    """``key, info``: the maximal runs of repeated phrases in a document with a verdict byte for each suffix."""
+    """``key, info``: the pieces of repeated phrases in a document with a verdict byte for each suffix."""
     kinds = strings.groupBy("sid").agg(F.count("*").alias("occurs"), F.min(F.struct("key", "first")).alias("least"), F.max("length").alias("length"), *[F.first(c, ignorenulls=True).alias(c) for c in ("syms", "nums", "gaps")])
     kinds = materialise(kinds.select("sid", "occurs", "least.key", "least.first", "length", "syms", "nums", "gaps"), "kinds")
-    longest = kinds.agg(F.max("length")).first()[0] or 0
-    # a prefix has LENGTH + 31 bytes at most before its last phrase, so it never needs more phrases than that
-    ranks = suffix_ranks(_names(kinds), min(longest, _most_phrases(kinds)))
+    ranks = suffix_ranks(materialise(_names(kinds), "names"))
     suffixes = _adjacent_runs(_prefixes(kinds.join(ranks, "sid")), n)
     runs = suffixes.groupBy("run").agg(F.sum("occurs").alias("all"), F.min(F.struct("key", "first")).alias("least"))
     known = suffixes.join(runs, "run").groupBy("sid").agg(F.collect_list(F.struct("i", "least.key", "least.first", (F.col("all") == F.col("inner")).cast("long").alias("whole"))).alias("known"))
@@ -327,37 +372,26 @@ def _verdicts(strings: DataFrame, n: int) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for key, first, length, *cols in _small(iter([b]), ["key", "first", "length", "k_i", "k_key", "k_first", "k_whole"]):
-                state = np.zeros(length, np.uint8)
-                if cols[0]:
-                    i, k, f, whole = (np.array(c, np.int64) for c in cols)
-                    later = (k < key) | ((k == key) & (f < first + i))
-                    state[i] = np.where(later, _REPEATED, np.where(whole == 1, _FIRST, _OPEN))
-                out.append((key, first, length, state.tobytes()))
-            if out:
-                yield _batch(out, schema)
+            if not b.num_rows:
+                continue
+            key, first, length = (b.column(c).to_numpy().astype(np.int64) for c in ("key", "first", "length"))
+            many = b.column("k_i").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            i, k, f, whole = (b.column(c).flatten().to_numpy() for c in ("k_i", "k_key", "k_first", "k_whole"))
+            row = np.repeat(np.arange(len(key)), many)
+            later = (k < key[row]) | ((k == key[row]) & (f < first[row] + i))
+            end = np.cumsum(length)
+            state = np.zeros(int(end[-1]), np.uint8)
+            state[(end - length)[row] + i] = np.where(later, _REPEATED, np.where(whole == 1, _FIRST, _OPEN))
+            raw = state.tobytes()
+            out = [raw[e - m : e] for e, m in zip(end.tolist(), length.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("first"), b.column("length"), pa.array(out, pa.binary())], schema=schema)
 
     each = strings.select("sid", "key", "first", "length").join(known, "sid", "left").mapInArrow(judge, ddl)
     info = materialise(each.groupBy("key").agg(F.collect_list(F.struct("first", "length", "state")).alias("info")), "info")
-    discard(kinds, ranks, suffixes, known)
+    discard(kinds, suffixes, known)
     return info
 
 
-def _most_phrases(kinds: DataFrame) -> int:
-    """Phrases in the longest prefix that any suffix is compared by."""
-
-    def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = 1
-        for (gaps,) in _small(batches, ["gaps"]):
-            place = np.concatenate([[0], np.cumsum(np.frombuffer(gaps, np.uint8), dtype=np.int64)])
-            last = np.searchsorted(place, place[1:] + LENGTH - K)
-            top = max(top, int((np.minimum(last, len(place) - 1) - np.arange(len(last))).max()))
-        yield _batch([(top,)], _schema("top long"))
-
-    return kinds.select("gaps").mapInArrow(most, "top long").agg(F.max("top")).first()[0] or 1
-
-
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 _MIXED = "kind int, bucket int, key long, text binary, spans binary, keys binary, many binary, idx binary, val binary, num binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 _DONE, _PENDING, _REPLY = 0, 1, 2
