@@ -1,4 +1,338 @@
-"""The registered queries of the retrieval engine and their SQL."""
+"""The registered queries of the retrieval engine, each with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scrivana.functions import text as T
+from scrivana.functions import vector as V
+from scrivana.operators import notes as N
+from scrivana.operators import retrieval as R
+from scrivana.sources.files import recursive_chunks
+from scrivana.streaming.stateful import debounce, rate_limit
+from scrivana.tables import load, messages, notes, tagged_notes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+USER, NOW = "src1", "2024-01-20 12:00:00"
+ASKED = ((1, "the of and"), (2, "how do I tune shuffle partitions with this"), (3, "explain the difference between broadcast and sort merge joins"), (4, "la de les"))
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql.replace("{ASKED}", "(VALUES " + ", ".join(f"({k}, '{q}')" for k, q in ASKED) + ") a(qid, query)").replace("{USER}", USER).replace("{NOW}", NOW)
+        return f
+
+    return add
+
+
+def _asked(spark):
+    return spark.createDataFrame(ASKED, "qid int, query string")
+
+
+def _events(spark, d):
+    return load(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+
+
+def _vector_hits(spark, d, k=5):
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = e.where("id < 4").select((F.col("id") + 1).cast("int").alias("qid"), F.col("v").alias("q"))
+    return R.nearest(e, asked, k)
+
+
+_TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+_BM25 = f"""
+docs AS (SELECT doc_id AS id, {_TOK.format("text")} AS t FROM documents WHERE source = '{{USER}}'),
+dl AS (SELECT id, t, len(t) AS dl FROM docs), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+q AS (SELECT DISTINCT qid, unnest({_TOK.format("query")}) AS tok FROM {{ASKED}}),
+x AS (SELECT id, dl, unnest(t) AS tok FROM dl),
+tf AS (SELECT tok, id, dl, count(*) AS tf FROM x WHERE tok IN (SELECT tok FROM q) GROUP BY ALL),
+df AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok),
+sc AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (tok) JOIN q USING (tok), st GROUP BY ALL),
+bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM sc) WHERE rank <= 5)"""
+_NEAR = """
+vs AS (SELECT (b.vec_id + 1)::INT AS qid, a.vec_id AS id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id < 4),
+ve AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id)::INT AS rank FROM vs) WHERE rank <= 5)"""
+_W = """
+wd AS (SELECT qid, query, CASE WHEN length(query) = 0 THEN 0.5 WHEN length(query) < 20 THEN 0.3 WHEN length(query) > 50 THEN 0.7 ELSE 0.5 END::DOUBLE AS v, len(list_filter(regexp_split_to_array(query, '\\s+'), lambda w: w <> '')) AS n FROM {ASKED}),
+w AS (SELECT qid, query, round(CASE WHEN n > 0 AND n / length(query) > 0.1 THEN greatest(v - 0.1, 0.3) ELSE v END, 1) AS vector, round(CASE WHEN n > 0 AND n / length(query) > 0.1 THEN least(1 - v + 0.1, 0.7) ELSE 1 - v END, 1) AS bm25 FROM wd)"""
+
+
+@query(f"WITH {_BM25} SELECT * FROM bm")
+def bm25_topk(spark, d):
+    return R.bm25(R.tenant(notes(spark, d), USER), _asked(spark))
+
+
+@query(f"WITH {_NEAR} SELECT * FROM ve")
+def vector_topk(spark, d):
+    return _vector_hits(spark, d)
+
+
+@query(f"WITH {_W} SELECT qid, query, vector, bm25 FROM w")
+def dynamic_weights(spark, d):
+    return _asked(spark).select("qid", "query", T.dynamic_weights(F.col("query")).alias("w")).select("qid", "query", "w.vector", "w.bm25")
+
+
+@query(f"WITH {_BM25}, {_NEAR}, {_W} SELECT qid, id, round(sum(part), 8) AS score FROM (SELECT qid, id, vector / (60 + rank) AS part FROM ve JOIN w USING (qid) UNION ALL SELECT qid, id, bm25 / (60 + rank) FROM bm JOIN w USING (qid)) GROUP BY ALL")
+def hybrid_rrf(spark, d):
+    return R.fuse({"vector": _vector_hits(spark, d), "bm25": bm25_topk(spark, d)}, _asked(spark))
+
+
+@query("SELECT doc_id AS id, text AS content FROM documents WHERE false")
+def tenant_empty(spark, d):
+    return R.tenant(notes(spark, d), None).select("id", "content")
+
+
+@query(f"WITH {_BM25} SELECT qid, rank, id, lang AS category, CASE WHEN length(text) > 100 THEN text[:100] || '...' ELSE text END AS preview FROM bm JOIN documents ON id = doc_id")
+def search_lookup(spark, d):
+    return R.look_up(bm25_topk(spark, d).drop("score"), notes(spark, d)).select("qid", "rank", "id", "category", T.preview(F.col("content"), 100).alias("preview"))
+
+
+@query("""WITH me AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7),
+s AS (SELECT vec_id AS id, label, round(list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6) AS score FROM embeddings, me),
+n AS (SELECT id, score, 'note' AS kind FROM (SELECT * FROM s WHERE label % 2 = 0 OR id = 7 ORDER BY score, id LIMIT 4) WHERE id <> 7),
+k AS (SELECT id, score, 'knowledge_base' AS kind FROM s WHERE label % 2 = 1 AND id <> 7 ORDER BY score, id LIMIT 3)
+SELECT * FROM (SELECT * FROM n UNION ALL SELECT * FROM k) ORDER BY score, id LIMIT 3""")
+def related_items(spark, d):
+    e = load(spark, d, "embeddings")
+    s = e.crossJoin(F.broadcast(e.where("vec_id = 7").select(F.col("embedding").alias("q")))).select(F.col("vec_id").alias("id"), "label", F.round(V.squared_l2(F.col("embedding"), F.col("q")), 6).alias("score"))
+    mine = s.where("label % 2 = 0 or id = 7").orderBy("score", "id").limit(4).where("id != 7").select("id", "score", F.lit("note").alias("kind"))
+    base = s.where("label % 2 = 1 and id != 7").orderBy("score", "id").limit(3).select("id", "score", F.lit("knowledge_base").alias("kind"))
+    return mine.unionByName(base).orderBy("score", "id").limit(3)
+
+
+def _pairs(spark, d):
+    hits = bm25_topk(spark, d).select("qid", "id", F.col("rank").alias("ord"))
+    return hits.join(_asked(spark), "qid").join(notes(spark, d).select("id", "content"), "id")
+
+
+_SCORE = f"round(len(list_intersect(list_distinct({_TOK.format('query')}), {_TOK.format('text')})) / len(list_distinct({_TOK.format('query')})), 4)"
+
+
+@query(f"WITH {_BM25}, p AS (SELECT qid, id, rank AS ord, {_SCORE} AS score FROM bm JOIN {{ASKED}} USING (qid) JOIN documents ON id = doc_id) SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord)::INT AS rank FROM p")
+def rerank_lexical(spark, d):
+    return R.rerank(_pairs(spark, d), R.lexical_score(F.col("query"), F.col("content"))).select("qid", "id", "score", "rank")
+
+
+@query(f"WITH {_BM25} SELECT qid, id, 0.0::DOUBLE AS score, rank FROM bm")
+def rerank_fallback(spark, d):
+    return R.rerank(_pairs(spark, d), None).select("qid", "id", "score", "rank")
+
+
+@query("""SELECT unnest(['en', 'fr', 'de', 'xx', 'uncategorized', 'other', 'total']) AS category, unnest([count(*) FILTER (lang = 'en'), count(*) FILTER (lang = 'fr'), count(*) FILTER (lang = 'de'), 0, count(*) FILTER (lang IS NULL), count(*) FILTER (lang NOT IN ('en', 'fr', 'de', 'xx')), count(*)])::BIGINT AS n FROM documents""")
+def category_stats(spark, d):
+    return N.category_stats(notes(spark, d), ("en", "fr", "de", "xx"))
+
+
+_TAGGED = "t AS (SELECT d.doc_id AS id, lang AS category, CASE WHEN l.doc_id IS NOT NULL THEN list_filter([CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) END AS tags FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
+
+
+@query("SELECT doc_id AS id, lang AS category FROM documents WHERE lang = 'en' ORDER BY doc_id DESC LIMIT 20 OFFSET 20")
+def note_page(spark, d):
+    return N.page(notes(spark, d), [F.col("id").desc()], 2, 20, category="en").select("id", "category")
+
+
+@query(f"WITH {_TAGGED} SELECT id FROM (SELECT * FROM t ORDER BY id DESC LIMIT 20 OFFSET 20) WHERE list_contains(tags, 'good')")
+def note_page_tag_post(spark, d):
+    return N.page(tagged_notes(spark, d), [F.col("id").desc()], 2, 20, tag="good", tag_mode="post").select("id")
+
+
+@query(f"WITH {_TAGGED} SELECT id FROM t WHERE list_contains(tags, 'good') ORDER BY id DESC LIMIT 20 OFFSET 20")
+def note_page_tag_pre(spark, d):
+    return N.page(tagged_notes(spark, d), [F.col("id").desc()], 2, 20, tag="good").select("id")
+
+
+def _chunks(spark, d):
+    n = notes(spark, d).select("id", "user_id", F.posexplode(T.windows(F.col("content"))).alias("chunk_index", "content"))
+    return n.select("user_id", F.col("id").alias("doc"), "chunk_index", F.concat_ws("-", "id", "chunk_index").alias("chunk_id"), "content")
+
+
+_CHUNK = "c AS (SELECT source AS user_id, doc_id AS doc, k::INT AS chunk_index, doc_id || '-' || k AS chunk_id, substr(text, (k * 180 + 1)::INT, 200) AS content FROM (SELECT *, unnest(range(greatest(ceil((length(text) - 20) / 180), 1)::BIGINT)) AS k FROM documents WHERE length(text) > 0))"
+
+
+@query(f"WITH {_CHUNK} SELECT doc, chunk_index, content FROM c")
+def chunk_window(spark, d):
+    return _chunks(spark, d).select("doc", "chunk_index", "content")
+
+
+@query(f"WITH {_CHUNK} SELECT user_id, doc, count(*) AS chunks, min_by(chunk_id, chunk_index) AS first_id, min_by(CASE WHEN length(content) > 100 THEN content[:100] || '...' ELSE content END, chunk_index) FILTER (trim(content) <> '') AS preview FROM c GROUP BY ALL")
+def doc_rollup(spark, d):
+    return N.document_rollup(_chunks(spark, d))
+
+
+@query(f"WITH {_CHUNK} SELECT doc, string_agg(content, chr(10) ORDER BY chunk_index) AS content, count(*) AS chunks FROM c GROUP BY doc")
+def doc_detail(spark, d):
+    return N.document_detail(_chunks(spark, d))
+
+
+@query(f"WITH {_CHUNK} SELECT doc, chunk_id, chunk_index, count(*) OVER (PARTITION BY doc) AS total FROM c WHERE user_id = '{{USER}}'")
+def chunk_list(spark, d):
+    from pyspark.sql import Window
+
+    return R.tenant(_chunks(spark, d), USER).select("doc", "chunk_id", "chunk_index", F.count("*").over(Window.partitionBy("doc")).alias("total"))
+
+
+@query()
+def recursive_split(spark, d):
+    return recursive_chunks(notes(spark, d))
+
+
+@query("SELECT conv_id, turn, text AS question, a AS answer FROM (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant'")
+def session_pairs(spark, d):
+    return N.paired_turns(messages(spark, d))
+
+
+@query("SELECT conv_id, CASE WHEN length(t) > 30 THEN trim(t[:30]) || '...' ELSE trim(t) END AS title FROM (SELECT conv_id, min_by(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)")
+def session_titles(spark, d):
+    first = messages(spark, d).where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("t"))
+    return first.select("conv_id", T.session_title(F.col("t")).alias("title"))
+
+
+@query("SELECT user_id, max(ts) AS latest FROM events GROUP BY user_id ORDER BY latest DESC, user_id LIMIT 5")
+def session_latest(spark, d):
+    return load(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("latest")).orderBy(F.desc("latest"), "user_id").limit(5)
+
+
+def _reviews(spark, d):
+    e = _events(spark, d)
+    return N.schedule(e.select("user_id", (F.col("event_id") % 50).alias("note_id"), "at"))
+
+
+_SCHED = "s AS (SELECT user_id, note_id, ts AS seen, n::INT AS review_count, CASE n WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 7 WHEN 4 THEN 15 ELSE 30 END::INT AS interval_days FROM (SELECT *, row_number() OVER (PARTITION BY user_id, note_id ORDER BY ts) AS n FROM (SELECT user_id, event_id % 50 AS note_id, ts FROM events)))"
+
+
+@query(f"WITH {_SCHED} SELECT user_id, note_id, review_count, interval_days, epoch_us(seen + to_days(interval_days)) AS next_us FROM s")
+def review_schedule(spark, d):
+    return _reviews(spark, d).select("user_id", "note_id", "review_count", "interval_days", F.unix_micros("next_at").alias("next_us"))
+
+
+@query(f"WITH {_SCHED}, l AS (SELECT user_id, note_id, max(review_count) AS review_count, max_by(seen + to_days(interval_days), review_count) AS next_at FROM s GROUP BY ALL) SELECT user_id, note_id, epoch_us(next_at) AS next_us, text[:200] AS preview FROM l JOIN documents ON note_id = doc_id WHERE next_at <= TIMESTAMP '{{NOW}}'")
+def due_reviews(spark, d):
+    last = _reviews(spark, d).groupBy("user_id", "note_id").agg(F.max_by("next_at", "review_count").alias("next_at"))
+    n = notes(spark, d).select("id", "content")
+    out = last.where(F.col("next_at") <= F.lit(NOW).cast("timestamp")).join(n, F.col("note_id") == F.col("id"))
+    return out.select("user_id", "note_id", F.unix_micros("next_at").alias("next_us"), T.preview(F.col("content"), 200, "never").alias("preview"))
+
+
+@query("SELECT source AS user_id, md5(text) AS md5, min(doc_id) AS id, count(*) AS uploads FROM documents GROUP BY ALL")
+def md5_dedup(spark, d):
+    return N.first_uploads(notes(spark, d))
+
+
+@query("SELECT doc_id AS id, source AS user_id FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 2 = 0 AND e.source = d.source AND md5(e.text) = md5(d.text))")
+def md5_anti(spark, d):
+    f = notes(spark, d).withColumn("md5", F.md5("content"))
+    return N.new_uploads(f.where("id % 2 = 1"), f.where("id % 2 = 0")).select("id", "user_id")
+
+
+@query("SELECT doc_id AS id, md5(text) AS md5, lang AS filename FROM documents WHERE lang <> 'fr' OR lang IS NULL")
+def registry_delete(spark, d):
+    return N.without_file(notes(spark, d).select("id", F.md5("content").alias("md5"), F.col("category").alias("filename")), "fr")
+
+
+@query("SELECT coalesce(o.id, n.id) AS id, coalesce(n.category, o.category) AS category FROM (SELECT doc_id AS id, lang AS category FROM documents) o FULL JOIN (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'toxic' END AS category FROM labels) n ON o.id = n.id")
+def partial_update(spark, d):
+    new = load(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "toxic").alias("category"))
+    return N.merge_update(notes(spark, d).select("id", "category"), new, "id", ["category"])
+
+
+@query("SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def cascade_delete(spark, d):
+    gone = notes(spark, d).where("category = 'en'").select(F.col("id").alias("doc_id"))
+    return load(spark, d, "labels").join(gone, "doc_id", "left_anti").select("doc_id", "quality")
+
+
+@query(f"WITH {_TAGGED} SELECT id, '---' || chr(10) || 'id: ' || id || chr(10) || CASE WHEN len(tags) > 0 THEN 'tags: [' || array_to_string(tags, ', ') || ']' || chr(10) ELSE '' END || coalesce('category: ' || category || chr(10), '') || '---' AS head FROM t")
+def export_markdown(spark, d):
+    tags = F.when(F.size("tags") > 0, F.concat(F.lit("tags: ["), F.array_join("tags", ", "), F.lit("]")))
+    lines = F.filter(F.array(F.lit("---"), F.concat(F.lit("id: "), F.col("id").cast("string")), tags, F.concat(F.lit("category: "), F.col("category")), F.lit("---")), lambda x: x.isNotNull())
+    return tagged_notes(spark, d).select("id", F.array_join(lines, "\n").alias("head"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN length(text) > 150 THEN text[:150] || '...' ELSE text END AS longer, text[:200] AS plain, text[:50] || '...' AS always FROM documents")
+def preview_variants(spark, d):
+    c = F.col("content")
+    return notes(spark, d).select("id", T.preview(c, 150).alias("longer"), T.preview(c, 200, "never").alias("plain"), T.preview(c, 50, "always").alias("always"))
+
+
+@query("SELECT id, CASE WHEN length(p) > 100 THEN p[:100] || '...' ELSE p END AS plain FROM (SELECT doc_id AS id, trim(regexp_replace(regexp_replace(text, '[#*`~>\\[\\]()!|-]', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS p FROM documents)")
+def markdown_strip(spark, d):
+    return notes(spark, d).select("id", T.markdown_strip(F.col("content")).alias("plain"))
+
+
+@query("SELECT doc_id AS id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[a-zA-Z0-9]{32,}', '***', 'g'), 'api[-_]?key[''\"]\\s*[:=]\\s*[''\"][^''\"]{16,}[''\"]', '***', 'g'), 'password[''\"]\\s*[:=]\\s*[''\"][^''\"]{4,}[''\"]', '***', 'g'), 'passwd[''\"]\\s*[:=]\\s*[''\"][^''\"]{4,}[''\"]', '***', 'g'), 'mysql://[^@]+@', '***', 'g'), 'postgresql://[^@]+@', '***', 'g')) AS masked_md5 FROM documents")
+def mask_sensitive(spark, d):
+    return notes(spark, d).select("id", F.md5(T.mask(F.col("content"))).alias("masked_md5"))
+
+
+@query("SELECT event_id, props AS json FROM events")
+def json_extract(spark, d):
+    return load(spark, d, "events").select("event_id", T.extract_json(F.concat(F.lit("answer: "), F.col("props"), F.lit(" end"))).alias("json"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL ELSE ['north', 'east', 'south', 'west'][event_id % 5 + 1] END AS option FROM events")
+def answer_letter(spark, d):
+    letter = F.char(65 + F.col("event_id") % 5)
+    return load(spark, d, "events").select("event_id", F.try_element_at(F.array(*map(F.lit, ("north", "east", "south", "west"))), F.ascii(letter) - 64).alias("option"))
+
+
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id < 10""")
+def cosine_pairs(spark, d):
+    e = load(spark, d, "embeddings")
+    a = e.where("vec_id < 10").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
+    return e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")).join(a, F.lit(True)).select("a", "b", F.round(V.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+
+
+@query("WITH h AS (SELECT doc_id AS id, ('0x' || md5(text)[:15])::BIGINT AS h FROM documents) SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS bits FROM h a JOIN h b ON b.id = a.id + 1")
+def hamming_pairs(spark, d):
+    h = notes(spark, d).select("id", F.substring(F.md5("content"), 1, 15).alias("h"))
+    b = h.select(F.col("id").alias("b"), F.col("h").alias("g"))
+    return h.join(b, F.col("b") == F.col("id") + 1).select(F.col("id").alias("a"), "b", V.hamming_hex(F.col("h"), F.col("g")).alias("bits"))
+
+
+@query("SELECT source AS user_id, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sum(strlen(text)) <= 209715200 AS accepted FROM documents WHERE strlen(text) <= 20971520 GROUP BY source")
+def upload_validate(spark, d):
+    n = notes(spark, d).withColumn("n", F.octet_length("content").cast("long")).where("n <= 20 * 1024 * 1024")
+    return n.groupBy("user_id").agg(F.count("*").alias("files"), F.sum("n").alias("bytes")).withColumn("accepted", F.col("bytes") <= 200 * 1024 * 1024)
+
+
+@query("SELECT source AS user_id, floor(least(99, count(*) FILTER (length(text) > 100) / count(*) * 60 + count(*) FILTER (length(text) > 1000) / count(*) * 40))::INT AS progress FROM documents GROUP BY source")
+def progress(spark, d):
+    n, size = F.count("*"), F.length("content")
+    return notes(spark, d).groupBy("user_id").agg(F.floor(F.least(F.lit(99.0), F.count_if(size > 100) / n * 60 + F.count_if(size > 1000) / n * 40)).cast("int").alias("progress"))
+
+
+@query("SELECT event_id, CASE WHEN s < 60 THEN '刚刚' WHEN s < 3600 THEN floor(s / 60)::BIGINT || ' 分钟前' WHEN s < 86400 THEN floor(s / 3600)::BIGINT || ' 小时前' ELSE month(ts) || '月' || day(ts) || '日' END AS shown FROM (SELECT *, (epoch(TIMESTAMP '{NOW}') - floor(epoch(ts)))::BIGINT AS s FROM events WHERE ts <= TIMESTAMP '{NOW}')")
+def relative_date(spark, d):
+    now = F.lit(NOW).cast("timestamp")
+    return _events(spark, d).where(F.col("at") <= now).select("event_id", T.relative_date(now, F.col("at")).alias("shown"))
+
+
+@query("SELECT user_id AS key, event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events) WHERE nx IS NULL OR epoch_ms(nx) - epoch_ms(ts) > 3600000")
+def debounced(spark, d):
+    return debounce(_events(spark, d).select(F.col("user_id").alias("key"), "event_id", "at"), 3_600_000).select("key", "event_id")
+
+
+@query("SELECT conv_id, turn, k::INT AS pos, text[k] AS ch FROM (SELECT *, unnest(range(1, length(text) + 1)) AS k FROM conversations WHERE role = 'assistant')")
+def char_stream(spark, d):
+    m = messages(spark, d).where("role = 'assistant'")
+    return m.select("conv_id", "turn", F.posexplode(F.split("text", "")).alias("p", "ch")).select("conv_id", "turn", (F.col("p") + 1).alias("pos"), "ch")
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id AS key, floor(epoch(ts))::BIGINT AS sec, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+r(key, n, sec, seq, opened, used, allowed) AS (SELECT key, n, sec, seq, sec, 1, true FROM o WHERE n = 1 UNION ALL
+  SELECT o.key, o.n, o.sec, o.seq, CASE WHEN o.sec >= r.opened + 86400 THEN o.sec ELSE r.opened END, CASE WHEN o.sec >= r.opened + 86400 THEN 1 ELSE least(r.used + 1, 2) END, o.sec >= r.opened + 86400 OR r.used < 2 FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1)
+SELECT key, sec, seq, allowed FROM r""")
+def rate_limited(spark, d):
+    return rate_limit(_events(spark, d).select(F.col("user_id").alias("key"), F.unix_seconds("at").alias("at"), F.col("event_id").alias("seq")), 2, 86400).withColumnRenamed("at", "sec")
+
+
+@query()
+def phash_leaders(spark, d):
+    n = notes(spark, d).select((F.col("id") / 20).cast("long").alias("doc"), (F.col("id") % 20).cast("int").alias("page"), F.substring(F.md5("content"), 1, 16).alias("phash"))
+    return N.leader_clusters(n)
