@@ -185,8 +185,11 @@ def against_next(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text")
     bounds = d.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
     splits = [-float("inf"), *sorted({float(b) for b in bounds or []}), float("inf")]
     d = d.withColumn("x", F.col("doc_id").cast("double"))
-    blocks = Bucketizer(splits=splits, inputCol="x", outputCol="b", handleInvalid="keep")
-    d = blocks.transform(d).withColumn("b", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(n))).otherwise(F.col("b")).cast("int")).drop("x")
+    if len(splits) > 2:
+        d = Bucketizer(splits=splits, inputCol="x", outputCol="b", handleInvalid="keep").transform(d)
+    else:
+        d = d.withColumn("b", F.lit(0))
+    d = d.withColumn("b", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(n))).otherwise(F.col("b")).cast("int")).drop("x")
     heads = [tuple(r) for r in d.where("doc_id is not null").groupBy("b").agg(F.min("doc_id")).orderBy("b").collect()]  # a row per partition at most
     halo = [(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)]
     halo = spark.createDataFrame(halo, "head long, target int")
