@@ -13,7 +13,7 @@ SEPARATORS, SIZE, OVERLAP = ("\n\n", "\n", "。", "！", "？", "!", "?", " ", "
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.{txt,md}") -> DataFrame:
-    """``path, content`` of the files in a folder (not below it): UTF-8, else GBK, else empty."""
+    """``path, content`` of the files in a folder (not below it): UTF-8, else GBK, else empty; files of no bytes have no row."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(path)
 
     @F.pandas_udf("string")
