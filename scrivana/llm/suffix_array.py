@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from scrivana.llm.common import discard, materialise, shuffle_partitions
+from scrivana.llm.common import discard, materialise, release, shuffle_partitions
 
 
 def strictly_before(df: DataFrame, keys: list[str], flags: list[str], keep: list[str], name: str) -> DataFrame:
@@ -99,6 +99,8 @@ def suffix_ranks(strings: DataFrame) -> DataFrame:
     sampled = sampled.groupBy("sid").agg(F.first("r1", ignorenulls=True).alias("r1"), F.first("r2", ignorenulls=True).alias("r2"))
     both = materialise(strings.select("sid", "syms").join(sampled, "sid", "left"), "sampled")
     discard(named, halves)
+    del named, halves, places, triples, needs, inner, deep, sampled
+    release(strings.sparkSession)
 
     # ranks of sampled suffixes, 1 higher so that 0 is the end; r1[k] is of suffix 3k + 1, r2[k] of 3k + 2
     def rank(i):
@@ -116,6 +118,8 @@ def suffix_ranks(strings: DataFrame) -> DataFrame:
     parts = a.select("sid", "i", F.when(F.col("zero") == 1, F.col("zero_before") + F.col("one_before")).otherwise(F.col("own") - 1 + F.col("zero_before")).alias("part"))
     parts = parts.union(b.select("sid", "i", F.when(F.col("zero") == 1, F.col("two_before")).otherwise(F.col("own") - 1 + F.col("zero_before")).alias("part")))
     whole = parts.groupBy("sid", "i").agg(F.sum("part").alias("rank"))
+    del every
+    release(strings.sparkSession)
     out = materialise(whole.groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "rank"))), lambda x: x["rank"]).alias("ranks")), "ranks")
     discard(a, b, both)
     return out

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import discard, materialise, shuffle_partitions, table
+from scrivana.llm.common import discard, materialise, release, shuffle_partitions, table
 from scrivana.llm.suffix_array import suffix_ranks
 
 #: Bytes of a string whose repeats go; bytes of an anchor and of its inner strings: 3 K - 2 S - 2 <= LENGTH
@@ -362,7 +362,9 @@ def _verdicts(strings: DataFrame, n: int) -> DataFrame:
     kinds = strings.groupBy("sid").agg(F.count("*").alias("occurs"), F.min(F.struct("key", "first")).alias("least"), F.max("length").alias("length"), *[F.first(c, ignorenulls=True).alias(c) for c in ("syms", "nums", "gaps")])
     kinds = materialise(kinds.select("sid", "occurs", "least.key", "least.first", "length", "syms", "nums", "gaps"), "kinds")
     ranks = suffix_ranks(materialise(_names(kinds), "names"))
+    release(strings.sparkSession)
     suffixes = _adjacent_runs(_prefixes(kinds.join(ranks, "sid")), n)
+    release(strings.sparkSession)
     runs = suffixes.groupBy("run").agg(F.sum("occurs").alias("all"), F.min(F.struct("key", "first")).alias("least"))
     known = suffixes.join(runs, "run").groupBy("sid").agg(F.collect_list(F.struct("i", "least.key", "least.first", (F.col("all") == F.col("inner")).cast("long").alias("whole"))).alias("known"))
     known = known.select("sid", *[F.col(f"known.{c}").alias(f"k_{c}") for c in ("i", "key", "first", "whole")])
@@ -389,6 +391,8 @@ def _verdicts(strings: DataFrame, n: int) -> DataFrame:
     each = strings.select("sid", "key", "first", "length").join(known, "sid", "left").mapInArrow(judge, ddl)
     info = materialise(each.groupBy("key").agg(F.collect_list(F.struct("first", "length", "state")).alias("info")), "info")
     discard(kinds, suffixes, known)
+    del runs, each, ranks
+    release(strings.sparkSession)
     return info
 
 
@@ -544,11 +548,12 @@ def remove_repeats(docs: DataFrame, *, keep_bytes: bool = False, id_col: str = "
     """
     n = shuffle_partitions(docs.sparkSession)
     keyed, ids = _keyed(docs, id_col, text)
-    repeated = _repeated(_phrase_blobs(keyed, n), n)
-    strings = materialise(_strings(repeated, n), "strings")
+    strings = materialise(_strings(_repeated(_phrase_blobs(keyed, n), n), n), "strings")
+    release(docs.sparkSession)
     info = _verdicts(strings, n)
     settled = materialise(_settle(keyed, info, n, keep_bytes), "settled")
     discard(strings, info)
+    release(docs.sparkSession)
     done = settled.where(F.col("kind") == _DONE).select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     out = done.union(_finish_pending(settled, n, keep_bytes))
     if ids is not None:
