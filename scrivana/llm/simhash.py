@@ -133,7 +133,8 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = Non
     words = [c for c in fps.columns if c.startswith("fp")]
     masks = _segments(radius, blocks)
     at = F.posexplode(F.array(*[F.struct(F.col(w).alias("word"), F.lit(_signed(m)).alias("bits")) for w in words for m in masks])).alias("mask", "m")
-    each = fps.select("node", *words, at).select("node", *words, "mask", F.col("m.word").bitwiseAND(F.col("m.bits")).alias("key"), F.bit_count("m.word").alias("ones"))
+    spread = fps.repartition(shuffle_partitions(fps.sparkSession))  # small rows, each of which becomes one for every mask
+    each = spread.select("node", *words, at).select("node", *words, "mask", F.col("m.word").bitwiseAND(F.col("m.bits")).alias("key"), F.bit_count("m.word").alias("ones"))
     # tile numbers: by population count, then by as many hash chunks as keep a chunk near TILE rows
     sizes = each.groupBy("mask", "key", "ones").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
     per = sizes.groupBy("mask", "key").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("ones", "chunks"))).alias("chunks")).where("all > 1")

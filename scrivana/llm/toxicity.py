@@ -21,7 +21,7 @@ from scrivana.llm.ngrams import hashed
 #: N-gram sizes, bits of a bucket's number, embedding width, passes, learning rate.
 SIZES, BITS, WIDTH, EPOCHS, RATE = (3, 4, 5), 18, 8, 8, 0.05
 #: Labelled documents of each class that the fit may take.
-SAMPLE = {1: 1500, 0: 4000}
+SAMPLE = {1: 1500, 0: 2500}
 #: N-grams in fewer sampled documents than this keep the zero vector.
 MIN_DOCS = 3
 THRESHOLD = 0.3
@@ -53,19 +53,29 @@ def fit(texts: list[str], labels: list[int], seed: int = 1, prior: float | None
     """
     rng = np.random.default_rng(seed)
     size = 1 << BITS
-    bags = [_bag(t) for t in texts]
+    # all bags in two flat arrays (8 bytes an entry), as thousands of small ones would stay with the driver
+    most = sum(min(len(SIZES) * (len(t) + 2), size) for t in texts)
+    buckets, shares, ends = np.empty(most, np.int32), np.empty(most, np.float32), [0]
     seen = np.zeros(size, np.int32)
-    for u, _ in bags:
+    for t in texts:
+        u, w = _bag(t)
         seen[u] += 1
+        ends.append(ends[-1] + len(u))
+        buckets[ends[-2] : ends[-1]], shares[ends[-2] : ends[-1]] = u, w
     common = seen >= MIN_DOCS
-    bags = [(u[common[u]], w[common[u]]) for u, w in bags]
-    e = np.zeros((size, WIDTH))
+
+    def bag(k: int) -> tuple[np.ndarray, np.ndarray]:
+        u, w = buckets[ends[k] : ends[k + 1]], shares[ends[k] : ends[k + 1]]
+        used = common[u]
+        return u[used], w[used].astype(np.float64)
+
+    e = np.zeros((size, WIDTH), np.float32)
     head = rng.normal(0, 1, (WIDTH, 2))
     bias = np.zeros(2)
     g_e, g_head, g_bias = np.full(size, 1e-8), np.full((WIDTH, 2), 1e-4), np.full(2, 1e-4)
-    for _ in range(EPOCHS if bags else 0):
-        for k in rng.permutation(len(bags)):
-            u, w = bags[k]
+    for _ in range(EPOCHS if texts else 0):
+        for k in rng.permutation(len(texts)):
+            u, w = bag(k)
             x = w @ e[u]
             z = x @ head + bias
             p = np.exp(z - z.max())
