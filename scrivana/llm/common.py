@@ -70,6 +70,25 @@ def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
             yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
 
 
+def tidy(make: Callable) -> Callable:
+    """The same ``mapInArrow`` function, which at its end gives the memory it has freed back to the system.
+
+    Worker processes outlive their tasks, and the allocator would keep what the largest of them took.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        yield from make(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return run
+
+
 def batched(make: Callable[[Iterator[tuple]], Iterator[tuple]], schema: pa.Schema, names: tuple[str, ...], size: int = 2048):
     """A ``mapInArrow`` function from a generator of row tuples."""
 
@@ -87,7 +106,7 @@ def batched(make: Callable[[Iterator[tuple]], Iterator[tuple]], schema: pa.Schem
         if held:
             yield flush()
 
-    return run
+    return tidy(run)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -119,7 +138,7 @@ def prefix_sums(df: DataFrame, order: list[Column], size: str, name: str, partit
     from pyspark.sql.types import LongType, StructType
 
     schema = StructType([*keyed.schema.fields]).add("__run", LongType())
-    done = materialise(keyed.mapInArrow(running, schema), name)
+    done = materialise(keyed.mapInArrow(tidy(running), schema), name)
     totals = sorted(tuple(r) for r in done.groupBy("__pid").agg(F.max(F.col("__run") + F.col(size))).collect())
     starts, total = [], 0
     for pid, t in totals:

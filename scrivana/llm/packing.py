@@ -26,7 +26,7 @@ DEPTH = 4
 #: The id that ends each document, as the query's contract fixes it.
 END_ID = 1
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

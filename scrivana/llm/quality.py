@@ -21,7 +21,7 @@ from scrivana.llm.common import batched, materialise, table
 #: Fixed values of the query's contract.
 SYMBOLS, WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = b"#*$%&|<>", 5, 10, 20
 #: Words whose tokens a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: A group's bands reach this many interquartile ranges beyond its quartiles, each range taken as this share of the median at least.
 REACH, LEAST_RANGE = 6.0, 0.05
 #: Bands for groups of too few documents to have quartiles: characters per token, byte share, relative entropy.

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import batched, materialise, shuffle_partitions, table
+from scrivana.llm.common import batched, materialise, shuffle_partitions, table, tidy
 from scrivana.llm.components import connected_components
 
 #: Words a shingle of the query has, and bits by which linked fingerprints differ at most.
@@ -181,7 +181,7 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = Non
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    return dealt.mapInArrow(compare, "src long, dst long")
+    return dealt.mapInArrow(tidy(compare), "src long, dst long")
 
 
 def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from scrivana.llm.common import discard, materialise, release, shuffle_partitions
+from scrivana.llm.common import discard, materialise, release, shuffle_partitions, tidy
 
 
 def strictly_before(df: DataFrame, keys: list[str], flags: list[str], keep: list[str], name: str) -> DataFrame:
@@ -55,7 +55,7 @@ def strictly_before(df: DataFrame, keys: list[str], flags: list[str], keep: list
             ends = [*(-1 for _ in keep), pid, *(total[f] for f in flags)]
             yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in ends], names=out)
 
-    done = materialise(d.mapInArrow(count, schema), name)
+    done = materialise(d.mapInArrow(tidy(count), schema), name)
     totals = done.where("i = -1").orderBy("__pid").collect()
     starts, run = [], dict.fromkeys(flags, 0)
     for r in totals:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import discard, materialise, release, shuffle_partitions, table
+from scrivana.llm.common import discard, materialise, release, shuffle_partitions, table, tidy
 from scrivana.llm.suffix_array import suffix_ranks
 
 #: Bytes of a string whose repeats go; bytes of an anchor and of its inner strings: 3 K - 2 S - 2 <= LENGTH
@@ -193,7 +193,7 @@ def _phrase_blobs(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("key", "text").mapInArrow(make, _BLOB)
+    return docs.select("key", "text").mapInArrow(tidy(make), _BLOB)
 
 
 def _repeated(blobs: DataFrame, n: int) -> DataFrame:
@@ -213,7 +213,7 @@ def _repeated(blobs: DataFrame, n: int) -> DataFrame:
         if len(at):
             yield _batch(list(_dealt(keys[at], idx[at], val[at], num, _home(keys[at], n))), schema)
 
-    return blobs.repartitionById(n, F.col("bucket")).mapInArrow(find, _BLOB)
+    return blobs.repartitionById(n, F.col("bucket")).mapInArrow(tidy(find), _BLOB)
 
 
 _STRING = "sid long, key long, first int, length int, syms binary, nums binary, gaps binary"
@@ -263,7 +263,7 @@ def _strings(repeated: DataFrame, n: int) -> DataFrame:
         if out:
             yield _batch(out, schema)
 
-    return repeated.repartitionById(n, F.col("bucket")).mapInArrow(cut, _STRING)
+    return repeated.repartitionById(n, F.col("bucket")).mapInArrow(tidy(cut), _STRING)
 
 
 def _names(strings: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def _names(strings: DataFrame) -> DataFrame:
                 out.append((sid, (np.frombuffer(syms, "<u8") >> np.uint64(1)).astype(np.int64) | 1, need))
             yield _batch(out, schema)
 
-    return strings.select("sid", "syms", "gaps").mapInArrow(make, ddl)
+    return strings.select("sid", "syms", "gaps").mapInArrow(tidy(make), ddl)
 
 
 def _prefixes(strings: DataFrame) -> DataFrame:
@@ -315,7 +315,7 @@ def _prefixes(strings: DataFrame) -> DataFrame:
                 cols = rank[good], col("sid")[r], i[good], h.view(np.int64), col("occurs")[r], col("key")[r], col("first")[r] + i[good], num[good + 1].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], schema=schema)
 
-    return strings.mapInArrow(make, ddl)
+    return strings.mapInArrow(tidy(make), ddl)
 
 
 def _adjacent_runs(suffixes: DataFrame, n: int) -> DataFrame:
@@ -340,7 +340,7 @@ def _adjacent_runs(suffixes: DataFrame, n: int) -> DataFrame:
                 last, run = p[-1], int(part[-1])
                 yield pa.RecordBatch.from_arrays([*(b.column(names.index(f.name)) for f in schema if f.name != "part"), pa.array(part)], schema=schema)
 
-    done = materialise(d.mapInArrow(number, ddl), "sorted")
+    done = materialise(d.mapInArrow(tidy(number), ddl), "sorted")
     ends = done.groupBy("pid").agg(F.min_by("prefix", "part"), F.max_by("prefix", "part"), F.max("part")).orderBy("pid").collect()
     base, at, before = [], 0, None
     for pid, head, tail, most in ends:
@@ -388,7 +388,7 @@ def _verdicts(strings: DataFrame, n: int) -> DataFrame:
             out = [raw[e - m : e] for e, m in zip(end.tolist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("first"), b.column("length"), pa.array(out, pa.binary())], schema=schema)
 
-    each = strings.select("sid", "key", "first", "length").join(known, "sid", "left").mapInArrow(judge, ddl)
+    each = strings.select("sid", "key", "first", "length").join(known, "sid", "left").mapInArrow(tidy(judge), ddl)
     info = materialise(each.groupBy("key").agg(F.collect_list(F.struct("first", "length", "state")).alias("info")), "info")
     discard(kinds, suffixes, known)
     del runs, each, ranks
@@ -488,7 +488,7 @@ def _settle(docs: DataFrame, info: DataFrame, n: int, keep: bool) -> DataFrame:
             yield _batch([(_REPLY, b[0], None, None, None, *b[1:], *none) for b in _dealt(keys[at], idx[at], None, None, _home(keys[at], n))], schema)
 
     both = docs.select("key", "text").join(info, "key", "left")
-    return both.mapInArrow(sift, _MIXED).repartitionById(n, F.col("bucket")).mapInArrow(compare, _MIXED)
+    return both.mapInArrow(tidy(sift), _MIXED).repartitionById(n, F.col("bucket")).mapInArrow(tidy(compare), _MIXED)
 
 
 def _finish_pending(settled: DataFrame, n: int, keep: bool) -> DataFrame:
@@ -516,7 +516,7 @@ def _finish_pending(settled: DataFrame, n: int, keep: bool) -> DataFrame:
             yield _batch(out, schema)
 
     pending = settled.where(F.col("kind") != _DONE).select("bucket", *names)
-    return pending.repartitionById(n, F.col("bucket")).sortWithinPartitions(F.col("kind").desc()).mapInArrow(finish, _RESULT)
+    return pending.repartitionById(n, F.col("bucket")).sortWithinPartitions(F.col("kind").desc()).mapInArrow(tidy(finish), _RESULT)
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame | None]:
@@ -575,7 +575,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield _batch([(i, k.decode("utf-8", "ignore")) for i, k in _columns(b, ["__id", "kept"])], schema)
 
-    texts = kept.select("__id", "kept").mapInArrow(decode, "__id long, __text string")
+    texts = kept.select("__id", "kept").mapInArrow(tidy(decode), "__id long, __text string")
     out = docs.withColumn("__null", F.col("text").isNull()).drop("text").join(texts, docs["doc_id"] == texts["__id"])
     out = out.withColumn("text", F.when(~F.col("__null"), F.col("__text"))).where("__null or __text != '' or n_chars = 0" if "n_chars" in cols else "__null or __text != ''")
     if "n_chars" in cols:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from scrivana.llm.common import batched, held_out, table
+from scrivana.llm.common import batched, held_out, table, tidy
 from scrivana.llm.ngrams import hashed
 
 #: N-gram sizes, bits of a bucket's number, embedding width, passes, learning rate.
@@ -153,11 +153,13 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = [score(t.as_py() or "", weight, bias) < threshold for t in b.column(at)]
-            yield b.filter(pa.array(good, pa.bool_()))
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                b = whole.slice(k, 512)
+                good = [score(t.as_py() or "", weight, bias) < threshold for t in b.column(at)]
+                yield b.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
