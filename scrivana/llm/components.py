@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import discard, materialise
+from scrivana.llm.common import discard, materialise, release
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -18,6 +18,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Raises if max_rounds pass without an end (no partial answer is returned).
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
+    e = materialise(e, "links")  # read for loops and edges alike; what makes the links may be costly
+    release(e.sparkSession)
     loops = e.where(F.col("u") == F.col("v")).select(F.col("u").alias("node")).distinct()
     e = e.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = materialise(e, "edges")
