@@ -56,6 +56,8 @@ def strictly_before(df: DataFrame, keys: list[str], flags: list[str], keep: list
             yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in ends], names=out)
 
     done = materialise(d.mapInArrow(tidy(count), schema), name)
+    del d
+    release(spark)
     totals = done.where("i = -1").orderBy("__pid").collect()
     starts, run = [], dict.fromkeys(flags, 0)
     for r in totals:
@@ -78,7 +80,7 @@ def suffix_ranks(strings: DataFrame) -> DataFrame:
     together. (Equal prefixes must come with equal needs, as they do where the need follows from the symbols.)
     """
     if (strings.agg(F.max("need")).first()[0] or 0) <= 1:
-        return strings.select("sid", F.transform("syms", lambda s: s - 1).alias("ranks"))
+        return materialise(strings.select("sid", F.transform("syms", lambda s: s - 1).alias("ranks")), "ranks")
     sym = lambda i: F.coalesce(F.try_element_at("syms", (i + 1).cast("int")), F.lit(0)).cast("long")
     places = strings.where(F.size("syms") > 1).select("sid", "syms", F.explode(F.sequence(F.lit(1), F.size("syms") - 1)).alias("i")).where("i % 3 != 0")
     triples = places.select("sid", F.col("i").cast("long").alias("i"), *[sym(F.col("i") + k).alias(f"t{k}") for k in range(3)], F.lit(1).cast("long").alias("n"))
@@ -86,11 +88,14 @@ def suffix_ranks(strings: DataFrame) -> DataFrame:
     halves = named.groupBy((F.col("sid") * 2 + F.col("i") % 3 - 1).alias("sid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("n_before") + 1).alias("s")))), lambda x: x["s"]).alias("syms"))
     needs = strings.select(F.explode(F.array(F.col("sid") * 2, F.col("sid") * 2 + 1)).alias("sid"), F.ceil(F.col("need") / 3).cast("int").alias("need"))
     halves = materialise(halves.join(needs, "sid"), "names")
+    discard(named)
+    spent = [halves]
     inner = halves.where("need <= 1").select("sid", F.transform("syms", lambda s: s - 1).alias("ranks"))
     deep = halves.where("need > 1")
     if not deep.isEmpty():
         # among suffixes of one name the deeper order decides; names have room for as many ranks as they have suffixes
         fine = suffix_ranks(deep)
+        spent.append(fine)
         each = fine.join(deep, "sid").select("sid", F.posexplode(F.arrays_zip("syms", "ranks")).alias("i", "x")).select("sid", "i", "x.syms", "x.ranks")
         least = each.groupBy("syms").agg(F.min("ranks").alias("least"))
         each = each.join(least, "syms").groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("syms") - 1 + F.col("ranks") - F.col("least")).alias("r")))), lambda x: x["r"]).alias("ranks"))
@@ -98,8 +103,8 @@ def suffix_ranks(strings: DataFrame) -> DataFrame:
     sampled = inner.select(F.shiftright("sid", 1).alias("sid"), F.when(F.col("sid") % 2 == 0, F.col("ranks")).alias("r1"), F.when(F.col("sid") % 2 == 1, F.col("ranks")).alias("r2"))
     sampled = sampled.groupBy("sid").agg(F.first("r1", ignorenulls=True).alias("r1"), F.first("r2", ignorenulls=True).alias("r2"))
     both = materialise(strings.select("sid", "syms").join(sampled, "sid", "left"), "sampled")
-    discard(named, halves)
-    del named, halves, places, triples, needs, inner, deep, sampled
+    discard(*spent)
+    del named, halves, spent, places, triples, needs, inner, deep, sampled
     release(strings.sparkSession)
 
     # ranks of sampled suffixes, 1 higher so that 0 is the end; r1[k] is of suffix 3k + 1, r2[k] of 3k + 2
@@ -114,6 +119,7 @@ def suffix_ranks(strings: DataFrame) -> DataFrame:
     b = every.where("i % 3 != 1").select("sid", "i", sym(i).alias("s"), sym(i + 1).alias("s2"), rank(i + 2).alias("r"), flag(kind == 0).alias("zero"), flag(kind == 2).alias("two"), rank(i).alias("own"))
     a = strictly_before(a, ["s", "r"], ["zero", "one"], ["sid", "i", "zero", "own"], "merge_a")
     b = strictly_before(b, ["s", "s2", "r"], ["zero", "two"], ["sid", "i", "zero", "own"], "merge_b")
+    discard(both)
     # a sampled suffix: the sampled ones before it and the others before it; another one: all three kinds before it
     parts = a.select("sid", "i", F.when(F.col("zero") == 1, F.col("zero_before") + F.col("one_before")).otherwise(F.col("own") - 1 + F.col("zero_before")).alias("part"))
     parts = parts.union(b.select("sid", "i", F.when(F.col("zero") == 1, F.col("two_before")).otherwise(F.col("own") - 1 + F.col("zero_before")).alias("part")))
@@ -121,5 +127,5 @@ def suffix_ranks(strings: DataFrame) -> DataFrame:
     del every
     release(strings.sparkSession)
     out = materialise(whole.groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "rank"))), lambda x: x["rank"]).alias("ranks")), "ranks")
-    discard(a, b, both)
+    discard(a, b)
     return out

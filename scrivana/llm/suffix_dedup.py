@@ -323,7 +323,8 @@ def _adjacent_runs(suffixes: DataFrame, n: int) -> DataFrame:
 
     Runs that go on over the border of two partitions are joined by their ends, two rows a partition.
     """
-    d = materialise(suffixes, "suffixes").repartitionByRange(n, "rank").sortWithinPartitions("rank").withColumn("pid", F.spark_partition_id())
+    given = materialise(suffixes, "suffixes")
+    d = given.repartitionByRange(n, "rank").sortWithinPartitions("rank").withColumn("pid", F.spark_partition_id())
     names = d.columns
     ddl = "sid long, i long, prefix long, occurs long, key long, first long, inner long, pid int, part long"
     schema = _schema(ddl)
@@ -341,6 +342,7 @@ def _adjacent_runs(suffixes: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(names.index(f.name)) for f in schema if f.name != "part"), pa.array(part)], schema=schema)
 
     done = materialise(d.mapInArrow(tidy(number), ddl), "sorted")
+    discard(given)
     ends = done.groupBy("pid").agg(F.min_by("prefix", "part"), F.max_by("prefix", "part"), F.max("part")).orderBy("pid").collect()
     base, at, before = [], 0, None
     for pid, head, tail, most in ends:
@@ -361,14 +363,18 @@ def _verdicts(strings: DataFrame, n: int) -> DataFrame:
     """``key, info``: the pieces of repeated phrases in a document with a verdict byte for each suffix."""
     kinds = strings.groupBy("sid").agg(F.count("*").alias("occurs"), F.min(F.struct("key", "first")).alias("least"), F.max("length").alias("length"), *[F.first(c, ignorenulls=True).alias(c) for c in ("syms", "nums", "gaps")])
     kinds = materialise(kinds.select("sid", "occurs", "least.key", "least.first", "length", "syms", "nums", "gaps"), "kinds")
-    ranks = suffix_ranks(materialise(_names(kinds), "names"))
+    names = materialise(_names(kinds), "names")
+    ranks = suffix_ranks(names)
+    discard(names)
     release(strings.sparkSession)
     suffixes = _adjacent_runs(_prefixes(kinds.join(ranks, "sid")), n)
+    discard(kinds, ranks)
     release(strings.sparkSession)
     runs = suffixes.groupBy("run").agg(F.sum("occurs").alias("all"), F.min(F.struct("key", "first")).alias("least"))
     known = suffixes.join(runs, "run").groupBy("sid").agg(F.collect_list(F.struct("i", "least.key", "least.first", (F.col("all") == F.col("inner")).cast("long").alias("whole"))).alias("known"))
     known = known.select("sid", *[F.col(f"known.{c}").alias(f"k_{c}") for c in ("i", "key", "first", "whole")])
     known = materialise(known, "known")
+    discard(suffixes)
     ddl = "key long, first int, length int, state binary"
     schema = _schema(ddl)
 
@@ -390,7 +396,7 @@ def _verdicts(strings: DataFrame, n: int) -> DataFrame:
 
     each = strings.select("sid", "key", "first", "length").join(known, "sid", "left").mapInArrow(tidy(judge), ddl)
     info = materialise(each.groupBy("key").agg(F.collect_list(F.struct("first", "length", "state")).alias("info")), "info")
-    discard(kinds, suffixes, known)
+    discard(known)
     del runs, each, ranks
     release(strings.sparkSession)
     return info
@@ -551,8 +557,9 @@ def remove_repeats(docs: DataFrame, *, keep_bytes: bool = False, id_col: str = "
     strings = materialise(_strings(_repeated(_phrase_blobs(keyed, n), n), n), "strings")
     release(docs.sparkSession)
     info = _verdicts(strings, n)
+    discard(strings)
     settled = materialise(_settle(keyed, info, n, keep_bytes), "settled")
-    discard(strings, info)
+    discard(info)
     release(docs.sparkSession)
     done = settled.where(F.col("kind") == _DONE).select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     out = done.union(_finish_pending(settled, n, keep_bytes))
