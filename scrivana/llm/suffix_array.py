@@ -1,74 +1,247 @@
 """Distributed suffix sorting by the difference cover modulo 3.
 
 Method (Kärkkäinen, Sanders and Burkhardt, "Linear work suffix array construction", 2006): sort the
-sampled triples and name them, recurse on the strings of names, merge the remaining suffixes.
-Every sort is a range shuffle; strings stay rows of their own, with an end smaller than any symbol.
+sampled triples and name them, recurse on the strings of names, merge the remaining suffixes. Strings
+have an end smaller than any symbol.
+
+Strings stay in the bucket of their number's hash through all levels, many to a row, as flat arrays.
+A level sends its triples to buckets by ranges of their first symbol, where they are sorted and named,
+and the names back; then all suffixes, with the ranks of the sampled ones that follow, to such buckets
+again, where they are merged, and the ranks back. Names and ranks count what stands before them, so
+equal ranges of names hold equal numbers of suffixes, but for equal first symbols, which meet in one
+task. Only two or three totals a bucket reach the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
 
 from scrivana.llm.common import discard, materialise, release, shuffle_partitions, tidy
 
+#: What a row is: strings, names of triples, ranks of suffixes, or a bucket's totals.
+_STRINGS, _NAMES, _RANKS, _TOTALS = range(4)
+#: The arrays of a row by kind of row; ``x`` to ``z`` stand for symbols, names, counts or ranks.
+_ARRAYS = {"sid": "<i8", "i": "<u4", "need": "<u4", "x": "<i8", "y": "<i8", "z": "<i8", "v": "<i8", "w": "<i8"}
+#: ``part``: the bucket that counted; ``most``, ``high``: the largest need and symbol of the row's strings.
+_DDL = "kind int, bucket int, part int, most long, high long, " + ", ".join(f"{c} binary" for c in _ARRAYS)
+_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("part", pa.int32()), ("most", pa.int64()), ("high", pa.int64()), *((c, pa.binary()) for c in _ARRAYS)])
+_ROWS = 1 << 18
 
-def strictly_before(df: DataFrame, keys: list[str], flags: list[str], keep: list[str], name: str) -> DataFrame:
-    """The ``keep`` columns with ``<flag>_before`` for each 0/1 flag: how many flagged rows have smaller keys (equal keys count alike).
 
-    ``df`` has long columns only and a column ``i`` that is never negative. One range shuffle, which
-    brings equal keys together; each partition adds a row of totals (i is -1), which goes to the driver and back.
-    """
-    spark = df.sparkSession
-    d = df.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).withColumn("__pid", F.spark_partition_id().cast("long"))
-    names = d.columns
-    out = [*keep, "__pid", *(f"{f}_before" for f in flags)]
-    schema = StructType()
-    for c in out:
-        schema = schema.add(c, LongType())
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, at_group, total, pid = None, dict.fromkeys(flags, 0), dict.fromkeys(flags, 0), None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(names.index(k)).to_numpy() for k in keys]
-            new = np.empty(b.num_rows, bool)
-            new[0] = last is None or any(int(c[0]) != v for c, v in zip(cols, last, strict=True))
-            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-            start = np.maximum.accumulate(np.where(new, np.arange(b.num_rows), -1))
-            more = []
-            for f in flags:
-                v = b.column(names.index(f)).to_numpy()
-                end = np.cumsum(v) + total[f]
-                before = np.where(start >= 0, (end - v)[np.maximum(start, 0)], at_group[f])
-                more.append(pa.array(before, pa.int64()))
-                at_group[f], total[f] = int(before[-1]), int(end[-1])
-            last, pid = [int(c[-1]) for c in cols], b.column(names.index("__pid"))[0].as_py()
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in out[: len(keep) + 1]), *more], names=out)
-        if pid is not None:
-            ends = [*(-1 for _ in keep), pid, *(total[f] for f in flags)]
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in ends], names=out)
-
-    done = materialise(d.mapInArrow(tidy(count), schema), name)
-    del d
-    release(spark)
-    totals = done.where("i = -1").orderBy("__pid").collect()
-    starts, run = [], dict.fromkeys(flags, 0)
-    for r in totals:
-        starts.append((r["__pid"], *(run[f] for f in flags)))
-        for f in flags:
-            run[f] += r[f"{f}_before"]
-    offsets = spark.createDataFrame(starts, "__pid long, " + ", ".join(f"__{f}_start long" for f in flags))
-    got = done.where("i >= 0").join(F.broadcast(offsets), "__pid")
-    got = got.select(*keep, *[(F.col(f"{f}_before") + F.col(f"__{f}_start")).alias(f"{f}_before") for f in flags])
-    got._scrivana_path = done._scrivana_path
-    return got
+def _row(kind: int, bucket: int, part: int = 0, most: int = 0, high: int = 0, **arrays: np.ndarray) -> tuple:
+    return kind, bucket, part, most, high, *(arrays[c].astype(t).tobytes() if c in arrays else None for c, t in _ARRAYS.items())
+
+
+def _dealt(kind: int, to: np.ndarray, part: int = 0, **arrays: np.ndarray) -> Iterator[tuple]:
+    """A row for each bucket of ``to``."""
+    order = np.argsort(to, kind="stable")
+    cut = np.flatnonzero(np.diff(to[order])) + 1
+    for o in np.split(order, cut) if len(order) else []:
+        yield _row(kind, int(to[o[0]]), part, **{c: a[o] for c, a in arrays.items()})
+
+
+def _batches(rows: Iterator[tuple], size: int = 64) -> Iterator[pa.RecordBatch]:
+    held = []
+    for r in rows:
+        held.append(r)
+        if len(held) == size:
+            yield pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, h, strict=True)) for h in held], schema=_SCHEMA)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, h, strict=True)) for h in held], schema=_SCHEMA)
+
+
+def _table(batches: Iterator[pa.RecordBatch]) -> list[tuple]:
+    return [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in _SCHEMA.names), strict=True)]
+
+
+def _joined(rows: list[tuple], *names: str) -> list[np.ndarray]:
+    at = {c: k for k, c in enumerate(_SCHEMA.names)}
+    return [np.frombuffer(b"".join(r[at[c]] or b"" for r in rows), _ARRAYS[c]) for c in names]
+
+
+def _homes(sid: np.ndarray, level: int, n: int) -> np.ndarray:
+    """A string's bucket: that of the string of level 0 that it comes from."""
+    h = (sid >> level).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(n)).astype(np.int64)
+
+
+def _ranges(symbol: np.ndarray, high: int, n: int) -> np.ndarray:
+    return np.minimum((symbol * (n / (high + 1.0))).astype(np.int64), n - 1)
+
+
+class _Strings:
+    """A bucket's strings in order of number: one entry a string (sid, need, many), one a symbol (sym, row, i)."""
+
+    def __init__(self, rows: list[tuple]):
+        sid, i, need, sym = _joined(rows, "sid", "i", "need", "x")
+        order = np.lexsort((i, sid))
+        self.order, sid, self.i, self.sym = order, sid[order], i[order].astype(np.int64), sym[order]
+        first = np.flatnonzero(self.i == 0)
+        self.sid, self.need, self.many = sid[first], need[order][first].astype(np.int64), np.diff(np.append(first, len(sid)))
+        self.row = np.repeat(np.arange(len(first)), self.many)
+
+    def after(self, values: np.ndarray, k: int) -> np.ndarray:
+        """The value k places further on in the string, 0 beyond its end."""
+        out = np.zeros(len(values), np.int64)
+        ok = np.flatnonzero(self.i + k < self.many[self.row])
+        out[ok] = values[ok + k]
+        return out
+
+    def sampled(self) -> np.ndarray:
+        """Places not divisible by 3, those of remainder 1 first in each string."""
+        at = np.flatnonzero(self.i % 3 != 0)
+        return at[np.lexsort((self.i[at], self.i[at] % 3, self.row[at]))]
+
+
+def _string_rows(bucket: int, sid: np.ndarray, i: np.ndarray, need: np.ndarray, **arrays: np.ndarray) -> Iterator[tuple]:
+    if len(sid):
+        yield _row(_STRINGS, bucket, 0, int(need.max()), int(arrays["x"].max()), sid=sid, i=i, need=need, **arrays)
+
+
+def _packed(strings: DataFrame, n: int) -> DataFrame:
+    """Rows of strings, dealt to their buckets."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, _ROWS >> 4):
+                    b = whole.slice(at, _ROWS >> 4)
+                    many = b.column("syms").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                    sid, need = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), many).astype(np.int64) for c in ("sid", "need"))
+                    i = np.arange(len(sid)) - np.repeat(np.cumsum(many) - many, many)
+                    sym = b.column("syms").flatten().to_numpy().astype(np.int64)
+                    to = _homes(sid, 0, n)
+                    order = np.argsort(to, kind="stable")
+                    for o in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
+                        yield from _string_rows(int(to[o[0]]), sid[o], i[o], need[o], x=sym[o])
+
+        return _batches(rows())
+
+    return strings.select("sid", "syms", "need").mapInArrow(tidy(make), _DDL)
+
+
+def _each_bucket(df: DataFrame, n: int, make: Callable[[int, list[tuple]], Iterator[tuple]]) -> DataFrame:
+    """``make(bucket, rows)`` on every bucket, one to a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _table(batches)
+        if rows:
+            yield from _batches(make(rows[0][1], rows))
+
+    return df.repartitionById(n, F.col("bucket")).mapInArrow(tidy(run), _DDL)
+
+
+def _starts(done: DataFrame, n: int) -> np.ndarray:
+    """For each bucket the sums of the totals (x) of the buckets before it, and all sums in a last row."""
+    out = None
+    for r in done.where(F.col("kind") == _TOTALS).select("part", "x").collect():
+        totals = np.frombuffer(r["x"], "<i8")
+        out = np.zeros((n + 1, len(totals)), np.int64) if out is None else out
+        out[r["part"] + 1] = totals
+    return np.zeros((n + 1, 3), np.int64) if out is None else np.cumsum(out, axis=0)
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by keys (first key first) and for each row in order the first row of its equals."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    return order, np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+
+
+def _sorted_packed(strings: DataFrame, n: int, level: int) -> DataFrame | None:
+    """Ranks (rows of kind _RANKS with sid, i, x) of the suffixes of materialised packed strings."""
+    most, high = strings.agg(F.max("most"), F.max("high")).first()
+    if most is None:
+        return None
+
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for r in _table([b]):
+                    s = _Strings([r])
+                    if (at := s.sampled()).size:
+                        t = [s.after(s.sym, k)[at] for k in range(3)]
+                        yield from _dealt(_NAMES, _ranges(t[0], high, n), sid=s.sid[s.row[at]], i=s.i[at], need=s.need[s.row[at]], x=t[0], y=t[1], z=t[2])
+
+        return _batches(rows())
+
+    def name(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
+        sid, i, need, *t = _joined(rows, "sid", "i", "need", "x", "y", "z")
+        order, first = _groups(*t)
+        sid, i, need = sid[order], i[order], need[order]
+        deep = np.cumsum(need > 3)
+        yield _row(_TOTALS, -1, bucket, x=np.array([len(sid), deep[-1]]))
+        yield from _dealt(_NAMES, _homes(sid, level, n), bucket, sid=sid, i=i, need=need, x=first, y=(deep - (need > 3))[first])
+
+    named = materialise(_each_bucket(strings.mapInArrow(tidy(triples), _DDL), n, name), "triples")
+    before = _starts(named, n)
+
+    def halve(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
+        part = np.repeat([r[2] for r in rows], [len(r[5]) // 8 for r in rows]).astype(np.int64)
+        sid, i, need, x, y = _joined(rows, "sid", "i", "need", "x", "y")
+        half = sid * 2 + i % 3 - 1
+        # names from 1 on, and how many of the suffixes that go deeper have smaller names
+        cols = {"sid": half, "i": (i - 1) // 3, "need": -(-need.astype(np.int64) // 3), "x": x + before[part, 0] + 1, "y": y + before[part, 1]}
+        for go in (cols["need"] > 1, cols["need"] <= 1):
+            yield from _string_rows(bucket, **{c: a[go] for c, a in cols.items()})
+
+    halves = materialise(_each_bucket(named.where(F.col("kind") == _NAMES), n, halve), "names")
+    discard(named)
+    release(strings.sparkSession)
+    fine = _sorted_packed(halves.where("most > 1"), n, level + 1) if most > 3 else None
+    both = strings.withColumn("part", F.lit(0)).union(halves.withColumn("part", F.lit(1)))
+    both = both if fine is None else both.union(fine)
+
+    def spread(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
+        s = _Strings([r for r in rows if r[0] == _STRINGS and r[2] == 0])
+        sampled = [r for r in rows if r[0] == _STRINGS and r[2] == 1]
+        h = _Strings(sampled)
+        rank = h.sym - 1
+        if h.need.max(initial=0) > 1:
+            # among suffixes of one name the deeper order decides; names have room for as many ranks as they have suffixes
+            go = np.flatnonzero(h.need[h.row] > 1)
+            sid, i, x = _joined([r for r in rows if r[0] == _RANKS], "sid", "i", "x")
+            rank[go] += x[np.lexsort((i, sid))] - _joined(sampled, "y")[0][h.order][go]
+        own = np.zeros(len(s.sym), np.int64)  # 1 higher, so that 0 is the end
+        own[s.sampled()] = rank + 1
+        yield from _dealt(_RANKS, _ranges(s.sym, high, n), sid=s.sid[s.row], i=s.i, x=s.sym, y=s.after(s.sym, 1), z=own, v=s.after(own, 1), w=s.after(own, 2))
+
+    def merge(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
+        sid, i, s, s2, own, r1, r2 = _joined(rows, "sid", "i", "x", "y", "z", "v", "w")
+        kind = i % 3
+        rank = np.where(kind == 0, 0, own - 1)
+        # a sampled suffix: the sampled ones before it and the others before it; another one: all three kinds before it
+        for at, keys in ((np.flatnonzero(kind != 2), (s, r1)), (np.flatnonzero(kind != 1), (s, s2, r2))):
+            order, first = _groups(*(k[at] for k in keys))
+            o = at[order]
+            zero = kind[o] == 0
+            zeros, others = ((np.cumsum(f) - f)[first] for f in (zero, ~zero))
+            with_zeros = ~zero if len(keys) == 3 else np.ones(len(o), bool)
+            rank[o] += np.where(with_zeros, zeros, 0) + np.where(zero, others, 0)
+        yield _row(_TOTALS, -1, bucket, x=np.bincount(kind, minlength=3))
+        yield from _dealt(_RANKS, _homes(sid, level, n), bucket, sid=sid, i=i, x=rank)
+
+    merged = materialise(_each_bucket(_each_bucket(both, n, spread), n, merge), "merged")
+    discard(halves, *([] if fine is None else [fine]))
+    starts = _starts(merged, n)
+
+    def settle(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
+        part = np.repeat([r[2] for r in rows], [len(r[5]) // 8 for r in rows]).astype(np.int64)
+        sid, i, x = _joined(rows, "sid", "i", "x")
+        yield _row(_RANKS, bucket, sid=sid, i=i, x=x + starts[part, 0] + np.where(i % 3 == 0, starts[part, 1] + starts[part, 2], 0))
+
+    out = materialise(_each_bucket(merged.where(F.col("kind") == _RANKS), n, settle), "ranks")
+    discard(merged)
+    release(strings.sparkSession)
+    return out
 
 
 def suffix_ranks(strings: DataFrame) -> DataFrame:
@@ -79,53 +252,26 @@ def suffix_ranks(strings: DataFrame) -> DataFrame:
     at level log3(need); suffixes equal that far may or may not share a rank, but always stand
     together. (Equal prefixes must come with equal needs, as they do where the need follows from the symbols.)
     """
-    if (strings.agg(F.max("need")).first()[0] or 0) <= 1:
+    n = shuffle_partitions(strings.sparkSession)
+    packed = materialise(_packed(strings, n), "strings")
+    ranks = _sorted_packed(packed, n, 0)
+    discard(packed)
+    if ranks is None:
         return materialise(strings.select("sid", F.transform("syms", lambda s: s - 1).alias("ranks")), "ranks")
-    sym = lambda i: F.coalesce(F.try_element_at("syms", (i + 1).cast("int")), F.lit(0)).cast("long")
-    places = strings.where(F.size("syms") > 1).select("sid", "syms", F.explode(F.sequence(F.lit(1), F.size("syms") - 1)).alias("i")).where("i % 3 != 0")
-    triples = places.select("sid", F.col("i").cast("long").alias("i"), *[sym(F.col("i") + k).alias(f"t{k}") for k in range(3)], F.lit(1).cast("long").alias("n"))
-    named = strictly_before(triples, ["t0", "t1", "t2"], ["n"], ["sid", "i"], "triples")
-    halves = named.groupBy((F.col("sid") * 2 + F.col("i") % 3 - 1).alias("sid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("n_before") + 1).alias("s")))), lambda x: x["s"]).alias("syms"))
-    needs = strings.select(F.explode(F.array(F.col("sid") * 2, F.col("sid") * 2 + 1)).alias("sid"), F.ceil(F.col("need") / 3).cast("int").alias("need"))
-    halves = materialise(halves.join(needs, "sid"), "names")
-    discard(named)
-    spent = [halves]
-    inner = halves.where("need <= 1").select("sid", F.transform("syms", lambda s: s - 1).alias("ranks"))
-    deep = halves.where("need > 1")
-    if not deep.isEmpty():
-        # among suffixes of one name the deeper order decides; names have room for as many ranks as they have suffixes
-        fine = suffix_ranks(deep)
-        spent.append(fine)
-        each = fine.join(deep, "sid").select("sid", F.posexplode(F.arrays_zip("syms", "ranks")).alias("i", "x")).select("sid", "i", "x.syms", "x.ranks")
-        least = each.groupBy("syms").agg(F.min("ranks").alias("least"))
-        each = each.join(least, "syms").groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("syms") - 1 + F.col("ranks") - F.col("least")).alias("r")))), lambda x: x["r"]).alias("ranks"))
-        inner = inner.unionByName(each)
-    sampled = inner.select(F.shiftright("sid", 1).alias("sid"), F.when(F.col("sid") % 2 == 0, F.col("ranks")).alias("r1"), F.when(F.col("sid") % 2 == 1, F.col("ranks")).alias("r2"))
-    sampled = sampled.groupBy("sid").agg(F.first("r1", ignorenulls=True).alias("r1"), F.first("r2", ignorenulls=True).alias("r2"))
-    both = materialise(strings.select("sid", "syms").join(sampled, "sid", "left"), "sampled")
-    discard(*spent)
-    del named, halves, spent, places, triples, needs, inner, deep, sampled
-    release(strings.sparkSession)
+    schema = pa.schema([("sid", pa.int64()), ("ranks", pa.list_(pa.int64()))])
 
-    # ranks of sampled suffixes, 1 higher so that 0 is the end; r1[k] is of suffix 3k + 1, r2[k] of 3k + 2
-    def rank(i):
-        k = F.floor(i / 3) + 1
-        return F.coalesce(F.when(i % 3 == 1, F.try_element_at("r1", k.cast("int"))).otherwise(F.try_element_at("r2", k.cast("int"))) + 1, F.lit(0)).cast("long")
-
-    every = both.select("sid", "syms", "r1", "r2", F.explode(F.sequence(F.lit(0).cast("long"), F.size("syms").cast("long") - 1)).alias("i"))
-    i, kind = F.col("i"), F.col("i") % 3
-    flag = lambda c: c.cast("int").cast("long")
-    a = every.where("i % 3 != 2").select("sid", "i", sym(i).alias("s"), rank(i + 1).alias("r"), flag(kind == 0).alias("zero"), flag(kind == 1).alias("one"), rank(i).alias("own"))
-    b = every.where("i % 3 != 1").select("sid", "i", sym(i).alias("s"), sym(i + 1).alias("s2"), rank(i + 2).alias("r"), flag(kind == 0).alias("zero"), flag(kind == 2).alias("two"), rank(i).alias("own"))
-    a = strictly_before(a, ["s", "r"], ["zero", "one"], ["sid", "i", "zero", "own"], "merge_a")
-    b = strictly_before(b, ["s", "s2", "r"], ["zero", "two"], ["sid", "i", "zero", "own"], "merge_b")
-    discard(both)
-    # a sampled suffix: the sampled ones before it and the others before it; another one: all three kinds before it
-    parts = a.select("sid", "i", F.when(F.col("zero") == 1, F.col("zero_before") + F.col("one_before")).otherwise(F.col("own") - 1 + F.col("zero_before")).alias("part"))
-    parts = parts.union(b.select("sid", "i", F.when(F.col("zero") == 1, F.col("two_before")).otherwise(F.col("own") - 1 + F.col("zero_before")).alias("part")))
-    whole = parts.groupBy("sid", "i").agg(F.sum("part").alias("rank"))
-    del every
-    release(strings.sparkSession)
-    out = materialise(whole.groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "rank"))), lambda x: x["rank"]).alias("ranks")), "ranks")
-    discard(a, b)
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in _table([b]):
+                sid, i, x = _joined([r], "sid", "i", "x")
+                order = np.lexsort((i, sid))
+                sid, x = sid[order], x[order]
+                first = np.flatnonzero(i[order] == 0)
+                for at in range(0, len(first), 8192):
+                    f = first[at : at + 8193]
+                    f = f if len(f) > 8192 else np.append(f, len(sid))
+                    yield pa.RecordBatch.from_arrays([pa.array(sid[f[:-1]]), pa.ListArray.from_arrays(pa.array((f - f[0]).astype(np.int32)), pa.array(x[f[0] : f[-1]]))], schema=schema)
+
+    out = ranks.mapInArrow(tidy(unpack), "sid long, ranks array<long>")
+    out._scrivana_path = ranks._scrivana_path
     return out
