@@ -402,17 +402,19 @@ def _verdicts(strings: DataFrame, n: int) -> DataFrame:
     return info
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-_MIXED = "kind int, bucket int, key long, text binary, spans binary, keys binary, many binary, idx binary, val binary, num binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-_DONE, _PENDING, _REPLY = 0, 1, 2
+_RESULT = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_SPANS = "key long, begins binary, sizes binary"
+#: What a row of places is: strings known to be repeats (runs of starts), or open ones with their hashes.
+_GONE, _ASKED = 0, 1
 
 
-def _finish(raw: bytes, starts: np.ndarray, keep: bool) -> tuple:
-    """n_bytes, n_removed, n_spans, kept_sha256, kept when the strings at ``starts`` (ascending) go."""
-    if not len(starts):
+def _finish(raw: bytes, begins: np.ndarray, sizes: np.ndarray, keep: bool) -> tuple:
+    """n_bytes, n_removed, n_spans, kept_sha256, kept when the strings of these runs of starts (ascending, apart) go."""
+    if not len(begins):
         return len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw if keep else None
-    cut = np.flatnonzero(np.diff(starts) > LENGTH)
-    begins, ends = starts[np.concatenate([[0], cut + 1])], starts[np.append(cut, len(starts) - 1)] + LENGTH
+    ends = begins + sizes - 1 + LENGTH
+    apart = begins[1:] > ends[:-1]
+    begins, ends = begins[np.concatenate([[True], apart])], ends[np.append(apart, True)]
     kept = b"".join(raw[a:b] for a, b in zip([0, *ends.tolist()], [*begins.tolist(), len(raw)], strict=True))
     return len(raw), len(raw) - len(kept), len(begins), hashlib.sha256(kept).hexdigest(), kept if keep else None
 
@@ -440,89 +442,110 @@ def _sift(raw: np.ndarray, info: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(gone), np.concatenate(left)) if gone else (np.empty(0, np.int64),) * 2
 
 
-def _settle(docs: DataFrame, info: DataFrame, n: int, keep: bool) -> DataFrame:
-    """Final rows of the documents with nothing open; texts of the others, with their open strings dealt by hash."""
-    schema = _schema(_MIXED)
-    none = (None,) * 5
+def _ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of successive starts (ascending): first ones and lengths."""
+    s, n = _runs(starts - np.arange(len(starts)))
+    return starts[s], n
+
+
+def _places(docs: DataFrame, info: DataFrame, n: int) -> DataFrame:
+    """Repeats known of the documents with repeated phrases, dealt by document, and their open strings, dealt by hash. Texts stay behind."""
+    ddl = f"kind int, {_BLOB}"
+    schema = _schema(ddl)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, out = [], 0, []
+        gone, left, count = [], [], 0
 
         def flush() -> list[tuple]:
-            keys = np.repeat(np.array([k for k, _, _ in held], np.int64), [len(q) for _, q, _ in held])
-            q, h = (np.concatenate([x[k] for x in held]) for k in (1, 2))
-            blobs = _dealt(keys, q, h, None, (h % np.uint64(n)).astype(np.int64))
-            return [(_REPLY, b[0], None, None, None, *b[1:], *none) for b in blobs]
+            rows = []
+            if gone:
+                keys = np.repeat(np.array([k for k, *_ in gone], np.int64), [len(q) for _, q, _ in gone])
+                q, m = (np.concatenate([x[k] for x in gone]) for k in (1, 2))
+                rows += [(_GONE, *b) for b in _dealt(keys, q, None, m, _home(keys, n))]
+            if left:
+                keys = np.repeat(np.array([k for k, *_ in left], np.int64), [len(q) for _, q, _ in left])
+                q, h = (np.concatenate([x[k] for x in left]) for k in (1, 2))
+                rows += [(_ASKED, *b) for b in _dealt(keys, q, h, None, (h % np.uint64(n)).astype(np.int64))]
+            return rows
 
         for key, text, found in _small(batches, ["key", "text", "info"]):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            codes = np.frombuffer(raw, np.uint8)
-            gone, left = _sift(codes, found) if found else (np.empty(0, np.int64),) * 2
-            home = int(_home(np.array([key]), n)[0])
-            if len(left):
-                held.append((key, left, string_hashes(codes, left)))
-                count += len(left)
-                out.append((_PENDING, home, key, raw, gone.astype("<u4").tobytes(), *none, *none))
-            else:
-                out.append((_DONE, home, key, None, None, *none, *_finish(raw, gone, keep)))
+            codes = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+            known, asked = _sift(codes, found)
+            if len(known):
+                gone.append((key, *_ranges(known)))
+                count += len(gone[-1][1])
+            if len(asked):
+                left.append((key, asked, string_hashes(codes, asked)))
+                count += len(asked)
             if count >= _FLUSH:
-                out += flush()
-                held, count = [], 0
-            if len(out) >= 512:
-                yield _batch(out, schema)
-                out = []
-        if held:
-            out += flush()
-        if out:
-            yield _batch(out, schema)
+                yield _batch(flush(), schema)
+                gone, left, count = [], [], 0
+        if gone or left:
+            yield _batch(flush(), schema)
+
+    return docs.select("key", "text").join(info, "key").mapInArrow(tidy(sift), ddl)
+
+
+def _later(asked: DataFrame, n: int) -> DataFrame:
+    """Of the open strings all but the first of each kind, dealt by document."""
+    ddl = f"kind int, {_BLOB}"
+    schema = _schema(ddl)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = []
-        for b in batches:
-            kind = b.column(0).to_numpy()
-            if (kind == _REPLY).any():
-                blobs += _columns(b.filter(pa.array(kind == _REPLY)), ["keys", "many", "idx", "val", "num"])
-            if (kind != _REPLY).any():
-                yield b.filter(pa.array(kind != _REPLY))
-        keys, idx, val, _ = _unblob(blobs)
+        keys, idx, val, _ = _unblob(list(_small(batches, ["keys", "many", "idx", "val", "num"])))
         order = np.lexsort((idx, keys, val))
         later = np.zeros(len(order), bool)
         later[1:] = val[order[1:]] == val[order[:-1]]
         at = order[later]
         at = at[np.lexsort((idx[at], keys[at]))]
         if len(at):
-            yield _batch([(_REPLY, b[0], None, None, None, *b[1:], *none) for b in _dealt(keys[at], idx[at], None, None, _home(keys[at], n))], schema)
+            yield _batch([(_GONE, *b) for b in _dealt(keys[at], idx[at], None, np.ones(len(at)), _home(keys[at], n))], schema)
+
+    return asked.repartitionById(n, F.col("bucket")).mapInArrow(tidy(compare), ddl)
+
+
+def _spans(gone: DataFrame, n: int) -> DataFrame:
+    """A row per document that loses bytes: first places and lengths of the runs of starts of its repeats."""
+    schema = _schema(_SPANS)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, idx, _, num = _unblob(list(_small(batches, ["keys", "many", "idx", "val", "num"])))
+        order = np.lexsort((idx, keys))
+        keys, idx, num = keys[order], idx[order], num[order].astype(np.int64)
+        # runs of one document that touch become one; known and open places never overlap
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (idx[1:] != idx[:-1] + num[:-1])
+        first = np.flatnonzero(new)
+        if not len(first):
+            return
+        keys, idx, num = keys[first], idx[first], np.add.reduceat(num, first)
+        s, many = _runs(keys)
+        begins, sizes = idx.astype("<u4").tobytes(), num.astype("<u4").tobytes()
+        out = [(int(keys[a]), begins[4 * a : 4 * (a + m)], sizes[4 * a : 4 * (a + m)]) for a, m in zip(s.tolist(), many.tolist(), strict=True)]
+        for at in range(0, len(out), 4096):
+            yield _batch(out[at : at + 4096], schema)
 
-    both = docs.select("key", "text").join(info, "key", "left")
-    return both.mapInArrow(tidy(sift), _MIXED).repartitionById(n, F.col("bucket")).mapInArrow(tidy(compare), _MIXED)
+    return gone.repartitionById(n, F.col("bucket")).mapInArrow(tidy(gather), _SPANS)
 
 
-def _finish_pending(settled: DataFrame, n: int, keep: bool) -> DataFrame:
+def _cut(docs: DataFrame, spans: DataFrame, keep: bool) -> DataFrame:
+    """Final rows: the texts without the bytes that the spans' strings cover."""
     schema = _schema(_RESULT)
-    names = ["kind", "key", "text", "spans", "keys", "many", "idx", "val", "num"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, ready = [], None
-        out = []
-        for kind, key, text, spans, *blob in _small(batches, names):
-            if kind == _REPLY:
-                blobs.append(tuple(blob))
-                continue
-            if ready is None:
-                k, q, _, _ = _unblob(blobs)
-                order = np.lexsort((q, k))
-                ready = k[order], q[order]
-            a, b = np.searchsorted(ready[0], key), np.searchsorted(ready[0], key, side="right")
-            starts = np.union1d(np.frombuffer(spans, "<u4").astype(np.int64), ready[1][a:b])
-            out.append((key, *_finish(text, starts, keep)))
-            if len(out) >= 512:
+        out, held = [], 0
+        for key, text, begins, sizes in _small(batches, ["key", "text", "begins", "sizes"]):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            b, m = (np.frombuffer(x or b"", "<u4").astype(np.int64) for x in (begins, sizes))
+            out.append((key, *_finish(raw, b, m, keep)))
+            held += len(raw) if keep else 0
+            if len(out) >= 512 or held >= _FLUSH:
                 yield _batch(out, schema)
-                out = []
+                out, held = [], 0
         if out:
             yield _batch(out, schema)
 
-    pending = settled.where(F.col("kind") != _DONE).select("bucket", *names)
-    return pending.repartitionById(n, F.col("bucket")).sortWithinPartitions(F.col("kind").desc()).mapInArrow(tidy(finish), _RESULT)
+    return docs.select("key", "text").join(spans, "key", "left").mapInArrow(tidy(finish), _RESULT)
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame | None]:
@@ -558,11 +581,15 @@ def remove_repeats(docs: DataFrame, *, keep_bytes: bool = False, id_col: str = "
     release(docs.sparkSession)
     info = _verdicts(strings, n)
     discard(strings)
-    settled = materialise(_settle(keyed, info, n, keep_bytes), "settled")
+    places = materialise(_places(keyed, info, n), "places")
     discard(info)
     release(docs.sparkSession)
-    done = settled.where(F.col("kind") == _DONE).select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-    out = done.union(_finish_pending(settled, n, keep_bytes))
+    later = _later(places.where(F.col("kind") == _ASKED), n)
+    spans = materialise(_spans(places.where(F.col("kind") == _GONE).union(later), n), "spans")
+    discard(places)
+    del later
+    release(docs.sparkSession)
+    out = _cut(keyed, spans, keep_bytes).withColumnRenamed("key", "doc_id")
     if ids is not None:
         rows = ids.select(F.col("doc_id").alias("id"), "key", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy"))
         out = rows.join(out.withColumnRenamed("doc_id", "key"), "key").drop("key", "copy").withColumnRenamed("id", "doc_id")
