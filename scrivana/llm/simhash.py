@@ -6,7 +6,8 @@ and bit counts; tile pairs whose population counts differ beyond the radius are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import chain, combinations
 
 import numpy as np
@@ -15,7 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import batched, materialise, shuffle_partitions, table, tidy
+from scrivana.llm.common import batched, discard, materialise, release, shuffle_partitions, table, tidy
+from scrivana.llm.common import rows as in_rows
 from scrivana.llm.components import connected_components
 
 #: Words a shingle of the query has, and bits by which linked fingerprints differ at most.
@@ -37,25 +39,34 @@ def _again(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def simhash(text: str | None, n: int = SHINGLE_WORDS, seed: int = 42, wide: int = 1) -> tuple[int, ...]:
-    """``wide`` times 64 bits, each set if it is in over half the hashes of the n-word shingles (repeats count); 0 without words.
-
-    The first 64 are of the shingles' XXH64, each further 64 of hashes of the hashes before.
-    """
+def shingles(text: str | None, n: int = SHINGLE_WORDS, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of the n-word shingles (repeats count), a bounded slice of a long text at a time; nothing without words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
-    if not words:
-        return (0,) * wide
-    digest, ones, total = xxhash.xxh64_intdigest, np.zeros((wide, 64), np.int64), max(1, len(words) - n + 1)
-    for at in range(0, total, 1 << 16):  # a bounded slice of a long text at a time
+    digest = xxhash.xxh64_intdigest
+    for at in range(0, max(1, len(words) - n + 1) if words else 0, 1 << 16):
         part = words[at : at + (1 << 16) + n - 1]
         joined = map(b" ".join, zip(*(part[k:] for k in range(n)), strict=False)) if len(words) > n else [b" ".join(words)]
-        h = np.fromiter((digest(s, seed) for s in joined), np.uint64)
+        yield np.fromiter((digest(s, seed) for s in joined), np.uint64)
+
+
+def _simhash(slices: Iterable[np.ndarray], wide: int) -> tuple[int, ...]:
+    ones, total = np.zeros((wide, 64), np.int64), 0
+    for h in slices:
+        total += len(h)
         for k in range(wide):
             ones[k] += _bits(h)
             h = _again(h) if k + 1 < wide else h
     return tuple(np.packbits(2 * ones > total, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist())
 
 
+def simhash(text: str | None, n: int = SHINGLE_WORDS, seed: int = 42, wide: int = 1) -> tuple[int, ...]:
+    """``wide`` times 64 bits, each set if it is in over half the hashes of the n-word shingles (repeats count); 0 without words.
+
+    The first 64 are of the shingles' XXH64, each further 64 of hashes of the hashes before.
+    """
+    return _simhash(shingles(text, n, seed), wide)
+
+
 def fingerprints(docs: DataFrame, *, n: int = SHINGLE_WORDS, wide: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fp0, fp1 ...``: the SimHash of every whole text as (signed) longs; null and wordless texts have 0."""
 
@@ -119,7 +130,7 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, total: int
     return out
 
 
-def hamming_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, total: int | None = None) -> DataFrame:
+def hamming_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, total: int | None = None, masks: list[tuple[int, tuple[int, ...]]] | None = None) -> DataFrame:
     """``src, dst`` links over distinct fingerprints (columns ``node``, ``fp0``, ``fp1`` ...).
 
     Two fingerprints are linked if one of their words differs in at most ``radius`` bits and, where
@@ -128,13 +139,20 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = Non
     on blocks - radius of them, so buckets hold what agrees there and nothing is missed. A bucket is
     cut into tiles by population count and order; a task gets one tile or one pair of tiles, and pairs
     whose counts lie apart beyond the radius are never formed. Tiles are bounded however large a bucket is.
+    With ``masks`` (the number of the word that must be within the radius, and the bits of every word that
+    must agree) rows meet by those instead, and only pairs that agree under one of them are compared.
     """
     blocks = blocks or radius + 2
     words = [c for c in fps.columns if c.startswith("fp")]
-    masks = _segments(radius, blocks)
-    at = F.posexplode(F.array(*[F.struct(F.col(w).alias("word"), F.lit(_signed(m)).alias("bits")) for w in words for m in masks])).alias("mask", "m")
+    if masks is None:
+        heads = [k for k in range(len(words)) for _ in _segments(radius, blocks)]
+        meet = [F.struct(F.col(w).alias("word"), F.col(w).bitwiseAND(F.lit(_signed(m))).alias("key")) for w in words for m in _segments(radius, blocks)]
+    else:
+        heads = [head for head, _ in masks]
+        meet = [F.struct(F.col(words[head]).alias("word"), F.xxhash64(*[F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, bits, strict=True)]).alias("key")) for head, bits in masks]
+    at = F.posexplode(F.array(*meet)).alias("mask", "m")
     spread = fps.repartition(shuffle_partitions(fps.sparkSession))  # small rows, each of which becomes one for every mask
-    each = spread.select("node", *words, at).select("node", *words, "mask", F.col("m.word").bitwiseAND(F.col("m.bits")).alias("key"), F.bit_count("m.word").alias("ones"))
+    each = spread.select("node", *words, at).select("node", *words, "mask", F.col("m.key").alias("key"), F.bit_count("m.word").alias("ones"))
     # tile numbers: by population count, then by as many hash chunks as keep a chunk near TILE rows
     sizes = each.groupBy("mask", "key", "ones").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
     per = sizes.groupBy("mask", "key").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("ones", "chunks"))).alias("chunks")).where("all > 1")
@@ -149,7 +167,6 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = Non
     large = large.select("mask", "key", pair.alias("tiles"), "node", *words, F.when(F.col("me") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("me") == F.col("other")).alias("same"))
     both = small.withColumn("same", F.lit(True)).unionByName(large)
     dealt = both.repartition(shuffle_partitions(fps.sparkSession), "mask", "key", "tiles").sortWithinPartitions("mask", "key", "tiles")
-    per_word = len(masks)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -168,7 +185,7 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = Non
             starts = starts if not starts or starts[-1] == end else [*starts, end]
             src, dst = [], []
             for a, b in zip(starts, starts[1:], strict=False):
-                first = int(mask[a]) // per_word  # the word this mask is of stands first
+                first = heads[int(mask[a])]  # the word this mask is of stands first
                 view = fp[a:b, [first, *(k for k in range(len(words)) if k != first)]]
                 order = np.argsort(np.bitwise_count(view[:, 0]), kind="stable")
                 if same[a]:
@@ -208,15 +225,143 @@ def near_duplicates(docs: DataFrame, *, n: int = SHINGLE_WORDS, radius: int = RA
     return f.join(by_node, "node").select("doc_id", F.concat(*[F.lower(F.lpad(F.hex(w), 16, "0")) for w in words]).alias("fingerprint"), "component_id")
 
 
-#: Near copies of a pipeline: five-word shingles, two words of 64 bits, of which one differs in at most
-#: 6 bits and both in at most 22 (of unrelated texts 64 differ on average, of texts with a shingle
-#: similarity of 0.8 about 19).
-STAGE = {"n": 5, "wide": 2, "radius": 6, "blocks": 8, "total": 22}
+#: Near copies of a pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least.
+STAGE = {"n": 5, "similarity": 0.8}
+#: Their candidates: four words of 64 bits that differ in at most 60 (texts of similarity 0.8 in 39 on average, with
+#: a deviation of 6; unrelated ones in 128), at most 26 of them in the word that a mask names.
+WIDE, NEAR, NEAR_WORD = 4, 60, 26
+#: Masks of so many bits (texts of similarity 0.8 agree on one in 7), compared in so many passes to need less disk at a time.
+MASKS, MASK_BITS, PASSES = 63, 12, 3
+#: Texts and shingles of a tile in which similarities are taken.
+TILE_TEXTS, TILE_SHINGLES = 1024, 1 << 19
+
+
+def _sampled(count: int, bits: int, wide: int, seed: int = 6) -> list[tuple[int, tuple[int, ...]]]:
+    """Masks of ``bits`` random bits over all words; those cut from one permutation have no bit in common."""
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < count:
+        order = rng.permutation(64 * wide)
+        for at in range(0, len(order) - bits + 1, bits):
+            mask = [0] * wide
+            for k in order[at : at + bits].tolist():
+                mask[k // 64] |= 1 << k % 64
+            out.append((len(out) % wide, tuple(mask)))
+    return out[:count]
+
+
+def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets (distinct members, none empty) of at least this Jaccard similarity, as their numbers."""
+    if len(sets) < 2:
+        return []
+    size = np.array([len(x) for x in sets])
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    mark, out = np.zeros(len(values), bool), []
+    left, rest = np.arange(1, len(sets)), flat[begin[1] :]  # sets not reached yet and their members
+    reached = [0]
+    while len(left):
+        if not reached:
+            reached, left, rest = [int(left[0])], left[1:], rest[size[left[0]] :]
+            continue
+        k = reached.pop()
+        own = flat[begin[k] : begin[k + 1]]
+        mark[own] = True
+        n = size[left]
+        both = np.add.reduceat(mark[rest], np.concatenate([[0], np.cumsum(n)[:-1]]), dtype=np.int64)
+        mark[own] = False
+        near = both >= similarity * (len(own) + n - both) - 1e-9
+        if near.any():
+            found = left[near].tolist()
+            out += [(k, m) for m in found]
+            reached += found
+            left, rest = left[~near], rest[np.repeat(~near, n)]
+    return out
+
+
+def confirmed_links(texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """``src, dst`` between the nodes of one part (columns ``node``, ``part``, ``text``) whose texts are similar enough.
+
+    Every pair of a part counts. A part is cut into chunks of bounded texts and shingles; a task gets one chunk or two.
+    """
+    spark = texts.sparkSession
+    kind = "part long, node long, members long, shingles binary"
+
+    def make(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for part, node, text in rows:
+            h = list(shingles(text, n))
+            if h:
+                h = np.unique(np.concatenate(h))
+                yield part, node, len(h), h.tobytes()
+
+    schema = pa.schema([("part", pa.int64()), ("node", pa.int64()), ("members", pa.int64()), ("shingles", pa.binary())])
+    sets = materialise(texts.select("part", "node", "text").mapInArrow(batched(make, schema, ("part", "node", "text"), 256), kind), "shingle_sets")
+    many = F.greatest(F.ceil(F.count("*") / TILE_TEXTS), F.ceil(F.sum("members") / TILE_SHINGLES)).cast("int")
+    rows = sets.join(sets.groupBy("part").agg(many.alias("chunks")), "part").withColumn("me", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: (o != F.col("me")) | (F.col("chunks") == 1))
+    rows = rows.withColumn("other", F.explode(others)).withColumn("tile", F.least("me", "other").cast("long") * F.col("chunks") + F.greatest("me", "other"))
+    dealt = rows.select("part", "tile", "node", "shingles").repartition(shuffle_partitions(spark), "part", "tile").sortWithinPartitions("part", "tile")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, held = None, [], []
+
+        def flush() -> pa.RecordBatch:
+            links = similar_links(held, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([ids[x[k]] for x in links], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+
+        for part, tile, node, raw in in_rows(batches, "part", "tile", "node", "shingles"):
+            if (part, tile) != at:
+                if len(ids) > 1:
+                    yield flush()
+                at, ids, held = (part, tile), [], []
+            ids.append(node)
+            held.append(np.frombuffer(raw, np.uint64))
+        if len(ids) > 1:
+            yield flush()
+
+    return dealt.mapInArrow(tidy(compare), "src long, dst long")
+
+
+def near_copies(docs: DataFrame, *, n: int = STAGE["n"], similarity: float = STAGE["similarity"]) -> DataFrame:
+    """``doc_id, component_id`` for every row of ``docs``; component_id is the least id reached over links of this similarity.
 
+    Texts of the same shingles are collapsed first. SimHash proposes: fingerprints that agree under a sampled
+    mask and are near enough are linked, which gives loose parts. Shingles decide: within a part the
+    similarity of every pair counts, so no link is one of fingerprints only. Texts without words are
+    one component. Null ids name a component only if all its ids are null.
+    """
+    spark, words = docs.sparkSession, [f"fp{k}" for k in range(WIDE)]
+    kind = docs.schema["doc_id"].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def keep_one(docs: DataFrame, **options: int) -> DataFrame:
+    def make(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for i, t in rows:
+            h = list(shingles(t, n))
+            members = np.unique(np.concatenate(h)) if h else np.empty(0, np.uint64)
+            yield i, _signed(xxhash.xxh64_intdigest(members.tobytes())), len(members), *map(_signed, _simhash(h, WIDE))
+
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), *((c, pa.int64()) for c in ("node", "members", *words))])
+    ddl = f"doc_id {kind.simpleString()}, node long, members long, " + ", ".join(f"{w} long" for w in words)
+    f = materialise(docs.select("doc_id", "text").mapInArrow(batched(make, schema, ("doc_id", "text")), ddl), "fingerprints")
+    # equal sets may differ in how often they hold a shingle, and so in bits: the least fingerprint stands for all
+    nodes = f.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(*words)).alias("fp"), F.max("members").alias("members"))
+    nodes = materialise(nodes.select("node", "least", "members", "fp.*"), "nodes")
+    masks, loose = _sampled(MASKS, MASK_BITS, WIDE), []
+    for k in range(PASSES):
+        loose.append(materialise(hamming_links(nodes.where("members > 0").select("node", *words), NEAR_WORD, total=NEAR, masks=masks[k::PASSES]), "loose"))
+        release(spark)
+    parts = materialise(connected_components(reduce(DataFrame.unionByName, loose)), "parts")
+    discard(*loose)
+    one = nodes.join(parts, "node").select("least", "node", F.col("component").alias("part"))
+    texts = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
+    sure = connected_components(confirmed_links(texts, n, similarity))
+    labelled = nodes.select("node", "least").join(sure, "node", "left").select("node", "least", F.coalesce("component", "node").alias("whole"))
+    ids = labelled.groupBy("whole").agg(F.min("least").alias("component_id"))
+    return f.select("doc_id", "node").join(labelled.join(ids, "whole").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` (all its columns) that stay: of each component the document of the least id, once."""
-    m = near_duplicates(docs, **(STAGE | options))
+    m = near_copies(docs, **(STAGE | options))
     kept = m.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"])).drop("__id").dropDuplicates(["doc_id"])
 

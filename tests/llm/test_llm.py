@@ -249,6 +249,49 @@ def test_simhash_awkward(awkward, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def five(text):
+    w = text.split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+def test_near_copies_recall(spark):
+    """Pairs of a similarity of 0.6 to 0.95 against brute force: all but a hundredth of those from 0.8 up are linked, and none below."""
+    rng = random.Random(8)
+    rows, like = [], []
+    for k in range(1200):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([40, 60, 100, 160, 250]))]
+        v = list(w)
+        for p in rng.sample(range(len(w)), 1 + k % 5):
+            v[p] = f"z{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        a, b = five(rows[-2][1]), five(rows[-1][1])
+        like.append(len(a & b) / len(a | b))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * k in kept for k in range(1200))
+    gone = [2 * k + 1 not in kept for k in range(1200)]
+    assert not any(g for g, j in zip(gone, like, strict=True) if j < 0.8)
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1)):
+        found = [g for g, j in zip(gone, like, strict=True) if low <= j < high]
+        assert len(found) > 50 and np.mean(found) >= 0.99, (low, len(found), np.mean(found))
+
+
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_confirmed_links(spark, tile, monkeypatch):
+    """Links of one part equal those of all its pairs, in one tile or many."""
+    monkeypatch.setattr(simhash, "TILE_TEXTS", tile)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(f"v{rng.randrange(99)}" if rng.random() < 0.025 else w for w in base) for _ in range(40)]
+    d = spark.createDataFrame([(k, 1, t) for k, t in enumerate(texts)], "node long, part long, text string")
+    sets, part = [five(t) for t in texts], list(range(40))
+    near = [[j for j in range(40) if 5 * len(a & sets[j]) >= 4 * len(a | sets[j])] for a in sets]
+    for _ in texts:
+        part = [min(part[j] for j in near[i]) for i in range(40)]
+    got = {r.node: r.component for r in connected_components(simhash.confirmed_links(d, 5, 0.8)).collect()}
+    groups = lambda m: {frozenset(i for i in range(40) if m(i) == g) for g in {m(i) for i in range(40)}}
+    assert groups(lambda i: got.get(i, i)) == groups(lambda i: part[i]) and len(set(part)) > 3
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (300, 300), (None, 1)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
