@@ -43,6 +43,11 @@ def mix(docs: DataFrame, *, seed: int = 17, weights: tuple[float, ...] = WEIGHTS
     document if need be. The order rests on the id, then the text's hash, so reruns agree. Null
     text: size 0. Null source: a source of its own, last. Repeated rows count as documents of their own.
     """
+    return _mix(docs, seed, weights, max_epochs, id_col, text, source).drop("tie")
+
+
+def _mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix with ``tie``, the hash of the text."""
     d = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -64,20 +69,21 @@ def mix(docs: DataFrame, *, seed: int = 17, weights: tuple[float, ...] = WEIGHTS
     plan = docs.sparkSession.createDataFrame(plan, "s string, source_size long, target double, begin long, epochs long, rest long")
     out = done.join(F.broadcast(plan), done["source"].eqNullSafe(plan["s"]))
     part = F.least(F.greatest(F.col("rest") - (F.col("before") - F.col("begin")), F.lit(0)), F.col("size"))
-    return out.select("doc_id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
+    return out.select("doc_id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "tie")
 
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each whole copy that is taken, then one with the first words where a part is
     (its words joined by single spaces).
 
-    Documents of no word are never taken. Repeated rows share their copies evenly, as they are the same document.
+    Documents of no word are never taken. Rows that repeat id, text and source share their copies evenly, as they are the same
+    document; different texts under one id, or under null ids, are documents of their own.
     """
     cols = docs.columns
-    each = mix(docs, **options).where("taken > 0").groupBy("doc_id", "size", "source").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
-    each = each.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source"), "taken", "rows")
+    each = _mix(docs, **options).groupBy("doc_id", "tie", "source").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows")).where("taken > 0")
+    each = each.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("source").alias("__source"), "taken", "rows")
     d = docs.withColumn("__n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    d = d.join(each, d["doc_id"].eqNullSafe(each["__id"]) & (d["__n"] == each["__size"]) & d["source"].eqNullSafe(each["__source"]))
+    d = d.join(each, d["doc_id"].eqNullSafe(each["__id"]) & (F.xxhash64(d["text"]) == each["__tie"]) & d["source"].eqNullSafe(each["__source"]))
     share = F.floor(F.col("taken") / F.col("rows"))
     d = d.withColumn("__whole", F.floor(share / F.col("__n"))).withColumn("__part", share % F.col("__n"))
     copy = F.explode(F.sequence(F.lit(1), F.col("__whole") + F.when(F.col("__part") > 0, 1).otherwise(0)))

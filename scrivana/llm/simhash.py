@@ -13,7 +13,7 @@ from itertools import chain, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivana.llm.common import batched, discard, materialise, release, shuffle_partitions, table, tidy
@@ -321,29 +321,36 @@ def confirmed_links(texts: DataFrame, n: int, similarity: float) -> DataFrame:
     return dealt.mapInArrow(tidy(compare), "src long, dst long")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A number of the whole row: its columns' hash (rows equal in all columns share it)."""
+    return F.xxhash64(*[F.struct(F.col(c).isNull().alias("null"), F.col(c).alias("value")) for c in docs.columns])
+
+
 def near_copies(docs: DataFrame, *, n: int = STAGE["n"], similarity: float = STAGE["similarity"]) -> DataFrame:
-    """``doc_id, component_id`` for every row of ``docs``; component_id is the least id reached over links of this similarity.
+    """``row`` (from :func:`row_key`) of every row of ``docs`` that stays, one for each component over links of this similarity.
+
+    It is the row of the least id, null ids last; of rows of that id the one of the least text hash, then of the least key.
 
     Texts of the same shingles are collapsed first. SimHash proposes: fingerprints that agree under a sampled
     mask and are near enough are linked, which gives loose parts. Shingles decide: within a part the
-    similarity of every pair counts, so no link is one of fingerprints only. Texts without words are
-    one component. Null ids name a component only if all its ids are null.
+    similarity of every pair counts, so no link is one of fingerprints only. Texts without words (null ones
+    too) are one component.
     """
     spark, words = docs.sparkSession, [f"fp{k}" for k in range(WIDE)]
-    kind = docs.schema["doc_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
 
     def make(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for i, t in rows:
+        for row, t in rows:
             h = list(shingles(t, n))
             members = np.unique(np.concatenate(h)) if h else np.empty(0, np.uint64)
-            yield i, _signed(xxhash.xxh64_intdigest(members.tobytes())), len(members), *map(_signed, _simhash(h, WIDE))
+            yield row, _signed(xxhash.xxh64_intdigest(members.tobytes())), len(members), *map(_signed, _simhash(h, WIDE))
 
-    schema = pa.schema([("doc_id", to_arrow_type(kind)), *((c, pa.int64()) for c in ("node", "members", *words))])
-    ddl = f"doc_id {kind.simpleString()}, node long, members long, " + ", ".join(f"{w} long" for w in words)
-    f = materialise(docs.select("doc_id", "text").mapInArrow(batched(make, schema, ("doc_id", "text")), ddl), "fingerprints")
+    names = ["row", "node", "members", *words]
+    keyed = docs.select("doc_id", "text", row_key(docs).alias("row"))
+    made = keyed.select("row", "text").mapInArrow(batched(make, pa.schema([(c, pa.int64()) for c in names]), ("row", "text")), ", ".join(f"{c} long" for c in names))
+    order = keyed.select("row", F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("hash"), "row").alias("rank")).distinct()
+    f = materialise(made.distinct().join(order, "row"), "fingerprints")
     # equal sets may differ in how often they hold a shingle, and so in bits: the least fingerprint stands for all
-    nodes = f.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(*words)).alias("fp"), F.max("members").alias("members"))
+    nodes = f.groupBy("node").agg(F.min("rank").alias("least"), F.min(F.struct(*words)).alias("fp"), F.max("members").alias("members"))
     nodes = materialise(nodes.select("node", "least", "members", "fp.*"), "nodes")
     masks, loose = _sampled(MASKS, MASK_BITS, WIDE), []
     for k in range(PASSES):
@@ -351,19 +358,21 @@ def near_copies(docs: DataFrame, *, n: int = STAGE["n"], similarity: float = STA
         release(spark)
     parts = materialise(connected_components(reduce(DataFrame.unionByName, loose)), "parts")
     discard(*loose)
-    one = nodes.join(parts, "node").select("least", "node", F.col("component").alias("part"))
-    texts = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
+    one = nodes.join(parts, "node").select(F.col("least.row").alias("row"), "node", F.col("component").alias("part"))
+    texts = keyed.select("row", "text").join(one, "row").dropDuplicates(["row"])
     sure = connected_components(confirmed_links(texts, n, similarity))
-    labelled = nodes.select("node", "least").join(sure, "node", "left").select("node", "least", F.coalesce("component", "node").alias("whole"))
-    ids = labelled.groupBy("whole").agg(F.min("least").alias("component_id"))
-    return f.select("doc_id", "node").join(labelled.join(ids, "whole").select("node", "component_id"), "node").select("doc_id", "component_id")
+    labelled = nodes.select("node", "least").join(sure, "node", "left").select("least", F.coalesce("component", "node").alias("whole"))
+    return labelled.groupBy("whole").agg(F.min("least").alias("least")).select("least.row")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (all its columns) that stay: of each component the document of the least id, once."""
-    m = near_copies(docs, **(STAGE | options))
-    kept = m.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"])).drop("__id").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` (all its columns) that stay: of each component the one that :func:`near_copies` names.
+
+    Rows are told apart by all their columns, not by id: different texts under one id or under null ids are judged like any others
+    and all stay if they are no near copies. Rows equal in all columns are one. Exact up to collisions of 64-bit hashes.
+    """
+    kept = near_copies(docs, **(STAGE | options)).withColumnRenamed("row", "__row")
+    return docs.withColumn("__row", row_key(docs)).join(kept, "__row").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

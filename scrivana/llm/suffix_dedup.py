@@ -575,6 +575,17 @@ def remove_repeats(docs: DataFrame, *, keep_bytes: bool = False, id_col: str = "
     Nothing but totals per partition reaches the driver. Tasks hold one bucket of phrase
     occurrences (12 to 20 bytes each) or one document.
     """
+    out, ids = _removed(docs, keep_bytes, id_col, text)
+    if ids is None:
+        out = out.withColumnRenamed("key", "doc_id")
+    else:
+        rows = ids.select(F.col("doc_id").alias("id"), "key", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy"))
+        out = rows.join(out, "key").drop("key", "copy").withColumnRenamed("id", "doc_id")
+    return out if keep_bytes else out.drop("kept")
+
+
+def _removed(docs: DataFrame, keep_bytes: bool, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """Results by ``key``, and the map from keys to ids and text hashes where keys are not the ids (see :func:`_keyed`)."""
     n = shuffle_partitions(docs.sparkSession)
     keyed, ids = _keyed(docs, id_col, text)
     strings = materialise(_strings(_repeated(_phrase_blobs(keyed, n), n), n), "strings")
@@ -589,20 +600,18 @@ def remove_repeats(docs: DataFrame, *, keep_bytes: bool = False, id_col: str = "
     discard(places)
     del later
     release(docs.sparkSession)
-    out = _cut(keyed, spans, keep_bytes).withColumnRenamed("key", "doc_id")
-    if ids is not None:
-        rows = ids.select(F.col("doc_id").alias("id"), "key", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy"))
-        out = rows.join(out.withColumnRenamed("doc_id", "key"), "key").drop("key", "copy").withColumnRenamed("id", "doc_id")
-    return out if keep_bytes else out.drop("kept")
+    return _cut(keyed, spans, keep_bytes), ids
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` (ids unique), all columns, with the kept bytes as text; n_chars follows where it is a column.
+    """``docs``, all columns, with the kept bytes as text; n_chars follows where it is a column.
 
     Bytes of a character cut in two are dropped with it; documents of which nothing is left go.
+    Null and repeated ids are as in :func:`remove_repeats`; each row gets the result of its own id and text.
     """
     cols = docs.columns
-    kept = remove_repeats(docs, keep_bytes=True).where("n_bytes = 0 or n_removed < n_bytes").select(F.col("doc_id").alias("__id"), "kept")
+    out, ids = _removed(docs, True)
+    kept = out.where("n_bytes = 0 or n_removed < n_bytes").select(F.col("key").alias("__id"), "kept")
     schema = _schema("__id long, __text string")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -610,7 +619,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield _batch([(i, k.decode("utf-8", "ignore")) for i, k in _columns(b, ["__id", "kept"])], schema)
 
     texts = kept.select("__id", "kept").mapInArrow(tidy(decode), "__id long, __text string")
-    out = docs.withColumn("__null", F.col("text").isNull()).drop("text").join(texts, docs["doc_id"] == texts["__id"])
+    each = docs.withColumn("__null", F.col("text").isNull()).withColumn("__doc", F.col("doc_id").cast("long"))
+    if ids is not None:
+        k = ids.select(F.col("doc_id").alias("__i"), F.col("h").alias("__h"), F.col("key").alias("__key"))
+        each = each.join(k, F.col("__doc").eqNullSafe(F.col("__i")) & (F.xxhash64("text") == F.col("__h"))).withColumn("__doc", F.col("__key"))
+    out = each.drop("text").join(texts, F.col("__doc") == F.col("__id"))
     out = out.withColumn("text", F.when(~F.col("__null"), F.col("__text"))).where("__null or __text != '' or n_chars = 0" if "n_chars" in cols else "__null or __text != ''")
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

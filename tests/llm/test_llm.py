@@ -394,6 +394,26 @@ def test_urls(spark):
 # pipeline
 
 
+def test_stages_tell_rows_apart(spark):
+    """Null and repeated ids: every different text goes through the stages, and the smallest row of near copies stays."""
+    rng = random.Random(4)
+    t = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(7)]
+    rows = [(1, t[0]), (1, t[1]), (1, t[1]), (2, t[0] + " more"), (2, t[2]), (None, t[3]), (None, t[4]), (None, t[2] + " end"), (3, t[5]), (None, None), (4, "")]
+    d = spark.createDataFrame([(i, x, "en", "a", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = {(1, t[0]), (1, t[1]), (2, t[2]), (None, t[3]), (None, t[4]), (3, t[5]), (4, "")}
+    kept = simhash.keep_one(d)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == len(want) and set(got) == want
+    twice = spark.createDataFrame([(1, t[0]), (1, t[1]), (None, t[2]), (None, t[3] + " " + t[0]), (None, None), (5, t[0])], "doc_id long, text string")
+    left = [(r.doc_id, r.text) for r in suffix_dedup.without_repeats(twice).collect()]
+    assert {x for i, x in left if i is None} >= {None, t[2]} and len([x for i, x in left if i == 1]) >= 1
+    assert len({x for _, x in left if x and (t[1] in x or t[2] in x or t[3] in x)}) == 3 and sum(t[0] in (x or "") for _, x in left) == 1
+    same = spark.createDataFrame([(None, "a b c", "s"), (None, "d e f", "s"), (1, "g h i", "s"), (1, "j k l", "s"), (1, "m n o", "z")], "doc_id long, text string, source string")
+    mixed = mixing.mixed_texts(same)
+    taken = Counter(w for r in mixed.collect() for w in r.text.split())
+    assert sum(taken.values()) == sum(r.taken for r in mixing.mix(same).collect())
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
