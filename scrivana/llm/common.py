@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than these six ASCII ones; ``bytes.split()`` cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
-_DEFAULT_CHECKPOINT_DIR = "/tmp/scrivana-checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set, as in tests."""
+    """The shared folder the cluster names. A session on one machine without one gets a folder of its own; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (found or _DEFAULT_CHECKPOINT_DIR).rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="scrivana-checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+#: Spark deletes a query's shuffle files when the query ends.
+_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -31,10 +39,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: a lost executor costs only a re-read, and what follows sees
     the very rows that were written (sampled range bounds and partition ids are not redrawn).
+    The shuffles that made the table go with the end of its query.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/scrivana/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FILE_CLEANUP, None)
+    spark.conf.set(_FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_FILE_CLEANUP) if before is None else spark.conf.set(_FILE_CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._scrivana_path = path
     return back
@@ -48,16 +62,6 @@ def discard(*frames: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are gone.
-
-    It does so when the driver's JVM collects them, which a driver with little to do may put off until
-    the disks of a long job are full of finished shuffles.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -114,17 +118,121 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2 if isinstance(doc_id, str) else F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-_PREFIX = "__pid", "__run"
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 1 << 16) -> Iterator[pa.Table]:
+    """Tables of about ``least`` rows from batches sorted by ``key`` (a number), none of which cuts a group of equal keys."""
+    held, many = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        many += b.num_rows
+        if many < least:
+            continue
+        k = b.column(key).to_numpy()
+        cut = int(np.searchsorted(k, k[-1]))
+        if cut == 0 and (len(held) == 1 or held[-2].column(key)[-1].as_py() == k[-1]):
+            continue  # one group so far
+        yield pa.Table.from_batches([*held[:-1], b.slice(0, cut)])
+        held, many = [b.slice(cut)], b.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def join_back(rows_: DataFrame, totals: DataFrame, key: str, size: str, tie: list[str], how: str = "inner") -> DataFrame:
+    """``rows_`` with the columns of ``totals`` (one row a key, of ``size`` rows), no key's rows meeting in one task.
+
+    A key of over a quarter of a partition's even share is dealt by a hash of ``tie`` to as many places as it has such
+    quarters, and its total is copied there. There are under 4 such keys a partition, so their list is small enough to
+    broadcast, and the copies are under 8 a partition.
+    """
+    most = max(64, (totals.agg(F.sum(size)).first()[0] or 0) // (4 * shuffle_partitions(rows_.sparkSession)))
+    places = F.ceil(F.col(size) / most).cast("int")
+    heavy = totals.where(F.col(size) > most).select(key, places.alias("__places"))
+    r = rows_.join(F.broadcast(heavy), key, "left")
+    r = r.withColumn("__place", F.coalesce(F.pmod(F.xxhash64(*tie), F.col("__places")).cast("int"), F.lit(0))).drop("__places")
+    t = totals.withColumn("__place", F.explode(F.sequence(F.lit(0), F.greatest(places, F.lit(1)) - 1)))
+    return r.join(t, [key, "__place"], how).drop("__place")
+
 
+def frequent(rows_: DataFrame, key: str) -> list:
+    """Values of ``key`` that a sample of rows holds often enough to fill a quarter of a partition: 4 a partition at most.
 
-def prefix_sums(df: DataFrame, order: list[Column], size: str, name: str, partitions: int | None = None) -> DataFrame:
+    Only for balance, as the bounds of range partitions are sampled: what is missed or found too much changes no result.
+    """
+    least, seen = 4 * shuffle_partitions(rows_.sparkSession), Observation()
+    sums = rows_.groupBy(key).agg(F.count("*").alias("n")).observe(seen, F.sum("n").alias("all"))
+    most = [tuple(r) for r in sums.where("n >= 8").orderBy(F.desc("n")).limit(least).collect()]
+    return [k for k, n in most if n * least >= (seen.get["all"] or 0)]
+
+
+def numbered(df: DataFrame, order: list[Column], same: list[str], weigh: Callable[[pa.RecordBatch], np.ndarray], weights: int, name: str, keep: list[str]) -> tuple[DataFrame, list[int]]:
+    """Sort all rows, and give each the sums ``before0``, ``before1`` ... of the weights of all rows that sort before its run.
+
+    ``order`` must be total; a run is a maximal stretch of rows equal in the columns ``same`` (longs), whatever partitions it
+    spans. ``weigh`` gives a row's weights from a batch. One range shuffle sorts, each partition adds up on its own, and
+    only a row for each partition (its totals, first and last run) reaches the driver. ``df`` should be cheap to read twice,
+    as the bounds are sampled. Returns the columns ``keep`` with the sums, and the sums over all rows.
+    """
+    from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
+
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id())
+    local = [f"before{k}" for k in range(weights)]
+    out = StructType([*(sorted_.schema[c] for c in (*keep, "__pid")), *(StructField(c, LongType()) for c in local), StructField("__head", BooleanType()), StructField("__note", ArrayType(LongType()))])
+    arrow = pa.schema([(c, pa.int64()) for c in local] + [("__head", pa.bool_()), ("__note", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, start, first, last, head, kept, pid = np.zeros(weights, np.int64), np.zeros(weights, np.int64), None, None, True, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kept = b.select([*keep, "__pid"])
+            keys = [b.column(c).to_numpy() for c in same]
+            w = weigh(b).astype(np.int64).reshape(-1, weights)
+            sums = np.cumsum(w, axis=0) - w + total
+            new = np.ones(len(w), bool)
+            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+            new[0] = last is None or any(k[0] != v for k, v in zip(keys, last, strict=True))
+            at = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
+            before = np.where(at[:, None] >= 0, sums[np.maximum(at, 0)], start)
+            first = first or [int(k[0]) for k in keys]
+            fresh = np.flatnonzero(new)
+            border = (fresh[fresh > 0] if last is None else fresh)[:1]  # where the partition's first run ends
+            heads = np.arange(len(w)) < (border[0] if len(border) else len(w)) if head else np.zeros(len(w), bool)
+            head = bool(heads[-1])
+            last, start, total, pid = [int(k[-1]) for k in keys], before[-1], total + w.sum(axis=0), b.column("__pid")[0].as_py()
+            cols = [*(pa.array(before[:, k]) for k in range(weights)), pa.array(heads), pa.nulls(len(w), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *cols], names=[*kept.schema.names, *arrow.names])
+        if kept is not None:  # the partition's own row
+            note = [*total.tolist(), *start.tolist(), *first, *last]
+            blank = [pa.array([pid], kept.schema.field(c).type) if c == "__pid" else pa.nulls(1, kept.schema.field(c).type) for c in kept.schema.names]
+            cols = [*(pa.nulls(1, pa.int64()) for _ in local), pa.array([head]), pa.array([note], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*blank, *cols], names=[*kept.schema.names, *arrow.names])
+
+    done = materialise(sorted_.mapInArrow(tidy(run), out), name)
+    base, open_at, tail, shift = np.zeros(weights, np.int64), None, None, []
+    for r in done.where(F.col("__note").isNotNull()).select("__pid", "__head", "__note").orderBy("__pid").collect():
+        n = r["__note"]
+        total, start = np.array(n[:weights]), np.array(n[weights : 2 * weights])
+        first, last = n[2 * weights : 2 * weights + len(same)], n[2 * weights + len(same) :]
+        begun = open_at if first == tail else base  # where the run that its first rows belong to began
+        shift.append((r["__pid"], *base.tolist(), *begun.tolist()))
+        open_at, tail = begun if r["__head"] else base + start, last
+        base = base + total
+    ddl = "__pid int, " + ", ".join(f"__{s}{k} long" for s in ("base", "begun") for k in range(weights))
+    out = done.where(F.col("__note").isNull()).join(F.broadcast(df.sparkSession.createDataFrame(shift, ddl)), "__pid")
+    sums = [F.when(F.col("__head"), F.col(f"__begun{k}")).otherwise(F.col(f"__base{k}") + F.col(f"before{k}")).alias(f"before{k}") for k in range(weights)]
+    out = out.select(*keep, *sums)
+    out._scrivana_path = done._scrivana_path
+    return out, base.tolist()
+
+
+def prefix_sums(df: DataFrame, order: list[Column], size: str, name: str) -> DataFrame:
     """Add ``before``: the sum of ``size`` over all rows that sort before a row (ties in any fixed order).
 
     One range shuffle sorts the rows; each sorted partition adds up on its own, and only one
     total per partition (never per row or key) is gathered to shift the partial sums.
     """
-    n = partitions or shuffle_partitions(df.sparkSession)
-    keyed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id())
+    keyed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id())
     fields = [f.name for f in keyed.schema]
 
     def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,4 +254,6 @@ def prefix_sums(df: DataFrame, order: list[Column], size: str, name: str, partit
         total += t
     spark = df.sparkSession
     offsets = spark.createDataFrame(starts, "__pid int, __start long")
-    return done.join(F.broadcast(offsets), "__pid").withColumn("before", F.col("__run") + F.col("__start")).drop("__pid", "__run", "__start")
+    out = done.join(F.broadcast(offsets), "__pid").withColumn("before", F.col("__run") + F.col("__start")).drop("__pid", "__run", "__start")
+    out._scrivana_path = done._scrivana_path
+    return out

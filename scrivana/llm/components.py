@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import discard, materialise, release
+from scrivana.llm.common import discard, materialise
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -17,9 +17,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     by adaptive execution. Nulls and self loops name no link. Long chains take O(log n) rounds.
     Raises if max_rounds pass without an end (no partial answer is returned).
     """
+    given = getattr(edges, "_scrivana_path", None)
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
-    e = materialise(e, "links")  # read for loops and edges alike; what makes the links may be costly
-    release(e.sparkSession)
+    links = None if given else materialise(e, "links")  # read for loops and edges alike; what makes the links may be costly
+    e = e if given else links
     loops = e.where(F.col("u") == F.col("v")).select(F.col("u").alias("node")).distinct()
     e = e.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = materialise(e, "edges")
@@ -44,4 +45,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     members = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select("v").union(loops.select(F.col("node").alias("v"))).distinct()
     roots = roots.join(e.select(F.col("u").alias("v")), "v", "left_anti")
-    return members.union(roots.select("v", F.col("v").alias("component"))).toDF("node", "component")
+    out = materialise(members.union(roots.select("v", F.col("v").alias("component"))).toDF("node", "component"), "components")
+    discard(e, *([links] if links is not None else []))
+    return out

@@ -7,7 +7,6 @@ and bit counts; tile pairs whose population counts differ beyond the radius are
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 from itertools import chain, combinations
 
 import numpy as np
@@ -16,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import batched, discard, materialise, release, shuffle_partitions, table, tidy
+from scrivana.llm.common import batched, discard, join_back, materialise, shuffle_partitions, table, tidy
 from scrivana.llm.common import rows as in_rows
 from scrivana.llm.components import connected_components
 
@@ -130,7 +129,7 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, total: int
     return out
 
 
-def hamming_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, total: int | None = None, masks: list[tuple[int, tuple[int, ...]]] | None = None) -> DataFrame:
+def hamming_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, total: int | None = None, keys: str | None = None) -> DataFrame:
     """``src, dst`` links over distinct fingerprints (columns ``node``, ``fp0``, ``fp1`` ...).
 
     Two fingerprints are linked if one of their words differs in at most ``radius`` bits and, where
@@ -139,24 +138,24 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = Non
     on blocks - radius of them, so buckets hold what agrees there and nothing is missed. A bucket is
     cut into tiles by population count and order; a task gets one tile or one pair of tiles, and pairs
     whose counts lie apart beyond the radius are never formed. Tiles are bounded however large a bucket is.
-    With ``masks`` (the number of the word that must be within the radius, and the bits of every word that
-    must agree) rows meet by those instead, and only pairs that agree under one of them are compared.
+    With ``keys`` (a column of longs) rows meet where they have a key in common instead, and the first word is compared first.
     """
     blocks = blocks or radius + 2
     words = [c for c in fps.columns if c.startswith("fp")]
-    if masks is None:
+    if keys is None:
         heads = [k for k in range(len(words)) for _ in _segments(radius, blocks)]
-        meet = [F.struct(F.col(w).alias("word"), F.col(w).bitwiseAND(F.lit(_signed(m))).alias("key")) for w in words for m in _segments(radius, blocks)]
+        meet = F.array(*[F.struct(F.col(w).alias("word"), F.col(w).bitwiseAND(F.lit(_signed(m))).alias("key")) for w in words for m in _segments(radius, blocks)])
     else:
-        heads = [head for head, _ in masks]
-        meet = [F.struct(F.col(words[head]).alias("word"), F.xxhash64(*[F.col(w).bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, bits, strict=True)]).alias("key")) for head, bits in masks]
-    at = F.posexplode(F.array(*meet)).alias("mask", "m")
+        heads = None
+        meet = F.transform(keys, lambda k: F.struct(F.col(words[0]).alias("word"), k.alias("key")))
+    at = F.posexplode(meet).alias("mask", "m")
     spread = fps.repartition(shuffle_partitions(fps.sparkSession))  # small rows, each of which becomes one for every mask
     each = spread.select("node", *words, at).select("node", *words, "mask", F.col("m.key").alias("key"), F.bit_count("m.word").alias("ones"))
     # tile numbers: by population count, then by as many hash chunks as keep a chunk near TILE rows
     sizes = each.groupBy("mask", "key", "ones").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
     per = sizes.groupBy("mask", "key").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("ones", "chunks"))).alias("chunks")).where("all > 1")
-    rows = each.join(per, ["mask", "key"])
+    per = materialise(per.select(F.xxhash64("mask", "key").alias("bucket"), "all", "chunks"), "buckets")
+    rows = join_back(each.withColumn("bucket", F.xxhash64("mask", "key")), per, "bucket", "all", ["node"])
     small = rows.where(F.col("all") <= TILE).select("mask", "key", F.lit("").alias("tiles"), "node", *words, F.lit(0).alias("side"))
     large = rows.where(F.col("all") > TILE).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")[F.col("ones")]).cast("int"))
     # partners: tiles of counts ones - radius .. ones + radius; a pair is named by its two (count, chunk) numbers in order
@@ -185,7 +184,7 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = Non
             starts = starts if not starts or starts[-1] == end else [*starts, end]
             src, dst = [], []
             for a, b in zip(starts, starts[1:], strict=False):
-                first = heads[int(mask[a])]  # the word this mask is of stands first
+                first = heads[int(mask[a])] if heads else 0  # the word this mask is of stands first
                 view = fp[a:b, [first, *(k for k in range(len(words)) if k != first)]]
                 order = np.argsort(np.bitwise_count(view[:, 0]), kind="stable")
                 if same[a]:
@@ -198,7 +197,9 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = Non
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    return dealt.mapInArrow(tidy(compare), "src long, dst long")
+    out = materialise(dealt.mapInArrow(tidy(compare), "src long, dst long"), "links")
+    discard(per)
+    return out
 
 
 def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -217,7 +218,9 @@ def near_duplicates(docs: DataFrame, *, n: int = SHINGLE_WORDS, radius: int = RA
     words = [f"fp{k}" for k in range(wide)]
     f = materialise(fingerprints(docs, n=n, wide=wide).withColumn("node", F.col("fp0") if wide == 1 else F.xxhash64(*words)), "fingerprints")
     least = materialise(f.groupBy("node", *words).agg(F.min("doc_id").alias("least")), "distinct_fp")
-    parts = connected_components(hamming_links(least.select("node", *words), radius, blocks, total))
+    links = hamming_links(least.select("node", *words), radius, blocks, total)
+    parts = connected_components(links)
+    discard(links)
     labelled = least.select("node", "least").join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("part"))
     # a part has one row per distinct fingerprint; its least id is a partial aggregate
     ids = labelled.groupBy("part").agg(F.min("least").alias("component_id"))
@@ -228,25 +231,27 @@ def near_duplicates(docs: DataFrame, *, n: int = SHINGLE_WORDS, radius: int = RA
 #: Near copies of a pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least.
 STAGE = {"n": 5, "similarity": 0.8}
 #: Their candidates: four words of 64 bits that differ in at most 60 (texts of similarity 0.8 in 39 on average, with
-#: a deviation of 6; unrelated ones in 128), at most 26 of them in the word that a mask names.
+#: a deviation of 6; unrelated ones in 128), at most 26 of them in the first word.
 WIDE, NEAR, NEAR_WORD = 4, 60, 26
-#: Masks of so many bits (texts of similarity 0.8 agree on one in 7), compared in so many passes to need less disk at a time.
-MASKS, MASK_BITS, PASSES = 63, 12, 3
+#: Tiles are made of texts with a key in common: so many keys, each of the shingles of so many least products. A pair of
+#: similarity J has any given key in common with probability J ** 4, so one of 0.8 is missed by all with 0.002.
+KEYS, KEY_SHINGLES = 12, 4
+_ODD = np.random.default_rng(6).integers(1, 1 << 63, KEYS * KEY_SHINGLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Texts and shingles of a tile in which similarities are taken.
 TILE_TEXTS, TILE_SHINGLES = 1024, 1 << 19
 
 
-def _sampled(count: int, bits: int, wide: int, seed: int = 6) -> list[tuple[int, tuple[int, ...]]]:
-    """Masks of ``bits`` random bits over all words; those cut from one permutation have no bit in common."""
-    rng, out = np.random.default_rng(seed), []
-    while len(out) < count:
-        order = rng.permutation(64 * wide)
-        for at in range(0, len(order) - bits + 1, bits):
-            mask = [0] * wide
-            for k in order[at : at + bits].tolist():
-                mask[k // 64] |= 1 << k % 64
-            out.append((len(out) % wide, tuple(mask)))
-    return out[:count]
+def _keys(members: np.ndarray) -> list[int]:
+    """The keys by which a set of shingles (hashes) meets others."""
+    if not len(members):
+        return []
+    least = np.full(len(_ODD), ~np.uint64(0))
+    for at in range(0, len(members), 4096):
+        least = np.minimum(least, (members[at : at + 4096, None] * _ODD).min(axis=0))
+    h = np.arange(KEYS, dtype=np.uint64)
+    for part in least.reshape(KEYS, KEY_SHINGLES).T:
+        h = _again(h ^ part)
+    return h.view(np.int64).tolist()
 
 
 def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -278,35 +283,19 @@ def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     return out
 
 
-def confirmed_links(texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """``src, dst`` between the nodes of one part (columns ``node``, ``part``, ``text``) whose texts are similar enough.
-
-    Every pair of a part counts. A part is cut into chunks of bounded texts and shingles; a task gets one chunk or two.
-    """
-    spark = texts.sparkSession
-    kind = "part long, node long, members long, shingles binary"
-
-    def make(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for part, node, text in rows:
-            h = list(shingles(text, n))
-            if h:
-                h = np.unique(np.concatenate(h))
-                yield part, node, len(h), h.tobytes()
-
-    schema = pa.schema([("part", pa.int64()), ("node", pa.int64()), ("members", pa.int64()), ("shingles", pa.binary())])
-    sets = materialise(texts.select("part", "node", "text").mapInArrow(batched(make, schema, ("part", "node", "text"), 256), kind), "shingle_sets")
-    many = F.greatest(F.ceil(F.count("*") / TILE_TEXTS), F.ceil(F.sum("members") / TILE_SHINGLES)).cast("int")
-    rows = sets.join(sets.groupBy("part").agg(many.alias("chunks")), "part").withColumn("me", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: (o != F.col("me")) | (F.col("chunks") == 1))
-    rows = rows.withColumn("other", F.explode(others)).withColumn("tile", F.least("me", "other").cast("long") * F.col("chunks") + F.greatest("me", "other"))
-    dealt = rows.select("part", "tile", "node", "shingles").repartition(shuffle_partitions(spark), "part", "tile").sortWithinPartitions("part", "tile")
+def _tiles(sets: DataFrame, similarity: float) -> DataFrame:
+    """``src, dst``: in each tile (columns ``part``, ``tile``) every text but the first of its component, with that one."""
+    dealt = sets.select("part", "tile", "node", "shingles").repartition("part", "tile").sortWithinPartitions("part", "tile")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, held = None, [], []
 
         def flush() -> pa.RecordBatch:
-            links = similar_links(held, similarity)
-            return pa.RecordBatch.from_arrays([pa.array([ids[x[k]] for x in links], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+            up = np.arange(len(ids))
+            for k, m in similar_links(held, similarity):
+                up[_root(up, m)] = _root(up, k)
+            found = [(ids[k], ids[r]) for k in range(len(ids)) if ids[k] != ids[r := _root(up, k)]]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
         for part, tile, node, raw in in_rows(batches, "part", "tile", "node", "shingles"):
             if (part, tile) != at:
@@ -321,6 +310,74 @@ def confirmed_links(texts: DataFrame, n: int, similarity: float) -> DataFrame:
     return dealt.mapInArrow(tidy(compare), "src long, dst long")
 
 
+def _chunked(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``chunks`` of the part and ``me``, the chunk of the text."""
+    out = join_back(sets, sizes, "part", "many", ["node"])
+    return out.withColumn("me", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+
+
+def _sizes(sets: DataFrame) -> DataFrame:
+    """Texts of each part, and the chunks of bounded texts and shingles that they need."""
+    chunks = F.greatest(F.ceil(F.count("*") / TILE_TEXTS), F.ceil(F.sum("members") / TILE_SHINGLES)).cast("int")
+    return sets.groupBy("part").agg(F.count("*").alias("many"), chunks.alias("chunks"))
+
+
+def _pairs(chunked: DataFrame) -> DataFrame:
+    """A row for each tile of two chunks (or the only one) that a text is in."""
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: (o != F.col("me")) | (F.col("chunks") == 1))
+    out = chunked.withColumn("other", F.explode(others))
+    return out.withColumn("tile", F.least("me", "other").cast("long") * F.col("chunks") + F.greatest("me", "other"))
+
+
+def confirmed_components(texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """``node, component`` over links between texts of one part (columns ``node``, ``part``, ``text``) that are similar enough.
+
+    Nodes without a link may be absent. Every pair of a part counts, in tiles of bounded texts and shingles. A part of many
+    chunks is not compared pair by pair of chunks at once: first each chunk by itself, then only the first texts of the
+    components found there among each other, then what is still apart from its part's largest component with all of
+    the part. So a large group of near copies costs in proportion to its texts.
+    """
+
+    def make(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for part, node, text in rows:
+            h = list(shingles(text, n))
+            if h:
+                h = np.unique(np.concatenate(h))
+                yield part, node, len(h), h.tobytes()
+
+    kind, schema = "part long, node long, members long, shingles binary", pa.schema([("part", pa.int64()), ("node", pa.int64()), ("members", pa.int64()), ("shingles", pa.binary())])
+    sets = materialise(texts.select("part", "node", "text").mapInArrow(batched(make, schema, ("part", "node", "text"), 256), kind), "shingle_sets")
+    sizes = materialise(_sizes(sets), "part_sizes")
+    alone = materialise(_tiles(_chunked(sets, sizes).withColumn("tile", F.col("me").cast("long")), similarity).toDF("node", "component"), "alone")
+    wide = sizes.where("chunks > 1")
+    if wide.isEmpty():
+        discard(sets, sizes)
+        return alone
+    several = sets.join(wide.select("part"), "part", "left_semi")
+    heads = several.join(alone.select("node"), "node", "left_anti")
+    few = materialise(_sizes(heads), "head_sizes")
+    between = materialise(_tiles(_pairs(_chunked(heads, few)), similarity), "between")
+    found = connected_components(alone.toDF("src", "dst").union(between))
+    whole = several.select("part", "node", "members").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    each = whole.groupBy("part", "component").agg(F.count("*").alias("n"), F.sum("members").alias("m"))
+    left = each.groupBy("part").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("components"), F.sum("n").alias("many"), F.sum("m").alias("all"), (F.sum("n") - F.max("n")).alias("apart"), F.max("m").alias("most"))
+    chunks = lambda n_, m: F.greatest(F.ceil(F.col(n_) / TILE_TEXTS), F.ceil(F.col(m) / TILE_SHINGLES)).cast("int")
+    left = materialise(left.where("components > 1").withColumn("chunks", chunks("many", "all")).withColumn("rows", chunks("apart", "all")), "apart")
+    if left.isEmpty():
+        discard(sets, sizes, alone, few, between, left)
+        return found
+    rows = join_back(sets.join(left.select("part"), "part", "left_semi"), left, "part", "many", ["node"]).join(found, "node", "left")
+    a, b = (F.pmod(F.xxhash64("node"), F.col(c)) for c in ("rows", "chunks"))
+    every = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda k: k.cast("long") * F.col("chunks") + b)
+    own = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: a * F.col("chunks") + k)
+    minor = F.coalesce("component", "node") != F.col("largest")
+    tiled = rows.withColumn("tile", F.explode(F.when(minor, F.array_union(every, own)).otherwise(every)))
+    rest = materialise(_tiles(tiled, similarity), "rest_links")
+    out = connected_components(found.toDF("src", "dst").union(rest))
+    discard(sets, sizes, alone, few, between, left, rest, found)
+    return out
+
+
 def row_key(docs: DataFrame) -> Column:
     """A number of the whole row: its columns' hash (rows equal in all columns share it)."""
     return F.xxhash64(*[F.struct(F.col(c).isNull().alias("null"), F.col(c).alias("value")) for c in docs.columns])
@@ -331,38 +388,38 @@ def near_copies(docs: DataFrame, *, n: int = STAGE["n"], similarity: float = STA
 
     It is the row of the least id, null ids last; of rows of that id the one of the least text hash, then of the least key.
 
-    Texts of the same shingles are collapsed first. SimHash proposes: fingerprints that agree under a sampled
-    mask and are near enough are linked, which gives loose parts. Shingles decide: within a part the
+    Texts of the same shingles are collapsed first. SimHash proposes: fingerprints of texts with a key in common are compared tile
+    by tile, and near ones linked, which gives loose parts. Shingles decide: within a part the
     similarity of every pair counts, so no link is one of fingerprints only. Texts without words (null ones
     too) are one component.
     """
-    spark, words = docs.sparkSession, [f"fp{k}" for k in range(WIDE)]
+    words = [f"fp{k}" for k in range(WIDE)]
 
     def make(rows: Iterator[tuple]) -> Iterator[tuple]:
         for row, t in rows:
             h = list(shingles(t, n))
             members = np.unique(np.concatenate(h)) if h else np.empty(0, np.uint64)
-            yield row, _signed(xxhash.xxh64_intdigest(members.tobytes())), len(members), *map(_signed, _simhash(h, WIDE))
+            yield row, _signed(xxhash.xxh64_intdigest(members.tobytes())), len(members), *map(_signed, _simhash(h, WIDE)), _keys(members)
 
     names = ["row", "node", "members", *words]
     keyed = docs.select("doc_id", "text", row_key(docs).alias("row"))
-    made = keyed.select("row", "text").mapInArrow(batched(make, pa.schema([(c, pa.int64()) for c in names]), ("row", "text")), ", ".join(f"{c} long" for c in names))
-    order = keyed.select("row", F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("hash"), "row").alias("rank")).distinct()
-    f = materialise(made.distinct().join(order, "row"), "fingerprints")
+    schema = pa.schema([*((c, pa.int64()) for c in names), ("keys", pa.list_(pa.int64()))])
+    made = keyed.select("row", "text").mapInArrow(batched(make, schema, ("row", "text")), ", ".join(f"{c} long" for c in names) + ", keys array<long>")
+    rank = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("hash"), "row").alias("rank")
+    f = materialise(made.dropDuplicates(["row"]).join(keyed.select("row", rank).distinct(), "row"), "fingerprints")
     # equal sets may differ in how often they hold a shingle, and so in bits: the least fingerprint stands for all
-    nodes = f.groupBy("node").agg(F.min("rank").alias("least"), F.min(F.struct(*words)).alias("fp"), F.max("members").alias("members"))
-    nodes = materialise(nodes.select("node", "least", "members", "fp.*"), "nodes")
-    masks, loose = _sampled(MASKS, MASK_BITS, WIDE), []
-    for k in range(PASSES):
-        loose.append(materialise(hamming_links(nodes.where("members > 0").select("node", *words), NEAR_WORD, total=NEAR, masks=masks[k::PASSES]), "loose"))
-        release(spark)
-    parts = materialise(connected_components(reduce(DataFrame.unionByName, loose)), "parts")
-    discard(*loose)
+    nodes = f.groupBy("node").agg(F.min("rank").alias("least"), F.min(F.struct(*words)).alias("fp"), F.max("members").alias("members"), F.first("keys").alias("keys"))
+    nodes = materialise(nodes.select("node", "least", "members", "fp.*", "keys"), "nodes")
+    loose = hamming_links(nodes.where("members > 0").select("node", "keys", *words), NEAR_WORD, total=NEAR, keys="keys")
+    parts = connected_components(loose)
+    discard(loose)
     one = nodes.join(parts, "node").select(F.col("least.row").alias("row"), "node", F.col("component").alias("part"))
     texts = keyed.select("row", "text").join(one, "row").dropDuplicates(["row"])
-    sure = connected_components(confirmed_links(texts, n, similarity))
+    sure = confirmed_components(texts, n, similarity)
     labelled = nodes.select("node", "least").join(sure, "node", "left").select("least", F.coalesce("component", "node").alias("whole"))
-    return labelled.groupBy("whole").agg(F.min("least").alias("least")).select("least.row")
+    kept = materialise(labelled.groupBy("whole").agg(F.min("least").alias("least")).select("least.row"), "kept_rows")
+    discard(f, nodes, parts, sure)
+    return kept
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

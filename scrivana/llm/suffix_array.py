@@ -4,274 +4,181 @@ Method (Kärkkäinen, Sanders and Burkhardt, "Linear work suffix array construct
 sampled triples and name them, recurse on the strings of names, merge the remaining suffixes. Strings
 have an end smaller than any symbol.
 
-Strings stay in the bucket of their number's hash through all levels, many to a row, as flat arrays.
-A level sends its triples to buckets by ranges of their first symbol, where they are sorted and named,
-and the names back; then all suffixes, with the ranks of the sampled ones that follow, to such buckets
-again, where they are merged, and the ranks back. Names and ranks count what stands before them, so
-equal ranges of names hold equal numbers of suffixes, but for equal first symbols, which meet in one
-task. Only two or three totals a bucket reach the driver.
+A level is a few shuffles of flat rows, one a suffix: triples are sorted over all partitions and named
+by what stands before them, names go back to their strings; then all suffixes, with the ranks of the
+sampled ones that follow, are sorted the same way, and the ranks go back. The sorts are by all their
+keys, the string and the place last, so suffixes that begin alike, however many, are cut anywhere
+between two partitions. Rows follow from the symbols alone, never from the number of partitions; only
+a row for each partition reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import discard, materialise, release, shuffle_partitions, tidy
+from scrivana.llm.common import discard, materialise, numbered, tidy, whole_groups
 
-#: What a row is: strings, names of triples, ranks of suffixes, or a bucket's totals.
-_STRINGS, _NAMES, _RANKS, _TOTALS = range(4)
-#: The arrays of a row by kind of row; ``x`` to ``z`` stand for symbols, names, counts or ranks.
-_ARRAYS = {"sid": "<i8", "i": "<u4", "need": "<u4", "x": "<i8", "y": "<i8", "z": "<i8", "v": "<i8", "w": "<i8"}
-#: ``part``: the bucket that counted; ``most``, ``high``: the largest need and symbol of the row's strings.
-_DDL = "kind int, bucket int, part int, most long, high long, " + ", ".join(f"{c} binary" for c in _ARRAYS)
-_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("part", pa.int32()), ("most", pa.int64()), ("high", pa.int64()), *((c, pa.binary()) for c in _ARRAYS)])
-_ROWS = 1 << 18
+_LISTS = "sid long, kind int, need int, vals array<long>"
+_LIST_SCHEMA = pa.schema([("sid", pa.int64()), ("kind", pa.int32()), ("need", pa.int32()), ("vals", pa.list_(pa.int64()))])
+#: What a row of ``_LISTS`` holds of its string: symbols, names of the sampled places, how many deeper suffixes have
+#: smaller names, and the deeper ranks of the places of remainder 1 and 2.
+_SYMBOLS, _NAMES, _DEEP, _FINE1, _FINE2 = range(5)
+_SUFFIX = "x long, y long, z long, sid long, i int, need int"
+_MERGED = "side int, x long, y long, z long, sid long, i int, zero int, own long"
 
 
-def _row(kind: int, bucket: int, part: int = 0, most: int = 0, high: int = 0, **arrays: np.ndarray) -> tuple:
-    return kind, bucket, part, most, high, *(arrays[c].astype(t).tobytes() if c in arrays else None for c, t in _ARRAYS.items())
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, row and index in its row of every value of a list column."""
+    many = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(many)), many)
+    return lists.flatten().to_numpy(zero_copy_only=False), row, np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
 
 
-def _dealt(kind: int, to: np.ndarray, part: int = 0, **arrays: np.ndarray) -> Iterator[tuple]:
-    """A row for each bucket of ``to``."""
-    order = np.argsort(to, kind="stable")
-    cut = np.flatnonzero(np.diff(to[order])) + 1
-    for o in np.split(order, cut) if len(order) else []:
-        yield _row(kind, int(to[o[0]]), part, **{c: a[o] for c, a in arrays.items()})
-
-
-def _batches(rows: Iterator[tuple], size: int = 64) -> Iterator[pa.RecordBatch]:
-    held = []
-    for r in rows:
-        held.append(r)
-        if len(held) == size:
-            yield pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, h, strict=True)) for h in held], schema=_SCHEMA)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, h, strict=True)) for h in held], schema=_SCHEMA)
-
-
-def _table(batches: Iterator[pa.RecordBatch]) -> list[tuple]:
-    return [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in _SCHEMA.names), strict=True)]
-
-
-def _joined(rows: list[tuple], *names: str) -> list[np.ndarray]:
-    at = {c: k for k, c in enumerate(_SCHEMA.names)}
-    return [np.frombuffer(b"".join(r[at[c]] or b"" for r in rows), _ARRAYS[c]) for c in names]
-
-
-def _homes(sid: np.ndarray, level: int, n: int) -> np.ndarray:
-    """A string's bucket: that of the string of level 0 that it comes from."""
-    h = (sid >> level).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(32))) % np.uint64(n)).astype(np.int64)
-
-
-def _ranges(symbol: np.ndarray, high: int, n: int) -> np.ndarray:
-    return np.minimum((symbol * (n / (high + 1.0))).astype(np.int64), n - 1)
-
-
-class _Strings:
-    """A bucket's strings in order of number: one entry a string (sid, need, many), one a symbol (sym, row, i)."""
-
-    def __init__(self, rows: list[tuple]):
-        sid, i, need, sym = _joined(rows, "sid", "i", "need", "x")
-        order = np.lexsort((i, sid))
-        self.order, sid, self.i, self.sym = order, sid[order], i[order].astype(np.int64), sym[order]
-        first = np.flatnonzero(self.i == 0)
-        self.sid, self.need, self.many = sid[first], need[order][first].astype(np.int64), np.diff(np.append(first, len(sid)))
-        self.row = np.repeat(np.arange(len(first)), self.many)
-
-    def after(self, values: np.ndarray, k: int) -> np.ndarray:
-        """The value k places further on in the string, 0 beyond its end."""
-        out = np.zeros(len(values), np.int64)
-        ok = np.flatnonzero(self.i + k < self.many[self.row])
-        out[ok] = values[ok + k]
-        return out
-
-    def sampled(self) -> np.ndarray:
-        """Places not divisible by 3, those of remainder 1 first in each string."""
-        at = np.flatnonzero(self.i % 3 != 0)
-        return at[np.lexsort((self.i[at], self.i[at] % 3, self.row[at]))]
-
+def _after(values: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """The value k places further on in the row, 0 beyond its end."""
+    out = np.zeros(len(values), np.int64)
+    ok = np.flatnonzero(row[: len(row) - k] == row[k:]) if k < len(row) else np.empty(0, np.int64)
+    out[ok] = values[ok + k]
+    return out
 
-def _string_rows(bucket: int, sid: np.ndarray, i: np.ndarray, need: np.ndarray, **arrays: np.ndarray) -> Iterator[tuple]:
-    if len(sid):
-        yield _row(_STRINGS, bucket, 0, int(need.max()), int(arrays["x"].max()), sid=sid, i=i, need=need, **arrays)
 
-
-def _packed(strings: DataFrame, n: int) -> DataFrame:
-    """Rows of strings, dealt to their buckets."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, _ROWS >> 4):
-                    b = whole.slice(at, _ROWS >> 4)
-                    many = b.column("syms").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                    sid, need = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), many).astype(np.int64) for c in ("sid", "need"))
-                    i = np.arange(len(sid)) - np.repeat(np.cumsum(many) - many, many)
-                    sym = b.column("syms").flatten().to_numpy().astype(np.int64)
-                    to = _homes(sid, 0, n)
-                    order = np.argsort(to, kind="stable")
-                    for o in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
-                        yield from _string_rows(int(to[o[0]]), sid[o], i[o], need[o], x=sym[o])
-
-        return _batches(rows())
-
-    return strings.select("sid", "syms", "need").mapInArrow(tidy(make), _DDL)
-
-
-def _each_bucket(df: DataFrame, n: int, make: Callable[[int, list[tuple]], Iterator[tuple]]) -> DataFrame:
-    """``make(bucket, rows)`` on every bucket, one to a partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _table(batches)
-        if rows:
-            yield from _batches(make(rows[0][1], rows))
-
-    return df.repartitionById(n, F.col("bucket")).mapInArrow(tidy(run), _DDL)
-
-
-def _starts(done: DataFrame, n: int) -> np.ndarray:
-    """For each bucket the sums of the totals (x) of the buckets before it, and all sums in a last row."""
-    out = None
-    for r in done.where(F.col("kind") == _TOTALS).select("part", "x").collect():
-        totals = np.frombuffer(r["x"], "<i8")
-        out = np.zeros((n + 1, len(totals)), np.int64) if out is None else out
-        out[r["part"] + 1] = totals
-    return np.zeros((n + 1, 3), np.int64) if out is None else np.cumsum(out, axis=0)
-
-
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of rows by keys (first key first) and for each row in order the first row of its equals."""
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
-    return order, np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-
-
-def _sorted_packed(strings: DataFrame, n: int, level: int) -> DataFrame | None:
-    """Ranks (rows of kind _RANKS with sid, i, x) of the suffixes of materialised packed strings."""
-    most, high = strings.agg(F.max("most"), F.max("high")).first()
-    if most is None:
-        return None
-
-    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for b in batches:
-                for r in _table([b]):
-                    s = _Strings([r])
-                    if (at := s.sampled()).size:
-                        t = [s.after(s.sym, k)[at] for k in range(3)]
-                        yield from _dealt(_NAMES, _ranges(t[0], high, n), sid=s.sid[s.row[at]], i=s.i[at], need=s.need[s.row[at]], x=t[0], y=t[1], z=t[2])
-
-        return _batches(rows())
-
-    def name(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
-        sid, i, need, *t = _joined(rows, "sid", "i", "need", "x", "y", "z")
-        order, first = _groups(*t)
-        sid, i, need = sid[order], i[order], need[order]
-        deep = np.cumsum(need > 3)
-        yield _row(_TOTALS, -1, bucket, x=np.array([len(sid), deep[-1]]))
-        yield from _dealt(_NAMES, _homes(sid, level, n), bucket, sid=sid, i=i, need=need, x=first, y=(deep - (need > 3))[first])
-
-    named = materialise(_each_bucket(strings.mapInArrow(tidy(triples), _DDL), n, name), "triples")
-    before = _starts(named, n)
-
-    def halve(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
-        part = np.repeat([r[2] for r in rows], [len(r[5]) // 8 for r in rows]).astype(np.int64)
-        sid, i, need, x, y = _joined(rows, "sid", "i", "need", "x", "y")
-        half = sid * 2 + i % 3 - 1
-        # names from 1 on, and how many of the suffixes that go deeper have smaller names
-        cols = {"sid": half, "i": (i - 1) // 3, "need": -(-need.astype(np.int64) // 3), "x": x + before[part, 0] + 1, "y": y + before[part, 1]}
-        for go in (cols["need"] > 1, cols["need"] <= 1):
-            yield from _string_rows(bucket, **{c: a[go] for c, a in cols.items()})
-
-    halves = materialise(_each_bucket(named.where(F.col("kind") == _NAMES), n, halve), "names")
-    discard(named)
-    release(strings.sparkSession)
-    fine = _sorted_packed(halves.where("most > 1"), n, level + 1) if most > 3 else None
-    both = strings.withColumn("part", F.lit(0)).union(halves.withColumn("part", F.lit(1)))
-    both = both if fine is None else both.union(fine)
-
-    def spread(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
-        s = _Strings([r for r in rows if r[0] == _STRINGS and r[2] == 0])
-        sampled = [r for r in rows if r[0] == _STRINGS and r[2] == 1]
-        h = _Strings(sampled)
-        rank = h.sym - 1
-        if h.need.max(initial=0) > 1:
+def _column(t: pa.Table, name: str) -> pa.Array:
+    c = t.column(name)
+    return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
+
+
+def _lists(sid: np.ndarray, kind: int, need: np.ndarray, row_of: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """A row of ``_LISTS`` for each string, from values in order of string."""
+    ends = np.append(0, np.cumsum(np.bincount(row_of, minlength=len(sid)))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(np.full(len(sid), kind, np.int32)), pa.array(need.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int64)))], schema=_LIST_SCHEMA)
+
+
+def _grouped(t: pa.Table, ordered: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows sorted by string: their order by string and place, the first row of each string, and the string's number of each row."""
+    sid, i = (_column(t, c).to_numpy() for c in ("sid", "i"))
+    new = np.ones(len(sid), bool)
+    new[1:] = sid[1:] != sid[:-1]
+    row = np.cumsum(new) - 1
+    order = np.argsort(row * (int(i.max()) + 1) + i, kind="stable") if ordered else np.arange(len(sid))
+    return order, np.flatnonzero(new), row
+
+
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 4096):
+            b = whole.slice(at, 4096)
+            sym, row, i = _flat(b.column("vals"))
+            s = np.flatnonzero(i % 3 != 0)
+            cols = [sym[s], *(_after(sym, row, k)[s] for k in (1, 2)), b.column("sid").to_numpy()[row[s]], i[s].astype(np.int32), b.column("need").to_numpy()[row[s]]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["x", "y", "z", "sid", "i", "need"])
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names (from 1 on) of each string's sampled places in order, and for strings that go deeper how many deeper suffixes have smaller ones."""
+    for t in whole_groups(batches, "sid"):
+        order, first, row = _grouped(t)
+        need, name, deep = (_column(t, c).to_numpy()[order] for c in ("need", "before0", "before1"))
+        ids = _column(t, "sid").to_numpy()[first]
+        yield _lists(ids, _NAMES, need[first], row, name + 1)
+        go = need[first] > 3
+        if go.any():
+            at = go[row]
+            yield _lists(ids[go], _DEEP, need[first][go], (np.cumsum(go) - 1)[row[at]], deep[at])
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From all that is known of a string the rows by which its suffixes are merged: those of remainder 0 with either kind of the others."""
+    for t in whole_groups(batches, "sid"):
+        kind = _column(t, "kind").to_numpy()
+        part = lambda k, t=t, kind=kind: t.filter(pa.array(kind == k))
+        s = part(_SYMBOLS)
+        if not s.num_rows:
+            continue
+        sym, row, i = _flat(_column(s, "vals"))
+        own = np.zeros(len(sym), np.int64)  # 1 higher than the rank among sampled suffixes, so that 0 is the end
+        own[i % 3 != 0] = _flat(_column(part(_NAMES), "vals"))[0]
+        deep = _column(s, "need").to_numpy()[row] > 3
+        if deep.any():
             # among suffixes of one name the deeper order decides; names have room for as many ranks as they have suffixes
-            go = np.flatnonzero(h.need[h.row] > 1)
-            sid, i, x = _joined([r for r in rows if r[0] == _RANKS], "sid", "i", "x")
-            rank[go] += x[np.lexsort((i, sid))] - _joined(sampled, "y")[0][h.order][go]
-        own = np.zeros(len(s.sym), np.int64)  # 1 higher, so that 0 is the end
-        own[s.sampled()] = rank + 1
-        yield from _dealt(_RANKS, _ranges(s.sym, high, n), sid=s.sid[s.row], i=s.i, x=s.sym, y=s.after(s.sym, 1), z=own, v=s.after(own, 1), w=s.after(own, 2))
-
-    def merge(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
-        sid, i, s, s2, own, r1, r2 = _joined(rows, "sid", "i", "x", "y", "z", "v", "w")
-        kind = i % 3
-        rank = np.where(kind == 0, 0, own - 1)
-        # a sampled suffix: the sampled ones before it and the others before it; another one: all three kinds before it
-        for at, keys in ((np.flatnonzero(kind != 2), (s, r1)), (np.flatnonzero(kind != 1), (s, s2, r2))):
-            order, first = _groups(*(k[at] for k in keys))
-            o = at[order]
-            zero = kind[o] == 0
-            zeros, others = ((np.cumsum(f) - f)[first] for f in (zero, ~zero))
-            with_zeros = ~zero if len(keys) == 3 else np.ones(len(o), bool)
-            rank[o] += np.where(with_zeros, zeros, 0) + np.where(zero, others, 0)
-        yield _row(_TOTALS, -1, bucket, x=np.bincount(kind, minlength=3))
-        yield from _dealt(_RANKS, _homes(sid, level, n), bucket, sid=sid, i=i, x=rank)
-
-    merged = materialise(_each_bucket(_each_bucket(both, n, spread), n, merge), "merged")
+            own[deep & (i % 3 != 0)] -= _flat(_column(part(_DEEP), "vals"))[0]
+            for k in (1, 2):
+                own[deep & (i % 3 == k)] += _flat(_column(part(_FINE1 + k - 1), "vals"))[0]
+        r1, r2, s2, sid = _after(own, row, 1), _after(own, row, 2), _after(sym, row, 1), _column(s, "sid").to_numpy()[row]
+        for side, at, keys in ((0, np.flatnonzero(i % 3 != 2), (sym, r1, np.zeros_like(r1))), (1, np.flatnonzero(i % 3 != 1), (sym, s2, r2))):
+            zero = (i[at] % 3 == 0).astype(np.int32)
+            cols = [np.full(len(at), side, np.int32), *(k[at] for k in keys), sid[at], i[at].astype(np.int32), zero, np.where(zero == 1, 0, own[at] - 1)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["side", "x", "y", "z", "sid", "i", "zero", "own"])
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in whole_groups(batches, "sid"):
+        _, head, row = _grouped(t, False)
+        i, part = (_column(t, c).to_numpy() for c in ("i", "part"))
+        many = np.zeros(len(head), np.int64)
+        np.maximum.at(many, row, i + 1)
+        ends = np.cumsum(many)
+        # a suffix of remainder 0 has a part from either side
+        ranks = np.zeros(ends[-1], np.int64)
+        np.add.at(ranks, (ends - many)[row] + i, part)
+        yield _lists(_column(t, "sid").to_numpy()[head], _SYMBOLS, np.zeros(len(head)), np.repeat(np.arange(len(head)), many), ranks)
+
+
+def _weigh_triples(b: pa.RecordBatch) -> np.ndarray:
+    need = b.column("need").to_numpy()
+    return np.stack([np.ones(len(need), np.int64), need > 3], axis=1)
+
+
+def _weigh_merged(b: pa.RecordBatch) -> np.ndarray:
+    side, zero = (b.column(c).to_numpy() for c in ("side", "zero"))
+    return np.stack([(side == s) & (zero == z) for s in (0, 1) for z in (1, 0)], axis=1)
+
+
+def _ranked(strings: DataFrame) -> DataFrame:
+    """Ranks (rows of ``_LISTS``) of the suffixes of strings (rows of ``_LISTS``)."""
+    most = strings.agg(F.max("need")).first()[0] or 0
+    order = lambda *c: [F.col(x) for x in (*c, "sid", "i")]
+    triples = materialise(strings.mapInArrow(tidy(_triples), _SUFFIX), "triples")
+    names, _ = numbered(triples, order("x", "y", "z"), ["x", "y", "z"], _weigh_triples, 2, "names", ["sid", "i", "need"])
+    halves = materialise(names.repartition("sid").sortWithinPartitions("sid").mapInArrow(tidy(_named), _LISTS), "halves")
+    discard(triples, names)
+    all_, fine = [strings, halves], None
+    if most > 3:
+        each = halves.where((F.col("kind") == _NAMES) & (F.col("need") > 3))
+        half = F.explode(F.array(*[F.struct((F.col("sid") * 2 + k).alias("sid"), F.filter("vals", lambda _, at: at % 2 == k).alias("vals")) for k in (0, 1)]))  # noqa: B023
+        deeper = each.select(half.alias("h"), F.ceil(F.col("need") / 3).cast("int").alias("need")).where(F.size("h.vals") > 0)
+        fine = _ranked(deeper.select("h.sid", F.lit(_SYMBOLS).alias("kind"), "need", "h.vals"))
+        all_.append(fine.select(F.shiftright("sid", 1).alias("sid"), (F.lit(_FINE1) + F.col("sid").bitwiseAND(F.lit(1))).cast("int").alias("kind"), "need", "vals"))
+    both = reduce(DataFrame.unionByName, all_).repartition("sid").sortWithinPartitions("sid")
+    spread = materialise(both.mapInArrow(tidy(_spread), _MERGED), "spread")
     discard(halves, *([] if fine is None else [fine]))
-    starts = _starts(merged, n)
-
-    def settle(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
-        part = np.repeat([r[2] for r in rows], [len(r[5]) // 8 for r in rows]).astype(np.int64)
-        sid, i, x = _joined(rows, "sid", "i", "x")
-        yield _row(_RANKS, bucket, sid=sid, i=i, x=x + starts[part, 0] + np.where(i % 3 == 0, starts[part, 1] + starts[part, 2], 0))
-
-    out = materialise(_each_bucket(merged.where(F.col("kind") == _RANKS), n, settle), "ranks")
-    discard(merged)
-    release(strings.sparkSession)
+    merged, _ = numbered(spread, order("x", "side", "y", "z"), ["x", "side", "y", "z"], _weigh_merged, 4, "merged", ["side", "sid", "i", "zero", "own"])
+    b = [F.col(f"before{k}") for k in range(4)]
+    zero = F.col("zero") == 1
+    part = F.when(F.col("side") == 0, F.when(zero, b[0] + b[1]).otherwise(F.col("own") + b[0])).otherwise(F.when(zero, b[3]).otherwise(F.col("own") + b[2]))
+    out = merged.select("sid", "i", part.alias("part")).repartition("sid").sortWithinPartitions("sid")
+    out = materialise(out.mapInArrow(tidy(_settled), _LISTS), "ranks")
+    discard(spread, merged)
     return out
 
 
 def suffix_ranks(strings: DataFrame) -> DataFrame:
-    """``sid, ranks`` for strings (sid long, syms array<long> of positive numbers, need int).
+    """``sid, ranks`` for strings (sid long from 0 on, syms array<long> of positive numbers, need int).
 
     ranks[i] is the number of suffixes, of all strings, that are smaller than suffix i. A string's
     suffixes are told apart by their first ``need`` symbols at least, so a string leaves the recursion
     at level log3(need); suffixes equal that far may or may not share a rank, but always stand
     together. (Equal prefixes must come with equal needs, as they do where the need follows from the symbols.)
+    Empty strings have no row. Only a string's own symbols meet in one task.
     """
-    n = shuffle_partitions(strings.sparkSession)
-    packed = materialise(_packed(strings, n), "strings")
-    ranks = _sorted_packed(packed, n, 0)
-    discard(packed)
-    if ranks is None:
-        return materialise(strings.select("sid", F.transform("syms", lambda s: s - 1).alias("ranks")), "ranks")
-    schema = pa.schema([("sid", pa.int64()), ("ranks", pa.list_(pa.int64()))])
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in _table([b]):
-                sid, i, x = _joined([r], "sid", "i", "x")
-                order = np.lexsort((i, sid))
-                sid, x = sid[order], x[order]
-                first = np.flatnonzero(i[order] == 0)
-                for at in range(0, len(first), 8192):
-                    f = first[at : at + 8193]
-                    f = f if len(f) > 8192 else np.append(f, len(sid))
-                    yield pa.RecordBatch.from_arrays([pa.array(sid[f[:-1]]), pa.ListArray.from_arrays(pa.array((f - f[0]).astype(np.int32)), pa.array(x[f[0] : f[-1]]))], schema=schema)
-
-    out = ranks.mapInArrow(tidy(unpack), "sid long, ranks array<long>")
+    given = materialise(strings.where(F.size("syms") > 0).select("sid", F.lit(_SYMBOLS).alias("kind"), "need", F.col("syms").alias("vals")), "strings")
+    ranks = _ranked(given)
+    discard(given)
+    out = ranks.select("sid", F.col("vals").alias("ranks"))
     out._scrivana_path = ranks._scrivana_path
     return out

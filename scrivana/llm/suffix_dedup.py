@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import discard, materialise, release, shuffle_partitions, table, tidy
+from scrivana.llm.common import discard, frequent, join_back, materialise, numbered, prefix_sums, shuffle_partitions, table, tidy, whole_groups
 from scrivana.llm.suffix_array import suffix_ranks
 
 #: Bytes of a string whose repeats go; bytes of an anchor and of its inner strings: 3 K - 2 S - 2 <= LENGTH
@@ -122,34 +123,6 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(keys)))
 
 
-#: A blob: parallel arrays of (document key, index, value, count), the keys as runs.
-_BLOB = "bucket int, keys binary, many binary, idx binary, val binary, num binary"
-
-
-def _blob(bucket: int, keys, idx, val=None, num=None) -> tuple:
-    s, n = _runs(keys)
-    empty = b""
-    return bucket, keys[s].astype("<i8").tobytes(), n.astype("<u4").tobytes(), idx.astype("<u4").tobytes(), empty if val is None else val.astype("<u8").tobytes(), empty if num is None else num.astype("<u4").tobytes()
-
-
-def _unblob(rows: list[tuple]) -> tuple[np.ndarray, ...]:
-    join = lambda k, t: np.frombuffer(b"".join(r[k] for r in rows), t)
-    return np.repeat(join(0, "<i8"), join(1, "<u4")), join(2, "<u4").astype(np.int64), join(3, "<u8"), join(4, "<u4")
-
-
-def _dealt(keys, idx, val, num, to: np.ndarray) -> Iterator[tuple]:
-    """One blob for each bucket of ``to``, rows in order of key and index."""
-    order = np.argsort(to.astype(np.uint16) if len(to) and to.max() < 1 << 16 else to, kind="stable")
-    s, n = _runs(to[order])
-    for a, b in zip(s, s + n, strict=True):
-        o = order[a:b]
-        yield _blob(int(to[o[0]]), keys[o], idx[o], None if val is None else val[o], None if num is None else num[o])
-
-
-def _home(keys: np.ndarray, n: int) -> np.ndarray:
-    return (_mix(keys.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
-
-
 def _columns(b: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
     return zip(*(b.column(n).to_pylist() for n in names), strict=True)
 
@@ -169,69 +142,75 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
 
 
-def _phrase_blobs(docs: DataFrame, n: int) -> DataFrame:
-    """Every phrase occurrence (document key, phrase number times 32 plus its anchors' distance, hash), dealt by hash."""
-    schema = _schema(_BLOB)
+#: Documents (and for each partition), and open starts for each partition, whose frequent phrases and strings stand for those of all.
+SAMPLE_DOCS, SAMPLE_EACH, SAMPLE_STARTS = 4000, 16, 640
+
+
+def _bytes(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
 
-        def flush() -> pa.RecordBatch:
-            keys = np.repeat(np.array([k for k, _, _ in held], np.int64), [len(h) for _, _, h in held])
-            val = np.concatenate([h for _, _, h in held])
-            idx = np.concatenate([np.arange(len(h)) * 32 + np.diff(at) for _, at, h in held])
-            return _batch(list(_dealt(keys, idx, val, None, (val % np.uint64(n)).astype(np.int64))), schema)
+def _alone(hashes: np.ndarray, hot: np.ndarray, key: int, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """What rows are grouped by: their hash (a signed long), or where it is a frequent one a number of their own, with the hash beside it."""
+    h = hashes.view(np.int64)
+    is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+    own = _mix(_mix(np.full(len(h), key, np.int64).view(np.uint64)) + at.astype(np.uint64)).view(np.int64)
+    return pa.array(np.where(is_hot, own, h)), pa.array(h, mask=~is_hot)
 
+
+def _phrase_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Every phrase occurrence: document key, phrase number times 32 plus its anchors' distance, hash (see :func:`_alone`)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text in _small(batches, ["key", "text"]):
-            at, h = phrases(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))
-            if len(h):
-                held.append((key, at, h))
-                count += len(h)
-            if count >= _FLUSH:
-                yield flush()
-                held, count = [], 0
-        if held:
-            yield flush()
+            at, h = phrases(_bytes(text))
+            for k in range(0, len(h), _FLUSH):
+                part = h[k : k + _FLUSH]
+                place = np.arange(k, k + len(part)) * 32 + np.diff(at[k : k + len(part) + 1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key)), pa.array(place), *_alone(part, hot, key, place)], names=["key", "at", "g", "hot"])
 
-    return docs.select("key", "text").mapInArrow(tidy(make), _BLOB)
+    return docs.select("key", "text").mapInArrow(tidy(make), "key long, at long, g long, hot long")
 
 
-def _repeated(blobs: DataFrame, n: int) -> DataFrame:
-    """The occurrences of phrases that occur twice or more, with their number, dealt by document."""
-    schema = _schema(_BLOB)
+def _repeated(docs: DataFrame) -> DataFrame:
+    """The occurrences of phrases that occur twice or more (``key, at, h, n``), a document's together.
+
+    n is how often the phrase occurs, or 0 (unknown) for the few frequent ones, whose occurrences never meet.
+    """
+    few, many = max(SAMPLE_DOCS, SAMPLE_EACH * shuffle_partitions(docs.sparkSession)), docs.count()
+    sample = docs if many <= few else docs.sample(few / many, seed=7)
+    hot = np.array(sorted(frequent(_phrase_rows(sample, np.empty(0, np.int64)), "g")), np.int64)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, idx, val, _ = _unblob(list(_small(batches, ["keys", "many", "idx", "val", "num"])))
-        order = np.argsort(val, kind="stable")
-        _, many = _runs(val[order])
-        num = np.repeat(many, many)
-        again = np.flatnonzero(num > 1)
-        at = order[again]
-        num = num[again]
-        back = np.lexsort((idx[at], keys[at]))
-        at, num = at[back], num[back]
-        if len(at):
-            yield _batch(list(_dealt(keys[at], idx[at], val[at], num, _home(keys[at], n))), schema)
+        for t in whole_groups(batches, "g"):
+            g, is_hot = t.column("g").to_numpy(), t.column("hot").is_valid().to_numpy()
+            _, many = _runs(g)
+            n = np.where(is_hot, 0, np.repeat(many, many))
+            keep = np.flatnonzero(n != 1)
+            h = pc.coalesce(t.column("hot"), t.column("g")).to_numpy()
+            yield pa.RecordBatch.from_arrays([*(pa.array(t.column(c).to_numpy()[keep]) for c in ("key", "at")), pa.array(h[keep]), pa.array(n[keep])], names=["key", "at", "h", "n"])
 
-    return blobs.repartitionById(n, F.col("bucket")).mapInArrow(tidy(find), _BLOB)
+    found = _phrase_rows(docs, hot).repartition("g").sortWithinPartitions("g").mapInArrow(tidy(find), "key long, at long, h long, n long")
+    return found.repartition("key").sortWithinPartitions("key")
 
 
 _STRING = "sid long, key long, first int, length int, syms binary, nums binary, gaps binary"
 
 
-def _strings(repeated: DataFrame, n: int) -> DataFrame:
-    """A row per piece of a maximal run of repeated phrases: its hash, place and length; the first of its kind in a task has
-    the phrases too, and after its own those that its suffixes' prefixes reach into."""
+def _strings(repeated: DataFrame) -> DataFrame:
+    """A row per piece of a maximal run of repeated phrases: its hash, place and length; the first of its kind among some
+    documents has the phrases too, and after its own those that its suffixes' prefixes reach into."""
     schema = _schema(_STRING)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, idx, val, num = _unblob(list(_small(batches, ["keys", "many", "idx", "val", "num"])))
+        for t in whole_groups(batches, "key", _FLUSH):
+            yield from cut_some(*(t.column(c).to_numpy() for c in ("key", "at", "h", "n")))
+
+    def cut_some(keys: np.ndarray, idx: np.ndarray, val: np.ndarray, num: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((idx, keys))
-        keys, gap, idx, val, num = keys[order], (idx[order] % 32).astype(np.uint8), idx[order] // 32, val[order], num[order]
+        keys, gap, idx, val, num = keys[order], (idx[order] % 32).astype(np.uint8), idx[order] // 32, val[order].view(np.uint64), np.minimum(num[order], 0xFFFFFFFF).astype("<u4")
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (idx[1:] != idx[:-1] + 1)
-        if not len(keys):
-            return
         run = np.cumsum(new) - 1
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], len(keys))
@@ -263,7 +242,7 @@ def _strings(repeated: DataFrame, n: int) -> DataFrame:
         if out:
             yield _batch(out, schema)
 
-    return repeated.repartitionById(n, F.col("bucket")).mapInArrow(tidy(cut), _STRING)
+    return repeated.mapInArrow(tidy(cut), _STRING)
 
 
 def _names(strings: DataFrame) -> DataFrame:
@@ -318,39 +297,13 @@ def _prefixes(strings: DataFrame) -> DataFrame:
     return strings.mapInArrow(tidy(make), ddl)
 
 
-def _adjacent_runs(suffixes: DataFrame, n: int) -> DataFrame:
-    """Sort suffixes by rank and number the runs of adjacent equal prefixes (column ``run``).
-
-    Runs that go on over the border of two partitions are joined by their ends, two rows a partition.
-    """
+def _adjacent_runs(suffixes: DataFrame) -> DataFrame:
+    """Sort suffixes by rank and number the runs of adjacent equal prefixes (column ``run``: the suffixes before it)."""
     given = materialise(suffixes, "suffixes")
-    d = given.repartitionByRange(n, "rank").sortWithinPartitions("rank").withColumn("pid", F.spark_partition_id())
-    names = d.columns
-    ddl = "sid long, i long, prefix long, occurs long, key long, first long, inner long, pid int, part long"
-    schema = _schema(ddl)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, run = None, -1
-        for b in batches:
-            if b.num_rows:
-                p = b.column(names.index("prefix")).to_numpy()
-                new = np.ones(len(p), np.int64)
-                new[1:] = p[1:] != p[:-1]
-                new[0] = last is None or p[0] != last
-                part = np.cumsum(new) + run
-                last, run = p[-1], int(part[-1])
-                yield pa.RecordBatch.from_arrays([*(b.column(names.index(f.name)) for f in schema if f.name != "part"), pa.array(part)], schema=schema)
-
-    done = materialise(d.mapInArrow(tidy(number), ddl), "sorted")
+    keep = ["sid", "i", "occurs", "key", "first", "inner"]
+    done, _ = numbered(given, [F.col(c) for c in ("rank", "sid", "i")], ["prefix"], lambda b: np.ones(b.num_rows, np.int64), 1, "sorted", keep)
     discard(given)
-    ends = done.groupBy("pid").agg(F.min_by("prefix", "part"), F.max_by("prefix", "part"), F.max("part")).orderBy("pid").collect()
-    base, at, before = [], 0, None
-    for pid, head, tail, most in ends:
-        at -= before is not None and head == before
-        base.append((pid, at))
-        at, before = at + most + 1, tail
-    base = suffixes.sparkSession.createDataFrame(base, "pid int, base long")
-    out = done.join(F.broadcast(base), "pid").withColumn("run", F.col("base") + F.col("part"))
+    out = done.withColumnRenamed("before0", "run")
     out._scrivana_path = done._scrivana_path
     return out
 
@@ -359,22 +312,22 @@ def _adjacent_runs(suffixes: DataFrame, n: int) -> DataFrame:
 _OPEN, _REPEATED, _FIRST = 0, 1, 2
 
 
-def _verdicts(strings: DataFrame, n: int) -> DataFrame:
+def _verdicts(strings: DataFrame) -> DataFrame:
     """``key, info``: the pieces of repeated phrases in a document with a verdict byte for each suffix."""
     kinds = strings.groupBy("sid").agg(F.count("*").alias("occurs"), F.min(F.struct("key", "first")).alias("least"), F.max("length").alias("length"), *[F.first(c, ignorenulls=True).alias(c) for c in ("syms", "nums", "gaps")])
     kinds = materialise(kinds.select("sid", "occurs", "least.key", "least.first", "length", "syms", "nums", "gaps"), "kinds")
     names = materialise(_names(kinds), "names")
     ranks = suffix_ranks(names)
     discard(names)
-    release(strings.sparkSession)
-    suffixes = _adjacent_runs(_prefixes(kinds.join(ranks, "sid")), n)
+    suffixes = _adjacent_runs(_prefixes(kinds.join(ranks, "sid")))
     discard(kinds, ranks)
-    release(strings.sparkSession)
-    runs = suffixes.groupBy("run").agg(F.sum("occurs").alias("all"), F.min(F.struct("key", "first")).alias("least"))
-    known = suffixes.join(runs, "run").groupBy("sid").agg(F.collect_list(F.struct("i", "least.key", "least.first", (F.col("all") == F.col("inner")).cast("long").alias("whole"))).alias("known"))
-    known = known.select("sid", *[F.col(f"known.{c}").alias(f"k_{c}") for c in ("i", "key", "first", "whole")])
+    runs = materialise(suffixes.groupBy("run").agg(F.sum("occurs").alias("all"), F.min(F.struct("key", "first")).alias("least"), F.count("*").alias("many")), "runs")
+    each = join_back(suffixes.select("sid", "i", "occurs", "inner", "run"), runs, "run", "many", ["sid", "i"])
+    whole = (F.col("all") == F.col("inner")).cast("long").alias("whole")
+    known = each.groupBy("sid").agg(F.max("occurs").alias("occurs"), F.collect_list(F.struct("i", "least.key", "least.first", whole)).alias("known"))
+    known = known.select("sid", "occurs", *[F.col(f"known.{c}").alias(f"k_{c}") for c in ("i", "key", "first", "whole")])
     known = materialise(known, "known")
-    discard(suffixes)
+    discard(suffixes, runs)
     ddl = "key long, first int, length int, state binary"
     schema = _schema(ddl)
 
@@ -394,11 +347,9 @@ def _verdicts(strings: DataFrame, n: int) -> DataFrame:
             out = [raw[e - m : e] for e, m in zip(end.tolist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("first"), b.column("length"), pa.array(out, pa.binary())], schema=schema)
 
-    each = strings.select("sid", "key", "first", "length").join(known, "sid", "left").mapInArrow(tidy(judge), ddl)
+    each = join_back(strings.select("sid", "key", "first", "length"), known, "sid", "occurs", ["key", "first"], "left").mapInArrow(tidy(judge), ddl)
     info = materialise(each.groupBy("key").agg(F.collect_list(F.struct("first", "length", "state")).alias("info")), "info")
     discard(known)
-    del runs, each, ranks
-    release(strings.sparkSession)
     return info
 
 
@@ -419,113 +370,100 @@ def _finish(raw: bytes, begins: np.ndarray, sizes: np.ndarray, keep: bool) -> tu
     return len(raw), len(raw) - len(kept), len(begins), hashlib.sha256(kept).hexdigest(), kept if keep else None
 
 
-def _sift(raw: np.ndarray, info: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of strings that are known to be repeats, and of those still open."""
-    at, h = phrases(raw)
-    rep, state = np.zeros(len(at) + 1, np.int64), np.zeros(len(at) + 1, np.uint8)
+def _sift(at: np.ndarray, length: int, info: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text with these anchors: first places and lengths of the runs of starts known to be repeats, and the starts still open.
+
+    A string that starts after anchor p - 1 and not after anchor p begins with phrase p. It can only be a repeat if all the
+    phrases it holds are repeated ones, so within a run of these its end must come before the run's next phrase is whole.
+    """
+    many = len(at) - 1
+    rep, state = np.zeros(many + 2, bool), np.zeros(many + 1, np.uint8)
     for r in info:
         a = r["first"]
-        rep[a : a + r["length"]] = 1
+        rep[a : a + r["length"]] = True
         state[a : a + r["length"]] = np.frombuffer(r["state"], np.uint8)
-    total = np.concatenate([[0], np.cumsum(rep)])
-    gone, left = [], []
-    for low in range(0, len(raw) - LENGTH + 1, _SLICE):
-        q = np.arange(low, min(low + _SLICE, len(raw) - LENGTH + 1))
-        a = np.searchsorted(at, q)
-        z = np.searchsorted(at, q + LENGTH - K, side="right") - 1
-        q_all = total[z] - total[a] == z - a
-        q, a = q[q_all], a[q_all]
-        known = np.where(a > 0, state[np.maximum(a, 1) - 1], _OPEN)
-        known = np.where((known == _OPEN) & (at[a] == q), state[a], known)
-        gone.append(q[known == _REPEATED])
-        left.append(q[known == _OPEN])
-    return (np.concatenate(gone), np.concatenate(left)) if gone else (np.empty(0, np.int64),) * 2
-
-
-def _ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of successive starts (ascending): first ones and lengths."""
-    s, n = _runs(starts - np.arange(len(starts)))
-    return starts[s], n
-
-
-def _places(docs: DataFrame, info: DataFrame, n: int) -> DataFrame:
-    """Repeats known of the documents with repeated phrases, dealt by document, and their open strings, dealt by hash. Texts stay behind."""
-    ddl = f"kind int, {_BLOB}"
-    schema = _schema(ddl)
+    p = np.flatnonzero(rep)
+    last = np.flatnonzero(~rep)
+    last = last[np.searchsorted(last, p)] - 1  # the last phrase of its run
+    beyond = np.append(at, [length + K, length + K])[last + 2]  # the anchor that ends the next phrase
+    low = np.where(p > 0, at[p - 1] + 1, 0)
+    high = np.minimum(np.minimum(at[p], beyond - (LENGTH - K) - 1), length - LENGTH)
+    ok = low <= high
+    p, low, high = p[ok], low[ok], high[ok]
+    before = np.where(p > 0, state[p - 1], _OPEN)
+    gone = before == _REPEATED
+    at_anchor = (before == _OPEN) & (high == at[p]) & (state[p] != _OPEN)  # the suffix at the anchor itself is known
+    single = at_anchor & (state[p] == _REPEATED)
+    begins, sizes = np.concatenate([low[gone], at[p[single]]]), np.concatenate([(high - low + 1)[gone], np.ones(single.sum(), np.int64)])
+    order = np.argsort(begins, kind="stable")
+    left = before == _OPEN
+    first, n = low[left], (high - low + 1 - at_anchor)[left]
+    asked = np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+    return begins[order], sizes[order], asked
+
+
+_STARTS = "kind int, key long, at long, many long, h long"
+
+
+def _places(docs: DataFrame, info: DataFrame) -> DataFrame:
+    """Of the documents with repeated phrases the runs of starts known to be repeats, and the open starts with their strings' hashes."""
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gone, left, count = [], [], 0
-
-        def flush() -> list[tuple]:
-            rows = []
-            if gone:
-                keys = np.repeat(np.array([k for k, *_ in gone], np.int64), [len(q) for _, q, _ in gone])
-                q, m = (np.concatenate([x[k] for x in gone]) for k in (1, 2))
-                rows += [(_GONE, *b) for b in _dealt(keys, q, None, m, _home(keys, n))]
-            if left:
-                keys = np.repeat(np.array([k for k, *_ in left], np.int64), [len(q) for _, q, _ in left])
-                q, h = (np.concatenate([x[k] for x in left]) for k in (1, 2))
-                rows += [(_ASKED, *b) for b in _dealt(keys, q, h, None, (h % np.uint64(n)).astype(np.int64))]
-            return rows
-
         for key, text, found in _small(batches, ["key", "text", "info"]):
-            codes = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-            known, asked = _sift(codes, found)
-            if len(known):
-                gone.append((key, *_ranges(known)))
-                count += len(gone[-1][1])
-            if len(asked):
-                left.append((key, asked, string_hashes(codes, asked)))
-                count += len(asked)
-            if count >= _FLUSH:
-                yield _batch(flush(), schema)
-                gone, left, count = [], [], 0
-        if gone or left:
-            yield _batch(flush(), schema)
-
-    return docs.select("key", "text").join(info, "key").mapInArrow(tidy(sift), ddl)
-
-
-def _later(asked: DataFrame, n: int) -> DataFrame:
-    """Of the open strings all but the first of each kind, dealt by document."""
-    ddl = f"kind int, {_BLOB}"
-    schema = _schema(ddl)
+            raw = _bytes(text)
+            begins, sizes, asked = _sift(anchors(raw)[0], len(raw), found)
+            for kind, at, many, h in ((_GONE, begins, sizes, None), (_ASKED, asked, np.ones(len(asked), np.int64), string_hashes(raw, asked).view(np.int64))):
+                for k in range(0, len(at), _FLUSH):
+                    a = at[k : k + _FLUSH].astype(np.int64)
+                    cols = [pa.array(np.full(len(a), kind, np.int32)), pa.array(np.full(len(a), key)), pa.array(a), pa.array(many[k : k + _FLUSH].astype(np.int64)), pa.nulls(len(a), pa.int64()) if h is None else pa.array(h[k : k + _FLUSH])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["kind", "key", "at", "many", "h"])
+
+    return docs.select("key", "text").join(info, "key").mapInArrow(tidy(sift), _STARTS)
+
+
+def _later(asked: DataFrame) -> DataFrame:
+    """``key, at`` of the open strings, all but the first of each kind."""
+    few, many = SAMPLE_STARTS * shuffle_partitions(asked.sparkSession), asked.count()
+    hot = frequent(asked if many <= few else asked.sample(few / many, seed=7), "h")
+    is_hot = F.broadcast(asked.sparkSession.createDataFrame([(h,) for h in hot], "h long"))  # 4 a partition at most
+    place = F.struct("key", "at")
+    often = asked.join(is_hot, "h")
+    often = often.join(F.broadcast(often.groupBy("h").agg(F.min(place).alias("least"))), "h").where(place != F.col("least")).select("key", "at")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, idx, val, _ = _unblob(list(_small(batches, ["keys", "many", "idx", "val", "num"])))
-        order = np.lexsort((idx, keys, val))
-        later = np.zeros(len(order), bool)
-        later[1:] = val[order[1:]] == val[order[:-1]]
-        at = order[later]
-        at = at[np.lexsort((idx[at], keys[at]))]
-        if len(at):
-            yield _batch([(_GONE, *b) for b in _dealt(keys[at], idx[at], None, np.ones(len(at)), _home(keys[at], n))], schema)
+        for t in whole_groups(batches, "h"):
+            keys, idx, h = (t.column(c).to_numpy() for c in ("key", "at", "h"))
+            _, many = _runs(h)
+            again = np.flatnonzero(np.repeat(many > 1, many))
+            order = again[np.lexsort((idx[again], keys[again], h[again]))]
+            later = order[np.flatnonzero(h[order[1:]] == h[order[:-1]]) + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[later]), pa.array(idx[later])], names=["key", "at"])
 
-    return asked.repartitionById(n, F.col("bucket")).mapInArrow(tidy(compare), ddl)
+    rest = asked.join(is_hot, "h", "left_anti").select("key", "at", "h").repartition("h").sortWithinPartitions("h")
+    return often.unionByName(rest.mapInArrow(tidy(compare), "key long, at long"))
 
 
-def _spans(gone: DataFrame, n: int) -> DataFrame:
-    """A row per document that loses bytes: first places and lengths of the runs of starts of its repeats."""
+def _spans(gone: DataFrame) -> DataFrame:
+    """A row per document that loses bytes: first places and lengths of the runs of starts of its repeats (``key, at, many``)."""
     schema = _schema(_SPANS)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, idx, _, num = _unblob(list(_small(batches, ["keys", "many", "idx", "val", "num"])))
-        order = np.lexsort((idx, keys))
-        keys, idx, num = keys[order], idx[order], num[order].astype(np.int64)
-        # runs of one document that touch become one; known and open places never overlap
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (idx[1:] != idx[:-1] + num[:-1])
-        first = np.flatnonzero(new)
-        if not len(first):
-            return
-        keys, idx, num = keys[first], idx[first], np.add.reduceat(num, first)
-        s, many = _runs(keys)
-        begins, sizes = idx.astype("<u4").tobytes(), num.astype("<u4").tobytes()
-        out = [(int(keys[a]), begins[4 * a : 4 * (a + m)], sizes[4 * a : 4 * (a + m)]) for a, m in zip(s.tolist(), many.tolist(), strict=True)]
-        for at in range(0, len(out), 4096):
-            yield _batch(out[at : at + 4096], schema)
-
-    return gone.repartitionById(n, F.col("bucket")).mapInArrow(tidy(gather), _SPANS)
+        for t in whole_groups(batches, "key"):
+            keys, idx, num = (t.column(c).to_numpy() for c in ("key", "at", "many"))
+            order = np.lexsort((idx, keys))
+            keys, idx, num = keys[order], idx[order], num[order]
+            # runs of one document that touch become one; known and open places never overlap
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (idx[1:] != idx[:-1] + num[:-1])
+            first = np.flatnonzero(new)
+            keys, idx, num = keys[first], idx[first], np.add.reduceat(num, first)
+            s, many = _runs(keys)
+            begins, sizes = idx.astype("<u4").tobytes(), num.astype("<u4").tobytes()
+            out = [(int(keys[a]), begins[4 * a : 4 * (a + m)], sizes[4 * a : 4 * (a + m)]) for a, m in zip(s.tolist(), many.tolist(), strict=True)]
+            for at in range(0, len(out), 4096):
+                yield _batch(out[at : at + 4096], schema)
+
+    return gone.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(gather), _SPANS)
 
 
 def _cut(docs: DataFrame, spans: DataFrame, keep: bool) -> DataFrame:
@@ -554,8 +492,6 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFram
     if d.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return d.select(F.col("doc_id").alias("key"), "text"), None
     d = materialise(d.withColumn("h", F.xxhash64("text")), "texts")
-    from scrivana.llm.common import prefix_sums
-
     rows = d.groupBy("doc_id", "h").agg(F.count("*").alias("rows")).withColumn("one", F.lit(1).cast("long"))
     order: list[Column] = [F.col("doc_id").asc_nulls_first(), F.col("h")]
     keys = materialise(prefix_sums(rows, order, "one", "keys").select("doc_id", "h", "rows", F.col("before").alias("key")), "keys")
@@ -572,8 +508,9 @@ def remove_repeats(docs: DataFrame, *, keep_bytes: bool = False, id_col: str = "
     their texts' hashes (null ids first of all); rows that repeat id and text are one document, with
     the same result for each row. An empty table gives no row; other columns are ignored.
 
-    Nothing but totals per partition reaches the driver. Tasks hold one bucket of phrase
-    occurrences (12 to 20 bytes each) or one document.
+    Nothing but totals per partition reaches the driver. Tasks hold a bounded batch of rows, or
+    one document; a phrase or string however frequent is added up before it is sent, and its
+    occurrences are dealt over as many tasks as they need.
     """
     out, ids = _removed(docs, keep_bytes, id_col, text)
     if ids is None:
@@ -586,20 +523,16 @@ def remove_repeats(docs: DataFrame, *, keep_bytes: bool = False, id_col: str = "
 
 def _removed(docs: DataFrame, keep_bytes: bool, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
     """Results by ``key``, and the map from keys to ids and text hashes where keys are not the ids (see :func:`_keyed`)."""
-    n = shuffle_partitions(docs.sparkSession)
     keyed, ids = _keyed(docs, id_col, text)
-    strings = materialise(_strings(_repeated(_phrase_blobs(keyed, n), n), n), "strings")
-    release(docs.sparkSession)
-    info = _verdicts(strings, n)
+    strings = materialise(_strings(_repeated(keyed)), "strings")
+    info = _verdicts(strings)
     discard(strings)
-    places = materialise(_places(keyed, info, n), "places")
+    places = materialise(_places(keyed, info), "places")
     discard(info)
-    release(docs.sparkSession)
-    later = _later(places.where(F.col("kind") == _ASKED), n)
-    spans = materialise(_spans(places.where(F.col("kind") == _GONE).union(later), n), "spans")
+    later = _later(places.where(F.col("kind") == _ASKED))
+    known = places.where(F.col("kind") == _GONE).select("key", "at", "many")
+    spans = materialise(_spans(known.unionByName(later.withColumn("many", F.lit(1).cast("long")))), "spans")
     discard(places)
-    del later
-    release(docs.sparkSession)
     return _cut(keyed, spans, keep_bytes), ids
 
 

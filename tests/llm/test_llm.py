@@ -287,7 +287,7 @@ def test_confirmed_links(spark, tile, monkeypatch):
     near = [[j for j in range(40) if 5 * len(a & sets[j]) >= 4 * len(a | sets[j])] for a in sets]
     for _ in texts:
         part = [min(part[j] for j in near[i]) for i in range(40)]
-    got = {r.node: r.component for r in connected_components(simhash.confirmed_links(d, 5, 0.8)).collect()}
+    got = {r.node: r.component for r in simhash.confirmed_components(d, 5, 0.8).collect()}
     groups = lambda m: {frozenset(i for i in range(40) if m(i) == g) for g in {m(i) for i in range(40)}}
     assert groups(lambda i: got.get(i, i)) == groups(lambda i: part[i]) and len(set(part)) > 3
 
