@@ -118,24 +118,20 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2 if isinstance(doc_id, str) else F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 1 << 16) -> Iterator[pa.Table]:
-    """Tables of about ``least`` rows from batches sorted by ``key`` (a number), none of which cuts a group of equal keys."""
-    held, many = [], 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        many += b.num_rows
-        if many < least:
-            continue
-        k = b.column(key).to_numpy()
-        cut = int(np.searchsorted(k, k[-1]))
-        if cut == 0 and (len(held) == 1 or held[-2].column(key)[-1].as_py() == k[-1]):
-            continue  # one group so far
-        yield pa.Table.from_batches([*held[:-1], b.slice(0, cut)])
-        held, many = [b.slice(cut)], b.num_rows - cut
-    if held:
-        yield pa.Table.from_batches(held)
+#: Rows that a task sorts in memory.
+TASK_ROWS = 1 << 20
+
+
+def partitions(spark: SparkSession, rows_: int) -> int:
+    """How many partitions so many rows are dealt to: the session's shuffle partitions, fewer for few rows, and more where one
+    would get over TASK_ROWS, so that what a task holds does not grow with the input."""
+    return max(1, min(shuffle_partitions(spark), int(rows_) >> 15), -(-int(rows_) // TASK_ROWS))
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    """All rows of a partition (see :func:`partitions` for how many), None if there are none."""
+    held = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(held).combine_chunks() if held else None
 
 
 def join_back(rows_: DataFrame, totals: DataFrame, key: str, size: str, tie: list[str], how: str = "inner") -> DataFrame:
@@ -154,61 +150,55 @@ def join_back(rows_: DataFrame, totals: DataFrame, key: str, size: str, tie: lis
     return r.join(t, [key, "__place"], how).drop("__place")
 
 
-def frequent(rows_: DataFrame, key: str) -> list:
-    """Values of ``key`` that a sample of rows holds often enough to fill a quarter of a partition: 4 a partition at most.
+def frequent(rows_: DataFrame, key: str) -> tuple[list, int]:
+    """Values of ``key`` that a sample of rows holds often enough to fill a quarter of a partition, 4 a partition at most, and the rows.
 
     Only for balance, as the bounds of range partitions are sampled: what is missed or found too much changes no result.
     """
     least, seen = 4 * shuffle_partitions(rows_.sparkSession), Observation()
     sums = rows_.groupBy(key).agg(F.count("*").alias("n")).observe(seen, F.sum("n").alias("all"))
     most = [tuple(r) for r in sums.where("n >= 8").orderBy(F.desc("n")).limit(least).collect()]
-    return [k for k, n in most if n * least >= (seen.get["all"] or 0)]
+    total = seen.get["all"] or 0
+    return [k for k, n in most if n * least >= total], total
 
 
-def numbered(df: DataFrame, order: list[Column], same: list[str], weigh: Callable[[pa.RecordBatch], np.ndarray], weights: int, name: str, keep: list[str]) -> tuple[DataFrame, list[int]]:
+def numbered(df: DataFrame, order: list[str], same: list[str], weigh: Callable[[pa.Table], np.ndarray], weights: int, name: str, keep: list[str]) -> DataFrame:
     """Sort all rows, and give each the sums ``before0``, ``before1`` ... of the weights of all rows that sort before its run.
 
-    ``order`` must be total; a run is a maximal stretch of rows equal in the columns ``same`` (longs), whatever partitions it
-    spans. ``weigh`` gives a row's weights from a batch. One range shuffle sorts, each partition adds up on its own, and
-    only a row for each partition (its totals, first and last run) reaches the driver. ``df`` should be cheap to read twice,
-    as the bounds are sampled. Returns the columns ``keep`` with the sums, and the sums over all rows.
+    ``order`` (long and int columns) must be total; a run is a maximal stretch of rows equal in the columns ``same`` (longs),
+    whatever partitions it spans. ``weigh`` gives the rows' weights. One range shuffle over all of ``order`` deals the rows, so
+    rows that are alike in its first columns are cut anywhere; a task sorts its own and adds up, and only a row for each
+    partition (its totals, first and last run) reaches the driver. ``df`` is a materialised table, as it is counted and its
+    bounds are sampled. Returns the columns ``keep`` with the sums.
     """
     from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
-    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id())
+    dealt = df.repartitionByRange(partitions(df.sparkSession, df.count()), *order).withColumn("__pid", F.spark_partition_id())
     local = [f"before{k}" for k in range(weights)]
-    out = StructType([*(sorted_.schema[c] for c in (*keep, "__pid")), *(StructField(c, LongType()) for c in local), StructField("__head", BooleanType()), StructField("__note", ArrayType(LongType()))])
-    arrow = pa.schema([(c, pa.int64()) for c in local] + [("__head", pa.bool_()), ("__note", pa.list_(pa.int64()))])
+    out = StructType([*(dealt.schema[c] for c in (*keep, "__pid")), *(StructField(c, LongType()) for c in local), StructField("__head", BooleanType()), StructField("__note", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, start, first, last, head, kept, pid = np.zeros(weights, np.int64), np.zeros(weights, np.int64), None, None, True, None, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            kept = b.select([*keep, "__pid"])
-            keys = [b.column(c).to_numpy() for c in same]
-            w = weigh(b).astype(np.int64).reshape(-1, weights)
-            sums = np.cumsum(w, axis=0) - w + total
-            new = np.ones(len(w), bool)
-            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-            new[0] = last is None or any(k[0] != v for k, v in zip(keys, last, strict=True))
-            at = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
-            before = np.where(at[:, None] >= 0, sums[np.maximum(at, 0)], start)
-            first = first or [int(k[0]) for k in keys]
-            fresh = np.flatnonzero(new)
-            border = (fresh[fresh > 0] if last is None else fresh)[:1]  # where the partition's first run ends
-            heads = np.arange(len(w)) < (border[0] if len(border) else len(w)) if head else np.zeros(len(w), bool)
-            head = bool(heads[-1])
-            last, start, total, pid = [int(k[-1]) for k in keys], before[-1], total + w.sum(axis=0), b.column("__pid")[0].as_py()
-            cols = [*(pa.array(before[:, k]) for k in range(weights)), pa.array(heads), pa.nulls(len(w), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *cols], names=[*kept.schema.names, *arrow.names])
-        if kept is not None:  # the partition's own row
-            note = [*total.tolist(), *start.tolist(), *first, *last]
-            blank = [pa.array([pid], kept.schema.field(c).type) if c == "__pid" else pa.nulls(1, kept.schema.field(c).type) for c in kept.schema.names]
-            cols = [*(pa.nulls(1, pa.int64()) for _ in local), pa.array([head]), pa.array([note], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*blank, *cols], names=[*kept.schema.names, *arrow.names])
-
-    done = materialise(sorted_.mapInArrow(tidy(run), out), name)
+        t = gathered(batches)
+        if t is None:
+            return
+        at = np.lexsort([t.column(c).to_numpy() for c in order[::-1]])
+        t = t.take(pa.array(at))
+        keys = [t.column(c).to_numpy() for c in same]
+        w = weigh(t).astype(np.int64).reshape(-1, weights)
+        new = np.ones(len(w), bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+        before = (np.cumsum(w, axis=0) - w)[first]
+        note = [*w.sum(axis=0).tolist(), *before[-1].tolist(), *(int(k[0]) for k in keys), *(int(k[-1]) for k in keys)]
+        kept = t.select([*keep, "__pid"])
+        full = pa.Table.from_arrays([*kept.columns, *(pa.array(before[:, k]) for k in range(weights)), pa.array(first == 0), pa.nulls(len(w), pa.list_(pa.int64()))], names=[*kept.column_names, *local, "__head", "__note"])
+        blank = [kept.column(c).slice(0, 1) if c == "__pid" else pa.nulls(1, kept.schema.field(c).type) for c in kept.column_names]
+        # the partition's own row; its head is true if all its rows are one run
+        own = pa.Table.from_arrays([*blank, *(pa.nulls(1, pa.int64()) for _ in local), pa.array([bool(first[-1] == 0)]), pa.array([note], pa.list_(pa.int64()))], names=full.column_names)
+        for table_ in (full, own):
+            yield from table_.to_batches(max_chunksize=1 << 16)
+
+    done = materialise(dealt.mapInArrow(tidy(run), out), name)
     base, open_at, tail, shift = np.zeros(weights, np.int64), None, None, []
     for r in done.where(F.col("__note").isNotNull()).select("__pid", "__head", "__note").orderBy("__pid").collect():
         n = r["__note"]
@@ -223,7 +213,7 @@ def numbered(df: DataFrame, order: list[Column], same: list[str], weigh: Callabl
     sums = [F.when(F.col("__head"), F.col(f"__begun{k}")).otherwise(F.col(f"__base{k}") + F.col(f"before{k}")).alias(f"before{k}") for k in range(weights)]
     out = out.select(*keep, *sums)
     out._scrivana_path = done._scrivana_path
-    return out, base.tolist()
+    return out
 
 
 def prefix_sums(df: DataFrame, order: list[Column], size: str, name: str) -> DataFrame:

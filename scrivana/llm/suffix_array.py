@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import discard, materialise, numbered, tidy, whole_groups
+from scrivana.llm.common import discard, gathered, materialise, numbered, partitions, tidy
 
 _LISTS = "sid long, kind int, need int, vals array<long>"
 _LIST_SCHEMA = pa.schema([("sid", pa.int64()), ("kind", pa.int32()), ("need", pa.int32()), ("vals", pa.list_(pa.int64()))])
@@ -33,6 +33,11 @@ _SUFFIX = "x long, y long, z long, sid long, i int, need int"
 _MERGED = "side int, x long, y long, z long, sid long, i int, zero int, own long"
 
 
+def _column(t: pa.Table, name: str) -> pa.Array:
+    c = t.column(name)
+    return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
+
+
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values, row and index in its row of every value of a list column."""
     many = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -48,25 +53,24 @@ def _after(values: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _column(t: pa.Table, name: str) -> pa.Array:
-    c = t.column(name)
-    return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
-
-
 def _lists(sid: np.ndarray, kind: int, need: np.ndarray, row_of: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     """A row of ``_LISTS`` for each string, from values in order of string."""
     ends = np.append(0, np.cumsum(np.bincount(row_of, minlength=len(sid)))).astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(np.full(len(sid), kind, np.int32)), pa.array(need.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int64)))], schema=_LIST_SCHEMA)
 
 
-def _grouped(t: pa.Table, ordered: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows sorted by string: their order by string and place, the first row of each string, and the string's number of each row."""
+def _grouped(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of rows by string and place, and in that order the first row of each string and each row's number of its string."""
     sid, i = (_column(t, c).to_numpy() for c in ("sid", "i"))
+    order = np.lexsort((i, sid))
+    sid = sid[order]
     new = np.ones(len(sid), bool)
     new[1:] = sid[1:] != sid[:-1]
-    row = np.cumsum(new) - 1
-    order = np.argsort(row * (int(i.max()) + 1) + i, kind="stable") if ordered else np.arange(len(sid))
-    return order, np.flatnonzero(new), row
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    yield from (batch.slice(at, 1 << 14) for at in range(0, batch.num_rows, 1 << 14))
 
 
 def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,60 +85,63 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Names (from 1 on) of each string's sampled places in order, and for strings that go deeper how many deeper suffixes have smaller ones."""
-    for t in whole_groups(batches, "sid"):
-        order, first, row = _grouped(t)
-        need, name, deep = (_column(t, c).to_numpy()[order] for c in ("need", "before0", "before1"))
-        ids = _column(t, "sid").to_numpy()[first]
-        yield _lists(ids, _NAMES, need[first], row, name + 1)
-        go = need[first] > 3
-        if go.any():
-            at = go[row]
-            yield _lists(ids[go], _DEEP, need[first][go], (np.cumsum(go) - 1)[row[at]], deep[at])
+    if (t := gathered(batches)) is None:
+        return
+    order, first, row = _grouped(t)
+    sid, need, name, deep = (_column(t, c).to_numpy()[order] for c in ("sid", "need", "before0", "before1"))
+    yield from _parts(_lists(sid[first], _NAMES, need[first], row, name + 1))
+    go = need[first] > 3
+    if go.any():
+        at = go[row]
+        yield from _parts(_lists(sid[first][go], _DEEP, need[first][go], (np.cumsum(go) - 1)[row[at]], deep[at]))
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From all that is known of a string the rows by which its suffixes are merged: those of remainder 0 with either kind of the others."""
-    for t in whole_groups(batches, "sid"):
-        kind = _column(t, "kind").to_numpy()
-        part = lambda k, t=t, kind=kind: t.filter(pa.array(kind == k))
-        s = part(_SYMBOLS)
-        if not s.num_rows:
-            continue
-        sym, row, i = _flat(_column(s, "vals"))
-        own = np.zeros(len(sym), np.int64)  # 1 higher than the rank among sampled suffixes, so that 0 is the end
-        own[i % 3 != 0] = _flat(_column(part(_NAMES), "vals"))[0]
-        deep = _column(s, "need").to_numpy()[row] > 3
-        if deep.any():
-            # among suffixes of one name the deeper order decides; names have room for as many ranks as they have suffixes
-            own[deep & (i % 3 != 0)] -= _flat(_column(part(_DEEP), "vals"))[0]
-            for k in (1, 2):
-                own[deep & (i % 3 == k)] += _flat(_column(part(_FINE1 + k - 1), "vals"))[0]
-        r1, r2, s2, sid = _after(own, row, 1), _after(own, row, 2), _after(sym, row, 1), _column(s, "sid").to_numpy()[row]
-        for side, at, keys in ((0, np.flatnonzero(i % 3 != 2), (sym, r1, np.zeros_like(r1))), (1, np.flatnonzero(i % 3 != 1), (sym, s2, r2))):
-            zero = (i[at] % 3 == 0).astype(np.int32)
-            cols = [np.full(len(at), side, np.int32), *(k[at] for k in keys), sid[at], i[at].astype(np.int32), zero, np.where(zero == 1, 0, own[at] - 1)]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["side", "x", "y", "z", "sid", "i", "zero", "own"])
+    if (t := gathered(batches)) is None:
+        return
+    kind, sids = (_column(t, c).to_numpy() for c in ("kind", "sid"))
+
+    def part(k: int) -> pa.Table:
+        at = np.flatnonzero(kind == k)
+        return t.take(pa.array(at[np.argsort(sids[at], kind="stable")]))
+
+    s = part(_SYMBOLS)
+    sym, row, i = _flat(_column(s, "vals"))
+    own = np.zeros(len(sym), np.int64)  # 1 higher than the rank among sampled suffixes, so that 0 is the end
+    own[i % 3 != 0] = _flat(_column(part(_NAMES), "vals"))[0]
+    deep = _column(s, "need").to_numpy()[row] > 3
+    if deep.any():
+        # among suffixes of one name the deeper order decides; names have room for as many ranks as they have suffixes
+        own[deep & (i % 3 != 0)] -= _flat(_column(part(_DEEP), "vals"))[0]
+        for k in (1, 2):
+            own[deep & (i % 3 == k)] += _flat(_column(part(_FINE1 + k - 1), "vals"))[0]
+    r1, r2, s2, sid = _after(own, row, 1), _after(own, row, 2), _after(sym, row, 1), _column(s, "sid").to_numpy()[row]
+    for side, at, keys in ((0, np.flatnonzero(i % 3 != 2), (sym, r1, np.zeros_like(r1))), (1, np.flatnonzero(i % 3 != 1), (sym, s2, r2))):
+        zero = (i[at] % 3 == 0).astype(np.int32)
+        cols = [np.full(len(at), side, np.int32), *(k[at] for k in keys), sid[at], i[at].astype(np.int32), zero, np.where(zero == 1, 0, own[at] - 1)]
+        yield from _parts(pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["side", "x", "y", "z", "sid", "i", "zero", "own"]))
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in whole_groups(batches, "sid"):
-        _, head, row = _grouped(t, False)
-        i, part = (_column(t, c).to_numpy() for c in ("i", "part"))
-        many = np.zeros(len(head), np.int64)
-        np.maximum.at(many, row, i + 1)
-        ends = np.cumsum(many)
-        # a suffix of remainder 0 has a part from either side
-        ranks = np.zeros(ends[-1], np.int64)
-        np.add.at(ranks, (ends - many)[row] + i, part)
-        yield _lists(_column(t, "sid").to_numpy()[head], _SYMBOLS, np.zeros(len(head)), np.repeat(np.arange(len(head)), many), ranks)
-
-
-def _weigh_triples(b: pa.RecordBatch) -> np.ndarray:
+    """Ranks of each string's suffixes; one of remainder 0 has a part from either side."""
+    if (t := gathered(batches)) is None:
+        return
+    order, _, row = _grouped(t)
+    sid, i, part = (_column(t, c).to_numpy()[order] for c in ("sid", "i", "part"))
+    new = np.ones(len(sid), bool)
+    new[1:] = (sid[1:] != sid[:-1]) | (i[1:] != i[:-1])
+    first = np.flatnonzero(new)
+    head = np.flatnonzero(i[first] == 0)
+    yield from _parts(_lists(sid[first][head], _SYMBOLS, np.zeros(len(head)), row[first], np.add.reduceat(part, first)))
+
+
+def _weigh_triples(b: pa.Table) -> np.ndarray:
     need = b.column("need").to_numpy()
     return np.stack([np.ones(len(need), np.int64), need > 3], axis=1)
 
 
-def _weigh_merged(b: pa.RecordBatch) -> np.ndarray:
+def _weigh_merged(b: pa.Table) -> np.ndarray:
     side, zero = (b.column(c).to_numpy() for c in ("side", "zero"))
     return np.stack([(side == s) & (zero == z) for s in (0, 1) for z in (1, 0)], axis=1)
 
@@ -142,10 +149,10 @@ def _weigh_merged(b: pa.RecordBatch) -> np.ndarray:
 def _ranked(strings: DataFrame) -> DataFrame:
     """Ranks (rows of ``_LISTS``) of the suffixes of strings (rows of ``_LISTS``)."""
     most = strings.agg(F.max("need")).first()[0] or 0
-    order = lambda *c: [F.col(x) for x in (*c, "sid", "i")]
     triples = materialise(strings.mapInArrow(tidy(_triples), _SUFFIX), "triples")
-    names, _ = numbered(triples, order("x", "y", "z"), ["x", "y", "z"], _weigh_triples, 2, "names", ["sid", "i", "need"])
-    halves = materialise(names.repartition("sid").sortWithinPartitions("sid").mapInArrow(tidy(_named), _LISTS), "halves")
+    names = numbered(triples, ["x", "y", "z", "sid", "i"], ["x", "y", "z"], _weigh_triples, 2, "names", ["sid", "i", "need"])
+    n = partitions(strings.sparkSession, 2 * triples.count())
+    halves = materialise(names.repartition(n, "sid").mapInArrow(tidy(_named), _LISTS), "halves")
     discard(triples, names)
     all_, fine = [strings, halves], None
     if most > 3:
@@ -154,14 +161,14 @@ def _ranked(strings: DataFrame) -> DataFrame:
         deeper = each.select(half.alias("h"), F.ceil(F.col("need") / 3).cast("int").alias("need")).where(F.size("h.vals") > 0)
         fine = _ranked(deeper.select("h.sid", F.lit(_SYMBOLS).alias("kind"), "need", "h.vals"))
         all_.append(fine.select(F.shiftright("sid", 1).alias("sid"), (F.lit(_FINE1) + F.col("sid").bitwiseAND(F.lit(1))).cast("int").alias("kind"), "need", "vals"))
-    both = reduce(DataFrame.unionByName, all_).repartition("sid").sortWithinPartitions("sid")
+    both = reduce(DataFrame.unionByName, all_).repartition(n, "sid")
     spread = materialise(both.mapInArrow(tidy(_spread), _MERGED), "spread")
     discard(halves, *([] if fine is None else [fine]))
-    merged, _ = numbered(spread, order("x", "side", "y", "z"), ["x", "side", "y", "z"], _weigh_merged, 4, "merged", ["side", "sid", "i", "zero", "own"])
+    merged = numbered(spread, ["x", "side", "y", "z", "sid", "i"], ["x", "side", "y", "z"], _weigh_merged, 4, "merged", ["side", "sid", "i", "zero", "own"])
     b = [F.col(f"before{k}") for k in range(4)]
     zero = F.col("zero") == 1
     part = F.when(F.col("side") == 0, F.when(zero, b[0] + b[1]).otherwise(F.col("own") + b[0])).otherwise(F.when(zero, b[3]).otherwise(F.col("own") + b[2]))
-    out = merged.select("sid", "i", part.alias("part")).repartition("sid").sortWithinPartitions("sid")
+    out = merged.select("sid", "i", part.alias("part")).repartition(n, "sid")
     out = materialise(out.mapInArrow(tidy(_settled), _LISTS), "ranks")
     discard(spread, merged)
     return out

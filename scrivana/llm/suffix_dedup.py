@@ -31,12 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import discard, frequent, join_back, materialise, numbered, prefix_sums, shuffle_partitions, table, tidy, whole_groups
+from scrivana.llm.common import discard, frequent, gathered, join_back, materialise, numbered, partitions, prefix_sums, shuffle_partitions, table, tidy
 from scrivana.llm.suffix_array import suffix_ranks
 
 #: Bytes of a string whose repeats go; bytes of an anchor and of its inner strings: 3 K - 2 S - 2 <= LENGTH
 #: makes each string hold two whole anchors, hence a phrase.
-LENGTH, K, S = 100, 36, 5
+LENGTH, K, S = 100, 44, 16
 #: A string of phrases is cut before every phrase whose hash is a multiple of PIECE, and after LONGEST phrases
 #: (which makes a periodic passage a few strings over and over).
 PIECE, LONGEST = 16, 32
@@ -57,12 +57,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _eights(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rolling hashes of every byte, of every 4 and of every 8 bytes."""
+def _eights(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rolling hashes of every 4 and of every 8 bytes."""
     one = _TABLE.take(raw)
     two = one[:-1] * _P[1] + one[1:]
     four = two[:-2] * _P[2] + two[2:]
-    return one, four, four[:-4] * _P[4] + four[4:]
+    return four, four[:-4] * _P[4] + four[4:]
 
 
 def _joined(eight: np.ndarray, four: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -76,8 +76,8 @@ def _joined(eight: np.ndarray, four: np.ndarray, at: np.ndarray, length: int) ->
 def _anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(raw) < K:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    one, four, eight = _eights(raw)
-    inner = (_mix(four[: len(raw) - S + 1] * _P[1] + one[4:]) >> np.uint64(32)).astype(np.uint32)
+    four, eight = _eights(raw)
+    inner = (_mix(eight[: len(raw) - S + 1] * _P[8] + eight[8:]) >> np.uint64(32)).astype(np.uint32)
     width, least, have = K - S + 1, inner, 1
     while 2 * have <= width:
         least = np.minimum(least[:-have], least[have:])
@@ -111,7 +111,7 @@ def string_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         low = int(starts[first])
         last = int(np.searchsorted(starts, low + _SLICE))
         q = starts[first:last] - low
-        _, four, eight = _eights(raw[low : int(starts[last - 1]) + LENGTH])
+        four, eight = _eights(raw[low : int(starts[last - 1]) + LENGTH])
         out.append(_mix(_joined(eight, four, q, LENGTH)))
         first = last
     return np.concatenate(out) if out else np.empty(0, np.uint64)
@@ -172,26 +172,30 @@ def _phrase_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     return docs.select("key", "text").mapInArrow(tidy(make), "key long, at long, g long, hot long")
 
 
-def _repeated(docs: DataFrame) -> DataFrame:
-    """The occurrences of phrases that occur twice or more (``key, at, h, n``), a document's together.
+def _repeated(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """The occurrences of phrases that occur twice or more (``key, at, h, n``), a document's in one partition, and the frequent phrases.
 
     n is how often the phrase occurs, or 0 (unknown) for the few frequent ones, whose occurrences never meet.
     """
     few, many = max(SAMPLE_DOCS, SAMPLE_EACH * shuffle_partitions(docs.sparkSession)), docs.count()
     sample = docs if many <= few else docs.sample(few / many, seed=7)
-    hot = np.array(sorted(frequent(_phrase_rows(sample, np.empty(0, np.int64)), "g")), np.int64)
+    often, seen = frequent(_phrase_rows(sample, np.empty(0, np.int64)), "g")
+    hot, n = np.array(sorted(often), np.int64), partitions(docs.sparkSession, 2 * seen * many // max(1, min(few, many)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "g"):
-            g, is_hot = t.column("g").to_numpy(), t.column("hot").is_valid().to_numpy()
-            _, many = _runs(g)
-            n = np.where(is_hot, 0, np.repeat(many, many))
-            keep = np.flatnonzero(n != 1)
-            h = pc.coalesce(t.column("hot"), t.column("g")).to_numpy()
-            yield pa.RecordBatch.from_arrays([*(pa.array(t.column(c).to_numpy()[keep]) for c in ("key", "at")), pa.array(h[keep]), pa.array(n[keep])], names=["key", "at", "h", "n"])
+        if (t := gathered(batches)) is None:
+            return
+        order = np.argsort(t.column("g").to_numpy(), kind="stable")
+        _, many = _runs(t.column("g").to_numpy()[order])
+        n = np.where(t.column("hot").is_valid().to_numpy()[order], 0, np.repeat(many, many))
+        order, n = order[n != 1], n[n != 1]
+        key, at, h = t.column("key").to_numpy(), t.column("at").to_numpy(), pc.coalesce(t.column("hot"), t.column("g")).to_numpy()
+        for k in range(0, len(order), 1 << 16):
+            o = order[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[o]) for c in (key, at, h)] + [pa.array(n[k : k + (1 << 16)])], names=["key", "at", "h", "n"])
 
-    found = _phrase_rows(docs, hot).repartition("g").sortWithinPartitions("g").mapInArrow(tidy(find), "key long, at long, h long, n long")
-    return found.repartition("key").sortWithinPartitions("key")
+    found = _phrase_rows(docs, hot).repartition(n, "g").mapInArrow(tidy(find), "key long, at long, h long, n long")
+    return found.repartition(n, "key"), hot
 
 
 _STRING = "sid long, key long, first int, length int, syms binary, nums binary, gaps binary"
@@ -203,7 +207,7 @@ def _strings(repeated: DataFrame) -> DataFrame:
     schema = _schema(_STRING)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "key", _FLUSH):
+        if (t := gathered(batches)) is not None:
             yield from cut_some(*(t.column(c).to_numpy() for c in ("key", "at", "h", "n")))
 
     def cut_some(keys: np.ndarray, idx: np.ndarray, val: np.ndarray, num: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -301,7 +305,7 @@ def _adjacent_runs(suffixes: DataFrame) -> DataFrame:
     """Sort suffixes by rank and number the runs of adjacent equal prefixes (column ``run``: the suffixes before it)."""
     given = materialise(suffixes, "suffixes")
     keep = ["sid", "i", "occurs", "key", "first", "inner"]
-    done, _ = numbered(given, [F.col(c) for c in ("rank", "sid", "i")], ["prefix"], lambda b: np.ones(b.num_rows, np.int64), 1, "sorted", keep)
+    done = numbered(given, ["rank", "sid", "i"], ["prefix"], lambda t: np.ones(t.num_rows, np.int64), 1, "sorted", keep)
     discard(given)
     out = done.withColumnRenamed("before0", "run")
     out._scrivana_path = done._scrivana_path
@@ -355,8 +359,8 @@ def _verdicts(strings: DataFrame) -> DataFrame:
 
 _RESULT = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 _SPANS = "key long, begins binary, sizes binary"
-#: What a row of places is: strings known to be repeats (runs of starts), or open ones with their hashes.
-_GONE, _ASKED = 0, 1
+#: What a row of places is: a run of starts of strings known to be repeats, one of open strings, or one open string of a frequent phrase.
+_GONE, _ASKED, _OFTEN = range(3)
 
 
 def _finish(raw: bytes, begins: np.ndarray, sizes: np.ndarray, keep: bool) -> tuple:
@@ -370,8 +374,9 @@ def _finish(raw: bytes, begins: np.ndarray, sizes: np.ndarray, keep: bool) -> tu
     return len(raw), len(raw) - len(kept), len(begins), hashlib.sha256(kept).hexdigest(), kept if keep else None
 
 
-def _sift(at: np.ndarray, length: int, info: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text with these anchors: first places and lengths of the runs of starts known to be repeats, and the starts still open.
+def _sift(at: np.ndarray, length: int, info: list[dict]) -> tuple[np.ndarray, ...]:
+    """Of a text with these anchors: first places and lengths of the runs of starts known to be repeats, and first phrases, first
+    places and lengths of the runs of starts still open.
 
     A string that starts after anchor p - 1 and not after anchor p begins with phrase p. It can only be a repeat if all the
     phrases it holds are repeated ones, so within a run of these its end must come before the run's next phrase is whole.
@@ -397,50 +402,87 @@ def _sift(at: np.ndarray, length: int, info: list[dict]) -> tuple[np.ndarray, np
     begins, sizes = np.concatenate([low[gone], at[p[single]]]), np.concatenate([(high - low + 1)[gone], np.ones(single.sum(), np.int64)])
     order = np.argsort(begins, kind="stable")
     left = before == _OPEN
-    first, n = low[left], (high - low + 1 - at_anchor)[left]
-    asked = np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
-    return begins[order], sizes[order], asked
+    left &= high - low + 1 > at_anchor
+    return begins[order], sizes[order], p[left], low[left], (high - low + 1 - at_anchor)[left]
 
 
-_STARTS = "kind int, key long, at long, many long, h long"
+def _each(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of runs with these first ones and lengths."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _places(docs: DataFrame, info: DataFrame) -> DataFrame:
-    """Of the documents with repeated phrases the runs of starts known to be repeats, and the open starts with their strings' hashes."""
+_STARTS = "kind int, key long, at long, many long, g long, hashes binary"
+
+
+def _places(docs: DataFrame, info: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Of the documents with repeated phrases the runs of starts known to be repeats, and the runs of open ones with the hashes
+    of their strings.
+
+    Equal strings begin with equal phrases at equal distances, so open runs meet by their first phrase (column ``g``); those of
+    frequent phrases are rows of one start each, which meet by their string's hash.
+    """
+
+    def rows(kind: int, key: int, at: np.ndarray, many: np.ndarray, g: pa.Array, data: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        if len(at):
+            ends = np.append(0, np.cumsum(many) * 8).astype(np.int32)
+            hashes = pa.nulls(len(at), pa.binary()) if data is None else pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+            cols = [pa.array(np.full(len(at), kind, np.int32)), pa.array(np.full(len(at), key)), pa.array(at.astype(np.int64)), pa.array(many.astype(np.int64)), g, hashes]
+            b = pa.RecordBatch.from_arrays(cols, names=["kind", "key", "at", "many", "g", "hashes"])
+            yield from (b.slice(k, 1 << 16) for k in range(0, b.num_rows, 1 << 16))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text, found in _small(batches, ["key", "text", "info"]):
             raw = _bytes(text)
-            begins, sizes, asked = _sift(anchors(raw)[0], len(raw), found)
-            for kind, at, many, h in ((_GONE, begins, sizes, None), (_ASKED, asked, np.ones(len(asked), np.int64), string_hashes(raw, asked).view(np.int64))):
-                for k in range(0, len(at), _FLUSH):
-                    a = at[k : k + _FLUSH].astype(np.int64)
-                    cols = [pa.array(np.full(len(a), kind, np.int32)), pa.array(np.full(len(a), key)), pa.array(a), pa.array(many[k : k + _FLUSH].astype(np.int64)), pa.nulls(len(a), pa.int64()) if h is None else pa.array(h[k : k + _FLUSH])]
-                    yield pa.RecordBatch.from_arrays(cols, names=["kind", "key", "at", "many", "h"])
+            at, h = phrases(raw)
+            begins, sizes, p, first, n = _sift(at, len(raw), found)
+            yield from rows(_GONE, key, begins, sizes, pa.nulls(len(begins), pa.int64()), None)
+            g = h[p].view(np.int64)
+            often = np.isin(g, hot)
+            for k in range(0, len(g), 1 << 16):  # bounded for a very long text
+                o, m, a = often[k : k + (1 << 16)], n[k : k + (1 << 16)], first[k : k + (1 << 16)]
+                strings = string_hashes(raw, _each(a, m))
+                single = np.repeat(o, m)
+                yield from rows(_ASKED, key, a[~o], m[~o], pa.array(g[k : k + (1 << 16)][~o]), strings[~single])
+                yield from rows(_OFTEN, key, _each(a[o], m[o]), np.ones(m[o].sum(), np.int64), pa.array(strings[single].view(np.int64)), strings[single])
 
     return docs.select("key", "text").join(info, "key").mapInArrow(tidy(sift), _STARTS)
 
 
-def _later(asked: DataFrame) -> DataFrame:
-    """``key, at`` of the open strings, all but the first of each kind."""
-    few, many = SAMPLE_STARTS * shuffle_partitions(asked.sparkSession), asked.count()
-    hot = frequent(asked if many <= few else asked.sample(few / many, seed=7), "h")
-    is_hot = F.broadcast(asked.sparkSession.createDataFrame([(h,) for h in hot], "h long"))  # 4 a partition at most
+def _later(places: DataFrame) -> DataFrame:
+    """``key, at, many``: runs of open starts whose strings are not the first of their kind."""
+    single, spark = places.where(F.col("kind") == _OFTEN), places.sparkSession
+    few, many = SAMPLE_STARTS * shuffle_partitions(spark), single.count()
+    hot, _ = frequent(single if many <= few else single.sample(few / many, seed=7), "g")
+    is_hot = F.broadcast(spark.createDataFrame([(g,) for g in hot], "g long"))  # 4 a partition at most
     place = F.struct("key", "at")
-    often = asked.join(is_hot, "h")
-    often = often.join(F.broadcast(often.groupBy("h").agg(F.min(place).alias("least"))), "h").where(place != F.col("least")).select("key", "at")
+    often = single.join(is_hot, "g")
+    often = often.join(F.broadcast(often.groupBy("g").agg(F.min(place).alias("least"))), "g").where(place != F.col("least")).select("key", "at", "many")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "h"):
-            keys, idx, h = (t.column(c).to_numpy() for c in ("key", "at", "h"))
-            _, many = _runs(h)
-            again = np.flatnonzero(np.repeat(many > 1, many))
-            order = again[np.lexsort((idx[again], keys[again], h[again]))]
-            later = order[np.flatnonzero(h[order[1:]] == h[order[:-1]]) + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[later]), pa.array(idx[later])], names=["key", "at"])
-
-    rest = asked.join(is_hot, "h", "left_anti").select("key", "at", "h").repartition("h").sortWithinPartitions("h")
-    return often.unionByName(rest.mapInArrow(tidy(compare), "key long, at long"))
+        if (t := gathered(batches)) is None:
+            return
+        many = t.column("many").to_numpy()
+        keys, idx = np.repeat(t.column("key").to_numpy(), many), _each(t.column("at").to_numpy(), many)
+        h = np.frombuffer(b"".join(t.column("hashes").to_pylist()), np.int64)
+        order = np.argsort(h, kind="stable")
+        _, n = _runs(h[order])
+        again = order[np.repeat(n > 1, n)]
+        order = again[np.lexsort((idx[again], keys[again], h[again]))]
+        later = order[np.flatnonzero(h[order[1:]] == h[order[:-1]]) + 1]
+        later = later[np.lexsort((idx[later], keys[later]))]
+        keys, idx = keys[later], idx[later]
+        s, n = _runs(idx - np.arange(len(idx)))
+        new = np.zeros(len(idx), bool)
+        new[s] = True
+        new[1:] |= keys[1:] != keys[:-1]
+        s = np.flatnonzero(new)
+        b = pa.RecordBatch.from_arrays([pa.array(keys[s]), pa.array(idx[s]), pa.array(np.diff(np.append(s, len(idx))))], names=["key", "at", "many"])
+        yield from (b.slice(k, 1 << 16) for k in range(0, b.num_rows, 1 << 16))
+
+    open_ = places.where(F.col("kind") != _GONE)
+    n = partitions(spark, open_.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0])
+    rest = open_.join(is_hot.withColumn("kind", F.lit(_OFTEN)), ["g", "kind"], "left_anti").repartition(n, "g")
+    return often.unionByName(rest.select("key", "at", "many", "hashes").mapInArrow(tidy(compare), "key long, at long, many long"))
 
 
 def _spans(gone: DataFrame) -> DataFrame:
@@ -448,22 +490,23 @@ def _spans(gone: DataFrame) -> DataFrame:
     schema = _schema(_SPANS)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "key"):
-            keys, idx, num = (t.column(c).to_numpy() for c in ("key", "at", "many"))
-            order = np.lexsort((idx, keys))
-            keys, idx, num = keys[order], idx[order], num[order]
-            # runs of one document that touch become one; known and open places never overlap
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (idx[1:] != idx[:-1] + num[:-1])
-            first = np.flatnonzero(new)
-            keys, idx, num = keys[first], idx[first], np.add.reduceat(num, first)
-            s, many = _runs(keys)
-            begins, sizes = idx.astype("<u4").tobytes(), num.astype("<u4").tobytes()
-            out = [(int(keys[a]), begins[4 * a : 4 * (a + m)], sizes[4 * a : 4 * (a + m)]) for a, m in zip(s.tolist(), many.tolist(), strict=True)]
-            for at in range(0, len(out), 4096):
-                yield _batch(out[at : at + 4096], schema)
-
-    return gone.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(gather), _SPANS)
+        if (t := gathered(batches)) is None:
+            return
+        keys, idx, num = (t.column(c).to_numpy() for c in ("key", "at", "many"))
+        order = np.lexsort((idx, keys))
+        keys, idx, num = keys[order], idx[order], num[order]
+        # runs of one document that touch become one; known and open places never overlap
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (idx[1:] != idx[:-1] + num[:-1])
+        first = np.flatnonzero(new)
+        keys, idx, num = keys[first], idx[first], np.add.reduceat(num, first)
+        s, many = _runs(keys)
+        begins, sizes = idx.astype("<u4").tobytes(), num.astype("<u4").tobytes()
+        out = [(int(keys[a]), begins[4 * a : 4 * (a + m)], sizes[4 * a : 4 * (a + m)]) for a, m in zip(s.tolist(), many.tolist(), strict=True)]
+        for at in range(0, len(out), 4096):
+            yield _batch(out[at : at + 4096], schema)
+
+    return gone.repartition("key").mapInArrow(tidy(gather), _SPANS)
 
 
 def _cut(docs: DataFrame, spans: DataFrame, keep: bool) -> DataFrame:
@@ -524,14 +567,14 @@ def remove_repeats(docs: DataFrame, *, keep_bytes: bool = False, id_col: str = "
 def _removed(docs: DataFrame, keep_bytes: bool, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
     """Results by ``key``, and the map from keys to ids and text hashes where keys are not the ids (see :func:`_keyed`)."""
     keyed, ids = _keyed(docs, id_col, text)
-    strings = materialise(_strings(_repeated(keyed)), "strings")
+    repeated, hot = _repeated(keyed)
+    strings = materialise(_strings(repeated), "strings")
     info = _verdicts(strings)
     discard(strings)
-    places = materialise(_places(keyed, info), "places")
+    places = materialise(_places(keyed, info, hot), "places")
     discard(info)
-    later = _later(places.where(F.col("kind") == _ASKED))
     known = places.where(F.col("kind") == _GONE).select("key", "at", "many")
-    spans = materialise(_spans(known.unionByName(later.withColumn("many", F.lit(1).cast("long")))), "spans")
+    spans = materialise(_spans(known.unionByName(_later(places))), "spans")
     discard(places)
     return _cut(keyed, spans, keep_bytes), ids
 
