@@ -81,17 +81,19 @@ def sketch(h: np.ndarray, at: np.ndarray, text: str) -> tuple[np.ndarray, np.nda
         if len(np.unique(h[low])) >= KEEP:
             h, at = h[low], at[low]
     u, first = np.unique(h, return_index=True)  # places ascend, so the first index is the first place
-    return u[:KEEP], np.minimum(at[first[:KEEP]], 0xFFFFFF)
+    return u[:KEEP], at[first[:KEEP]]
 
 
 def to_text(s: tuple[np.ndarray, np.ndarray]) -> str:
-    """16 hex digits an anchor: 10 of the hash, 6 of the place."""
-    return ((s[0] << np.uint64(24)) | s[1].astype(np.uint64)).astype(">u8").tobytes().hex()
+    """18 hex digits an anchor: 10 of the hash, 8 of the place (a string has under 2^32 code points)."""
+    h, at = (x.astype(">u8").view(np.uint8).reshape(-1, 8) for x in s)
+    return np.concatenate([h[:, 3:], at[:, 4:]], axis=1).tobytes().hex()
 
 
 def from_text(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
-    v = np.frombuffer(bytes.fromhex(fingerprint), ">u8").astype(np.uint64)
-    return v >> np.uint64(24), (v & np.uint64(0xFFFFFF)).astype(np.int64)
+    raw = np.frombuffer(bytes.fromhex(fingerprint), np.uint8).reshape(-1, 9)
+    pad = lambda x: np.pad(x, ((0, 0), (8 - x.shape[1], 0))).copy().view(">u8")[:, 0]
+    return pad(raw[:, :5]).astype(np.uint64), pad(raw[:, 5:]).astype(np.int64)
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:

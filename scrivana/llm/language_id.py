@@ -19,8 +19,8 @@ from scrivana.llm.common import batched, held_out, table
 from scrivana.llm.ngrams import has_letter, hashed
 
 SIZES, BITS = (1, 2, 3), 16
-#: Labelled documents of each language that the fit may take (by least id hash, about), and languages at most.
-SAMPLE, MAX_LANGS = 500, 200
+#: Labelled documents of each language that the fit may take (by least id hash), and of all languages together.
+SAMPLE, SAMPLE_ALL = 500, 50_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.001, 4
 UNKNOWN = "und"
 
@@ -103,19 +103,24 @@ def identify_text(text: str | None, model: Model) -> tuple[str, float]:
     return model.langs[int(p.argmax())], float(p.max())
 
 
-def train(docs: DataFrame, per_lang: int = SAMPLE) -> Model:
-    """Fit on about ``per_lang`` documents of each language outside the held-out quarter, and never over twice that.
+def train(docs: DataFrame, per_lang: int = SAMPLE, most: int = SAMPLE_ALL) -> Model:
+    """Fit on about ``per_lang`` documents of each language outside the held-out quarter, fewer of each where all would be over ``most``.
 
-    Languages are counted over all rows; a document is chosen if the hash of its id falls below its
-    language's share, so nothing is shuffled but counts. Null texts and languages are left out.
+    Languages are counted over all rows, and every one is learned; a document is chosen if the hash of its id falls below its
+    language's share, so nothing is shuffled but counts, and rows of least hash stand for the rest where that gives over twice
+    ``most``. Null texts and languages are left out; rows repeated are learned as often.
     """
     d = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull())
-    found = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not found:
+    counts = d.groupBy("lang").count()
+    langs = counts.count()
+    if not langs:
         return Model([], np.zeros((1 << BITS, 1)), np.zeros(1), np.ones(1 << BITS), 1.0)
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_lang / r["count"])) for r in found], "lang string, share double")
+    each = max(1, min(per_lang, most // langs))
+    share = counts.select("lang", F.least(F.lit(1.0), each / F.col("count")).alias("share"))
     luck = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    got = d.where(F.col("text").isNotNull()).join(F.broadcast(share), "lang").where(luck < F.col("share")).select("doc_id", "text", "lang").limit(2 * per_lang * len(found)).collect()
+    share = F.broadcast(share) if langs <= most else share  # some 20 bytes a language
+    got = d.where(F.col("text").isNotNull()).withColumn("luck", luck).join(share, "lang").where(F.col("luck") < F.col("share"))
+    got = got.orderBy("luck", "doc_id", F.xxhash64("text"), "lang").limit(2 * most).select("doc_id", "text", "lang").collect()
     got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["lang"]))
     return fit([r["text"] for r in got], [r["lang"] for r in got])
 

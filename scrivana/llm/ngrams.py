@@ -33,13 +33,23 @@ def hashed(text: str, sizes: tuple[int, ...], bits: int) -> Iterator[np.ndarray]
 
     An n-gram may hold an edge only at its ends. Slices overlap by the longest n-gram less one.
     """
+    return (ids for ids, _ in located(text, sizes, bits))
+
+
+def located(text: str, sizes: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same with the number of the word that each n-gram is of (counted from 0)."""
     t = " " + text.lower() + " "
-    most, shift = max(sizes), np.uint64(64 - bits)
+    most, shift, words, after = max(sizes), np.uint64(64 - bits), 0, False
     for at in range(0, len(t), _SLICE):
         c = _codes(t[at : at + _SLICE + most - 1])
         inside = _letters()[c]
         c = np.where(inside, c, np.uint32(0)).astype(np.uint64)
-        own, out = min(_SLICE, len(c)), []
+        own, out, where = min(_SLICE, len(c)), [], []
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        begins[0] &= not after
+        word = words + np.cumsum(begins) - 1
+        words, after = int(word[own - 1]) + 1, bool(inside[own - 1])
         for n in sizes:
             m = min(own, len(c) - n + 1)
             if m <= 0:
@@ -55,4 +65,5 @@ def hashed(text: str, sizes: tuple[int, ...], bits: int) -> Iterator[np.ndarray]
                 h = h * np.uint64(0x9E3779B97F4A7C15) + c[p + k]
             h ^= h >> np.uint64(29)
             out.append(((h * np.uint64(0xBF58476D1CE4E5B9)) >> shift).astype(np.int64))
-        yield np.concatenate(out) if out else np.empty(0, np.int64)
+            where.append(word[np.minimum(p + 1, p + n - 1)])
+        yield (np.concatenate(out), np.concatenate(where)) if out else (np.empty(0, np.int64),) * 2

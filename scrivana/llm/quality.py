@@ -2,6 +2,7 @@
 
 Method: a public vocabulary measures characters per token, the share of byte-fallback tokens and
 the entropy of a text's tokens; texts outside the bands of their language (or script) are rejected.
+Spread and entropy depend on a text's length, so a band holds for texts of one language and about as many tokens.
 """
 
 from __future__ import annotations
@@ -16,17 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from scrivana.llm.common import batched, materialise, table
+from scrivana.llm.common import batched, join_back, materialise, table
 
 #: Fixed values of the query's contract.
 SYMBOLS, WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = b"#*$%&|<>", 5, 10, 20
 #: Words whose tokens a worker keeps.
 CACHE_WORDS = 300_000
-#: A group's bands reach this many interquartile ranges beyond its quartiles, each range taken as this share of the median at least.
-REACH, LEAST_RANGE = 6.0, 0.05
-#: Bands for groups of too few documents to have quartiles: characters per token, byte share, relative entropy.
-MIN_GROUP = 50
-FIXED_BANDS = {"Latn": (1.2, 8.0, 0.3, 0.25), "other": (0.3, 8.0, 0.9, 0.25)}
+#: A group's bands reach so many interquartile ranges beyond its quartiles, each range taken as this at least (characters
+#: per token, byte share, relative entropy). Chosen on labelled documents: see the README.
+REACH, LEAST_RANGE = 2.0, (0.01, 0.01, 0.005)
+#: Texts of its script that a group's quartiles are averaged with, so that a rare language has bands too.
+SHRINK = 50
+#: Groups up to this number are broadcast to the texts (some 100 bytes each); more are joined with their hot ones dealt.
+BROADCAST_GROUPS = 20_000
+MEASURES = ("chars_per_token", "byte_share", "entropy")
 _RANGES = ((0x0370, "Grek"), (0x0400, "Cyrl"), (0x0530, "Armn"), (0x0590, "Hebr"), (0x0600, "Arab"), (0x0900, "Deva"), (0x0980, "Zyyy"), (0x0E00, "Thai"), (0x0E80, "Zyyy"), (0x3040, "Kana"), (0x3100, "Zyyy"), (0x3400, "Hani"), (0xA000, "Zyyy"), (0xAC00, "Hang"), (0xD7B0, "Zyyy"))
 _STARTS = np.array([r[0] for r in _RANGES])
 
@@ -135,48 +139,54 @@ def measure(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
             n, chars, symbols, dup, again, words = base_counts(t)
             tokens, share, entropy = fertility(words, pieces)
             script = script_of(t or "")
-            yield i, script, f"{la}" if la is not None else script, n, chars, symbols, dup, again, chars / tokens if tokens else None, share, entropy
+            yield i, script, f"{la}" if la is not None else script, n, chars, symbols, dup, again, tokens, chars / tokens if tokens else None, share, entropy
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     kind = d.schema["doc_id"].dataType
-    fields = [("doc_id", to_arrow_type(kind)), ("script", pa.string()), ("band", pa.string())] + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [(c, pa.float64()) for c in ("chars_per_token", "byte_share", "entropy")]
-    ddl = f"doc_id {kind.simpleString()}, script string, band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_per_token double, byte_share double, entropy double"
+    fields = [("doc_id", to_arrow_type(kind)), ("script", pa.string()), ("band", pa.string())] + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")] + [(c, pa.float64()) for c in ("chars_per_token", "byte_share", "entropy")]
+    ddl = f"doc_id {kind.simpleString()}, script string, band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
     return d.mapInArrow(batched(make, pa.schema(fields), ("doc_id", "text", "lang")), ddl)
 
 
+def bands(measured: DataFrame) -> DataFrame:
+    """``band, script, size, n`` and for each measure ``low_``, ``high_``: the bands of every language and size (log2 of tokens).
+
+    Approximate quartiles of all documents that pass the base rules, added up by group before any shuffle, and averaged with those
+    of all texts of the script and size as if SHRINK of these were in the group.
+    """
+    quart = [F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(c) for c in MEASURES]
+    good = measured.where("not base_failed")
+    own = good.groupBy("band", "script", "size").agg(F.count("*").alias("n"), *quart)
+    all_ = good.groupBy("script", "size").agg(*quart).select("script", "size", *[F.col(c).alias(f"{c}_all") for c in MEASURES])
+    q = lambda c, k: (F.col("n") * F.col(c)[k] + SHRINK * F.col(f"{c}_all")[k]) / (F.col("n") + SHRINK)
+    reach = lambda c, least: REACH * F.greatest(q(c, 2) - q(c, 0), F.lit(least))
+    edges = [e for c, least in zip(MEASURES, LEAST_RANGE, strict=True) for e in ((q(c, 0) - reach(c, least)).alias(f"low_{c}"), (q(c, 2) + reach(c, least)).alias(f"high_{c}"))]
+    return own.join(all_, ["script", "size"]).select("band", "script", "size", "n", *edges)
+
+
 def judge(docs: DataFrame, path: str | None = None, **columns: str) -> DataFrame:
     """Measures and verdict for every row of ``docs``.
 
-    Bands come from the approximate quartiles of all documents of a language that pass the base rules
-    (aggregated by group, so a hot language is summed up before its shuffle); languages with few
-    documents use their script's fixed bands. A text is rejected if its characters per token leave
-    the band on either side, its byte share exceeds it, or its entropy falls below it. Null texts have
-    no words and fail the base rules; a null language uses the script; repeated rows are all judged;
-    an empty table gives no row; other columns are ignored.
+    A text that passes the base rules is rejected if its characters per token leave its group's band (see :func:`bands`) on either
+    side, its byte share exceeds it, or its entropy falls below it. Null texts have no words and fail the base rules; a null
+    language uses the script; texts of any length are read whole; repeated rows are all judged; an empty table gives no row;
+    other columns are ignored.
     """
-    m = materialise(measure(docs, path, **columns), "quality")
+    m = measure(docs, path, **columns).withColumn("size", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    m = m.withColumn("base_failed", failed)
-    quart = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(c)
-    g = m.where("not base_failed").groupBy("band").agg(F.count("*").alias("n"), quart("chars_per_token"), quart("byte_share"), quart("entropy"))
-
-    def edge(c: str, up: bool, floor: float):
-        q1, q2, q3 = (F.col(c)[k] for k in range(3))
-        reach = REACH * F.greatest(q3 - q1, LEAST_RANGE * q2, F.lit(floor))
-        return q3 + reach if up else q1 - reach
-
-    bands = g.where(F.col("n") >= MIN_GROUP).select(
-        F.col("band").alias("g"),
-        edge("chars_per_token", False, 0.0).alias("low"),
-        edge("chars_per_token", True, 0.0).alias("high"),
-        edge("byte_share", True, 0.01).alias("bytes"),
-        edge("entropy", False, 0.02).alias("least"),
-    )
-    out = m.join(bands, m["band"] == bands["g"], "left")
-    fixed = lambda k: F.when(F.col("script") == "Latn", FIXED_BANDS["Latn"][k]).otherwise(FIXED_BANDS["other"][k])
-    good = F.col("chars_per_token").between(F.coalesce("low", fixed(0)), F.coalesce("high", fixed(1))) & (F.col("byte_share") <= F.coalesce("bytes", fixed(2))) & (F.col("entropy") >= F.coalesce("least", fixed(3)))
+    m = materialise(m.withColumn("base_failed", failed), "quality")
+    g = materialise(bands(m), "bands")
+    group = ["band", "script", "size"]
+    if g.count() <= BROADCAST_GROUPS:
+        out = m.join(F.broadcast(g), group, "left")
+    else:
+        key = F.xxhash64(*group).alias("group")
+        one = g.groupBy(key).agg(F.max("n").alias("n"), *[F.first(c).alias(c) for c in g.columns if c.startswith(("low_", "high_"))])
+        out = join_back(m.withColumn("group", F.xxhash64(*group)), one, "group", "n", ["doc_id", "chars_per_token"], "left")
+    c, b, e = MEASURES
+    good = F.col(c).between(F.col(f"low_{c}"), F.col(f"high_{c}")) & (F.col(b) <= F.col(f"high_{b}")) & (F.col(e) >= F.col(f"low_{e}"))
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(good, F.lit(False)))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "band", "chars_per_token", "byte_share", "entropy")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "band", "n_tokens", *MEASURES)
 
 
 def op7_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

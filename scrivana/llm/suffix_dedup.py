@@ -582,7 +582,7 @@ def _removed(docs: DataFrame, keep_bytes: bool, id_col: str = "doc_id", text: st
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with the kept bytes as text; n_chars follows where it is a column.
 
-    Bytes of a character cut in two are dropped with it; documents of which nothing is left go.
+    Bytes of a character cut in two are dropped with it; documents of which nothing is left go, texts null or empty before stay.
     Null and repeated ids are as in :func:`remove_repeats`; each row gets the result of its own id and text.
     """
     cols = docs.columns
@@ -595,12 +595,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield _batch([(i, k.decode("utf-8", "ignore")) for i, k in _columns(b, ["__id", "kept"])], schema)
 
     texts = kept.select("__id", "kept").mapInArrow(tidy(decode), "__id long, __text string")
-    each = docs.withColumn("__null", F.col("text").isNull()).withColumn("__doc", F.col("doc_id").cast("long"))
+    each = docs.withColumn("__null", F.col("text").isNull()).withColumn("__empty", F.col("text") == "").withColumn("__doc", F.col("doc_id").cast("long"))
     if ids is not None:
         k = ids.select(F.col("doc_id").alias("__i"), F.col("h").alias("__h"), F.col("key").alias("__key"))
         each = each.join(k, F.col("__doc").eqNullSafe(F.col("__i")) & (F.xxhash64("text") == F.col("__h"))).withColumn("__doc", F.col("__key"))
     out = each.drop("text").join(texts, F.col("__doc") == F.col("__id"))
-    out = out.withColumn("text", F.when(~F.col("__null"), F.col("__text"))).where("__null or __text != '' or n_chars = 0" if "n_chars" in cols else "__null or __text != ''")
+    out = out.withColumn("text", F.when(~F.col("__null"), F.col("__text"))).where("__null or __text != '' or __empty")
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*cols)

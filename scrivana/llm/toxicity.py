@@ -1,7 +1,9 @@
 """Toxicity by subword bags.
 
-Method: character n-grams have embeddings, averaged over a text and fed to a linear softmax; both
-are trained jointly in numpy, so unseen spellings share the vectors of their n-grams.
+Method: character n-grams have embeddings, averaged over a span of words and fed to a linear softmax;
+both are trained jointly in numpy, so unseen spellings share the vectors of their n-grams. A text is as
+toxic as its most toxic span: an average over a whole long text would drown a few words, and labels
+mark texts, not places, so training lets the model choose the span that it learns from.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from scrivana.llm.common import batched, held_out, table, tidy
-from scrivana.llm.ngrams import hashed
+from scrivana.llm.ngrams import located
 
-#: N-gram sizes, bits of a bucket's number, embedding width, passes, learning rate.
-SIZES, BITS, WIDTH, EPOCHS, RATE = (3, 4, 5), 18, 8, 8, 0.05
+#: N-gram sizes, bits of a bucket's number, embedding width, passes, learning rate, words of a span.
+SIZES, BITS, WIDTH, EPOCHS, RATE, SPAN = (3, 4, 5), 18, 8, 8, 0.05, 4
 #: Labelled documents of each class that the fit may take.
 SAMPLE = {1: 1500, 0: 4000}
 #: N-grams in fewer sampled documents than this keep the zero vector.
@@ -29,7 +31,7 @@ THRESHOLD = 0.3
 
 @dataclass
 class Model:
-    """score = softmax(mean embedding . head + bias); for scoring, each bucket's vector is projected on the head once."""
+    """score = softmax(mean embedding of the span . head + bias), the highest of all spans; for scoring, each bucket's vector is projected on the head once."""
 
     embedding: np.ndarray
     head: np.ndarray
@@ -39,43 +41,48 @@ class Model:
         return (self.embedding @ (self.head[:, 1] - self.head[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and their shares in the text's bag."""
-    ids = np.concatenate([*hashed(text, SIZES, BITS)])
-    u, n = np.unique(ids, return_counts=True)
-    return u, n / max(1, len(ids))
+def _spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's n-grams in order of span, and where its spans begin."""
+    ids, word = (np.concatenate(x) for x in zip(*located(text, SIZES, BITS), strict=True))
+    span = word // SPAN
+    order = np.argsort(span, kind="stable")
+    span = span[order]
+    return ids[order], np.flatnonzero(np.diff(span, prepend=-1))
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 1, prior: float | None = None) -> Model:
     """Stochastic descent with a step per bucket that adapts to its gradients (AdaGrad by rows).
 
+    The first pass takes a text as one span; after it a text is learnt from the span that scores highest.
     ``prior`` is the share of label 1 where the model will be used; the bias is shifted to it from the sample's.
     """
     rng = np.random.default_rng(seed)
     size = 1 << BITS
-    # all bags in two flat arrays (8 bytes an entry), as thousands of small ones would stay with the driver
-    most = sum(min(len(SIZES) * (len(t) + 2), size) for t in texts)
-    buckets, shares, ends = np.empty(most, np.int32), np.empty(most, np.float32), [0]
+    # all n-grams in one flat array (4 bytes each), as thousands of small ones would stay with the driver
+    most = sum(len(SIZES) * (len(t) + 2) for t in texts)
+    buckets, ends, starts = np.empty(most, np.int32), [0], []
     seen = np.zeros(size, np.int32)
     for t in texts:
-        u, w = _bag(t)
-        seen[u] += 1
-        ends.append(ends[-1] + len(u))
-        buckets[ends[-2] : ends[-1]], shares[ends[-2] : ends[-1]] = u, w
+        ids, begin = _spans(t)
+        seen[np.unique(ids)] += 1
+        ends.append(ends[-1] + len(ids))
+        buckets[ends[-2] : ends[-1]] = ids
+        starts.append(begin.astype(np.int32))
     common = seen >= MIN_DOCS
-
-    def bag(k: int) -> tuple[np.ndarray, np.ndarray]:
-        u, w = buckets[ends[k] : ends[k + 1]], shares[ends[k] : ends[k + 1]]
-        used = common[u]
-        return u[used], w[used].astype(np.float64)
-
     e = np.zeros((size, WIDTH), np.float32)
     head = rng.normal(0, 1, (WIDTH, 2))
     bias = np.zeros(2)
     g_e, g_head, g_bias = np.full(size, 1e-8), np.full((WIDTH, 2), 1e-4), np.full(2, 1e-4)
-    for _ in range(EPOCHS if texts else 0):
+    for epoch in range(EPOCHS if texts else 0):
         for k in rng.permutation(len(texts)):
-            u, w = bag(k)
+            ids, begin = buckets[ends[k] : ends[k + 1]], starts[k]
+            if epoch and len(begin) > 1:
+                many = np.diff(np.append(begin, len(ids)))
+                s = int((np.add.reduceat(e[ids] @ (head[:, 1] - head[:, 0]).astype(np.float32), begin) / many).argmax())
+                ids = ids[begin[s] : begin[s] + many[s]]
+            u, n = np.unique(ids, return_counts=True)
+            w = n[common[u]] / max(1, len(ids))
+            u = u[common[u]]
             x = w @ e[u]
             z = x @ head + bias
             p = np.exp(z - z.max())
@@ -96,12 +103,19 @@ def fit(texts: list[str], labels: list[int], seed: int = 1, prior: float | None
 
 
 def score(text: str, weight: np.ndarray, bias: float) -> float:
-    total, n = 0.0, 0
-    for ids in hashed(text, SIZES, BITS):
-        total += float(weight[ids].sum())
-        n += len(ids)
-    z = bias + (total / n if n else 0.0)
-    return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+    """The highest probability of label 1 of a text's spans (of the bias alone where it has no n-gram)."""
+    best, total, n, span = None, 0.0, 0, 0
+    for ids, word in located(text, SIZES, BITS):  # slices of a long text; a span may go on in the next one
+        if not len(ids):
+            continue
+        low = int(word.min()) // SPAN
+        sums, many = np.bincount(word // SPAN - low, weight[ids]), np.bincount(word // SPAN - low)
+        if low == span:
+            sums[0], many[0] = sums[0] + total, many[0] + n
+        mean = (sums / np.maximum(many, 1))[many > 0]
+        best = float(mean.max()) if best is None else max(best, float(mean.max()))
+        total, n, span = float(sums[-1]), int(many[-1]), low + len(sums) - 1
+    return float(1 / (1 + np.exp(-np.clip(bias + (best or 0.0), -40, 40))))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: dict[int, int] | None = None) -> Model:
