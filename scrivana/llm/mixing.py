@@ -6,39 +6,41 @@ a cut at each source's exact budget, after whole epochs where the budget exceeds
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import WORD, prefix_sums, table
+from scrivana.llm.common import WORD, join_back, materialise, prefix_sums, table
 
 #: Weights of the sources in code-point order, repeating, and epochs at most.
 WEIGHTS, MAX_EPOCHS = (5, 2, 1), 3
 
 
-def targets(sizes: list[int], weights: list[float], max_epochs: int = MAX_EPOCHS) -> list[float]:
-    """Shares of the sum of sizes by weight; what exceeds max_epochs times a size is shared anew among the rest."""
-    out, free, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
-    while free:
-        w = sum(weights[i] for i in free)
-        over = {i for i in free if left * weights[i] / w > max_epochs * sizes[i]}
-        if not over:
-            for i in free:
-                out[i] = left * weights[i] / w
-            break
-        for i in over:
-            out[i] = float(max_epochs * sizes[i])
-        left -= sum(out[i] for i in over)
-        free -= over
-    return out
+#: Sources up to this number are broadcast to the documents (some 100 bytes each); more are joined with their hot ones dealt.
+BROADCAST_SOURCES = 20_000
+
+
+def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """Add ``target`` to sources (source, n): shares of the sum of sizes by weight; what exceeds max_epochs times a size is shared anew among the rest.
+
+    Weights go round in the order of sources. Each round of sharing reads the sources once and gathers three numbers.
+    """
+    ranked = prefix_sums(sources.withColumn("one", F.lit(1).cast("long")), [F.col("source").asc_nulls_last()], "one", "source_ranks")
+    w = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("before") % len(weights) + 1).cast("int"))
+    s = ranked.withColumn("weight", w).drop("one", "before")
+    most, share, capped = (max_epochs * F.col("n")).cast("double"), F.lit(None).cast("double"), -1
+    over = F.lit(False)
+    while True:
+        left, free, now = s.agg(F.sum("n").cast("double") - F.coalesce(F.sum(F.when(over, most)), F.lit(0.0)), F.sum(F.when(~over, F.col("weight"))), F.count_if(over)).first()
+        if now == capped or not free:
+            return s.withColumn("target", F.when(over, most).otherwise(share)).drop("weight")
+        capped, share = now, F.lit(left) * F.col("weight") / F.lit(free)
+        over = share > most
 
 
 def mix(docs: DataFrame, *, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``doc_id, size, source, source_size, target, taken`` for every row of ``docs``.
 
-    size counts words. One total per source is gathered (a mix names its sources, so there are
-    few). Within a source documents are taken whole, in the order of a hash of seed and id, for
+    size counts words. Sources are a table, however many they are. Within a source documents are taken whole, in the order of a hash of seed and id, for
     each full epoch; the last epoch stops at the exact budget, the floor of the target, within a
     document if need be. The order rests on the id, then the text's hash, so reruns agree. Null
     text: size 0. Null source: a source of its own, last. Repeated rows count as documents of their own.
@@ -57,17 +59,13 @@ def _mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS,
     )
     by_source = F.col("source").asc_nulls_last()
     done = prefix_sums(d, [by_source, F.col("key"), F.col("doc_id"), F.col("tie")], "size", "mix")
-    found = sorted(((r[0], r[1] or 0) for r in done.groupBy("source").agg(F.sum("size")).collect()), key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
-    # Spark sorts strings by UTF-8 bytes, which is code-point order
-    sizes = [n for _, n in found]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], max_epochs)
-    start, plan = 0, []
-    for (name, n), t in zip(found, goal, strict=True):
-        budget = math.floor(t + 1e-6)
-        plan.append((name, n, t, start, *(divmod(budget, n) if n else (0, 0))))
-        start += n
-    plan = docs.sparkSession.createDataFrame(plan, "s string, source_size long, target double, begin long, epochs long, rest long")
-    out = done.join(F.broadcast(plan), done["source"].eqNullSafe(plan["s"]))
+    sources = done.groupBy("source").agg(F.sum("size").alias("n"), F.min("before").alias("begin"), F.count("*").alias("rows"))
+    plan = targets(materialise(sources, "sources"), weights, max_epochs)
+    budget = F.floor(F.col("target") + 1e-6).cast("long")
+    named = lambda c: F.concat(F.when(c.isNull(), "1").otherwise("0"), F.coalesce(c, F.lit("")))
+    plan = plan.select(named(F.col("source")).alias("s"), "rows", F.col("n").alias("source_size"), "target", "begin", *[F.when(F.col("n") > 0, x).otherwise(0).cast("long").alias(c) for c, x in (("epochs", F.floor(budget / F.col("n"))), ("rest", budget % F.col("n")))])
+    done = done.withColumn("s", named(F.col("source")))
+    out = done.join(F.broadcast(plan), "s") if plan.count() <= BROADCAST_SOURCES else join_back(done, plan, "s", "rows", ["doc_id", "tie"])
     part = F.least(F.greatest(F.col("rest") - (F.col("before") - F.col("begin")), F.lit(0)), F.col("size"))
     return out.select("doc_id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "tie")
 

@@ -2,7 +2,7 @@
 
 Method: a public vocabulary measures characters per token, the share of byte-fallback tokens and
 the entropy of a text's tokens; texts outside the bands of their language (or script) are rejected.
-Spread and entropy depend on a text's length, so a band holds for texts of one language and about as many tokens.
+Spread and entropy depend on a text's length, so a band holds for texts of one language and about as many words.
 """
 
 from __future__ import annotations
@@ -149,7 +149,7 @@ def measure(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """``band, script, size, n`` and for each measure ``low_``, ``high_``: the bands of every language and size (log2 of tokens).
+    """``band, script, size, n`` and for each measure ``low_``, ``high_``: the bands of every language and size (log2 of words).
 
     Approximate quartiles of all documents that pass the base rules, added up by group before any shuffle, and averaged with those
     of all texts of the script and size as if SHRINK of these were in the group.
@@ -172,7 +172,7 @@ def judge(docs: DataFrame, path: str | None = None, **columns: str) -> DataFrame
     language uses the script; texts of any length are read whole; repeated rows are all judged; an empty table gives no row;
     other columns are ignored.
     """
-    m = measure(docs, path, **columns).withColumn("size", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
+    m = measure(docs, path, **columns).withColumn("size", F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     m = materialise(m.withColumn("base_failed", failed), "quality")
     g = materialise(bands(m), "bands")

@@ -59,49 +59,63 @@ def directory(sizes: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         base = top
 
 
+def _sized(docs: DataFrame, id_col: str, text: str, *extra: Column) -> DataFrame:
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.xxhash64(text).alias("t"), *extra)
+    return materialise(d.withColumn("h", key_hash(F.col("doc_id"))), "sizes")
+
+
 def shard(docs: DataFrame, limit: int = SHARD_BYTES, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, shard, depth, shard_bytes, shard_docs`` for every row of ``docs``.
 
     shard is the prefix of hash bits that names the bucket; it stays the same on any rerun and
     whatever the partitions. Rows of one key cannot be told apart by hash bits: where they alone
-    exceed the limit they are dealt in order of their text's hash to sub-shards ``prefix/k``, cut
+    exceed the limit they are dealt by their text's hash to sub-shards ``prefix/k``, cut
     where their running bytes pass a multiple of the limit, so such a sub-shard, like the shard of
     a single text over the limit, exceeds it by less than one row. Null texts have 0 bytes, null ids
     hash as ``''``; repeated rows are all kept; an empty table gives no row; other columns are ignored.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.xxhash64(text).alias("t"))
-    d = materialise(d.withColumn("h", key_hash(F.col("doc_id"))), "sizes")
+    return _placed(_sized(docs, id_col, text), limit)
+
+
+def _placed(d: DataFrame, limit: int, extra: tuple[str, ...] = ()) -> DataFrame:
     tree = materialise(directory(d.select("h", "n_bytes"), limit), "leaves")
     depths = [r[0] for r in tree.select("depth").distinct().collect()]  # at most 61 numbers
     keyed = d.withColumn("prefix", F.explode(F.array(*[_prefix(F.col("h"), F.lit(k)) for k in sorted(depths)]))) if depths else d.withColumn("prefix", F.lit(""))
     out = keyed.join(tree, "prefix")
-    whole = out.where("fits or shard_docs = 1").select("doc_id", "n_bytes", F.col("prefix").alias("shard"), "depth", "shard_bytes", "shard_docs")
+    whole = out.where("fits or shard_docs = 1").select("doc_id", "n_bytes", F.col("prefix").alias("shard"), "depth", "shard_bytes", "shard_docs", *extra)
     if tree.where("not fits and shard_docs > 1").isEmpty():
         return whole
-    return whole.unionByName(_split_equal_keys(out.where("not fits and shard_docs > 1"), limit))
-
-
-def _split_equal_keys(rows_: DataFrame, limit: int) -> DataFrame:
-    """Deal rows of one key by running bytes; 4096 slices by text hash carry the sums, so no task holds a key's rows whole."""
-    x = rows_.select("doc_id", "n_bytes", "t", "prefix", "depth", F.pmod(F.monotonically_increasing_id(), F.lit(4096)).alias("slice"))
-    x = materialise(x, "equal_keys")
-    slices = x.groupBy("prefix", "slice").agg(F.sum("n_bytes").alias("s"))
-    begun = slices.withColumn("begun", F.sum("s").over(Window.partitionBy("prefix").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))).drop("s")
-    at = F.sum("n_bytes").over(Window.partitionBy("prefix", "slice").orderBy("t", "doc_id", "n_bytes").rowsBetween(Window.unboundedPreceding, -1))
-    x = x.withColumn("at", F.coalesce(at, F.lit(0))).join(begun, ["prefix", "slice"])
-    x = x.withColumn("k", F.floor((F.col("at") + F.coalesce("begun", F.lit(0))) / limit))
-    x = materialise(x.select("doc_id", "n_bytes", F.concat("prefix", F.lit("/"), F.col("k").cast("string")).alias("shard"), "depth"), "sub_shards")
+    return whole.unionByName(_split_equal_keys(out.where("not fits and shard_docs > 1"), limit, extra))
+
+
+def _split_equal_keys(rows_: DataFrame, limit: int, extra: tuple[str, ...]) -> DataFrame:
+    """Deal rows of one key by running bytes, in an order that rests on the rows alone.
+
+    Equal rows are counted first, and their copies told apart only by where they fall. 4096 slices by hash carry the sums, so no task
+    holds a key's rows whole.
+    """
+    own = ["doc_id", "n_bytes", "t", *extra]
+    x = rows_.groupBy("prefix", "depth", *own).agg(F.count("*").alias("rows")).withColumn("slice", F.pmod(F.xxhash64("t", "doc_id"), F.lit(4096)))
+    x = materialise(x.withColumn("b", F.col("n_bytes") * F.col("rows")), "equal_keys")
+    before = Window.unboundedPreceding, -1
+    begun = x.groupBy("prefix", "slice").agg(F.sum("b").alias("s"))
+    begun = begun.withColumn("begun", F.coalesce(F.sum("s").over(Window.partitionBy("prefix").orderBy("slice").rowsBetween(*before)), F.lit(0))).drop("s")
+    at = F.coalesce(F.sum("b").over(Window.partitionBy("prefix", "slice").orderBy(*own).rowsBetween(*before)), F.lit(0))
+    x = x.withColumn("at", at).join(begun, ["prefix", "slice"])
+    x = x.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    k = F.floor((F.col("begun") + F.col("at") + F.col("copy") * F.col("n_bytes")) / limit)
+    x = materialise(x.select("doc_id", "n_bytes", F.concat("prefix", F.lit("/"), k.cast("string")).alias("shard"), "depth", *extra), "sub_shards")
     sums = x.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
-    return x.join(sums, "shard").select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
+    return x.join(sums, "shard").select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs", *extra)
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> DataFrame:
-    """Write ``docs`` as Parquet with a directory for each shard; returns the manifest (see :func:`shard`)."""
-    manifest = materialise(shard(docs, limit), "manifest")
-    by_id = manifest.groupBy("doc_id").agg(F.min("shard").alias("shard"))
-    joined = docs.join(by_id, docs["doc_id"].eqNullSafe(by_id["doc_id"])).drop(by_id["doc_id"])
-    joined.repartition("shard").write.partitionBy("shard").parquet(path)
-    return manifest
+def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write ``docs`` as Parquet with a folder for each shard (column ``shard``, or ``_shard`` where that is a column of theirs); returns
+    the manifest (see :func:`shard`). Every row goes to the shard that the manifest counts it in, also where one key has many."""
+    name = "_shard" if "shard" in docs.columns else "shard"
+    placed = materialise(_placed(_sized(docs, id_col, text, F.struct(*docs.columns).alias("row")), limit, ("row",)), "placed")
+    placed.select("row.*", F.col("shard").alias(name)).repartition(name).write.partitionBy(name).parquet(path)
+    return placed.drop("row")
 
 
 def op9_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,18 +104,22 @@ def fit(texts: list[str], labels: list[int], seed: int = 1, prior: float | None
 
 def score(text: str, weight: np.ndarray, bias: float) -> float:
     """The highest probability of label 1 of a text's spans (of the bias alone where it has no n-gram)."""
-    best, total, n, span = None, 0.0, 0, 0
+    best, total, n, span = -np.inf, 0.0, 0, 0  # of finished spans, and of the open one
     for ids, word in located(text, SIZES, BITS):  # slices of a long text; a span may go on in the next one
         if not len(ids):
             continue
-        low = int(word.min()) // SPAN
-        sums, many = np.bincount(word // SPAN - low, weight[ids]), np.bincount(word // SPAN - low)
+        number = word // SPAN
+        low = int(number.min())
+        sums, many = np.bincount(number - low, weight[ids]), np.bincount(number - low)
         if low == span:
             sums[0], many[0] = sums[0] + total, many[0] + n
-        mean = (sums / np.maximum(many, 1))[many > 0]
-        best = float(mean.max()) if best is None else max(best, float(mean.max()))
+        elif n:
+            best = max(best, total / n)
+        done = (sums[:-1] / np.maximum(many[:-1], 1))[many[:-1] > 0]
+        best = max(best, float(done.max(initial=-np.inf)))
         total, n, span = float(sums[-1]), int(many[-1]), low + len(sums) - 1
-    return float(1 / (1 + np.exp(-np.clip(bias + (best or 0.0), -40, 40))))
+    best = max(best, total / n) if n else 0.0
+    return float(1 / (1 + np.exp(-np.clip(bias + best, -40, 40))))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: dict[int, int] | None = None) -> Model:

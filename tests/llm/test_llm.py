@@ -163,6 +163,28 @@ def test_language(spark, empty):
     assert language_id.identify(empty, language_id.train(empty)).count() == 0
 
 
+def test_score_by_definition():
+    """The score is the highest of the spans' averages, over slices of a long text too."""
+    rng = random.Random(7)
+    weight = np.random.default_rng(0).normal(size=1 << toxicity.BITS).astype(np.float32)
+    from scrivana.llm import ngrams
+
+    for n in (1, 3, 9, 40):
+        words = ["".join(rng.choice("abcdeß") for _ in range(rng.randrange(1, 9))) for _ in range(n)]
+        spans = [words[k : k + toxicity.SPAN] for k in range(0, n, toxicity.SPAN)]
+        bags = [np.concatenate([g for w in s for g in ngrams.hashed(w, toxicity.SIZES, toxicity.BITS)]) for s in spans]
+        best = max(weight[b].mean() for b in bags if len(b))
+        assert abs(toxicity.score(" ".join(words), weight, 0.5) - 1 / (1 + np.exp(-0.5 - best))) < 1e-5
+    text = " ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(200))
+    whole = toxicity.score(text, weight, 0.0)
+    before, ngrams._SLICE = ngrams._SLICE, 37
+    try:
+        assert abs(toxicity.score(text, weight, 0.0) - whole) < 1e-6
+    finally:
+        ngrams._SLICE = before
+    assert toxicity.score("", weight, 0.5) == toxicity.score("12 !", weight, 0.5) == pytest.approx(1 / (1 + np.exp(-0.5)))
+
+
 # 4: packing
 
 
@@ -315,6 +337,28 @@ def test_quality(docs, empty):
     assert quality.base_counts("a #b\n\n x \na #b\n")[1:4] == (7, 2, 1)
 
 
+def test_quality_verdict(spark):
+    """kept by definition: quartiles of the language and size averaged with the script's, on texts of two languages."""
+    rng = random.Random(10)
+    word = {"en": lambda: rng.choice(["the", "of", "and", "house", "water", "people", "light"]) + rng.choice(["", "s", "ing"]), "xx": lambda: "".join(rng.choice("bcdfgxzq") for _ in range(6))}
+    rows = [(k, " ".join((word["xx"] if k % 23 == 0 else word["en"])() for _ in range(60)), "en") for k in range(200)] + [(900, " ".join(word["xx"]() for _ in range(60)), "xx"), (901, None, "en"), (902, "", None)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    pick = lambda v, q: sorted(v)[max(0, int(np.ceil(q * len(v))) - 1)]
+    good = [r for r in got.values() if not r.base_failed]
+    size = lambda r: int(np.log2(max(r.n_words, 1)))
+    for r in got.values():
+        keep = not r.base_failed
+        for c, least in zip(quality.MEASURES, quality.LEAST_RANGE, strict=True):
+            if keep:
+                own = [getattr(x, c) for x in good if x.band == r.band and size(x) == size(r)]
+                all_ = [getattr(x, c) for x in good if size(x) == size(r)]
+                a, b = ((len(own) * pick(own, q) + quality.SHRINK * pick(all_, q)) / (len(own) + quality.SHRINK) for q in (0.25, 0.75))
+                reach = quality.REACH * max(b - a, least)
+                keep &= (c == "byte_share" or getattr(r, c) >= a - reach) and (c == "entropy" or getattr(r, c) <= b + reach)
+        assert r.kept == keep, r
+    assert sum(not got[k].kept for k in range(0, 200, 23)) >= 8 and sum(got[k].kept for k in range(200) if k % 23) > 170
+
+
 # 8: mixing
 
 
@@ -335,9 +379,23 @@ def test_mixing(docs, empty):
     assert words == sum(r.taken for r in rows) and mixed.columns == docs.columns
 
 
-def test_targets():
-    assert mixing.targets([10, 10, 10], [5, 2, 1]) == [18.75, 7.5, 3.75]
-    assert mixing.targets([1, 100], [5, 1]) == [3.0, 98.0]
+def test_targets(spark):
+    def of(sizes, weights):
+        d = spark.createDataFrame([(f"s{k}", n) for k, n in enumerate(sizes)], "source string, n long")
+        return [r.target for r in mixing.targets(d, weights).orderBy("source").collect()]
+
+    assert of([10, 10, 10], (5, 2, 1)) == [18.75, 7.5, 3.75]
+    assert of([1, 100], (5, 1)) == [3.0, 98.0]
+    assert of([0, 0], (5, 1)) == [0.0, 0.0]
+    assert of([1, 2, 500, 3], (5, 2, 1)) == [3.0, 6.0, 488.0, 9.0]
+
+
+def test_many_sources(spark, monkeypatch):
+    """A source for each row or few: the same mix whether sources are broadcast or joined, and null last."""
+    d = spark.createDataFrame([(k, "w " * (k % 7), None if k % 50 == 0 else f"h{k % 60}") for k in range(300)], "doc_id long, text string, source string")
+    want = sorted((r.doc_id, r.taken, r.target) for r in mixing.mix(d).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted((r.doc_id, r.taken, r.target) for r in mixing.mix(d).collect()) == want
 
 
 # 9: sharding
@@ -366,6 +424,22 @@ def test_sharding_equal_keys(spark, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_write_shards(spark, tmp_path):
+    """Rows stand where the manifest counts them, under the limit (but for less than a row), on any partitions; null ids and repeated rows too."""
+    rows = [(1, f"{k % 30:03d}" * 30, "x") for k in range(200)] + [(None, "y" * 50, "x")] * 9 + [(k, "z" * 40, "own") for k in range(2, 90)] + [(7, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    at = str(tmp_path / "shards")
+    manifest = Counter((r.doc_id, r.n_bytes, r.shard) for r in sharding.write_shards(d.repartition(3), at, 1000).collect())
+    assert manifest == Counter((r.doc_id, r.n_bytes, r.shard) for r in sharding.shard(d.repartition(7), 1000).collect())
+    back = spark.read.option("inferSchema", "false").schema("doc_id long, text string, shard string, _shard string").parquet(at).collect()
+    assert Counter((r.doc_id, r.text, r.shard) for r in back) == Counter(rows)
+    assert Counter((r.doc_id, len(r.text or ""), r._shard or "") for r in back) == manifest
+    size = Counter()
+    for r in back:
+        size[r._shard] += len(r.text or "")
+    assert max(size.values()) < 1000 + 90
+
+
 # 10: urls
 
 
