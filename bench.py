@@ -14,6 +14,7 @@ RUNS = 3
 
 
 def main() -> None:
+    import scrivana.plans.views  # noqa: F401
     from scrivana.plans.catalog import QUERIES
     from scrivana.session import local_session
 

@@ -41,11 +41,21 @@ def mask(text: Column) -> Column:
 
 
 def extract_json(text: Column) -> Column:
-    """What a fenced block holds, else from the first brace to the last, else the text."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*\n(.*?)\n```", 1)
+    """What a fenced block holds (be it empty), else from the first brace to the last, else the text."""
+    fence = r"(?s)```(?:json)?\s*\n(.*?)\n\s*```"
     first, last = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
     braces = F.when((first > 0) & (F.instr(text, "}") > 0) & (last > first), text.substr(first, last - first + 1))
-    return F.coalesce(F.when(fenced != "", F.trim(fenced)), braces, text)
+    inside = F.regexp_replace(F.regexp_extract(text, fence, 1), r"\A\s+|\s+\z", "")
+    return F.when(text.rlike(fence), inside).otherwise(F.coalesce(braces, text))
+
+
+def markdown_export(title: Column, tags: Column, category: Column, created: Column, updated: Column, content: Column) -> Column:
+    """A note as Markdown under its front matter; tags and category have a line only where there are any."""
+    shown = F.when(F.size(tags) > 0, F.concat(F.lit("tags: ["), F.array_join(tags, ", "), F.lit("]")))
+    named = F.when(category != "", F.concat(F.lit("category: "), category))
+    dates = [F.concat(F.lit(f"{k}_at: "), F.date_format(v, "yyyy-MM-dd HH:mm:ss")) for k, v in (("created", created), ("updated", updated))]
+    lines = [F.lit("---"), F.concat(F.lit("title: "), title), shown, named, *dates, F.lit("---"), F.lit(""), F.concat(F.lit("# "), title), F.lit(""), content]
+    return F.array_join(F.filter(F.array(*lines), lambda x: x.isNotNull()), "\n")
 
 
 def basename(path: Column) -> Column:

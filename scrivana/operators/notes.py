@@ -100,3 +100,10 @@ def leader_clusters(pages: DataFrame, threshold: int = 10) -> DataFrame:
         return pdf.sort_values("page")[["doc", "page"]].assign(cluster=out)
 
     return pages.groupBy("doc").applyInPandas(lead, "doc long, page int, cluster int")
+
+
+def copy_leaders(clusters: DataFrame, pages: DataFrame) -> DataFrame:
+    """``doc, page, cluster, content``: every page with the content of its cluster's first page."""
+    first = clusters.groupBy("doc", "cluster").agg(F.min("page").alias("lead"))
+    lead = pages.select("doc", F.col("page").alias("lead"), "content")
+    return clusters.join(first, ["doc", "cluster"]).join(lead, ["doc", "lead"]).select("doc", "page", "cluster", "content")

@@ -22,18 +22,21 @@ def top_k(scored: DataFrame, k: int, order: Column, by: str = "qid") -> DataFram
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
-    """``qid, id, score, rank`` for queries (qid, query) over a corpus (id, content).
+    """``qid, id, score, rank`` for queries (user_id, qid, query), each over its tenant's texts (user_id, id, content).
 
-    Only the tokens of queries are looked up, so a posting list that no query names is dropped
-    before any shuffle; document lengths are counted in the same scan.
+    One scan of the corpus: only the tokens of the tenant's queries are kept, and an empty token for every text, so that
+    the number and mean length of a tenant's texts are counted like any token's. What no query names is dropped before any shuffle.
     """
-    docs = corpus.select("id", tokens(F.col("content")).alias("t")).withColumn("dl", F.size("t"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("tok"))
-    hits = docs.select("id", "dl", F.explode("t").alias("tok")).join(asked.select("tok").distinct(), "tok", "left_semi")
-    tf = hits.groupBy("tok", "id", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("tok").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "tok").join(asked, "tok").crossJoin(stats)  # stats is one row
+    asked = queries.select("user_id", "qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("tok"))
+    wanted = asked.select("user_id", "tok").union(queries.select("user_id", F.lit(""))).distinct()
+    words = tokens(F.col("content"))
+    every = corpus.select("user_id", "id", words.alias("t")).select("user_id", "id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("tok"))
+    tf = every.join(wanted, ["user_id", "tok"], "left_semi").groupBy("user_id", "tok", "id", "dl").agg(F.count("*").alias("tf"))
+    mine = Window.partitionBy("user_id")
+    whole = F.col("tok") == ""
+    df = tf.groupBy("user_id", "tok").agg(F.count("*").alias("df"), F.avg("dl").alias("mean"))  # a row for each token asked
+    df = df.withColumn("n", F.max(F.when(whole, F.col("df"))).over(mine)).withColumn("avgdl", F.max(F.when(whole, F.col("mean"))).over(mine)).where(~whole)
+    scored = tf.join(df, ["user_id", "tok"]).join(asked, ["user_id", "tok"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = scored.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
@@ -41,11 +44,11 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = 5, k1: float = K1, b: f
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """``qid, id, score, rank``: the k nearest vectors (id, v) of each query vector (qid, q), lower is closer.
+    """``qid, id, score, rank``: of each query (user_id, qid, q) the k nearest of its tenant's vectors (user_id, id, v); lower is closer.
 
-    The query set is the small side of a nested-loop join, left to Spark to broadcast if it is small enough.
+    An equi-join on the tenant, so vectors meet only their own tenant's queries; each task keeps k a query before the shuffle.
     """
-    scored = vectors.join(queries, F.lit(True)).select("qid", "id", F.round(squared_l2(F.col("v"), F.col("q")), 6).alias("score"))
+    scored = vectors.join(queries, "user_id").select("qid", "id", F.round(squared_l2(F.col("v"), F.col("q")), 6).alias("score"))
     return top_k(scored, k, F.col("score").asc())
 
 
@@ -75,3 +78,21 @@ def rerank(pairs: DataFrame, score: Column | None) -> DataFrame:
     s = F.coalesce(score, F.lit(0.0)) if score is not None else F.lit(0.0)
     scored = pairs.withColumn("score", s)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "ord")))
+
+
+def notes_first(notes: DataFrame, base: DataFrame) -> DataFrame:
+    """Hits of both branches (qid, id, rank) with ``ord``: notes before the knowledge base, each in its order; an id in both stands first."""
+    both = notes.select("qid", "id", "rank", F.lit(0).alias("src")).unionByName(base.select("qid", "id", "rank", F.lit(1).alias("src")))
+    place = F.min(F.struct("src", "rank")).alias("place")
+    return both.groupBy("qid", "id").agg(place).select("qid", "id", (F.col("place.src") * 1_000_000 + F.col("place.rank")).alias("ord"))
+
+
+#: The texts of a ranked list.
+LIST_HEAD, LIST_SCORE, LIST_TEXT = "重排序后的文档列表：\n", "%d. 相似度: %.4f\n", "   内容: "
+
+
+def ranked_list(ranked: DataFrame) -> DataFrame:
+    """``qid, listed``: the few reranked texts of a query (qid, rank, score, content) as one text, best first."""
+    line = F.concat(F.format_string(LIST_SCORE, "rank", "score"), F.lit(LIST_TEXT), F.col("content"), F.lit("\n\n"))
+    lines = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
+    return ranked.groupBy("qid").agg(F.concat(F.lit(LIST_HEAD), F.array_join(F.transform(lines, lambda x: x["line"]), "")).alias("listed"))

@@ -18,46 +18,54 @@ from scrivana.tables import load, messages, notes, tagged_notes
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 USER, NOW = "src1", "2024-01-20 12:00:00"
-ASKED = ((1, "the of and"), (2, "how do I tune shuffle partitions with this"), (3, "explain the difference between broadcast and sort merge joins"), (4, "la de les"))
+#: The searches: every document whose id is divisible by 20 asks its tenant with its title, the first line.
+ASKED = "(SELECT doc_id AS qid, source AS user_id, string_split(text, chr(10))[1] AS query FROM documents WHERE doc_id % 20 = 0) a"
 
 
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql.replace("{ASKED}", "(VALUES " + ", ".join(f"({k}, '{q}')" for k, q in ASKED) + ") a(qid, query)").replace("{USER}", USER).replace("{NOW}", NOW)
+            ORACLES[f.__name__] = sql.replace("{ASKED}", ASKED).replace("{USER}", USER).replace("{NOW}", NOW)
         return f
 
     return add
 
 
-def _asked(spark):
-    return spark.createDataFrame(ASKED, "qid int, query string")
+def _asked(spark, d):
+    title = F.split_part("content", F.lit("\n"), F.lit(1))
+    return notes(spark, d).where("id % 20 = 0").select(F.col("id").alias("qid"), "user_id", title.alias("query"))
 
 
 def _events(spark, d):
     return load(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
 
 
+def _vectors(spark, d):
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    return e.join(notes(spark, d).select("id", "user_id"), "id")
+
+
 def _vector_hits(spark, d, k=5):
-    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    asked = e.where("id < 4").select((F.col("id") + 1).cast("int").alias("qid"), F.col("v").alias("q"))
-    return R.nearest(e, asked, k)
+    v = _vectors(spark, d)
+    return R.nearest(v, v.where("id % 20 = 0").select("user_id", F.col("id").alias("qid"), F.col("v").alias("q")), k)
 
 
 _TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 _BM25 = f"""
-docs AS (SELECT doc_id AS id, {_TOK.format("text")} AS t FROM documents WHERE source = '{{USER}}'),
-dl AS (SELECT id, t, len(t) AS dl FROM docs), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-q AS (SELECT DISTINCT qid, unnest({_TOK.format("query")}) AS tok FROM {{ASKED}}),
-x AS (SELECT id, dl, unnest(t) AS tok FROM dl),
-tf AS (SELECT tok, id, dl, count(*) AS tf FROM x WHERE tok IN (SELECT tok FROM q) GROUP BY ALL),
-df AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok),
-sc AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (tok) JOIN q USING (tok), st GROUP BY ALL),
+docs AS (SELECT doc_id AS id, source AS user_id, {_TOK.format("text")} AS t FROM documents),
+dl AS (SELECT id, user_id, t, len(t) AS dl FROM docs), st AS (SELECT user_id, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY user_id),
+q AS (SELECT DISTINCT qid, user_id, unnest({_TOK.format("query")}) AS tok FROM {{ASKED}}),
+x AS (SELECT id, user_id, dl, unnest(t) AS tok FROM dl),
+tf AS (SELECT user_id, tok, id, dl, count(*) AS tf FROM x SEMI JOIN q USING (user_id, tok) GROUP BY ALL),
+df AS (SELECT user_id, tok, count(*) AS df FROM tf GROUP BY ALL),
+sc AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (user_id, tok) JOIN q USING (user_id, tok) JOIN st USING (user_id) GROUP BY ALL),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM sc) WHERE rank <= 5)"""
 _NEAR = """
-vs AS (SELECT (b.vec_id + 1)::INT AS qid, a.vec_id AS id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id < 4),
-ve AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id)::INT AS rank FROM vs) WHERE rank <= 5)"""
+e AS (SELECT vec_id, embedding, label, source FROM embeddings JOIN documents ON vec_id = doc_id),
+vs AS (SELECT b.vec_id AS qid, a.vec_id AS id, a.label, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6) AS score FROM e a JOIN e b ON a.source = b.source AND b.vec_id % 20 = 0),
+vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id)::INT AS rank FROM vs),
+ve AS (SELECT qid, id, score, rank FROM vr WHERE rank <= 5)"""
 _W = """
 wd AS (SELECT qid, query, CASE WHEN length(query) = 0 THEN 0.5 WHEN length(query) < 20 THEN 0.3 WHEN length(query) > 50 THEN 0.7 ELSE 0.5 END::DOUBLE AS v, len(list_filter(regexp_split_to_array(query, '\\s+'), lambda w: w <> '')) AS n FROM {ASKED}),
 w AS (SELECT qid, query, round(CASE WHEN n > 0 AND n / length(query) > 0.1 THEN greatest(v - 0.1, 0.3) ELSE v END, 1) AS vector, round(CASE WHEN n > 0 AND n / length(query) > 0.1 THEN least(1 - v + 0.1, 0.7) ELSE 1 - v END, 1) AS bm25 FROM wd)"""
@@ -65,7 +73,7 @@ w AS (SELECT qid, query, round(CASE WHEN n > 0 AND n / length(query) > 0.1 THEN
 
 @query(f"WITH {_BM25} SELECT * FROM bm")
 def bm25_topk(spark, d):
-    return R.bm25(R.tenant(notes(spark, d), USER), _asked(spark))
+    return R.bm25(notes(spark, d), _asked(spark, d))
 
 
 @query(f"WITH {_NEAR} SELECT * FROM ve")
@@ -75,12 +83,12 @@ def vector_topk(spark, d):
 
 @query(f"WITH {_W} SELECT qid, query, vector, bm25 FROM w")
 def dynamic_weights(spark, d):
-    return _asked(spark).select("qid", "query", T.dynamic_weights(F.col("query")).alias("w")).select("qid", "query", "w.vector", "w.bm25")
+    return _asked(spark, d).select("qid", "query", T.dynamic_weights(F.col("query")).alias("w")).select("qid", "query", "w.vector", "w.bm25")
 
 
 @query(f"WITH {_BM25}, {_NEAR}, {_W} SELECT qid, id, round(sum(part), 8) AS score FROM (SELECT qid, id, vector / (60 + rank) AS part FROM ve JOIN w USING (qid) UNION ALL SELECT qid, id, bm25 / (60 + rank) FROM bm JOIN w USING (qid)) GROUP BY ALL")
 def hybrid_rrf(spark, d):
-    return R.fuse({"vector": _vector_hits(spark, d), "bm25": bm25_topk(spark, d)}, _asked(spark))
+    return R.fuse({"vector": _vector_hits(spark, d), "bm25": bm25_topk(spark, d)}, _asked(spark, d))
 
 
 @query("SELECT doc_id AS id, text AS content FROM documents WHERE false")
@@ -93,22 +101,47 @@ def search_lookup(spark, d):
     return R.look_up(bm25_topk(spark, d).drop("score"), notes(spark, d)).select("qid", "rank", "id", "category", T.preview(F.col("content"), 100).alias("preview"))
 
 
-@query("""WITH me AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7),
-s AS (SELECT vec_id AS id, label, round(list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6) AS score FROM embeddings, me),
-n AS (SELECT id, score, 'note' AS kind FROM (SELECT * FROM s WHERE label % 2 = 0 OR id = 7 ORDER BY score, id LIMIT 4) WHERE id <> 7),
-k AS (SELECT id, score, 'knowledge_base' AS kind FROM s WHERE label % 2 = 1 AND id <> 7 ORDER BY score, id LIMIT 3)
-SELECT * FROM (SELECT * FROM n UNION ALL SELECT * FROM k) ORDER BY score, id LIMIT 3""")
+@query(f"WITH {_NEAR}, {_W} SELECT qid, id, round(vector / (60 + rank), 8) AS score FROM ve JOIN w USING (qid)")
+def hybrid_without_texts(spark, d):
+    """A tenant without texts is answered from its vectors alone."""
+    none = R.bm25(notes(spark, d).where(F.lit(False)), _asked(spark, d))
+    return R.fuse({"vector": _vector_hits(spark, d), "bm25": none}, _asked(spark, d))
+
+
+@query(f"WITH {_NEAR} SELECT qid, rank, id, lang AS category, CASE WHEN length(text) > 100 THEN text[:100] || '...' ELSE text END AS preview FROM vr JOIN documents ON id = doc_id WHERE rank <= 10")
+def note_search(spark, d):
+    hits = R.look_up(_vector_hits(spark, d, 10).drop("score"), notes(spark, d))
+    return hits.select("qid", "rank", "id", "category", T.preview(F.col("content"), 100).alias("preview"))
+
+
+_KINDS = """
+n AS (SELECT qid, id, score, 'note' AS kind FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS r FROM vs WHERE label % 2 = 0 OR id = qid) WHERE r <= 4 AND id <> qid),
+k AS (SELECT qid, id, score, 'knowledge_base' AS kind FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS r FROM vs WHERE label % 2 = 1 AND id <> qid) WHERE r <= 3)"""
+
+
+def _kinds(spark, d):
+    """Both collections (an odd label: the knowledge base) asked with the same vector, its own note dropped after one more is fetched."""
+    v = _vectors(spark, d)
+    q = v.where("id % 20 = 0").select("user_id", F.col("id").alias("qid"), F.col("v").alias("q"))
+    scored = v.join(q, "user_id").select("qid", "id", "label", F.round(V.squared_l2(F.col("v"), F.col("q")), 6).alias("score"))
+    mine = R.top_k(scored.where("label % 2 = 0 or id = qid"), 4, F.col("score").asc()).where("id != qid")
+    base = R.top_k(scored.where("label % 2 = 1 and id != qid"), 3, F.col("score").asc())
+    return mine.withColumn("kind", F.lit("note")).unionByName(base.withColumn("kind", F.lit("knowledge_base"))).select("qid", "id", "score", "kind")
+
+
+@query(f"WITH {_NEAR}, {_KINDS} SELECT * FROM n UNION ALL SELECT * FROM k")
+def co_retrieval(spark, d):
+    return _kinds(spark, d)
+
+
+@query(f"WITH {_NEAR}, {_KINDS} SELECT qid, id, score, kind FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS r FROM (SELECT * FROM n UNION ALL SELECT * FROM k)) WHERE r <= 3")
 def related_items(spark, d):
-    e = load(spark, d, "embeddings")
-    s = e.crossJoin(F.broadcast(e.where("vec_id = 7").select(F.col("embedding").alias("q")))).select(F.col("vec_id").alias("id"), "label", F.round(V.squared_l2(F.col("embedding"), F.col("q")), 6).alias("score"))
-    mine = s.where("label % 2 = 0 or id = 7").orderBy("score", "id").limit(4).where("id != 7").select("id", "score", F.lit("note").alias("kind"))
-    base = s.where("label % 2 = 1 and id != 7").orderBy("score", "id").limit(3).select("id", "score", F.lit("knowledge_base").alias("kind"))
-    return mine.unionByName(base).orderBy("score", "id").limit(3)
+    return R.top_k(_kinds(spark, d), 3, F.col("score").asc()).drop("rank")
 
 
 def _pairs(spark, d):
     hits = bm25_topk(spark, d).select("qid", "id", F.col("rank").alias("ord"))
-    return hits.join(_asked(spark), "qid").join(notes(spark, d).select("id", "content"), "id")
+    return hits.join(_asked(spark, d).drop("user_id"), "qid").join(notes(spark, d).select("id", "content"), "id")
 
 
 _SCORE = f"round(len(list_intersect(list_distinct({_TOK.format('query')}), {_TOK.format('text')})) / len(list_distinct({_TOK.format('query')})), 4)"
@@ -124,6 +157,28 @@ def rerank_fallback(spark, d):
     return R.rerank(_pairs(spark, d), None).select("qid", "id", "score", "rank")
 
 
+_LEX = f"p AS (SELECT qid, id, rank AS ord, text, {_SCORE} AS score FROM bm JOIN {{ASKED}} USING (qid) JOIN documents ON id = doc_id), rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord)::INT AS rank FROM p)"
+
+
+@query(f"WITH {_BM25}, {_LEX} SELECT qid, id, score, rank FROM rr WHERE rank <= 3")
+def rerank_head(spark, d):
+    return R.rerank(_pairs(spark, d), R.lexical_score(F.col("query"), F.col("content"))).where("rank <= 3").select("qid", "id", "score", "rank")
+
+
+@query(f"WITH {_BM25}, {_LEX} SELECT qid, md5('重排序后的文档列表：' || chr(10) || string_agg(rank || '. 相似度: ' || printf('%.4f', score) || chr(10) || '   内容: ' || text || chr(10) || chr(10), '' ORDER BY rank)) AS md5 FROM rr GROUP BY qid")
+def ranked_list(spark, d):
+    r = R.rerank(_pairs(spark, d), R.lexical_score(F.col("query"), F.col("content")))
+    return R.ranked_list(r).select("qid", F.md5("listed").alias("md5"))
+
+
+@query(f"""WITH {_BM25}, {_NEAR}, o AS (SELECT qid, id, min(o)::BIGINT AS ord FROM (SELECT qid, id, rank AS o FROM ve WHERE rank <= 3 UNION ALL SELECT qid, id, 1000000 + rank FROM bm) GROUP BY ALL),
+p AS (SELECT qid, id, ord, {_SCORE} AS score FROM o JOIN {{ASKED}} USING (qid) JOIN documents ON id = doc_id) SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord)::INT AS rank FROM p""")
+def rerank_notes_first(spark, d):
+    hits = R.notes_first(_vector_hits(spark, d, 3), bm25_topk(spark, d))
+    pairs = hits.join(_asked(spark, d).drop("user_id"), "qid").join(notes(spark, d).select("id", "content"), "id")
+    return R.rerank(pairs, R.lexical_score(F.col("query"), F.col("content"))).select("qid", "id", "score", "rank")
+
+
 @query("""SELECT unnest(['en', 'fr', 'de', 'xx', 'uncategorized', 'other', 'total']) AS category, unnest([count(*) FILTER (lang = 'en'), count(*) FILTER (lang = 'fr'), count(*) FILTER (lang = 'de'), 0, count(*) FILTER (lang IS NULL), count(*) FILTER (lang NOT IN ('en', 'fr', 'de', 'xx')), count(*)])::BIGINT AS n FROM documents""")
 def category_stats(spark, d):
     return N.category_stats(notes(spark, d), ("en", "fr", "de", "xx"))
@@ -200,10 +255,11 @@ def session_latest(spark, d):
 
 def _reviews(spark, d):
     e = _events(spark, d)
-    return N.schedule(e.select("user_id", (F.col("event_id") % 50).alias("note_id"), "at"))
+    many = notes(spark, d).agg(F.count("*").alias("many"))  # one row
+    return N.schedule(e.crossJoin(F.broadcast(many)).select("user_id", (F.col("event_id") % F.col("many")).alias("note_id"), "at"))
 
 
-_SCHED = "s AS (SELECT user_id, note_id, ts AS seen, n::INT AS review_count, CASE n WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 7 WHEN 4 THEN 15 ELSE 30 END::INT AS interval_days FROM (SELECT *, row_number() OVER (PARTITION BY user_id, note_id ORDER BY ts) AS n FROM (SELECT user_id, event_id % 50 AS note_id, ts FROM events)))"
+_SCHED = "s AS (SELECT user_id, note_id, ts AS seen, n::INT AS review_count, CASE n WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 7 WHEN 4 THEN 15 ELSE 30 END::INT AS interval_days FROM (SELECT *, row_number() OVER (PARTITION BY user_id, note_id ORDER BY ts) AS n FROM (SELECT user_id, event_id % (SELECT count(*) FROM documents) AS note_id, ts FROM events)))"
 
 
 @query(f"WITH {_SCHED} SELECT user_id, note_id, review_count, interval_days, epoch_us(seen + to_days(interval_days)) AS next_us FROM s")
@@ -224,10 +280,11 @@ def md5_dedup(spark, d):
     return N.first_uploads(notes(spark, d))
 
 
-@query("SELECT doc_id AS id, source AS user_id FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 2 = 0 AND e.source = d.source AND md5(e.text) = md5(d.text))")
+@query("SELECT doc_id AS id, source AS user_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e JOIN labels l ON e.doc_id = l.doc_id WHERE e.source = d.source AND md5(e.text) = md5(d.text))")
 def md5_anti(spark, d):
     f = notes(spark, d).withColumn("md5", F.md5("content"))
-    return N.new_uploads(f.where("id % 2 = 1"), f.where("id % 2 = 0")).select("id", "user_id")
+    known = f.join(load(spark, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return N.new_uploads(f, known).select("id", "user_id")
 
 
 @query("SELECT doc_id AS id, md5(text) AS md5, lang AS filename FROM documents WHERE lang <> 'fr' OR lang IS NULL")
@@ -281,18 +338,18 @@ def answer_letter(spark, d):
     return load(spark, d, "events").select("event_id", F.try_element_at(F.array(*map(F.lit, ("north", "east", "south", "west"))), F.ascii(letter) - 64).alias("option"))
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id < 10""")
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0""")
 def cosine_pairs(spark, d):
     e = load(spark, d, "embeddings")
-    a = e.where("vec_id < 10").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
+    a = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
     return e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")).join(a, F.lit(True)).select("a", "b", F.round(V.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
 
 
-@query("WITH h AS (SELECT doc_id AS id, ('0x' || md5(text)[:15])::BIGINT AS h FROM documents) SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS bits FROM h a JOIN h b ON b.id = a.id + 1")
+@query("WITH h AS (SELECT doc_id AS id, ('0x' || md5(text)[:15])::BIGINT AS h FROM documents) SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS bits FROM h a, h b WHERE a.id % 20 = 0")
 def hamming_pairs(spark, d):
     h = notes(spark, d).select("id", F.substring(F.md5("content"), 1, 15).alias("h"))
     b = h.select(F.col("id").alias("b"), F.col("h").alias("g"))
-    return h.join(b, F.col("b") == F.col("id") + 1).select(F.col("id").alias("a"), "b", V.hamming_hex(F.col("h"), F.col("g")).alias("bits"))
+    return b.join(h.where("id % 20 = 0"), F.lit(True)).select(F.col("id").alias("a"), "b", V.hamming_hex(F.col("h"), F.col("g")).alias("bits"))
 
 
 @query("SELECT source AS user_id, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sum(strlen(text)) <= 209715200 AS accepted FROM documents WHERE strlen(text) <= 20971520 GROUP BY source")
@@ -307,10 +364,10 @@ def progress(spark, d):
     return notes(spark, d).groupBy("user_id").agg(F.floor(F.least(F.lit(99.0), F.count_if(size > 100) / n * 60 + F.count_if(size > 1000) / n * 40)).cast("int").alias("progress"))
 
 
-@query("SELECT event_id, CASE WHEN s < 60 THEN '刚刚' WHEN s < 3600 THEN floor(s / 60)::BIGINT || ' 分钟前' WHEN s < 86400 THEN floor(s / 3600)::BIGINT || ' 小时前' ELSE month(ts) || '月' || day(ts) || '日' END AS shown FROM (SELECT *, (epoch(TIMESTAMP '{NOW}') - floor(epoch(ts)))::BIGINT AS s FROM events WHERE ts <= TIMESTAMP '{NOW}')")
+@query("SELECT event_id, CASE WHEN s < 60 THEN '刚刚' WHEN s < 3600 THEN floor(s / 60)::BIGINT || ' 分钟前' WHEN s < 86400 THEN floor(s / 3600)::BIGINT || ' 小时前' ELSE month(ts) || '月' || day(ts) || '日' END AS shown FROM (SELECT *, (epoch(TIMESTAMP '{NOW}') - floor(epoch(ts)))::BIGINT AS s FROM events)")
 def relative_date(spark, d):
     now = F.lit(NOW).cast("timestamp")
-    return _events(spark, d).where(F.col("at") <= now).select("event_id", T.relative_date(now, F.col("at")).alias("shown"))
+    return _events(spark, d).select("event_id", T.relative_date(now, F.col("at")).alias("shown"))
 
 
 @query("SELECT user_id AS key, event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events) WHERE nx IS NULL OR epoch_ms(nx) - epoch_ms(ts) > 3600000")

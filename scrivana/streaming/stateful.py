@@ -1,27 +1,100 @@
-"""Keyed state: rate limits anchored at a key's first request, and debouncing."""
+"""Keyed state: windows anchored at a key's first request (rate limits, caches), blacklists with a time to live, debouncing."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 
-def rate_limit(requests: DataFrame, limit: int, window_s: int) -> DataFrame:
-    """``key, at, seq, allowed`` for requests (key, at in seconds, seq).
+def anchored_windows(requests: DataFrame, window_s: int, limit: int | None = None) -> DataFrame:
+    """``key, at, seq, opened, allowed`` for requests (key, at in seconds, seq).
 
     A key's window opens at its first request and lasts window_s seconds; the next request at or
-    after its end opens another. Denied requests do not count. The fold is over one key's requests in order, in SQL.
+    after its end opens another. Of a window's requests the first ``limit`` are allowed; denied ones do not count.
+    Rows stream through in order of key and time: a task holds one batch and one key's open window, so the work is
+    linear in the requests. (A key's requests depend on each other in order, so one key is one task's.)
     """
-    grouped = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "seq"))).alias("r"))
-    start = F.struct(F.lit(None).cast("long").alias("open"), F.lit(0).alias("used"), F.array().cast("array<struct<at:bigint,seq:bigint,allowed:boolean>>").alias("out"))
+    kind = requests.schema["key"].dataType
+    dealt = requests.select("key", "at", "seq").repartition("key").sortWithinPartitions("key", "at", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, opened, used = object(), 0, 0
+        for b in batches:
+            starts, ok = [], []
+            for k, at in zip(b.column("key").to_pylist(), b.column("at").to_pylist(), strict=True):
+                if k != key or at >= opened + window_s:
+                    key, opened, used = k, at, 0
+                allowed = limit is None or used < limit
+                used += allowed
+                starts.append(opened)
+                ok.append(allowed)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.int64()), pa.array(ok, pa.bool_())], names=[*b.schema.names, "opened", "allowed"])
+
+    return dealt.mapInArrow(run, f"key {kind.simpleString()}, at long, seq long, opened long, allowed boolean")
+
+
+def rate_limit(requests: DataFrame, limit: int, window_s: int) -> DataFrame:
+    """``key, at, seq, allowed`` for requests (key, at in seconds, seq): see :func:`anchored_windows`."""
+    return anchored_windows(requests, window_s, limit).drop("opened")
+
+
+def cache_reads(reads: DataFrame, ttl_s: int) -> DataFrame:
+    """``key, at, seq, hit`` of reads through a cache: a miss stores the value for ttl_s seconds, which a hit does not renew."""
+    out = anchored_windows(reads, ttl_s)
+    first = F.row_number().over(Window.partitionBy("key", "opened").orderBy("at", "seq")) == 1
+    return out.select("key", "at", "seq", (~first).alias("hit"))
+
+
+def cache_delete(keys: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """The keys that a glob pattern (``*`` and ``?``) leaves, and a row with the number of those it deletes."""
+    like = pattern.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_")
+    return keys.where(~F.col("key").like(like)), keys.where(F.col("key").like(like)).agg(F.count("*").alias("deleted"))
+
+
+def blacklisted(requests: DataFrame, blacklist: DataFrame) -> DataFrame:
+    """Requests (token, at, seq) with ``denied`` and ``ttl_left`` (seconds, 0 where not): an entry (token, at, ttl_s) holds from its time
+    until its ttl has passed. One sort of both by token and time; no pairs are formed."""
+    end = F.col("at") + F.col("ttl_s")
+    both = requests.select("token", "at", "seq", F.lit(None).cast("long").alias("until")).unionByName(blacklist.select("token", "at", F.lit(None).cast("long").alias("seq"), end.cast("long").alias("until")))
+    so_far = Window.partitionBy("token").orderBy("at", F.col("seq").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    left = F.greatest(F.coalesce(F.max("until").over(so_far), F.lit(0)) - F.col("at"), F.lit(0))
+    return both.withColumn("ttl_left", left).where(F.col("seq").isNotNull()).select("token", "at", "seq", (F.col("ttl_left") > 0).alias("denied"), "ttl_left")
+
+
+class _Limiter(StatefulProcessor):
+    """A key's open window as value state, which Spark clears when it has been still for a window's length."""
+
+    def __init__(self, limit: int, window_s: int):
+        self.limit, self.window_s = limit, window_s
+
+    def init(self, handle) -> None:
+        self.window = handle.getValueState("window", "opened long, used int", ttlDurationMs=1000 * self.window_s)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        opened, used = self.window.get() if self.window.exists() else (None, 0)
+        pdf = pd.concat(list(rows)).sort_values(["at", "seq"])
+        ok = []
+        for at in pdf["at"]:
+            if opened is None or at >= opened + self.window_s:
+                opened, used = int(at), 0
+            ok.append(used < self.limit)
+            used += ok[-1]
+        self.window.update((int(opened), int(used)))
+        yield pdf.assign(key=key[0], allowed=ok)[["key", "at", "seq", "allowed"]]
+
+    def close(self) -> None:
+        pass
 
-    def step(state, r):
-        fresh = state["open"].isNull() | (r["at"] >= state["open"] + window_s)
-        used = F.when(fresh, 0).otherwise(state["used"])
-        ok = used < limit
-        return F.struct(F.when(fresh, r["at"]).otherwise(state["open"]).alias("open"), (used + ok.cast("int")).alias("used"), F.concat(state["out"], F.array(F.struct(r["at"], r["seq"], ok.alias("allowed")))).alias("out"))
 
-    return grouped.select("key", F.explode(F.aggregate("r", start, step)["out"]).alias("x")).select("key", "x.at", "x.seq", "x.allowed")
+def rate_limit_stream(requests: DataFrame, limit: int, window_s: int) -> DataFrame:
+    """:func:`rate_limit` on a stream (needs the RocksDB state store); requests of a key are taken in order within a batch."""
+    kind = requests.schema["key"].dataType.simpleString()
+    return requests.groupBy("key").transformWithStateInPandas(_Limiter(limit, window_s), f"key {kind}, at long, seq long, allowed boolean", "Append", "ProcessingTime")
 
 
 def debounce(events: DataFrame, gap_ms: int) -> DataFrame:

@@ -1,5 +1,7 @@
 """Fixed rules on hand-made rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,8 +9,9 @@ from scrivana.functions import text as T
 from scrivana.functions import vector as V
 from scrivana.operators import notes as N
 from scrivana.operators import retrieval as R
-from scrivana.sources.files import read_texts, split_text
-from scrivana.streaming.stateful import rate_limit
+from scrivana.operators import registry as G
+from scrivana.sources.files import list_files, read_documents, read_images, read_texts, split_text
+from scrivana.streaming.stateful import debounce_stream, rate_limit, rate_limit_stream
 
 
 def one(spark, value, f, kind="string"):
@@ -81,12 +84,74 @@ def test_no_tenant_has_no_rows(spark):
 
 
 def test_splitter():
-    text = "一二三。" * 90 + "\n\n" + "word " * 120
-    chunks = split_text(text)
-    assert chunks and all(0 < len(c) <= 200 and c in text for c in chunks)
+    rng = random.Random(1)
+    texts = ["一二三。" * 90 + "\n\n" + "word " * 120, "x" * 150 + "? " + "y" * 150 + "! " + "z" * 150, "a  b   c " * 60, "q" * 1000]
+    word = lambda: str(rng.randrange(10 ** rng.choice([2, 9, 200, 400])))
+    texts += ["".join(word() + rng.choice([" ", "  ", "。", "! ", "\n", "\n\n", "?"]) for _ in range(60)) for _ in range(20)]
+    for k, text in enumerate(texts):
+        chunks, at = split_text(text), 0
+        assert chunks and all(0 < len(c) <= 200 and c in text for c in chunks)
+        for c in chunks if k > 3 else []:  # in order, and nothing but blanks between two
+            found = text.find(c, max(0, at - 20))
+            assert not text[at:found].strip()
+            at = max(at, found + len(c))
+        assert k < 4 or not text[at:].strip()
     assert split_text("") == []
 
 
+def test_streams(spark, tmp_path):
+    """The limiter and debouncing on a stream of files give what they give in batch."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [("ab"[n % 2], a, n) for n, a in enumerate([50, 51, 55, 56, 58, 60, 70, 71, 109, 110, 111, 112, 113, 114, 115])]
+    kind = "key string, at long, seq long"
+    for k in range(3):
+        spark.createDataFrame(rows[5 * k : 5 * k + 5], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = rate_limit_stream(stream, 2, 60).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = sorted(map(tuple, rate_limit(spark.createDataFrame(rows, kind), 2, 60).collect()))
+    assert sorted(map(tuple, spark.table("limited").collect())) == want and any(not r[3] for r in want)
+    bursts = debounce_stream(stream.select("key", F.timestamp_seconds("at").alias("at")), "5 seconds", "1 second")
+    q = bursts.writeStream.format("memory").queryName("bursts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r.key, r.events) for r in spark.table("bursts").collect()} >= {("a", 3), ("a", 1), ("b", 3), ("b", 1)}
+
+
+def test_stores(spark, tmp_path):
+    r = spark.createDataFrame([("u1", "a", "f"), ("u1", "b", None), ("u2", "c", "g")], "user_id string, md5 string, filename string")
+    at = str(tmp_path / "registry")
+    read = lambda: sorted((x.user_id, x.md5, x.filename) for x in spark.read.schema("md5 string, filename string, user_id string").json(at).collect())
+    G.append_records(r.where("md5 != 'b'"), at)
+    G.append_records(r.where("md5 = 'b'"), at)
+    assert read() == [("u1", "a", "f"), ("u1", "b", None), ("u2", "c", "g")]
+    G.rewrite_records(r.where("md5 = 'a'"), at, ["u2"])
+    assert read() == [("u1", "a", "f")] and not (tmp_path / "registry" / "user_id=u2").exists()
+    store = str(tmp_path / "chunks")
+    G.append_chunks(r, store)
+    G.append_chunks(r, store)
+    assert spark.read.parquet(store).groupBy("user_id").count().where("count = 4").count() == 1
+
+
+def test_page_bounds(spark):
+    df = spark.createDataFrame([(1, "x")], "id long, category string")
+    for number, size in ((0, 10), (1, 0), (1, 101)):
+        with pytest.raises(ValueError, match="page"):
+            N.page(df, [F.col("id")], number, size)
+
+
+def test_folders(spark, tmp_path):
+    (tmp_path / "a.TXT").write_bytes(b"x")
+    (tmp_path / "b.md").write_bytes(b"# y")
+    (tmp_path / "c.exe").write_bytes(b"z")
+    assert {r.path.rsplit("/", 1)[1] for r in list_files(spark, str(tmp_path)).collect()} == {"b.md"}
+    assert {(r.kind, r.content) for r in read_documents(spark, str(tmp_path)).collect()} == {("txt", "x"), ("md", "# y")}
+    images = tmp_path / "images"
+    images.mkdir()
+    (images / "2.png").write_bytes(b"two")
+    (images / "1.bin").write_bytes(b"one")
+    assert list(read_images(spark, str(images)).first().images.items()) == [("1.bin", "data:application/octet-stream;base64,b25l"), ("2.png", "data:image/png;base64,dHdv")]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("héllo".encode())
     (tmp_path / "b.txt").write_bytes("中文".encode("gbk"))
