@@ -17,22 +17,22 @@ from scrivana.llm.toxicity import drop_toxic, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the subword model rejects go."""
+    """Documents that the subword model rejects go; null and empty texts are judged by the bias alone, repeated rows alike."""
     return drop_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies stays."""
+    """One document of each group of near-copies stays: that of the least id, null ids last. Null and wordless texts are one group."""
     return keep_one(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur earlier go from the texts."""
+    """Passages that occur earlier go from the texts, and documents of which nothing is left; texts null or empty before stay."""
     return without_repeats(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their target weights."""
+    """Sources, a null one last, are mixed to their target weights; documents without a word are never taken."""
     return mixed_texts(docs)
 
 
@@ -49,7 +49,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: A learned classifier and a tokeniser have no SQL form; tests hold the stages against brute force.
+#: A learned classifier and a tokeniser have no SQL form; tests hold the operators that the stages call against brute force.
 ORACLE_SQL = None
 
 
