@@ -162,20 +162,59 @@ def frequent(rows_: DataFrame, key: str) -> tuple[list, int]:
     return [k for k, n in most if n * least >= total], total
 
 
-def numbered(df: DataFrame, order: list[str], same: list[str], weigh: Callable[[pa.Table], np.ndarray], weights: int, name: str, keep: list[str]) -> DataFrame:
-    """Sort all rows, and give each the sums ``before0``, ``before1`` ... of the weights of all rows that sort before its run.
-
-    ``order`` (long and int columns) must be total; a run is a maximal stretch of rows equal in the columns ``same`` (longs),
-    whatever partitions it spans. ``weigh`` gives the rows' weights. One range shuffle over all of ``order`` deals the rows, so
-    rows that are alike in its first columns are cut anywhere; a task sorts its own and adds up, and only a row for each
-    partition (its totals, first and last run) reaches the driver. ``df`` is a materialised table, as it is counted and its
-    bounds are sampled. Returns the columns ``keep`` with the sums.
+def picked(spark: SparkSession, rows_: int, key: str) -> Column:
+    """Whether a row's key is in the sample by which :func:`numbered` sets the bounds of so many rows: about 64 rows a partition, a million at most."""
+    want = max(1 << 12, min(64 * partitions(spark, rows_), 1_000_000))
+    return F.pmod(F.xxhash64(key), F.lit(max(1, rows_ // want))) == 0
+
+
+def _bounds(sample: list[np.ndarray], parts: int) -> list[np.ndarray]:
+    """Columns of the rows that cut a sample into so many even parts, ascending."""
+    at = np.lexsort(sample[::-1])
+    at = at[np.arange(1, parts) * len(at) // parts] if len(at) else at
+    return [c[at] for c in sample]
+
+
+def _places(keys: list[np.ndarray], bounds: list[np.ndarray]) -> np.ndarray:
+    """How many bounds are not above each row, by all columns in order (longs from 0 on)."""
+    low, high = (np.searchsorted(bounds[0], keys[0], side) for side in ("left", "right"))
+    more = np.flatnonzero(low < high)  # rows equal to a bound in the first column: compared as bytes that sort alike
+    if len(more):
+        one, all_ = (np.ascontiguousarray(np.stack(c, axis=1).astype(">i8")).view(f"S{8 * len(c)}").ravel() for c in ([k[more] for k in keys], bounds))
+        low[more] = np.searchsorted(all_, one, "right")
+    return low.astype(np.int32)
+
+
+def numbered(source: DataFrame, sample: DataFrame, make: Callable, ddl: str, rows_: int, order: list[str], runs: list[list[str]], weigh: Callable[[pa.Table], np.ndarray], weights: int, name: str, keep: list[str], alone: bool = False) -> DataFrame:
+    """Sort the rows (``ddl``, about ``rows_`` of them) that ``make`` (as for ``mapInArrow``) gives for ``source``, and give each the
+    sums ``before0``, ``before1`` ... of the weights of all rows that sort before its run; ``within0`` ... for the next kind of run.
+
+    ``order`` (long and int columns, none below 0) must be total; a run is a maximal stretch of rows equal in some columns
+    (longs), whatever partitions it spans, and ``runs`` lists the columns of each kind. ``weigh`` gives the rows' weights. With
+    ``alone`` a row also tells whether it surely is a run of the first kind by itself (a partition's first and last rows never do).
+
+    What ``make`` gives for ``sample``, some rows of ``source``, sets the bounds of the partitions; they balance tasks and change no
+    result. ``make``'s rows are dealt to them straight away, by all of ``order``, so rows that are alike in its first columns are
+    cut anywhere; a task sorts its own and adds up, and only a row for each partition (its totals, first and last runs) reaches
+    the driver. Returns the columns ``keep`` with the sums.
     """
-    from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
+    from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
+
+    spark, kinds = source.sparkSession, len(runs)
+    parts = partitions(spark, rows_)
+    seen = sample.mapInArrow(tidy(make), ddl).select(*order).toArrow() if parts > 1 else None
+    bounds = _bounds([seen.column(c).to_numpy().astype(np.int64) for c in order], parts) if parts > 1 else []
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in make(batches):
+            keys = [b.column(c).to_numpy().astype(np.int64) for c in order]
+            pid = _places(keys, bounds) if bounds and len(bounds[0]) else np.zeros(b.num_rows, np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pid)], names=[*b.schema.names, "__pid"])
 
-    dealt = df.repartitionByRange(partitions(df.sparkSession, df.count()), *order).withColumn("__pid", F.spark_partition_id())
-    local = [f"before{k}" for k in range(weights)]
-    out = StructType([*(dealt.schema[c] for c in (*keep, "__pid")), *(StructField(c, LongType()) for c in local), StructField("__head", BooleanType()), StructField("__note", ArrayType(LongType()))])
+    dealt = source.mapInArrow(tidy(deal), f"{ddl}, __pid int").repartitionById(parts, "__pid")
+    sums = [f"{'before' if not j else 'within'}{k}" for j in range(kinds) for k in range(weights)]
+    heads = [f"__head{j}" for j in range(kinds)]
+    out = StructType([*(dealt.schema[c] for c in keep), StructField("__pid", IntegerType()), *(StructField(c, LongType()) for c in sums), *(StructField(c, BooleanType()) for c in (*heads, *(["alone"] * alone))), StructField("__note", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = gathered(batches)
@@ -183,37 +222,50 @@ def numbered(df: DataFrame, order: list[str], same: list[str], weigh: Callable[[
             return
         at = np.lexsort([t.column(c).to_numpy() for c in order[::-1]])
         t = t.take(pa.array(at))
-        keys = [t.column(c).to_numpy() for c in same]
         w = weigh(t).astype(np.int64).reshape(-1, weights)
-        new = np.ones(len(w), bool)
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
-        before = (np.cumsum(w, axis=0) - w)[first]
-        note = [*w.sum(axis=0).tolist(), *before[-1].tolist(), *(int(k[0]) for k in keys), *(int(k[-1]) for k in keys)]
-        kept = t.select([*keep, "__pid"])
-        full = pa.Table.from_arrays([*kept.columns, *(pa.array(before[:, k]) for k in range(weights)), pa.array(first == 0), pa.nulls(len(w), pa.list_(pa.int64()))], names=[*kept.column_names, *local, "__head", "__note"])
+        until, note, mine, begun, single = np.cumsum(w, axis=0) - w, w.sum(axis=0).tolist(), [], [], None
+        for same in runs:
+            keys = [t.column(c).to_numpy() for c in same]
+            new = np.ones(len(w), bool)
+            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+            if alone and single is None:
+                single = new & np.append(new[1:], False)
+                single[0] = False
+            first = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+            before = until[first]
+            mine += list(before.T)
+            begun.append(first == 0)
+            note += [*before[-1].tolist(), *(int(k[0]) for k in keys), *(int(k[-1]) for k in keys)]
+        pid = pa.array(np.full(len(w), t.column("__pid")[0].as_py(), np.int32))  # one for the task, whatever it was dealt
+        kept = t.select(keep).append_column("__pid", pid)
+        flags = [pa.array(x) for x in (*begun, *([single] * alone))]
+        full = pa.Table.from_arrays([*kept.columns, *map(pa.array, mine), *flags, pa.nulls(len(w), pa.list_(pa.int64()))], names=out.names)
         blank = [kept.column(c).slice(0, 1) if c == "__pid" else pa.nulls(1, kept.schema.field(c).type) for c in kept.column_names]
-        # the partition's own row; its head is true if all its rows are one run
-        own = pa.Table.from_arrays([*blank, *(pa.nulls(1, pa.int64()) for _ in local), pa.array([bool(first[-1] == 0)]), pa.array([note], pa.list_(pa.int64()))], names=full.column_names)
+        # the partition's own row; a head is true if all its rows are one run
+        own = pa.Table.from_arrays([*blank, *(pa.nulls(1, pa.int64()) for _ in mine), *(pa.array([bool(x[-1])]) for x in begun), *([pa.nulls(1, pa.bool_())] * alone), pa.array([note], pa.list_(pa.int64()))], names=out.names)
         for table_ in (full, own):
             yield from table_.to_batches(max_chunksize=1 << 16)
 
     done = materialise(dealt.mapInArrow(tidy(run), out), name)
-    base, open_at, tail, shift = np.zeros(weights, np.int64), None, None, []
-    for r in done.where(F.col("__note").isNotNull()).select("__pid", "__head", "__note").orderBy("__pid").collect():
+    base, open_at, tail, shift = np.zeros(weights, np.int64), [None] * kinds, [None] * kinds, []
+    for r in done.where(F.col("__note").isNotNull()).select("__pid", *heads, "__note").orderBy("__pid").collect():
         n = r["__note"]
-        total, start = np.array(n[:weights]), np.array(n[weights : 2 * weights])
-        first, last = n[2 * weights : 2 * weights + len(same)], n[2 * weights + len(same) :]
-        begun = open_at if first == tail else base  # where the run that its first rows belong to began
-        shift.append((r["__pid"], *base.tolist(), *begun.tolist()))
-        open_at, tail = begun if r["__head"] else base + start, last
+        total, at, row = np.array(n[:weights]), weights, [r["__pid"], *base.tolist()]
+        for j, same in enumerate(runs):
+            start, at = np.array(n[at : at + weights]), at + weights
+            first, last, at = n[at : at + len(same)], n[at + len(same) : at + 2 * len(same)], at + 2 * len(same)
+            begun = open_at[j] if first == tail[j] else base  # where the run that its first rows belong to began
+            row += begun.tolist()
+            open_at[j], tail[j] = begun if r[heads[j]] else base + start, last
+        shift.append(tuple(row))
         base = base + total
-    ddl = "__pid int, " + ", ".join(f"__{s}{k} long" for s in ("base", "begun") for k in range(weights))
-    out = done.where(F.col("__note").isNull()).join(F.broadcast(df.sparkSession.createDataFrame(shift, ddl)), "__pid")
-    sums = [F.when(F.col("__head"), F.col(f"__begun{k}")).otherwise(F.col(f"__base{k}") + F.col(f"before{k}")).alias(f"before{k}") for k in range(weights)]
-    out = out.select(*keep, *sums)
-    out._scrivana_path = done._scrivana_path
-    return out
+    names = ["base", *(f"begun{j}_" for j in range(kinds))]
+    shifts = spark.createDataFrame(shift, "__pid int, " + ", ".join(f"__{s}{k} long" for s in names for k in range(weights)))
+    back = done.where(F.col("__note").isNull()).join(F.broadcast(shifts), "__pid")
+    whole = [F.when(F.col(heads[j]), F.col(f"__begun{j}_{k}")).otherwise(F.col(f"__base{k}") + F.col(sums[j * weights + k])).alias(sums[j * weights + k]) for j in range(kinds) for k in range(weights)]
+    back = back.select(*keep, *whole, *(["alone"] * alone))
+    back._scrivana_path = done._scrivana_path
+    return back
 
 
 def prefix_sums(df: DataFrame, order: list[Column], size: str, name: str) -> DataFrame:

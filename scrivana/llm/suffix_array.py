@@ -6,10 +6,13 @@ have an end smaller than any symbol.
 
 A level is a few shuffles of flat rows, one a suffix: triples are sorted over all partitions and named
 by what stands before them, names go back to their strings; then all suffixes, with the ranks of the
-sampled ones that follow, are sorted the same way, and the ranks go back. The sorts are by all their
+sampled ones that follow, are sorted the same way, and the ranks go back. A suffix of a unique
+triple is settled by its name, so the recursion keeps only the other names and the unique one that ends each
+stretch of them (the discarding of Dementiev, Kärkkäinen, Mehnert and Sanders, "Better external memory suffix
+array construction", 2008). The sorts are by all their
 keys, the string and the place last, so suffixes that begin alike, however many, are cut anywhere
 between two partitions. Rows follow from the symbols alone, never from the number of partitions; only
-a row for each partition reaches the driver.
+a sample for the bounds and a row for each partition reach the driver.
 """
 
 from __future__ import annotations
@@ -19,18 +22,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import discard, gathered, materialise, numbered, partitions, tidy
+from scrivana.llm.common import discard, gathered, materialise, numbered, partitions, picked, tidy
 
 _LISTS = "sid long, kind int, need int, vals array<long>"
 _LIST_SCHEMA = pa.schema([("sid", pa.int64()), ("kind", pa.int32()), ("need", pa.int32()), ("vals", pa.list_(pa.int64()))])
-#: What a row of ``_LISTS`` holds of its string: symbols, names of the sampled places, how many deeper suffixes have
-#: smaller names, and the deeper ranks of the places of remainder 1 and 2.
-_SYMBOLS, _NAMES, _DEEP, _FINE1, _FINE2 = range(5)
+#: What a row of ``_LISTS`` holds of its string: symbols, names of the sampled places, and the places of remainder 1 and 2 as
+#: the recursion ranks them among those of one name. Names are doubled, and 1 higher if surely unique (from 2 on); their
+#: ``need`` is over 3 where the string recurses.
+_SYMBOLS, _NAMES, _FINE1, _FINE2 = range(4)
 _SUFFIX = "x long, y long, z long, sid long, i int, need int"
-_MERGED = "side int, x long, y long, z long, sid long, i int, zero int, own long"
+_MERGED = "side int, x long, y long, z long, sid long, i int, own long"
 
 
 def _column(t: pa.Table, name: str) -> pa.Array:
@@ -84,16 +88,13 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names (from 1 on) of each string's sampled places in order, and for strings that go deeper how many deeper suffixes have smaller ones."""
+    """Names of each string's sampled places in order; three symbols are all that a string of unique triples needs."""
     if (t := gathered(batches)) is None:
         return
     order, first, row = _grouped(t)
-    sid, need, name, deep = (_column(t, c).to_numpy()[order] for c in ("sid", "need", "before0", "before1"))
-    yield from _parts(_lists(sid[first], _NAMES, need[first], row, name + 1))
-    go = need[first] > 3
-    if go.any():
-        at = go[row]
-        yield from _parts(_lists(sid[first][go], _DEEP, need[first][go], (np.cumsum(go) - 1)[row[at]], deep[at]))
+    sid, need, name, alone = (_column(t, c).to_numpy(zero_copy_only=False)[order] for c in ("sid", "need", "before0", "alone"))
+    settled = np.logical_and.reduceat(alone, first)
+    yield from _parts(_lists(sid[first], _NAMES, np.where(settled, np.minimum(need[first], 3), need[first]), row, 2 * name + 2 + alone))
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,18 +110,20 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     s = part(_SYMBOLS)
     sym, row, i = _flat(_column(s, "vals"))
     own = np.zeros(len(sym), np.int64)  # 1 higher than the rank among sampled suffixes, so that 0 is the end
-    own[i % 3 != 0] = _flat(_column(part(_NAMES), "vals"))[0]
-    deep = _column(s, "need").to_numpy()[row] > 3
-    if deep.any():
+    names = part(_NAMES)
+    name, of, j = _flat(_column(names, "vals"))
+    own[i % 3 != 0] = name >> 1
+    open_ = name % 2 == 0
+    kept = np.zeros(len(sym), bool)
+    kept[i % 3 != 0] = (_column(names, "need").to_numpy() > 3)[of] & (open_ | ((j >= 2) & np.roll(open_, 2)))  # as in _deeper
+    if kept.any():
         # among suffixes of one name the deeper order decides; names have room for as many ranks as they have suffixes
-        own[deep & (i % 3 != 0)] -= _flat(_column(part(_DEEP), "vals"))[0]
         for k in (1, 2):
-            own[deep & (i % 3 == k)] += _flat(_column(part(_FINE1 + k - 1), "vals"))[0]
+            own[kept & (i % 3 == k)] += _flat(_column(part(_FINE1 + k - 1), "vals"))[0]
     r1, r2, s2, sid = _after(own, row, 1), _after(own, row, 2), _after(sym, row, 1), _column(s, "sid").to_numpy()[row]
     for side, at, keys in ((0, np.flatnonzero(i % 3 != 2), (sym, r1, np.zeros_like(r1))), (1, np.flatnonzero(i % 3 != 1), (sym, s2, r2))):
-        zero = (i[at] % 3 == 0).astype(np.int32)
-        cols = [np.full(len(at), side, np.int32), *(k[at] for k in keys), sid[at], i[at].astype(np.int32), zero, np.where(zero == 1, 0, own[at] - 1)]
-        yield from _parts(pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["side", "x", "y", "z", "sid", "i", "zero", "own"]))
+        cols = [np.full(len(at), side, np.int32), *(k[at] for k in keys), sid[at], i[at].astype(np.int32), np.where(i[at] % 3 == 0, 0, own[at] - 1)]
+        yield from _parts(pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["side", "x", "y", "z", "sid", "i", "own"]))
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,41 +139,57 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _parts(_lists(sid[first][head], _SYMBOLS, np.zeros(len(head)), row[first], np.add.reduceat(part, first)))
 
 
-def _weigh_triples(b: pa.Table) -> np.ndarray:
-    need = b.column("need").to_numpy()
-    return np.stack([np.ones(len(need), np.int64), need > 3], axis=1)
+def _one(b: pa.Table) -> np.ndarray:
+    return np.ones(b.num_rows, np.int64)
 
 
 def _weigh_merged(b: pa.Table) -> np.ndarray:
-    side, zero = (b.column(c).to_numpy() for c in ("side", "zero"))
-    return np.stack([(side == s) & (zero == z) for s in (0, 1) for z in (1, 0)], axis=1)
+    side, zero = b.column("side").to_numpy(), b.column("i").to_numpy() % 3 == 0
+    return np.stack([(side == s) & (zero == z) for s in (0, 1) for z in (True, False)], axis=1)
 
 
-def _ranked(strings: DataFrame) -> DataFrame:
-    """Ranks (rows of ``_LISTS``) of the suffixes of strings (rows of ``_LISTS``)."""
-    most = strings.agg(F.max("need")).first()[0] or 0
-    triples = materialise(strings.mapInArrow(tidy(_triples), _SUFFIX), "triples")
-    names = numbered(triples, ["x", "y", "z", "sid", "i"], ["x", "y", "z"], _weigh_triples, 2, "names", ["sid", "i", "need"])
-    n = partitions(strings.sparkSession, 2 * triples.count())
+def _deeper(halves: DataFrame) -> DataFrame:
+    """The strings of the recursion: of each remainder's names those that are not unique, and the unique ones right after one of
+    these. No two suffixes agree beyond a unique name, so what is left out between it and the next name changes no order."""
+
+    def open_(name: Column) -> Column:
+        return name.bitwiseAND(F.lit(1)) == 0
+
+    def half(k: int) -> Column:
+        kept = F.filter("vals", lambda name, at: (at % 2 == k) & (open_(name) | ((at >= 2) & open_(F.get("vals", at - 2)))))
+        return F.struct((F.col("sid") * 2 + k).alias("sid"), F.transform(kept, lambda name: F.shiftright(name, 1)).alias("vals"))
+
+    each = halves.where("need > 3").select(F.explode(F.array(half(0), half(1))).alias("h"), F.ceil(F.col("need") / 3).cast("int").alias("need"))
+    return each.where(F.size("h.vals") > 0).select("h.sid", F.lit(_SYMBOLS).alias("kind"), "need", "h.vals")
+
+
+def _ranked(strings: DataFrame, relative: bool) -> DataFrame:
+    """Ranks (rows of ``_LISTS``) of the suffixes of strings (rows of ``_LISTS``), among those of the same first symbol if ``relative``."""
+    spark, (most, size) = strings.sparkSession, strings.agg(F.coalesce(F.max("need"), F.lit(0)), F.coalesce(F.sum(F.size("vals")), F.lit(0))).first()
+    n = partitions(spark, size)
+    chosen = picked(spark, 2 * size // 3, "sid")
+    names = numbered(strings, strings.where(chosen), _triples, _SUFFIX, 2 * size // 3, ["x", "y", "z", "sid", "i"], [["x", "y", "z"]], _one, 1, "names", ["sid", "i", "need"], alone=True)
     halves = materialise(names.repartition(n, "sid").mapInArrow(tidy(_named), _LISTS), "halves")
-    discard(triples, names)
+    discard(names)
     all_, fine = [strings, halves], None
     if most > 3:
-        each = halves.where((F.col("kind") == _NAMES) & (F.col("need") > 3))
-        half = F.explode(F.array(*[F.struct((F.col("sid") * 2 + k).alias("sid"), F.filter("vals", lambda _, at: at % 2 == k).alias("vals")) for k in (0, 1)]))  # noqa: B023
-        deeper = each.select(half.alias("h"), F.ceil(F.col("need") / 3).cast("int").alias("need")).where(F.size("h.vals") > 0)
-        fine = _ranked(deeper.select("h.sid", F.lit(_SYMBOLS).alias("kind"), "need", "h.vals"))
+        deeper = materialise(_deeper(halves), "deeper")
+        fine = _ranked(deeper, True)
+        discard(deeper)
         all_.append(fine.select(F.shiftright("sid", 1).alias("sid"), (F.lit(_FINE1) + F.col("sid").bitwiseAND(F.lit(1))).cast("int").alias("kind"), "need", "vals"))
-    both = reduce(DataFrame.unionByName, all_).repartition(n, "sid")
-    spread = materialise(both.mapInArrow(tidy(_spread), _MERGED), "spread")
+    chosen = picked(spark, 4 * size // 3, "sid")
+    both, some = (reduce(DataFrame.unionByName, frames).repartition(n, "sid") for frames in (all_, [f.where(chosen) for f in all_]))
+    order = ["x", "side", "y", "z", "sid", "i"]
+    runs = [["x", "side", "y", "z"], ["x"]] if relative else [["x", "side", "y", "z"]]
+    merged = numbered(both, some, _spread, _MERGED, 4 * size // 3, order, runs, _weigh_merged, 4, "merged", ["side", "sid", "i", "own"])
     discard(halves, *([] if fine is None else [fine]))
-    merged = numbered(spread, ["x", "side", "y", "z", "sid", "i"], ["x", "side", "y", "z"], _weigh_merged, 4, "merged", ["side", "sid", "i", "zero", "own"])
     b = [F.col(f"before{k}") for k in range(4)]
-    zero = F.col("zero") == 1
-    part = F.when(F.col("side") == 0, F.when(zero, b[0] + b[1]).otherwise(F.col("own") + b[0])).otherwise(F.when(zero, b[3]).otherwise(F.col("own") + b[2]))
-    out = merged.select("sid", "i", part.alias("part")).repartition(n, "sid")
-    out = materialise(out.mapInArrow(tidy(_settled), _LISTS), "ranks")
-    discard(spread, merged)
+    left, zero = F.col("side") == 0, F.col("i") % 3 == 0
+    part = F.when(left, F.when(zero, b[0] + b[1]).otherwise(F.col("own") + b[0])).otherwise(F.when(zero, b[3]).otherwise(F.col("own") + b[2]))
+    if relative:  # a suffix of remainder 0 has a part from either side
+        part -= F.when(left | ~zero, F.col("within0") + F.col("within1") + F.col("within3")).otherwise(0)
+    out = materialise(merged.select("sid", "i", part.alias("part")).repartition(n, "sid").mapInArrow(tidy(_settled), _LISTS), "ranks")
+    discard(merged)
     return out
 
 
@@ -184,7 +203,7 @@ def suffix_ranks(strings: DataFrame) -> DataFrame:
     Empty strings have no row. Only a string's own symbols meet in one task.
     """
     given = materialise(strings.where(F.size("syms") > 0).select("sid", F.lit(_SYMBOLS).alias("kind"), "need", F.col("syms").alias("vals")), "strings")
-    ranks = _ranked(given)
+    ranks = _ranked(given, False)
     discard(given)
     out = ranks.select("sid", F.col("vals").alias("ranks"))
     out._scrivana_path = ranks._scrivana_path

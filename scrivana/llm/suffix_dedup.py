@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import discard, frequent, gathered, join_back, materialise, numbered, partitions, prefix_sums, shuffle_partitions, table, tidy
+from scrivana.llm.common import discard, frequent, gathered, join_back, materialise, numbered, partitions, picked, prefix_sums, shuffle_partitions, table, tidy
 from scrivana.llm.suffix_array import suffix_ranks
 
 #: Bytes of a string whose repeats go; bytes of an anchor and of its inner strings: 3 K - 2 S - 2 <= LENGTH
@@ -267,11 +267,16 @@ def _names(strings: DataFrame) -> DataFrame:
     return strings.select("sid", "syms", "gaps").mapInArrow(tidy(make), ddl)
 
 
-def _prefixes(strings: DataFrame) -> DataFrame:
+_PREFIX = "rank long, sid long, i long, prefix long, occurs long, key long, first long, inner long"
+
+
+def _adjacent_runs(strings: DataFrame, ranks: DataFrame) -> DataFrame:
     """A row per suffix with a prefix that reaches LENGTH bytes beyond its second anchor (what lies between the two can
-    start nothing that reaches further): its rank, that prefix's hash, how often the suffix occurs and where first, and how often its second phrase does."""
-    ddl = "rank long, sid long, i long, prefix long, occurs long, key long, first long, inner long"
-    schema = _schema(ddl)
+    start nothing that reaches further): how often the suffix occurs and where first, and how often its second phrase does.
+
+    They are sorted by rank, and the runs of adjacent equal prefixes (by hash) numbered (column ``run``: the suffixes before it).
+    """
+    schema = _schema(_PREFIX)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -298,15 +303,11 @@ def _prefixes(strings: DataFrame) -> DataFrame:
                 cols = rank[good], col("sid")[r], i[good], h.view(np.int64), col("occurs")[r], col("key")[r], col("first")[r] + i[good], num[good + 1].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], schema=schema)
 
-    return strings.mapInArrow(tidy(make), ddl)
-
-
-def _adjacent_runs(suffixes: DataFrame) -> DataFrame:
-    """Sort suffixes by rank and number the runs of adjacent equal prefixes (column ``run``: the suffixes before it)."""
-    given = materialise(suffixes, "suffixes")
+    size = strings.agg(F.coalesce(F.sum(F.length("gaps")), F.lit(0))).first()[0]
+    chosen = picked(strings.sparkSession, size, "sid")
+    some = strings.where(chosen).join(ranks.where(chosen), "sid")
     keep = ["sid", "i", "occurs", "key", "first", "inner"]
-    done = numbered(given, ["rank", "sid", "i"], ["prefix"], lambda t: np.ones(t.num_rows, np.int64), 1, "sorted", keep)
-    discard(given)
+    done = numbered(strings.join(ranks, "sid"), some, make, _PREFIX, size, ["rank", "sid", "i"], [["prefix"]], lambda t: np.ones(t.num_rows, np.int64), 1, "sorted", keep)
     out = done.withColumnRenamed("before0", "run")
     out._scrivana_path = done._scrivana_path
     return out
@@ -323,7 +324,7 @@ def _verdicts(strings: DataFrame) -> DataFrame:
     names = materialise(_names(kinds), "names")
     ranks = suffix_ranks(names)
     discard(names)
-    suffixes = _adjacent_runs(_prefixes(kinds.join(ranks, "sid")))
+    suffixes = _adjacent_runs(kinds, ranks)
     discard(kinds, ranks)
     runs = materialise(suffixes.groupBy("run").agg(F.sum("occurs").alias("all"), F.min(F.struct("key", "first")).alias("least"), F.count("*").alias("many")), "runs")
     each = join_back(suffixes.select("sid", "i", "occurs", "inner", "run"), runs, "run", "many", ["sid", "i"])
