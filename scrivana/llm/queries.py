@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from scrivana.llm import fingerprints, language_id, mixing, packing, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
+from scrivana.llm import byte_bpe, fingerprints, language_id, mixing, packing, prefix_trie, quality, resampling, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,9 @@ QUERIES = {
         mixing.op8_mix_sources,
         sharding.op9_extendible_shards,
         url_filter.op10_url_filter,
+        resampling.op11_importance_resampling,
+        byte_bpe.op12_byte_bpe,
+        prefix_trie.op13_prefix_trie,
     )
 }
 ORACLES = {
