@@ -80,28 +80,6 @@ def merge_update(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full").select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in columns])
 
 
-def leader_clusters(pages: DataFrame, threshold: int = 10) -> DataFrame:
-    """``doc, page, cluster``: each page joins the first cluster whose leader's hash is near enough.
-
-    The scan is in page order and not transitive, so it runs per document, over that document's pages only.
-    """
-    import pandas as pd
-
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[int | None] = []
-        out = []
-        for h in pdf.sort_values("page")["phash"]:
-            v = int(h, 16) if isinstance(h, str) and h else None
-            hit = next((k for k, x in enumerate(leaders) if v is not None and x is not None and (v ^ x).bit_count() <= threshold), None)
-            if hit is None:
-                leaders.append(v)
-                hit = len(leaders) - 1
-            out.append(hit)
-        return pdf.sort_values("page")[["doc", "page"]].assign(cluster=out)
-
-    return pages.groupBy("doc").applyInPandas(lead, "doc long, page int, cluster int")
-
-
 def copy_leaders(clusters: DataFrame, pages: DataFrame) -> DataFrame:
     """``doc, page, cluster, content``: every page with the content of its cluster's first page."""
     first = clusters.groupBy("doc", "cluster").agg(F.min("page").alias("lead"))

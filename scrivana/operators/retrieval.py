@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivana.functions.text import dynamic_weights, tokens
-from scrivana.functions.vector import squared_l2
 
 K1, B, FUSION = 1.5, 0.75, 60
 
@@ -22,14 +21,14 @@ def top_k(scored: DataFrame, k: int, order: Column, by: str = "qid") -> DataFram
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
-    """``qid, id, score, rank`` for queries (user_id, qid, query), each over its tenant's texts (user_id, id, content).
+    """``qid, id, score, rank`` for queries (user_id, qid, query), each over its tenant's texts (user_id, id, content), without an index.
 
-    One scan of the corpus: only the tokens of the tenant's queries are kept, and an empty token for every text, so that
+    For few queries over texts that are searched once; see ``text_index`` for others. One scan of the corpus: only the tokens of the tenant's queries are kept, and an empty token for every text, so that
     the number and mean length of a tenant's texts are counted like any token's. What no query names is dropped before any shuffle.
     """
     asked = queries.select("user_id", "qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("tok"))
     wanted = asked.select("user_id", "tok").union(queries.select("user_id", F.lit(""))).distinct()
-    words = tokens(F.col("content"))
+    words = F.coalesce(tokens(F.col("content")), F.array().cast("array<string>"))
     every = corpus.select("user_id", "id", words.alias("t")).select("user_id", "id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("tok"))
     tf = every.join(wanted, ["user_id", "tok"], "left_semi").groupBy("user_id", "tok", "id", "dl").agg(F.count("*").alias("tf"))
     mine = Window.partitionBy("user_id")
@@ -43,15 +42,6 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = 5, k1: float = K1, b: f
     return top_k(scored, k, F.col("score").desc())
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """``qid, id, score, rank``: of each query (user_id, qid, q) the k nearest of its tenant's vectors (user_id, id, v); lower is closer.
-
-    An equi-join on the tenant, so vectors meet only their own tenant's queries; each task keeps k a query before the shuffle.
-    """
-    scored = vectors.join(queries, "user_id").select("qid", "id", F.round(squared_l2(F.col("v"), F.col("q")), 6).alias("score"))
-    return top_k(scored, k, F.col("score").asc())
-
-
 def fuse(branches: dict[str, DataFrame], queries: DataFrame, constant: int = FUSION) -> DataFrame:
     """Weighted rank fusion of the branches ``vector`` and ``bm25``; a query's weights follow from its text."""
     w = queries.select("qid", dynamic_weights(F.col("query")).alias("w")).select("qid", "w.vector", "w.bm25")
@@ -67,24 +57,23 @@ def look_up(hits: DataFrame, rows: DataFrame) -> DataFrame:
     return hits.join(rows, "id")
 
 
-def lexical_score(query: Column, text: Column) -> Column:
-    """The default scorer: the share of a query's distinct tokens that the text has."""
+def lexical_overlap(query: Column, toks: Column) -> Column:
+    """The default scorer: the share of a query's distinct tokens that are among a text's distinct tokens, as its index has them."""
     q = F.array_distinct(tokens(query))
-    return F.when(F.size(q) > 0, F.round(F.size(F.array_intersect(q, tokens(text))) / F.size(q), 4)).otherwise(0.0)
+    return F.when(F.size(q) > 0, F.round(F.size(F.array_intersect(q, toks)) / F.size(q), 4)).otherwise(0.0)
 
 
 def rerank(pairs: DataFrame, score: Column | None) -> DataFrame:
-    """Pairs (qid, query, id, content, ord) by score, ties in input order; without a scorer all score 0."""
+    """Pairs (qid, id, ord, what the scorer needs) by score, ties in input order; without a scorer all score 0."""
     s = F.coalesce(score, F.lit(0.0)) if score is not None else F.lit(0.0)
     scored = pairs.withColumn("score", s)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "ord")))
 
 
 def notes_first(notes: DataFrame, base: DataFrame) -> DataFrame:
-    """Hits of both branches (qid, id, rank) with ``ord``: notes before the knowledge base, each in its order; an id in both stands first."""
+    """Hits of both branches (qid, id, rank) with ``ord`` (branch and rank): notes before the knowledge base, each in its order; an id in both stands first."""
     both = notes.select("qid", "id", "rank", F.lit(0).alias("src")).unionByName(base.select("qid", "id", "rank", F.lit(1).alias("src")))
-    place = F.min(F.struct("src", "rank")).alias("place")
-    return both.groupBy("qid", "id").agg(place).select("qid", "id", (F.col("place.src") * 1_000_000 + F.col("place.rank")).alias("ord"))
+    return both.groupBy("qid", "id").agg(F.min(F.struct("src", "rank")).alias("ord"))
 
 
 #: The texts of a ranked list.

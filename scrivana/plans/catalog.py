@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from scrivana.functions import text as T
 from scrivana.functions import vector as V
+from scrivana.operators import hamming as H
 from scrivana.operators import notes as N
 from scrivana.operators import retrieval as R
+from scrivana.operators import text_index as X
+from scrivana.operators import vector_index as I
 from scrivana.sources.files import recursive_chunks
+from scrivana.store import new_path
 from scrivana.streaming.stateful import debounce, rate_limit
 from scrivana.tables import load, messages, notes, tagged_notes
 
@@ -46,9 +50,24 @@ def _vectors(spark, d):
     return e.join(notes(spark, d).select("id", "user_id"), "id")
 
 
+def _vector_asked(v):
+    return v.where("id % 20 = 0").select("user_id", F.col("id").alias("qid"), F.col("v").alias("q"))
+
+
 def _vector_hits(spark, d, k=5):
     v = _vectors(spark, d)
-    return R.nearest(v, v.where("id % 20 = 0").select("user_id", F.col("id").alias("qid"), F.col("v").alias("q")), k)
+    return I.tiled_nearest(v, _vector_asked(v), ["user_id"], k)
+
+
+_TEXT_INDEXES: dict[tuple[str, str], X.TextIndex] = {}
+
+
+def _text_index(spark, d):
+    """The index of a directory's texts: built by the first query of a session that searches them, read by all others."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TEXT_INDEXES:
+        _TEXT_INDEXES[key] = X.build_text_index(notes(spark, d), new_path(spark, "text-index"))
+    return _TEXT_INDEXES[key]
 
 
 _TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
@@ -73,7 +92,7 @@ w AS (SELECT qid, query, round(CASE WHEN n > 0 AND n / length(query) > 0.1 THEN
 
 @query(f"WITH {_BM25} SELECT * FROM bm")
 def bm25_topk(spark, d):
-    return R.bm25(notes(spark, d), _asked(spark, d))
+    return X.search_text(_text_index(spark, d), _asked(spark, d))
 
 
 @query(f"WITH {_NEAR} SELECT * FROM ve")
@@ -122,10 +141,12 @@ k AS (SELECT qid, id, score, 'knowledge_base' AS kind FROM (SELECT *, row_number
 def _kinds(spark, d):
     """Both collections (an odd label: the knowledge base) asked with the same vector, its own note dropped after one more is fetched."""
     v = _vectors(spark, d)
-    q = v.where("id % 20 = 0").select("user_id", F.col("id").alias("qid"), F.col("v").alias("q"))
-    scored = v.join(q, "user_id").select("qid", "id", "label", F.round(V.squared_l2(F.col("v"), F.col("q")), 6).alias("score"))
-    mine = R.top_k(scored.where("label % 2 = 0 or id = qid"), 4, F.col("score").asc()).where("id != qid")
-    base = R.top_k(scored.where("label % 2 = 1 and id != qid"), 3, F.col("score").asc())
+    q = _vector_asked(v)
+    own = q.select("qid", F.col("qid").alias("id"), F.lit(0.0).alias("score"))
+    mine = I.tiled_nearest(v.where("label % 2 = 0"), q, ["user_id"], 4).where("id != qid").drop("rank").unionByName(own)
+    mine = R.top_k(mine, 4, F.col("score").asc()).where("id != qid")
+    base = I.tiled_nearest(v.where("label % 2 = 1"), q, ["user_id"], 4).where("id != qid")
+    base = R.top_k(base.drop("rank"), 3, F.col("score").asc())
     return mine.withColumn("kind", F.lit("note")).unionByName(base.withColumn("kind", F.lit("knowledge_base"))).select("qid", "id", "score", "kind")
 
 
@@ -141,7 +162,7 @@ def related_items(spark, d):
 
 def _pairs(spark, d):
     hits = bm25_topk(spark, d).select("qid", "id", F.col("rank").alias("ord"))
-    return hits.join(_asked(spark, d).drop("user_id"), "qid").join(notes(spark, d).select("id", "content"), "id")
+    return hits.join(_asked(spark, d).drop("user_id"), "qid").join(_text_index(spark, d).forward.select("id", "toks"), "id")
 
 
 _SCORE = f"round(len(list_intersect(list_distinct({_TOK.format('query')}), {_TOK.format('text')})) / len(list_distinct({_TOK.format('query')})), 4)"
@@ -149,7 +170,7 @@ _SCORE = f"round(len(list_intersect(list_distinct({_TOK.format('query')}), {_TOK
 
 @query(f"WITH {_BM25}, p AS (SELECT qid, id, rank AS ord, {_SCORE} AS score FROM bm JOIN {{ASKED}} USING (qid) JOIN documents ON id = doc_id) SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord)::INT AS rank FROM p")
 def rerank_lexical(spark, d):
-    return R.rerank(_pairs(spark, d), R.lexical_score(F.col("query"), F.col("content"))).select("qid", "id", "score", "rank")
+    return R.rerank(_pairs(spark, d), R.lexical_overlap(F.col("query"), F.col("toks"))).select("qid", "id", "score", "rank")
 
 
 @query(f"WITH {_BM25} SELECT qid, id, 0.0::DOUBLE AS score, rank FROM bm")
@@ -162,21 +183,21 @@ _LEX = f"p AS (SELECT qid, id, rank AS ord, text, {_SCORE} AS score FROM bm JOIN
 
 @query(f"WITH {_BM25}, {_LEX} SELECT qid, id, score, rank FROM rr WHERE rank <= 3")
 def rerank_head(spark, d):
-    return R.rerank(_pairs(spark, d), R.lexical_score(F.col("query"), F.col("content"))).where("rank <= 3").select("qid", "id", "score", "rank")
+    return R.rerank(_pairs(spark, d), R.lexical_overlap(F.col("query"), F.col("toks"))).where("rank <= 3").select("qid", "id", "score", "rank")
 
 
 @query(f"WITH {_BM25}, {_LEX} SELECT qid, md5('重排序后的文档列表：' || chr(10) || string_agg(rank || '. 相似度: ' || printf('%.4f', score) || chr(10) || '   内容: ' || text || chr(10) || chr(10), '' ORDER BY rank)) AS md5 FROM rr GROUP BY qid")
 def ranked_list(spark, d):
-    r = R.rerank(_pairs(spark, d), R.lexical_score(F.col("query"), F.col("content")))
-    return R.ranked_list(r).select("qid", F.md5("listed").alias("md5"))
+    r = R.rerank(_pairs(spark, d), R.lexical_overlap(F.col("query"), F.col("toks")))
+    return R.ranked_list(R.look_up(r, notes(spark, d).select("id", "content"))).select("qid", F.md5("listed").alias("md5"))
 
 
 @query(f"""WITH {_BM25}, {_NEAR}, o AS (SELECT qid, id, min(o)::BIGINT AS ord FROM (SELECT qid, id, rank AS o FROM ve WHERE rank <= 3 UNION ALL SELECT qid, id, 1000000 + rank FROM bm) GROUP BY ALL),
 p AS (SELECT qid, id, ord, {_SCORE} AS score FROM o JOIN {{ASKED}} USING (qid) JOIN documents ON id = doc_id) SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord)::INT AS rank FROM p""")
 def rerank_notes_first(spark, d):
     hits = R.notes_first(_vector_hits(spark, d, 3), bm25_topk(spark, d))
-    pairs = hits.join(_asked(spark, d).drop("user_id"), "qid").join(notes(spark, d).select("id", "content"), "id")
-    return R.rerank(pairs, R.lexical_score(F.col("query"), F.col("content"))).select("qid", "id", "score", "rank")
+    pairs = hits.join(_asked(spark, d).drop("user_id"), "qid").join(_text_index(spark, d).forward.select("id", "toks"), "id")
+    return R.rerank(pairs, R.lexical_overlap(F.col("query"), F.col("toks"))).select("qid", "id", "score", "rank")
 
 
 @query("""SELECT unnest(['en', 'fr', 'de', 'xx', 'uncategorized', 'other', 'total']) AS category, unnest([count(*) FILTER (lang = 'en'), count(*) FILTER (lang = 'fr'), count(*) FILTER (lang = 'de'), 0, count(*) FILTER (lang IS NULL), count(*) FILTER (lang NOT IN ('en', 'fr', 'de', 'xx')), count(*)])::BIGINT AS n FROM documents""")
@@ -338,18 +359,27 @@ def answer_letter(spark, d):
     return load(spark, d, "events").select("event_id", F.try_element_at(F.array(*map(F.lit, ("north", "east", "south", "west"))), F.ascii(letter) - 64).alias("option"))
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0""")
+@query("""SELECT a, b, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b)::INT AS rank FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 5""")
 def cosine_pairs(spark, d):
-    e = load(spark, d, "embeddings")
-    a = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    return e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")).join(a, F.lit(True)).select("a", "b", F.round(V.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+    """The five vectors of the greatest cosine to each asked one, of all tenants."""
+    e = load(spark, d, "embeddings").select(F.lit(0).alias("all"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    hits = I.tiled_nearest(e, e.where("id % 20 = 0").select("all", F.col("id").alias("qid"), F.col("v").alias("q")), ["all"], cosine=True)
+    return hits.select(F.col("qid").alias("a"), F.col("id").alias("b"), (-F.col("score")).alias("cosine"), "rank")
+
+
+@query()
+def vector_index_topk(spark, d):
+    """As vector_topk, by the clustered index: a query looks into the cells that it probes. Tests hold its recall against all rows."""
+    v = _vectors(spark, d)
+    index = I.fit_index(v)
+    return index.search(index.assign(v), _vector_asked(v), by=["user_id"])
 
 
-@query("WITH h AS (SELECT doc_id AS id, ('0x' || md5(text)[:15])::BIGINT AS h FROM documents) SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS bits FROM h a, h b WHERE a.id % 20 = 0")
+@query("WITH h AS (SELECT doc_id AS id, ('0x' || md5(text)[:15])::BIGINT AS h FROM documents), g AS (SELECT h, min(id) AS b, count(*) AS copies FROM h GROUP BY h) SELECT a.id AS a, g.b, copies, bit_count(xor(a.h, g.h))::INT AS bits FROM h a, g WHERE a.id % 20 = 0 AND bit_count(xor(a.h, g.h)) <= 10")
 def hamming_pairs(spark, d):
-    h = notes(spark, d).select("id", F.substring(F.md5("content"), 1, 15).alias("h"))
-    b = h.select(F.col("id").alias("b"), F.col("h").alias("g"))
-    return b.join(h.where("id % 20 = 0"), F.lit(True)).select(F.col("id").alias("a"), "b", V.hamming_hex(F.col("h"), F.col("g")).alias("bits"))
+    """The distinct content hashes within 10 bits of each asked document's, each as its least id and number of copies."""
+    h = notes(spark, d).select("id", H.hash_number(F.substring(F.md5("content"), 1, 15)).alias("h"))
+    return H.radius_search(h.where("id % 20 = 0").select(F.col("id").alias("a"), "h"), h, 10)
 
 
 @query("SELECT source AS user_id, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sum(strlen(text)) <= 209715200 AS accepted FROM documents WHERE strlen(text) <= 20971520 GROUP BY source")
@@ -392,4 +422,4 @@ def rate_limited(spark, d):
 @query()
 def phash_leaders(spark, d):
     n = notes(spark, d).select((F.col("id") / 20).cast("long").alias("doc"), (F.col("id") % 20).cast("int").alias("page"), F.substring(F.md5("content"), 1, 16).alias("phash"))
-    return N.leader_clusters(n)
+    return H.leader_clusters(n)

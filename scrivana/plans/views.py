@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scrivana.functions import text as T
 from scrivana.functions import views as V
+from scrivana.operators import hamming as H
 from scrivana.operators import notes as N
 from scrivana.operators import registry as G
 from scrivana.operators import sessions as S
@@ -153,7 +154,7 @@ def image_sets(spark, d):
 @query()
 def phash_copy(spark, d):
     n = notes(spark, d).select((c("id") / 20).cast("long").alias("doc"), (c("id") % 20).cast("int").alias("page"), F.substring(F.md5("content"), 1, 16).alias("phash"), "content")
-    groups = N.leader_clusters(n.select("doc", "page", "phash"))
+    groups = H.leader_clusters(n.select("doc", "page", "phash"))
     return N.copy_leaders(groups, n).select("doc", "page", "cluster", F.md5("content").alias("md5"))
 
 

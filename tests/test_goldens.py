@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scrivana.functions import text as T
 from scrivana.functions import vector as V
+from scrivana.operators import hamming as H
 from scrivana.operators import notes as N
 from scrivana.operators import retrieval as R
 from scrivana.operators import registry as G
@@ -56,7 +57,7 @@ def test_cosine(spark):
 
 def test_leaders(spark):
     df = spark.createDataFrame([(1, k, h) for k, h in enumerate(("0", "FF", "FFFF", "FFF00", ""))], "doc long, page int, phash string")
-    assert [r.cluster for r in N.leader_clusters(df).orderBy("page").collect()] == [0, 0, 1, 2, 3]
+    assert [r.cluster for r in H.leader_clusters(df).orderBy("page").collect()] == [0, 0, 1, 2, 3]
 
 
 def test_limiter(spark):
