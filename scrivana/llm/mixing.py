@@ -79,10 +79,10 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """
     cols = docs.columns
     each = _mix(docs, **options).groupBy("doc_id", "tie", "source").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows")).where("taken > 0")
-    each = each.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("source").alias("__source"), "taken", "rows")
+    each = each.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("source").alias("__source"), F.col("taken").alias("__taken"), F.col("rows").alias("__rows"))
     d = docs.withColumn("__n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     d = d.join(each, d["doc_id"].eqNullSafe(each["__id"]) & (F.xxhash64(d["text"]) == each["__tie"]) & d["source"].eqNullSafe(each["__source"]))
-    share = F.floor(F.col("taken") / F.col("rows"))
+    share = F.floor(F.col("__taken") / F.col("__rows"))
     d = d.withColumn("__whole", F.floor(share / F.col("__n"))).withColumn("__part", share % F.col("__n"))
     copy = F.explode(F.sequence(F.lit(1), F.col("__whole") + F.when(F.col("__part") > 0, 1).otherwise(0)))
     d = d.withColumn("__copy", copy)
