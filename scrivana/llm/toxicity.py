@@ -139,11 +139,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, samp
     if not picked:
         return fit([], [])
     chosen = docs.sparkSession.createDataFrame(picked, lab.schema)
-    got = docs.select("doc_id", "text").where(~held_out()).join(F.broadcast(chosen), "doc_id").collect()
-    unique = {r["doc_id"]: r for r in sorted(got, key=lambda r: (r["doc_id"], r["text"] or ""))}
-    got = [unique[k] for k in sorted(unique)]
+    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~held_out()).join(F.broadcast(chosen), "doc_id")
+    got = got.groupBy("doc_id").agg(F.max(F.struct("text", "toxic")).alias("r")).select("doc_id", "r.*").collect()  # a row for each chosen id
+    got.sort(key=lambda r: r["doc_id"])
     prior = min(0.99, max(0.01, counts.get(1, 0) / max(1, sum(counts.values()))))
-    return fit([r["text"] or "" for r in got], [r["toxic"] for r in got], prior=prior)
+    return fit([r["text"] for r in got], [r["toxic"] for r in got], prior=prior)
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
