@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -26,6 +26,8 @@ CACHE_WORDS = 300_000
 #: A group's bands reach so many interquartile ranges beyond its quartiles, each range taken as this at least (characters
 #: per token, byte share, relative entropy). Chosen on labelled documents: see the README.
 REACH, LEAST_RANGE = 2.0, (0.01, 0.01, 0.005)
+#: Steps of one in which measures are counted.
+STEPS = 10_000
 #: Texts of its script that a group's quartiles are averaged with, so that a rare language has bands too.
 SHRINK = 50
 #: Groups up to this number are broadcast to the texts (some 100 bytes each); more are joined with their hot ones dealt.
@@ -148,16 +150,29 @@ def measure(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
     return d.mapInArrow(batched(make, pa.schema(fields), ("doc_id", "text", "lang")), ddl)
 
 
+def _quartiles(counts: DataFrame, group: list[str]) -> DataFrame:
+    """A row for each group: of each measure an array of its quartiles. ``counts`` has a row for each step of a measure, few of them a group."""
+    mine = Window.partitionBy(*group, "m")
+    upto = F.sum("k").over(mine.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    c = counts.withColumn("upto", upto).withColumn("all", F.sum("k").over(mine))
+    at = lambda k, p: F.min(F.when((F.col("m") == k) & (F.col("upto") >= p * F.col("all")), F.col("step"))) / STEPS
+    return c.groupBy(*group).agg(*[F.array(*[at(k, p) for p in (0.25, 0.5, 0.75)]).alias(name) for k, name in enumerate(MEASURES)])
+
+
 def bands(measured: DataFrame) -> DataFrame:
     """``band, script, size, n`` and for each measure ``low_``, ``high_``: the bands of every language and size (log2 of words).
 
-    Approximate quartiles of all documents that pass the base rules, added up by group before any shuffle, and averaged with those
-    of all texts of the script and size as if SHRINK of these were in the group.
+    Quartiles of all documents that pass the base rules, averaged with those of all texts of the script and size as if SHRINK of
+    these were in the group. Measures are counted in steps of 1 / STEPS, so the quartiles are those of the counts, in whatever order rows come.
     """
-    quart = [F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(c) for c in MEASURES]
     good = measured.where("not base_failed")
-    own = good.groupBy("band", "script", "size").agg(F.count("*").alias("n"), *quart)
-    all_ = good.groupBy("script", "size").agg(*quart).select("script", "size", *[F.col(c).alias(f"{c}_all") for c in MEASURES])
+    step = F.explode(F.array(*[F.struct(F.lit(k).alias("m"), F.round(F.col(c) * STEPS).cast("long").alias("step")) for k, c in enumerate(MEASURES)]))
+    counts = good.select("band", "script", "size", step.alias("x")).groupBy("band", "script", "size", "x.m", "x.step").agg(F.count("*").alias("k"))
+    counts = materialise(counts.where("step is not null"), "steps")
+    n = good.groupBy("band", "script", "size").agg(F.count("*").alias("n"))
+    own = n.join(_quartiles(counts, ["band", "script", "size"]), ["band", "script", "size"], "left")
+    all_ = _quartiles(counts.groupBy("script", "size", "m", "step").agg(F.sum("k").alias("k")), ["script", "size"])
+    all_ = all_.select("script", "size", *[F.col(c).alias(f"{c}_all") for c in MEASURES])
     q = lambda c, k: (F.col("n") * F.col(c)[k] + SHRINK * F.col(f"{c}_all")[k]) / (F.col("n") + SHRINK)
     reach = lambda c, least: REACH * F.greatest(q(c, 2) - q(c, 0), F.lit(least))
     edges = [e for c, least in zip(MEASURES, LEAST_RANGE, strict=True) for e in ((q(c, 0) - reach(c, least)).alias(f"low_{c}"), (q(c, 2) + reach(c, least)).alias(f"high_{c}"))]
