@@ -23,8 +23,8 @@ from scrivana.llm.common import discard, join_back, materialise, table, tidy
 
 #: Conversations in a group that shares the first turns of its first, and the modulus of the hash that says how many.
 GROUP, TURNS = 5, 9
-#: Weight of a component that a task decomposes; for large tries the root of the whole weight, so that neither a component nor the nodes between them outgrow it.
-PIECE = 1 << 16
+#: Least weight of a component that a task decomposes. Above, it is the root of the whole weight, and so are the nodes between the components but for a small factor.
+PIECE = 1 << 8
 #: Nodes whose list is broadcast; above, they are joined by hash with hot nodes split.
 BROADCAST_NODES = 200_000
 #: Odd multipliers of the two prefix hashes.
