@@ -15,6 +15,9 @@ SENSITIVE = (
     r"postgresql://[^@]+@",
 )
 
+#: Days until the next review after 0, 1, 2 ... reviews, the last for all beyond.
+REVIEW_DAYS = (1, 2, 4, 7, 15, 30)
+
 
 def preview(text: Column, n: int, dots: str = "longer") -> Column:
     """First n characters; dots "longer" adds ``...`` if some are left out, "always" always, "never" never."""
@@ -85,7 +88,7 @@ def relative_date(now: Column, then: Column) -> Column:
 
 def review_interval(count: Column) -> Column:
     """Days until the next review after ``count`` reviews (fixed steps, the last for all beyond)."""
-    return F.coalesce(F.try_element_at(F.array(*map(F.lit, (1, 2, 4, 7, 15, 30))), (count + 1).cast("int")), F.lit(30))
+    return F.coalesce(F.try_element_at(F.array(*map(F.lit, REVIEW_DAYS)), (count + 1).cast("int")), F.lit(REVIEW_DAYS[-1]))
 
 
 def dynamic_weights(query: Column) -> Column:

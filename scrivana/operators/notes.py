@@ -54,6 +54,12 @@ def schedule(reviews: DataFrame) -> DataFrame:
     return out.withColumn("next_at", F.expr("timestampadd(DAY, interval_days, at)"))
 
 
+def due_history(reviews: DataFrame) -> DataFrame:
+    """Every time a note fell due: reviews replayed as :func:`schedule` does, those after which no other came by the next date."""
+    out = schedule(reviews).withColumn("__following", F.lead("at").over(Window.partitionBy("user_id", "note_id").orderBy("at")))
+    return out.where(F.col("__following").isNull() | (F.col("__following") > F.col("next_at"))).drop("__following")
+
+
 def due(records: DataFrame, notes: DataFrame, now: Column) -> DataFrame:
     """Records (note_id, next_at) due by now, with their notes' preview."""
     return records.where(F.col("next_at") <= now).join(notes, F.col("note_id") == F.col("id")).select("note_id", "next_at", preview(F.col("content"), 200, "never").alias("preview"))

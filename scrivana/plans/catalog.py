@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scrivana.functions import text as T
 from scrivana.functions import vector as V
+from scrivana.operators import chunks as C
 from scrivana.operators import hamming as H
 from scrivana.operators import notes as N
 from scrivana.operators import retrieval as R
@@ -246,6 +247,34 @@ def doc_detail(spark, d):
     return N.document_detail(_chunks(spark, d))
 
 
+_FOLD = f"""v AS (SELECT doc, chunk_index AS k, content, list_transform(range(64), lambda b: len(list_filter(h, lambda x: x = b))) AS v FROM (SELECT *, list_transform({_TOK.format("content")}, lambda t: ('0x' || md5(t)[:4])::INT % 64) AS h FROM c)),
+r(doc, k, grp, v) AS (SELECT doc, k, 0, v FROM v WHERE k = 0 UNION ALL SELECT doc, k, CASE WHEN joins THEN grp ELSE grp + 1 END, CASE WHEN joins THEN list_transform(list_zip(a, b), lambda z: z[1] + z[2]) ELSE b END
+FROM (SELECT v.doc, v.k, grp, r.v AS a, v.v AS b, coalesce(list_dot_product(r.v::DOUBLE[], v.v::DOUBLE[]) / nullif(sqrt(list_dot_product(r.v::DOUBLE[], r.v::DOUBLE[])) * sqrt(list_dot_product(v.v::DOUBLE[], v.v::DOUBLE[])), 0), 0) > 0.7 AS joins FROM r JOIN v ON r.doc = v.doc AND v.k = r.k + 1))"""
+
+
+@query(f"WITH RECURSIVE {_CHUNK}, {_FOLD} SELECT doc, grp::INT AS chunk_index, min(k)::INT AS first, count(*)::INT AS parts, md5(string_agg(content, ' ' ORDER BY k)) AS md5 FROM r JOIN v USING (doc, k) GROUP BY doc, grp")
+def semantic_merge(spark, d):
+    """Neighbouring chunks merged while their hashed term vectors are alike."""
+    return C.merge_alike(_chunks(spark, d)).select("doc", "chunk_index", "first", "parts", F.md5("content").alias("md5"))
+
+
+@query(f"WITH {_CHUNK} SELECT doc_id AS doc, md5(text) AS md5, length(text)::INT AS size, chunks FROM documents JOIN (SELECT doc, count(*) AS chunks FROM c GROUP BY doc) ON doc = doc_id")
+def doc_seamless(spark, d):
+    """The document put together from its overlapping chunks: the text itself."""
+    return C.seamless(_chunks(spark, d)).select("doc", F.md5("content").alias("md5"), F.length("content").alias("size"), "chunks")
+
+
+@query(f"""WITH {_CHUNK}, i AS (SELECT doc, string_agg(p, ',' ORDER BY p) AS images FROM (SELECT DISTINCT doc, 'p' || (chunk_index % 3) || '.png' AS p FROM c WHERE chunk_index % 2 = 1) GROUP BY doc)
+SELECT doc, total, md5(listed) AS listed, coalesce(images, '') AS images FROM (SELECT doc, count(*) AS total, string_agg(chunk_index || '|' || chunk_id || '|' || length(content) || '|' || CASE WHEN length(content) > 100 THEN content[:100] || '...' ELSE content END, chr(10) ORDER BY chunk_index) AS listed FROM c GROUP BY doc) LEFT JOIN i USING (doc)""")
+def doc_page(spark, d):
+    """A document's detail: its chunks as an indexed array, and the distinct images of every second one."""
+    chunks = _chunks(spark, d)
+    path = F.when(F.col("chunk_index") % 2 == 1, F.concat(F.lit("p"), (F.col("chunk_index") % 3).cast("string"), F.lit(".png")))
+    line = lambda x: F.concat_ws("|", x["chunk_index"], x["chunk_id"], x["size"], x["preview"])
+    out = C.detail(chunks, chunks.select("doc", path.alias("path")))
+    return out.select("doc", "total", F.md5(F.array_join(F.transform("chunks", line), "\n")).alias("listed"), F.array_join("images", ",").alias("images"))
+
+
 @query(f"WITH {_CHUNK} SELECT doc, chunk_id, chunk_index, count(*) OVER (PARTITION BY doc) AS total FROM c WHERE user_id = '{{USER}}'")
 def chunk_list(spark, d):
     from pyspark.sql import Window
@@ -296,6 +325,15 @@ def due_reviews(spark, d):
     return out.select("user_id", "note_id", F.unix_micros("next_at").alias("next_us"), T.preview(F.col("content"), 200, "never").alias("preview"))
 
 
+@query(f"WITH {_SCHED}, n AS (SELECT *, seen + to_days(interval_days) AS next_at, lead(seen) OVER (PARTITION BY user_id, note_id ORDER BY seen) AS following FROM s) SELECT user_id, note_id, review_count, epoch_us(next_at) AS next_us FROM n WHERE following IS NULL OR following > next_at")
+def due_history(spark, d):
+    """Every time a note fell due, as the stream of due reviews tells it."""
+    e = _events(spark, d)
+    many = notes(spark, d).agg(F.count("*").alias("many"))  # one row
+    reviews = e.crossJoin(F.broadcast(many)).select("user_id", (F.col("event_id") % F.col("many")).alias("note_id"), "at")
+    return N.due_history(reviews).select("user_id", "note_id", "review_count", F.unix_micros("next_at").alias("next_us"))
+
+
 @query("SELECT source AS user_id, md5(text) AS md5, min(doc_id) AS id, count(*) AS uploads FROM documents GROUP BY ALL")
 def md5_dedup(spark, d):
     return N.first_uploads(notes(spark, d))

@@ -344,3 +344,14 @@ def cache_delete(spark, d):
     keys = load(spark, d, "events").select(F.concat_ws(":", lit("user"), c("user_id").cast("string"), "event_type").alias("key"))
     left, gone = K.cache_delete(keys, "user:1*:click")
     return gone.crossJoin(left.agg(F.count("*").alias("kept")))  # a row each
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id AS key, floor(epoch(ts))::BIGINT AS sec, event_id AS seq, CASE WHEN event_type <> 'error' THEN event_type END AS v, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+r(key, n, sec, seq, until, hit, value) AS (SELECT key, n, sec, seq, sec + CASE WHEN v IS NULL THEN 7200 ELSE 60000 END, false, v FROM o WHERE n = 1
+UNION ALL SELECT o.key, o.n, o.sec, o.seq, CASE WHEN o.sec < r.until THEN r.until ELSE o.sec + CASE WHEN o.v IS NULL THEN 7200 ELSE 60000 END END, o.sec < r.until, CASE WHEN o.sec < r.until THEN r.value ELSE o.v END FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1)
+SELECT key, sec, seq, hit, value FROM r""")
+def cache_negative(spark, d):
+    """Reads of a user's last event through a cache; an error is a missing value, kept for a shorter time."""
+    value = F.when(c("event_type") != "error", c("event_type"))
+    e = load(spark, d, "events").select(c("user_id").alias("key"), F.unix_seconds(c("ts").cast("timestamp")).alias("at"), c("event_id").alias("seq"), value.alias("value"))
+    return K.cache_aside(e, 60000, 7200).withColumnRenamed("at", "sec")

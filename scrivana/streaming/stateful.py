@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+#: Fixed value: seconds for which a missing value is kept.
+NEGATIVE_S = 60
+
 
 def anchored_windows(requests: DataFrame, window_s: int, limit: int | None = None) -> DataFrame:
-    """``key, at, seq, opened, allowed`` for requests (key, at in seconds, seq).
+    """``key, at, seq, opened, allowed, first`` for requests (key, at in seconds, seq); ``first`` marks the request that opens a window.
 
     A key's window opens at its first request and lasts window_s seconds; the next request at or
     after its end opens another. Of a window's requests the first ``limit`` are allowed; denied ones do not count.
@@ -25,29 +28,48 @@ def anchored_windows(requests: DataFrame, window_s: int, limit: int | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, opened, used = object(), 0, 0
         for b in batches:
-            starts, ok = [], []
+            starts, ok, new = [], [], []
             for k, at in zip(b.column("key").to_pylist(), b.column("at").to_pylist(), strict=True):
-                if k != key or at >= opened + window_s:
+                new.append(k != key or at >= opened + window_s)
+                if new[-1]:
                     key, opened, used = k, at, 0
                 allowed = limit is None or used < limit
                 used += allowed
                 starts.append(opened)
                 ok.append(allowed)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.int64()), pa.array(ok, pa.bool_())], names=[*b.schema.names, "opened", "allowed"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.int64()), pa.array(ok, pa.bool_()), pa.array(new, pa.bool_())], names=[*b.schema.names, "opened", "allowed", "first"])
 
-    return dealt.mapInArrow(run, f"key {kind.simpleString()}, at long, seq long, opened long, allowed boolean")
+    return dealt.mapInArrow(run, f"key {kind.simpleString()}, at long, seq long, opened long, allowed boolean, first boolean")
 
 
 def rate_limit(requests: DataFrame, limit: int, window_s: int) -> DataFrame:
     """``key, at, seq, allowed`` for requests (key, at in seconds, seq): see :func:`anchored_windows`."""
-    return anchored_windows(requests, window_s, limit).drop("opened")
+    return anchored_windows(requests, window_s, limit).drop("opened", "first")
 
 
 def cache_reads(reads: DataFrame, ttl_s: int) -> DataFrame:
     """``key, at, seq, hit`` of reads through a cache: a miss stores the value for ttl_s seconds, which a hit does not renew."""
-    out = anchored_windows(reads, ttl_s)
-    first = F.row_number().over(Window.partitionBy("key", "opened").orderBy("at", "seq")) == 1
-    return out.select("key", "at", "seq", (~first).alias("hit"))
+    return anchored_windows(reads, ttl_s).select("key", "at", "seq", (~F.col("first")).alias("hit"))
+
+
+def cache_aside(reads: DataFrame, ttl_s: int, negative_s: int = NEGATIVE_S) -> DataFrame:
+    """``key, at, seq, hit, value`` of reads (key, at in seconds, seq, value): a miss loads the row's value and keeps it for ttl_s seconds, a
+    missing one (null) for negative_s; a hit gives what is kept and renews nothing. One pass over each key's reads in order."""
+    kind = reads.schema["key"].dataType
+    dealt = reads.select("key", "at", "seq", F.col("value").cast("string").alias("value")).repartition("key").sortWithinPartitions("key", "at", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, until, held = object(), 0, None
+        for b in batches:
+            hits, values = [], []
+            for k, at, value in zip(*(b.column(c).to_pylist() for c in ("key", "at", "value")), strict=True):
+                hits.append(k == key and at < until)
+                if not hits[-1]:
+                    key, until, held = k, at + (negative_s if value is None else ttl_s), value
+                values.append(held)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(hits, pa.bool_()), pa.array(values, pa.string())], names=["key", "at", "seq", "hit", "value"])
+
+    return dealt.mapInArrow(run, f"key {kind.simpleString()}, at long, seq long, hit boolean, value string")
 
 
 def cache_delete(keys: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame]:
