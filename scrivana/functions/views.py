@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,11 +101,20 @@ def quiz_json(raw: Column) -> Column:
 
 def quiz(raw: Column) -> Column:
     """A struct (question, choices, answer); the fixed fallback where the JSON is broken or lacks a part."""
-    got = F.from_json(quiz_json(raw), "question string, choices array<string>, answer string", {"mode": "PERMISSIVE"})
     question, choices, answer = QUIZ_FALLBACK
     default = F.struct(F.lit(question).alias("question"), F.array(*map(F.lit, choices)).alias("choices"), F.lit(answer).alias("answer"))
-    whole = got["question"].isNotNull() & got["choices"].isNotNull() & got["answer"].isNotNull()
-    return F.when(whole, got).otherwise(default)
+
+    def chosen(got: Column) -> Column:
+        whole = got["question"].isNotNull() & got["choices"].isNotNull() & got["answer"].isNotNull()
+        return F.when(whole, got).otherwise(default)
+
+    parsed = bound(raw, lambda r: F.from_json(quiz_json(r), "question string, choices array<string>, answer string", {"mode": "PERMISSIVE"}))
+    return bound(parsed, chosen)
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` refers to it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
 
 
 def tagging(json: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrivana.functions.text import basename
 from scrivana.functions.views import ALLOWED_EXTENSIONS, ALLOWED_MIME_TYPES
 
 MAX_FILE, MAX_BATCH = 20 * 1024 * 1024, 200 * 1024 * 1024
@@ -70,6 +71,23 @@ def uploads(files: DataFrame, registry: DataFrame, dedup: bool = True) -> DataFr
     return files.join(first.select("user_id", "id"), ["user_id", "id"], "left_semi")
 
 
+def store_registry(records: DataFrame, table: str, path: str, buckets: int = 32) -> None:
+    """Records (user_id, md5, ...) as a table bucketed and sorted by tenant and hash, so that probes need not shuffle it."""
+    records.repartition(buckets, "user_id", "md5").write.mode("overwrite").option("path", path).bucketBy(buckets, "user_id", "md5").sortBy("user_id", "md5").saveAsTable(table)
+
+
+def probe(files: DataFrame, table: str, known: bool = False) -> DataFrame:
+    """Files (user_id, md5, ...) that a bucketed registry does not have, or those that it has. Only the files are shuffled, into the registry's buckets."""
+    registry = files.sparkSession.table(table).select("user_id", "md5")
+    return files.join(registry.hint("merge"), ["user_id", "md5"], "left_semi" if known else "left_anti")
+
+
+def by_basename(registry: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests (user_id, request_id, path) with the records of the tenant whose file name is the path's last part; without one there is no row."""
+    asked = requests.select("user_id", "request_id", basename(F.col("path")).alias("filename"))
+    return asked.join(registry, ["user_id", "filename"])
+
+
 def rejection(size: Column, mime: Column, extension: Column) -> Column:
     """Why a file is refused: ``size``, or ``type`` if neither its type nor its extension is known; null if it is not."""
     unknown = ~F.coalesce(mime.isin(*ALLOWED_MIME_TYPES), F.lit(False)) & ~F.coalesce(extension.isin(*ALLOWED_EXTENSIONS), F.lit(False))
@@ -81,6 +99,14 @@ def insert_notes(new: DataFrame) -> tuple[DataFrame, DataFrame]:
     return new, new.where(F.coalesce(F.col("content"), F.lit("")) != "").select("id", "user_id", "content", F.lit("note").alias("doc_type"))
 
 
+def write_notes(new: DataFrame, store: str, batch: int) -> None:
+    """Both stores of :func:`insert_notes` under one batch number: notes last, since a note without its vector is what a reader must not see. A
+    repeat of the batch replaces what it wrote."""
+    notes, vectors = insert_notes(new)
+    for name, rows in (("vectors", vectors), ("notes", notes)):
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{store}/{name}")
+
+
 def update_notes(notes: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
     """Notes after partial updates (null: unchanged; unknown ids: none), with ``revector``, true where content was given."""
     c = changes.select("id", *[F.col(x).alias(f"__{x}") for x in columns])

@@ -111,9 +111,11 @@ def hybrid_rrf(spark, d):
     return R.fuse({"vector": _vector_hits(spark, d), "bm25": bm25_topk(spark, d)}, _asked(spark, d))
 
 
-@query("SELECT doc_id AS id, text AS content FROM documents WHERE false")
+@query("SELECT doc_id AS id, text AS content FROM documents WHERE source = '{USER}'")
 def tenant_empty(spark, d):
-    return R.tenant(notes(spark, d), None).select("id", "content")
+    """No tenant has no rows; a tenant has its own."""
+    n = notes(spark, d)
+    return R.tenant(n, None).unionByName(R.tenant(n, USER)).select("id", "content")
 
 
 @query(f"WITH {_BM25} SELECT qid, rank, id, lang AS category, CASE WHEN length(text) > 100 THEN text[:100] || '...' ELSE text END AS preview FROM bm JOIN documents ON id = doc_id")

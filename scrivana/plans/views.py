@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scrivana.functions import text as T
@@ -11,6 +14,8 @@ from scrivana.operators import notes as N
 from scrivana.operators import registry as G
 from scrivana.operators import sessions as S
 from scrivana.plans.catalog import _TAGGED, query
+from scrivana.sources.uploads import uploads
+from scrivana.store import new_path
 from scrivana.streaming import stateful as K
 from scrivana.tables import files, load, messages, notes, sessions, tagged_notes, users
 
@@ -142,13 +147,18 @@ def note_response(spark, d):
     return tagged_notes(spark, d).select("id", F.array_join(shown, ",").alias("tags"), F.to_json(F.struct("id", "category", shown.alias("tags"))).alias("json"))
 
 
-@query(f"""WITH {_FILES}, i AS (SELECT user_id, filename, md5, id FROM f)
-SELECT user_id, filename, count(*) AS chunks, string_agg(DISTINCT '/knowledge/image/' || md5 || '/p.png', ' ' ORDER BY '/knowledge/image/' || md5 || '/p.png') AS images, count(DISTINCT md5) AS n_images, array_to_string(array_agg(id ORDER BY id)[:3], ',') AS first_ids FROM i GROUP BY ALL""")
+@query(f"WITH {_FILES} SELECT user_id, filename, '/knowledge/image/' || md5 || '/p.png' AS image, count(*) AS chunks FROM f GROUP BY ALL")
 def image_sets(spark, d):
-    f = files(spark, d).withColumn("url", V.image_url(c("md5"), lit("p.png")))
-    g = f.groupBy("user_id", "filename", "url").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("id")), 1, 3).alias("ids"))  # copies are added up first
-    out = g.groupBy("user_id", "filename").agg(F.sum("n").alias("chunks"), F.array_sort(F.collect_list("url")).alias("images"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, 3).alias("ids"))
-    return out.select("user_id", "filename", "chunks", F.array_join("images", " ").alias("images"), F.size("images").cast("long").alias("n_images"), F.array_join("ids", ",").alias("first_ids"))
+    """The distinct images of each tenant's file, a row each."""
+    f = files(spark, d).withColumn("image", V.image_url(c("md5"), lit("p.png")))
+    return f.groupBy("user_id", "filename", "image").agg(F.count("*").alias("chunks"))
+
+
+@query(f"WITH {_FILES} SELECT user_id, filename, id, r::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id, filename ORDER BY id) AS r FROM f) WHERE r <= 3")
+def first_chunks(spark, d):
+    """The first three chunks of each tenant's file; each task sends three a file at most."""
+    w = Window.partitionBy("user_id", "filename").orderBy("id")
+    return files(spark, d).select("user_id", "filename", "id", F.row_number().over(w).alias("pos")).where("pos <= 3")
 
 
 @query()
@@ -355,3 +365,74 @@ def cache_negative(spark, d):
     value = F.when(c("event_type") != "error", c("event_type"))
     e = load(spark, d, "events").select(c("user_id").alias("key"), F.unix_seconds(c("ts").cast("timestamp")).alias("at"), c("event_id").alias("seq"), value.alias("value"))
     return K.cache_aside(e, 60000, 7200).withColumnRenamed("at", "sec")
+
+
+# Files and stores that Spark writes from the given tables.
+
+_STORES: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark, d, name, write):
+    """A store of a directory's tables, written by the first query of a session that reads it."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORES:
+        path = new_path(spark, name)
+        write(path)
+        _STORES[key] = path
+    return _STORES[key]
+
+
+@query("SELECT source AS user_id, 'txt' AS kind, md5(text || chr(10)) AS md5, count(*) AS files FROM documents WHERE source IN ('src1', 'src2', 'src3') GROUP BY ALL")
+def document_files(spark, d):
+    """Upload folders of one file a document, read back: only the asked tenants' folders are opened."""
+    def write(path):
+        n = notes(spark, d).select("user_id", "content")
+        n.repartition("user_id", "content").write.partitionBy("user_id").option("maxRecordsPerFile", 1).text(path)
+
+    asked = uploads(spark, _stored(spark, d, "uploads", write), tenants=["src1", "src2", "src3"], kinds=["txt"])
+    return asked.groupBy("user_id", "kind", F.md5("content").alias("md5")).agg(F.count("*").alias("files"))
+
+
+@query("SELECT source AS user_id, md5(text) AS md5, CASE WHEN doc_id % 3 = 1 THEN lang || '.txt' END AS filename, count(*) AS records FROM documents WHERE source <> 'src0' AND doc_id % 3 < 2 GROUP BY ALL")
+def registry_files(spark, d):
+    """Registry files of JSON and legacy lines, read back for all tenants but one."""
+    def write(path):
+        n, md5 = notes(spark, d), F.md5("content")
+        record = F.to_json(F.struct(md5.alias("md5"), F.concat(c("category"), lit(".txt")).alias("filename")))
+        lines = n.where("id % 3 < 2").select("user_id", F.when(c("id") % 3 == 1, record).otherwise(F.concat(lit(" "), md5)).alias("line"))
+        lines.write.partitionBy("user_id").text(path)
+
+    found = uploads(spark, _stored(spark, d, "registry-files", write), "upload_registry")
+    return found.where("user_id != 'src0'").groupBy("user_id", "md5", "filename").agg(F.count("*").alias("records"))
+
+
+@query("SELECT doc_id AS id, source AS user_id, EXISTS (SELECT 1 FROM documents e JOIN labels l ON e.doc_id = l.doc_id WHERE e.source = d.source AND md5(e.text) = md5(d.text)) AS known FROM documents d")
+def registry_probe(spark, d):
+    """Every upload probed against a bucketed registry of the labelled ones: the registry is not shuffled."""
+    f = files(spark, d).select("id", "user_id", "md5")
+    table = "registry_" + hashlib.md5(f"{spark.sparkContext.applicationId}{d}".encode()).hexdigest()
+
+    def write(path):
+        labelled = load(spark, d, "labels").select(c("doc_id").alias("id"))
+        G.store_registry(f.join(labelled, "id", "left_semi").select("user_id", "md5").distinct(), table, path)
+
+    _stored(spark, d, "registry", write)
+    return G.probe(f, table, known=True).withColumn("known", lit(True)).unionByName(G.probe(f, table).withColumn("known", lit(False))).select("id", "user_id", "known")
+
+
+@query(f"WITH {_FILES} SELECT r.doc_id AS request_id, f.user_id, count(*) AS records, min(f.id) AS first FROM documents r JOIN f ON f.user_id = r.source AND f.filename = lang || '.txt' WHERE r.doc_id % 20 = 0 GROUP BY ALL")
+def registry_by_basename(spark, d):
+    """Paths asked by the last part of their name: records of the tenant that are so named."""
+    path = F.concat(lit("C:/up/x.md/"), c("id").cast("string"), lit("/"), c("category"), lit(".txt"))
+    asked = notes(spark, d).where("id % 20 = 0").select("user_id", c("id").alias("request_id"), path.alias("path"))
+    counts = files(spark, d).groupBy("user_id", "filename").agg(F.count("*").alias("records"), F.min("id").alias("first"))  # a row for each name before the join
+    return G.by_basename(counts, asked).select("request_id", "user_id", "records", "first")
+
+
+@query("SELECT doc_id AS id, substr(text, 1, 40) || ' *** *** *** *** ***host ***host sk-short' AS masked FROM documents WHERE regexp_matches(text, '^[a-zA-Z ]{40}')")
+def mask_planted(spark, d):
+    """A secret of each of the six kinds planted behind a document's head, and masked."""
+    n = notes(spark, d).where(c("content").rlike("^[a-zA-Z ]{40}"))
+    md5, q = F.md5("content"), '"'
+    parts = [" sk-", md5, f" api-key{q} : {q}", md5, f"{q} password'='", F.left(md5, lit(8)), f"' passwd{q} = {q}", F.left(md5, lit(6)), f"{q} mysql://root:", F.left(md5, lit(5)), "@host postgresql://", md5, "@host sk-short"]
+    return n.select("id", T.mask(F.concat(F.left("content", lit(40)), *[lit(x) if isinstance(x, str) else x for x in parts])).alias("masked"))

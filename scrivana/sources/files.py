@@ -36,6 +36,15 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return raw.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name.alias("name"), url.alias("url"))))).alias("images"))
 
 
+def image_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``doc, name, url`` of the images in a folder of documents' folders: a row an image, so a document may have any number."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = basename(F.col("path"))
+    doc = F.regexp_extract("path", r"([^/\\\\]*)[/\\\\][^/\\\\]*$", 1)
+    url = F.concat(F.lit("data:"), labelled(extension(name), MIME_TYPES, F.lit(OTHER_MIME)), F.lit(";base64,"), F.base64("content"))
+    return raw.select(doc.alias("doc"), name.alias("name"), url.alias("url"))
+
+
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.{txt,md}") -> DataFrame:
     """``path, content`` of the files in a folder (not below it): UTF-8, else GBK, else empty; files of no bytes have no row."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(path)
