@@ -459,7 +459,13 @@ def rate_limited(spark, d):
     return rate_limit(_events(spark, d).select(F.col("user_id").alias("key"), F.unix_seconds("at").alias("at"), F.col("event_id").alias("seq")), 2, 86400).withColumnRenamed("at", "sec")
 
 
-@query()
+#: Pages of a document in order, each joining the first leader that is near or leading itself.
+LEADERS = """p AS (SELECT doc_id // 20 AS doc, (doc_id % 20)::INT AS page, ('0x' || md5(text)[:16])::UBIGINT AS h, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id % 20) AS n FROM documents),
+r(doc, n, page, cluster, leaders) AS (SELECT doc, n, page, 0, [h] FROM p WHERE n = 1 UNION ALL SELECT doc, n, page, coalesce(hit - 1, len(leaders))::INT, CASE WHEN hit IS NULL THEN list_append(leaders, h) ELSE leaders END
+FROM (SELECT p.*, r.leaders, list_filter(range(1, len(r.leaders) + 1), lambda k: bit_count(xor(r.leaders[k], p.h)) <= 10)[1] AS hit FROM r JOIN p ON p.doc = r.doc AND p.n = r.n + 1))"""
+
+
+@query(f"WITH RECURSIVE {LEADERS} SELECT doc, page, cluster FROM r")
 def phash_leaders(spark, d):
     n = notes(spark, d).select((F.col("id") / 20).cast("long").alias("doc"), (F.col("id") % 20).cast("int").alias("page"), F.substring(F.md5("content"), 1, 16).alias("phash"))
     return H.leader_clusters(n)

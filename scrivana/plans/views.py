@@ -13,7 +13,7 @@ from scrivana.operators import hamming as H
 from scrivana.operators import notes as N
 from scrivana.operators import registry as G
 from scrivana.operators import sessions as S
-from scrivana.plans.catalog import _TAGGED, query
+from scrivana.plans.catalog import _CHUNK, _TAGGED, LEADERS, _chunks, query
 from scrivana.sources.uploads import uploads
 from scrivana.store import new_path
 from scrivana.streaming import stateful as K
@@ -161,7 +161,7 @@ def first_chunks(spark, d):
     return files(spark, d).select("user_id", "filename", "id", F.row_number().over(w).alias("pos")).where("pos <= 3")
 
 
-@query()
+@query(f"WITH RECURSIVE {LEADERS}, f AS (SELECT doc, cluster, min(page) AS lead FROM r GROUP BY ALL) SELECT r.doc, r.page, r.cluster, md5(text) AS md5 FROM r JOIN f USING (doc, cluster) JOIN documents ON doc_id = r.doc * 20 + lead")
 def phash_copy(spark, d):
     n = notes(spark, d).select((c("id") / 20).cast("long").alias("doc"), (c("id") % 20).cast("int").alias("page"), F.substring(F.md5("content"), 1, 16).alias("phash"), "content")
     groups = H.leader_clusters(n.select("doc", "page", "phash"))
@@ -436,3 +436,66 @@ def mask_planted(spark, d):
     md5, q = F.md5("content"), '"'
     parts = [" sk-", md5, f" api-key{q} : {q}", md5, f"{q} password'='", F.left(md5, lit(8)), f"' passwd{q} = {q}", F.left(md5, lit(6)), f"{q} mysql://root:", F.left(md5, lit(5)), "@host postgresql://", md5, "@host sk-short"]
     return n.select("id", T.mask(F.concat(F.left("content", lit(40)), *[lit(x) if isinstance(x, str) else x for x in parts])).alias("masked"))
+
+
+@query(f"WITH {_CHUNK} SELECT user_id, doc, chunk_index, md5(content) AS md5 FROM c")
+def chunk_store(spark, d):
+    """Chunks appended to the tenants' store in two writes, and read back."""
+    def write(path):
+        chunks = _chunks(spark, d).select("user_id", "doc", "chunk_index", "content")
+        for part in (0, 1):
+            G.append_chunks(chunks.where(c("doc") % 2 == part), path)
+
+    return spark.read.parquet(_stored(spark, d, "chunk-store", write)).select(c("user_id").cast("string").alias("user_id"), "doc", "chunk_index", F.md5("content").alias("md5"))
+
+
+_REGISTRY = "md5 string, filename string, original_filename string, upload_time string, user_id string"
+
+
+def _registry_rows(spark, d):
+    return files(spark, d).select("id", "user_id", "md5", "filename", c("filename").alias("original_filename"), c("id").cast("string").alias("upload_time"))
+
+
+@query(f"WITH {_FILES} SELECT user_id, md5, filename, id::VARCHAR AS upload_time FROM f")
+def registry_append(spark, d):
+    """Records appended to the tenants' registries in two writes, and read back."""
+    def write(path):
+        for part in (0, 1):
+            G.append_records(_registry_rows(spark, d).where(c("id") % 2 == part).drop("id"), path)
+
+    return spark.read.schema(_REGISTRY).json(_stored(spark, d, "registry-append", write)).select("user_id", "md5", "filename", "upload_time")
+
+
+@query(f"WITH {_FILES} SELECT user_id, md5, filename, id::VARCHAR AS upload_time FROM f WHERE user_id NOT IN ('src1', 'src2', 'src3') OR (user_id <> 'src3' AND id % 3 = 0)")
+def registry_rewrite(spark, d):
+    """Of a registry of all tenants two are rewritten with a third of their records and one is emptied; the others stay."""
+    def write(path):
+        rows = _registry_rows(spark, d)
+        G.append_records(rows.drop("id"), path)
+        G.rewrite_records(rows.where(c("user_id").isin("src1", "src2") & (c("id") % 3 == 0)).drop("id"), path, ["src3"])
+
+    return spark.read.schema(_REGISTRY).json(_stored(spark, d, "registry-rewrite", write)).select("user_id", "md5", "filename", "upload_time")
+
+
+@query("SELECT doc_id AS id, length(text) > 0 AS vector FROM documents")
+def note_stores(spark, d):
+    """Notes and their vectors' texts written to both stores in two batches, one of them twice, and read back."""
+    def write(path):
+        n = notes(spark, d)
+        for batch in (0, 1, 0):
+            G.write_notes(n.where(c("id") % 2 == batch), path, batch)
+
+    path = _stored(spark, d, "note-stores", write)
+    rows, vectors = (spark.read.parquet(f"{path}/{t}") for t in ("notes", "vectors"))
+    return rows.select("id").join(vectors.select("id", lit(True).alias("v")), "id", "left").select("id", F.coalesce("v", lit(False)).alias("vector"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id AS key, floor(epoch(ts))::BIGINT AS sec, event_id AS seq, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END AS lim, CASE WHEN event_id % 3 = 0 THEN 43200 ELSE 86400 END AS win, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+r(key, n, sec, seq, until, used, allowed) AS (SELECT key, n, sec, seq, sec + win, 1, true FROM o WHERE n = 1 UNION ALL
+  SELECT o.key, o.n, o.sec, o.seq, CASE WHEN o.sec >= r.until THEN o.sec + win ELSE r.until END, CASE WHEN o.sec >= r.until THEN 1 WHEN r.used < lim THEN r.used + 1 ELSE r.used END, o.sec >= r.until OR r.used < lim FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1)
+SELECT key, sec, seq, allowed FROM r""")
+def shared_limits(spark, d):
+    """Requests of three endpoints, each with a limit of its own, on one counter of a user."""
+    kind = c("event_id") % 3
+    e = load(spark, d, "events").select(c("user_id").alias("key"), F.unix_seconds(c("ts").cast("timestamp")).alias("at"), c("event_id").alias("seq"), F.when(kind == 0, 1).when(kind == 1, 2).otherwise(4).alias("limit"), F.when(kind == 0, 43200).otherwise(86400).alias("window_s"))
+    return K.shared_rate_limit(e).select("key", c("at").alias("sec"), "seq", "allowed")

@@ -47,6 +47,34 @@ def rate_limit(requests: DataFrame, limit: int, window_s: int) -> DataFrame:
     return anchored_windows(requests, window_s, limit).drop("opened", "first")
 
 
+def shared_rate_limit(requests: DataFrame) -> DataFrame:
+    """``key, at, seq, opened, allowed`` for requests (key, at, seq, limit, window_s) of several endpoints on one counter.
+
+    The request that opens a window sets its length, each is allowed while fewer than its own limit have been, and only allowed ones count;
+    so a strict endpoint is denied by what a lenient one has used. One pass over each key's requests in order.
+    """
+    kind = requests.schema["key"].dataType
+    cols = ["key", "at", "seq", F.col("limit").cast("long").alias("limit"), F.col("window_s").cast("long").alias("window_s")]
+    dealt = requests.select(*cols).repartition("key").sortWithinPartitions("key", "at", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, opened, until, used = object(), 0, 0, 0
+        for b in batches:
+            starts, ok = [], []
+            for k, at, limit, window in zip(*(b.column(c).to_pylist() for c in ("key", "at", "limit", "window_s")), strict=True):
+                if k != key or at >= until:
+                    key, until, used = k, at, 0  # nothing is counted until a request is allowed
+                allowed = used < limit
+                if allowed and not used:
+                    opened, until = at, at + window
+                used += allowed
+                starts.append(opened if used else None)
+                ok.append(allowed)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(starts, pa.int64()), pa.array(ok, pa.bool_())], names=["key", "at", "seq", "opened", "allowed"])
+
+    return dealt.mapInArrow(run, f"key {kind.simpleString()}, at long, seq long, opened long, allowed boolean")
+
+
 def cache_reads(reads: DataFrame, ttl_s: int) -> DataFrame:
     """``key, at, seq, hit`` of reads through a cache: a miss stores the value for ttl_s seconds, which a hit does not renew."""
     return anchored_windows(reads, ttl_s).select("key", "at", "seq", (~F.col("first")).alias("hit"))
