@@ -185,7 +185,26 @@ def _places(keys: list[np.ndarray], bounds: list[np.ndarray]) -> np.ndarray:
     return low.astype(np.int32)
 
 
-def numbered(source: DataFrame, sample: DataFrame, make: Callable, ddl: str, rows_: int, order: list[str], runs: list[list[str]], weigh: Callable[[pa.Table], np.ndarray], weights: int, name: str, keep: list[str], alone: bool = False) -> DataFrame:
+def sorted_parts(source: DataFrame, sample: DataFrame, make: Callable, ddl: str, rows_: int, order: list[str]) -> DataFrame:
+    """The rows (``ddl``, about ``rows_`` of them) that ``make`` (as for ``mapInArrow``) gives for ``source``, packed and dealt to ranges of
+    ``order`` (long and int columns, none below 0). What ``make`` gives for ``sample``, some rows of ``source``, sets the bounds."""
+    from scrivana.llm.packed import kinds, pack, packed_ddl
+
+    parts, types = partitions(source.sparkSession, rows_), kinds(ddl)
+    seen = sample.mapInArrow(tidy(make), ddl).select(*order).toArrow() if parts > 1 else None
+    bounds = _bounds([seen.column(c).to_numpy().astype(np.int64) for c in order], parts) if parts > 1 else []
+
+    def place(c: dict[str, np.ndarray]) -> np.ndarray:
+        n = len(c[order[0]])
+        return _places([c[k].astype(np.int64, copy=False) for k in order], bounds) if bounds and len(bounds[0]) else np.zeros(n, np.int32)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pack(({c: b.column(c).to_numpy() for c in types} for b in make(batches) if b.num_rows), ddl, place)
+
+    return source.mapInArrow(tidy(deal), packed_ddl(ddl)).repartitionById(parts, "to")
+
+
+def numbered(source: DataFrame, sample: DataFrame, make: Callable, ddl: str, rows_: int, order: list[str], runs: list[list[str]], weigh: Callable[[dict], np.ndarray], weights: int, name: str, keep: list[str], alone: bool = False, to: int | None = None) -> DataFrame:
     """Sort the rows (``ddl``, about ``rows_`` of them) that ``make`` (as for ``mapInArrow``) gives for ``source``, and give each the
     sums ``before0``, ``before1`` ... of the weights of all rows that sort before its run; ``within0`` ... for the next kind of run.
 
@@ -194,80 +213,108 @@ def numbered(source: DataFrame, sample: DataFrame, make: Callable, ddl: str, row
     ``alone`` a row also tells whether it surely is a run of the first kind by itself (a partition's first and last rows never do).
 
     What ``make`` gives for ``sample``, some rows of ``source``, sets the bounds of the partitions; they balance tasks and change no
-    result. ``make``'s rows are dealt to them straight away, by all of ``order``, so rows that are alike in its first columns are
+    result. ``make``'s rows are dealt to them straight away, packed, by all of ``order``, so rows that are alike in its first columns are
     cut anywhere; a task sorts its own and adds up, and only a row for each partition (its totals, first and last runs) reaches
-    the driver. Returns the columns ``keep`` with the sums.
+    the driver. Returns the columns ``keep`` with the sums; with ``to`` packed and dealt to so many partitions by ``sid``, to be
+    read by the function in ``_scrivana_read``.
     """
-    from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
-
-    spark, kinds = source.sparkSession, len(runs)
-    parts = partitions(spark, rows_)
-    seen = sample.mapInArrow(tidy(make), ddl).select(*order).toArrow() if parts > 1 else None
-    bounds = _bounds([seen.column(c).to_numpy().astype(np.int64) for c in order], parts) if parts > 1 else []
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in make(batches):
-            keys = [b.column(c).to_numpy().astype(np.int64) for c in order]
-            pid = _places(keys, bounds) if bounds and len(bounds[0]) else np.zeros(b.num_rows, np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pid)], names=[*b.schema.names, "__pid"])
-
-    dealt = source.mapInArrow(tidy(deal), f"{ddl}, __pid int").repartitionById(parts, "__pid")
-    sums = [f"{'before' if not j else 'within'}{k}" for j in range(kinds) for k in range(weights)]
-    heads = [f"__head{j}" for j in range(kinds)]
-    out = StructType([*(dealt.schema[c] for c in keep), StructField("__pid", IntegerType()), *(StructField(c, LongType()) for c in sums), *(StructField(c, BooleanType()) for c in (*heads, *(["alone"] * alone))), StructField("__note", ArrayType(LongType()))])
+    from scrivana.llm.packed import kinds, pack, unpack
+
+    many, types = len(runs), kinds(ddl)
+    dealt = sorted_parts(source, sample, make, ddl, rows_, order)
+    sums = [f"{'before' if not j else 'within'}{k}" for j in range(many) for k in range(weights)]
+    heads = [f"__head{j}" for j in range(many)]
+    flat = ", ".join([*(f"{c} {types[c]}" for c in keep), *(f"{c} long" for c in sums), *(f"{c} boolean" for c in (*heads, *(["alone"] * alone)))])
+    kind = {c: {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[k] for c, k in kinds(flat).items()}
+    # a row holds values (packed, or its own), or is the partition's note
+    first = "__to int, " + ", ".join(f"{c} binary" for c in kind) if to else flat
+    out = f"{first}, __pid int, __note array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = gathered(batches)
-        if t is None:
+        head = [b for b in batches if b.num_rows]
+        if not head:
             return
-        at = np.lexsort([t.column(c).to_numpy() for c in order[::-1]])
-        t = t.take(pa.array(at))
+        pid = head[0].column("to")[0].as_py()
+        t = unpack(iter(head), ddl)
+        del head
+        at = np.lexsort([t[c] for c in order[::-1]])
+        t = {c: v[at] for c, v in t.items()}
         w = weigh(t).astype(np.int64).reshape(-1, weights)
         until, note, mine, begun, single = np.cumsum(w, axis=0) - w, w.sum(axis=0).tolist(), [], [], None
         for same in runs:
-            keys = [t.column(c).to_numpy() for c in same]
+            keys = [t[k] for k in same]
             new = np.ones(len(w), bool)
             new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
             if alone and single is None:
                 single = new & np.append(new[1:], False)
                 single[0] = False
-            first = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
-            before = until[first]
+            start = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+            before = until[start]
             mine += list(before.T)
-            begun.append(first == 0)
+            begun.append(start == 0)
             note += [*before[-1].tolist(), *(int(k[0]) for k in keys), *(int(k[-1]) for k in keys)]
-        pid = pa.array(np.full(len(w), t.column("__pid")[0].as_py(), np.int32))  # one for the task, whatever it was dealt
-        kept = t.select(keep).append_column("__pid", pid)
-        flags = [pa.array(x) for x in (*begun, *([single] * alone))]
-        full = pa.Table.from_arrays([*kept.columns, *map(pa.array, mine), *flags, pa.nulls(len(w), pa.list_(pa.int64()))], names=out.names)
-        blank = [kept.column(c).slice(0, 1) if c == "__pid" else pa.nulls(1, kept.schema.field(c).type) for c in kept.column_names]
-        # the partition's own row; a head is true if all its rows are one run
-        own = pa.Table.from_arrays([*blank, *(pa.nulls(1, pa.int64()) for _ in mine), *(pa.array([bool(x[-1])]) for x in begun), *([pa.nulls(1, pa.bool_())] * alone), pa.array([note], pa.list_(pa.int64()))], names=out.names)
-        for table_ in (full, own):
-            yield from table_.to_batches(max_chunksize=1 << 16)
+        full = dict(zip(kind, [*(t[c] for c in keep), *mine, *begun, *([single] * alone)], strict=True))
+        names = ["__to"] * bool(to) + [*kind, "__pid", "__note"]
+        if to:
+            shown = [pa.int32(), *[pa.binary()] * len(kind)]
+            made = pack(iter([full]), flat, lambda c: _hashed(c["sid"], to), "__to")
+        else:
+            shown = list(kind.values())
+            made = (pa.RecordBatch.from_arrays([pa.array(v[k : k + (1 << 16)], kind[c]) for c, v in full.items()], names=list(kind)) for k in range(0, len(w), 1 << 16))
+        for b in made:
+            rest = [pa.array(np.full(b.num_rows, pid, np.int32)), pa.nulls(b.num_rows, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *rest], names=names)
+        note += [int(x[-1]) for x in begun]  # a head is true if all its rows are one run
+        blank = [pa.nulls(1, k) for k in shown]
+        yield pa.RecordBatch.from_arrays([*blank, pa.array([pid], pa.int32()), pa.array([note], pa.list_(pa.int64()))], names=names)
 
     done = materialise(dealt.mapInArrow(tidy(run), out), name)
-    base, open_at, tail, shift = np.zeros(weights, np.int64), [None] * kinds, [None] * kinds, []
-    for r in done.where(F.col("__note").isNotNull()).select("__pid", *heads, "__note").orderBy("__pid").collect():
+    base, open_at, tail, shift = np.zeros(weights, np.int64), [None] * many, [None] * many, []
+    for r in done.where(F.col("__note").isNotNull()).select("__pid", "__note").orderBy("__pid").collect():
         n = r["__note"]
         total, at, row = np.array(n[:weights]), weights, [r["__pid"], *base.tolist()]
         for j, same in enumerate(runs):
             start, at = np.array(n[at : at + weights]), at + weights
-            first, last, at = n[at : at + len(same)], n[at + len(same) : at + 2 * len(same)], at + 2 * len(same)
-            begun = open_at[j] if first == tail[j] else base  # where the run that its first rows belong to began
+            one, last, at = n[at : at + len(same)], n[at + len(same) : at + 2 * len(same)], at + 2 * len(same)
+            begun = open_at[j] if one == tail[j] else base  # where the run that its first rows belong to began
             row += begun.tolist()
-            open_at[j], tail[j] = begun if r[heads[j]] else base + start, last
+            open_at[j], tail[j] = begun if n[len(n) - many + j] else base + start, last
         shift.append(tuple(row))
         base = base + total
-    names = ["base", *(f"begun{j}_" for j in range(kinds))]
-    shifts = spark.createDataFrame(shift, "__pid int, " + ", ".join(f"__{s}{k} long" for s in names for k in range(weights)))
-    back = done.where(F.col("__note").isNull()).join(F.broadcast(shifts), "__pid")
-    whole = [F.when(F.col(heads[j]), F.col(f"__begun{j}_{k}")).otherwise(F.col(f"__base{k}") + F.col(sums[j * weights + k])).alias(sums[j * weights + k]) for j in range(kinds) for k in range(weights)]
-    back = back.select(*keep, *whole, *(["alone"] * alone))
+    back = done.where(F.col("__note").isNull())
+    if to:
+        shifts = {r[0]: np.array(r[1:], np.int64) for r in shift}  # a few numbers a partition
+
+        def read(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+            held = []
+            for b in batches:
+                for k in range(0, b.num_rows):
+                    one = b.slice(k, 1)
+                    c, s = unpack(iter([one]), flat), shifts[one.column("__pid")[0].as_py()]
+                    cols = {x: c[x] for x in keep}
+                    for j in range(many):
+                        for i in range(weights):
+                            cols[sums[j * weights + i]] = np.where(c[heads[j]] > 0, s[weights * (1 + j) + i], s[i] + c[sums[j * weights + i]])
+                    held.append(cols | ({"alone": c["alone"] > 0} if alone else {}))
+            return pa.table({x: np.concatenate([h[x] for h in held]) for x in held[0]}) if held else None
+
+        back = back.drop("__note").repartitionById(to, "__to")
+        back._scrivana_read = read
+    else:
+        names = ["base", *(f"begun{j}_" for j in range(many))]
+        shifts = source.sparkSession.createDataFrame(shift, "__pid int, " + ", ".join(f"__{s}{k} long" for s in names for k in range(weights)))
+        back = back.join(F.broadcast(shifts), "__pid")
+        whole = [F.when(F.col(heads[j]), F.col(f"__begun{j}_{k}")).otherwise(F.col(f"__base{k}") + F.col(sums[j * weights + k])).alias(sums[j * weights + k]) for j in range(many) for k in range(weights)]
+        back = back.select(*keep, *whole, *(["alone"] * alone))
     back._scrivana_path = done._scrivana_path
     return back
 
 
+def _hashed(values: np.ndarray, n: int) -> np.ndarray:
+    """A partition for each value, the same for equal ones."""
+    return ((values.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
+
+
 def prefix_sums(df: DataFrame, order: list[Column], size: str, name: str) -> DataFrame:
     """Add ``before``: the sum of ``size`` over all rows that sort before a row (ties in any fixed order).
 

@@ -17,7 +17,7 @@ a sample for the bounds and a row for each partition reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -87,10 +87,8 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["x", "y", "z", "sid", "i", "need"])
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _named(t: pa.Table) -> Iterator[pa.RecordBatch]:
     """Names of each string's sampled places in order; three symbols are all that a string of unique triples needs."""
-    if (t := gathered(batches)) is None:
-        return
     order, first, row = _grouped(t)
     sid, need, name, alone = (_column(t, c).to_numpy(zero_copy_only=False)[order] for c in ("sid", "need", "before0", "alone"))
     settled = np.logical_and.reduceat(alone, first)
@@ -126,12 +124,15 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _parts(pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["side", "x", "y", "z", "sid", "i", "own"]))
 
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranks of each string's suffixes; one of remainder 0 has a part from either side."""
-    if (t := gathered(batches)) is None:
-        return
+def _settled(t: pa.Table, relative: bool) -> Iterator[pa.RecordBatch]:
+    """Ranks of each string's suffixes (among those of the same first symbol if ``relative``); one of remainder 0 has a part from either side."""
     order, _, row = _grouped(t)
-    sid, i, part = (_column(t, c).to_numpy()[order] for c in ("sid", "i", "part"))
+    side, sid, i, own, *b = (_column(t, c).to_numpy()[order] for c in ("side", "sid", "i", "own", *(f"before{k}" for k in range(4))))
+    left, zero = side == 0, i % 3 == 0
+    part = np.where(left, np.where(zero, b[0] + b[1], own + b[0]), np.where(zero, b[3], own + b[2]))
+    if relative:  # a suffix of remainder 0 has a part from either side
+        within = sum(_column(t, f"within{k}").to_numpy()[order] for k in (0, 1, 3))
+        part = part - np.where(left | ~zero, within, 0)
     new = np.ones(len(sid), bool)
     new[1:] = (sid[1:] != sid[:-1]) | (i[1:] != i[:-1])
     first = np.flatnonzero(new)
@@ -139,12 +140,22 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _parts(_lists(sid[first][head], _SYMBOLS, np.zeros(len(head)), row[first], np.add.reduceat(part, first)))
 
 
-def _one(b: pa.Table) -> np.ndarray:
-    return np.ones(b.num_rows, np.int64)
+def _read(make: Callable[..., Iterator[pa.RecordBatch]], read: Callable, *args) -> Callable:
+    """A ``mapInArrow`` function that makes rows of all that a partition was sent."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (t := read(batches)) is not None:
+            yield from make(t, *args)
 
-def _weigh_merged(b: pa.Table) -> np.ndarray:
-    side, zero = b.column("side").to_numpy(), b.column("i").to_numpy() % 3 == 0
+    return tidy(run)
+
+
+def _one(t: dict[str, np.ndarray]) -> np.ndarray:
+    return np.ones(len(t["i"]), np.int64)
+
+
+def _weigh_merged(t: dict[str, np.ndarray]) -> np.ndarray:
+    side, zero = t["side"], t["i"] % 3 == 0
     return np.stack([(side == s) & (zero == z) for s in (0, 1) for z in (True, False)], axis=1)
 
 
@@ -168,8 +179,8 @@ def _ranked(strings: DataFrame, relative: bool) -> DataFrame:
     spark, (most, size) = strings.sparkSession, strings.agg(F.coalesce(F.max("need"), F.lit(0)), F.coalesce(F.sum(F.size("vals")), F.lit(0))).first()
     n = partitions(spark, size)
     chosen = picked(spark, 2 * size // 3, "sid")
-    names = numbered(strings, strings.where(chosen), _triples, _SUFFIX, 2 * size // 3, ["x", "y", "z", "sid", "i"], [["x", "y", "z"]], _one, 1, "names", ["sid", "i", "need"], alone=True)
-    halves = materialise(names.repartition(n, "sid").mapInArrow(tidy(_named), _LISTS), "halves")
+    names = numbered(strings, strings.where(chosen), _triples, _SUFFIX, 2 * size // 3, ["x", "y", "z", "sid", "i"], [["x", "y", "z"]], _one, 1, "names", ["sid", "i", "need"], alone=True, to=n)
+    halves = materialise(names.mapInArrow(_read(_named, names._scrivana_read), _LISTS), "halves")
     discard(names)
     all_, fine = [strings, halves], None
     if most > 3:
@@ -181,14 +192,9 @@ def _ranked(strings: DataFrame, relative: bool) -> DataFrame:
     both, some = (reduce(DataFrame.unionByName, frames).repartition(n, "sid") for frames in (all_, [f.where(chosen) for f in all_]))
     order = ["x", "side", "y", "z", "sid", "i"]
     runs = [["x", "side", "y", "z"], ["x"]] if relative else [["x", "side", "y", "z"]]
-    merged = numbered(both, some, _spread, _MERGED, 4 * size // 3, order, runs, _weigh_merged, 4, "merged", ["side", "sid", "i", "own"])
+    merged = numbered(both, some, _spread, _MERGED, 4 * size // 3, order, runs, _weigh_merged, 4, "merged", ["side", "sid", "i", "own"], to=n)
     discard(halves, *([] if fine is None else [fine]))
-    b = [F.col(f"before{k}") for k in range(4)]
-    left, zero = F.col("side") == 0, F.col("i") % 3 == 0
-    part = F.when(left, F.when(zero, b[0] + b[1]).otherwise(F.col("own") + b[0])).otherwise(F.when(zero, b[3]).otherwise(F.col("own") + b[2]))
-    if relative:  # a suffix of remainder 0 has a part from either side
-        part -= F.when(left | ~zero, F.col("within0") + F.col("within1") + F.col("within3")).otherwise(0)
-    out = materialise(merged.select("sid", "i", part.alias("part")).repartition(n, "sid").mapInArrow(tidy(_settled), _LISTS), "ranks")
+    out = materialise(merged.mapInArrow(_read(_settled, merged._scrivana_read, relative), _LISTS), "ranks")
     discard(merged)
     return out
 

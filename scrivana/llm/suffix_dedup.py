@@ -31,12 +31,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivana.llm.common import discard, frequent, gathered, join_back, materialise, numbered, partitions, picked, prefix_sums, shuffle_partitions, table, tidy
+from scrivana.llm.common import _hashed, discard, frequent, gathered, join_back, materialise, partitions, picked, prefix_sums, shuffle_partitions, sorted_parts, table, tidy
+from scrivana.llm.packed import Columns, pack, packed_ddl, unpack
 from scrivana.llm.suffix_array import suffix_ranks
 
 #: Bytes of a string whose repeats go; bytes of an anchor and of its inner strings: 3 K - 2 S - 2 <= LENGTH
 #: makes each string hold two whole anchors, hence a phrase.
 LENGTH, K, S = 100, 44, 16
+#: More than any two anchors in a row are apart.
+GAP = 64
 #: A string of phrases is cut before every phrase whose hash is a multiple of PIECE, and after LONGEST phrases
 #: (which makes a periodic passage a few strings over and over).
 PIECE, LONGEST = 16, 32
@@ -150,26 +153,40 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _alone(hashes: np.ndarray, hot: np.ndarray, key: int, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """What rows are grouped by: their hash (a signed long), or where it is a frequent one a number of their own, with the hash beside it."""
-    h = hashes.view(np.int64)
-    is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
-    own = _mix(_mix(np.full(len(h), key, np.int64).view(np.uint64)) + at.astype(np.uint64)).view(np.int64)
-    return pa.array(np.where(is_hot, own, h)), pa.array(h, mask=~is_hot)
+def _frequent(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which hashes are frequent ones."""
+    return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
 
 
-def _phrase_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Every phrase occurrence: document key, phrase number times 32 plus its anchors' distance, hash (see :func:`_alone`)."""
+def _met(c: Columns, n: int) -> np.ndarray:
+    """The partition where a phrase's occurrences meet; those of frequent ones are dealt evenly."""
+    own = _mix(_mix(c["key"].view(np.uint64).copy()) + c["at"].view(np.uint64)).view(np.int64)
+    return _hashed(np.where(c["hot"] > 0, own, c["h"]), n)
+
+
+def _phrase_rows(docs: DataFrame) -> DataFrame:
+    """The hash of every phrase occurrence."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, text in _small(batches, ["key", "text"]):
-            at, h = phrases(_bytes(text))
+        for _, text in _small(batches, ["key", "text"]):
+            h = phrases(_bytes(text))[1].view(np.int64)
             for k in range(0, len(h), _FLUSH):
-                part = h[k : k + _FLUSH]
-                place = np.arange(k, k + len(part)) * 32 + np.diff(at[k : k + len(part) + 1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key)), pa.array(place), *_alone(part, hot, key, place)], names=["key", "at", "g", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[k : k + _FLUSH])], names=["g"])
+
+    return docs.select("key", "text").mapInArrow(tidy(make), "g long")
+
+
+#: Phrase occurrences as they are packed: document key, phrase number times GAP plus its anchors' distance, hash, and whether it is a frequent one; and those that occur again.
+_OCCURS, _AGAIN = "key long, at long, h long, hot boolean", "key long, at long, h long, n long"
 
-    return docs.select("key", "text").mapInArrow(tidy(make), "key long, at long, g long, hot long")
+
+def _occurrences(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[Columns]:
+    for key, text in _small(batches, ["key", "text"]):
+        at, h = phrases(_bytes(text))
+        for k in range(0, len(h), _FLUSH):
+            part = h[k : k + _FLUSH].view(np.int64)
+            place = np.arange(k, k + len(part)) * GAP + np.diff(at[k : k + len(part) + 1])
+            yield {"key": np.full(len(part), key, np.int64), "at": place, "h": part, "hot": _frequent(part, hot)}
 
 
 def _repeated(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -179,23 +196,23 @@ def _repeated(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """
     few, many = max(SAMPLE_DOCS, SAMPLE_EACH * shuffle_partitions(docs.sparkSession)), docs.count()
     sample = docs if many <= few else docs.sample(few / many, seed=7)
-    often, seen = frequent(_phrase_rows(sample, np.empty(0, np.int64)), "g")
+    often, seen = frequent(_phrase_rows(sample), "g")
     hot, n = np.array(sorted(often), np.int64), partitions(docs.sparkSession, 2 * seen * many // max(1, min(few, many)))
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pack(_occurrences(batches, hot), _OCCURS, lambda c: _met(c, n))
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (t := gathered(batches)) is None:
+        if (t := unpack(batches, _OCCURS)) is None:
             return
-        order = np.argsort(t.column("g").to_numpy(), kind="stable")
-        _, many = _runs(t.column("g").to_numpy()[order])
-        n = np.where(t.column("hot").is_valid().to_numpy()[order], 0, np.repeat(many, many))
-        order, n = order[n != 1], n[n != 1]
-        key, at, h = t.column("key").to_numpy(), t.column("at").to_numpy(), pc.coalesce(t.column("hot"), t.column("g")).to_numpy()
-        for k in range(0, len(order), 1 << 16):
-            o = order[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[o]) for c in (key, at, h)] + [pa.array(n[k : k + (1 << 16)])], names=["key", "at", "h", "n"])
+        order = np.argsort(t["h"], kind="stable")
+        _, many = _runs(t["h"][order])
+        num = np.where(t["hot"][order] > 0, 0, np.repeat(many, many))
+        order, num = order[num != 1], num[num != 1]
+        yield from pack(iter([{"n": num} | {c: t[c][order] for c in ("key", "at", "h")}]), _AGAIN, lambda c: _hashed(c["key"], n))
 
-    found = _phrase_rows(docs, hot).repartition(n, "g").mapInArrow(tidy(find), "key long, at long, h long, n long")
-    return found.repartition(n, "key"), hot
+    found = docs.select("key", "text").mapInArrow(tidy(deal), packed_ddl(_OCCURS)).repartitionById(n, "to").mapInArrow(tidy(find), packed_ddl(_AGAIN))
+    return found.repartitionById(n, "to"), hot
 
 
 _STRING = "sid long, key long, first int, length int, syms binary, nums binary, gaps binary"
@@ -207,12 +224,12 @@ def _strings(repeated: DataFrame) -> DataFrame:
     schema = _schema(_STRING)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (t := gathered(batches)) is not None:
-            yield from cut_some(*(t.column(c).to_numpy() for c in ("key", "at", "h", "n")))
+        if (t := unpack(batches, _AGAIN)) is not None:
+            yield from cut_some(*(t[c] for c in ("key", "at", "h", "n")))
 
     def cut_some(keys: np.ndarray, idx: np.ndarray, val: np.ndarray, num: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((idx, keys))
-        keys, gap, idx, val, num = keys[order], (idx[order] % 32).astype(np.uint8), idx[order] // 32, val[order].view(np.uint64), np.minimum(num[order], 0xFFFFFFFF).astype("<u4")
+        keys, gap, idx, val, num = keys[order], (idx[order] % GAP).astype(np.uint8), idx[order] // GAP, val[order].view(np.uint64), np.minimum(num[order], 0xFFFFFFFF).astype("<u4")
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (idx[1:] != idx[:-1] + 1)
         run = np.cumsum(new) - 1
@@ -271,10 +288,12 @@ _PREFIX = "rank long, sid long, i long, prefix long, occurs long, key long, firs
 
 
 def _adjacent_runs(strings: DataFrame, ranks: DataFrame) -> DataFrame:
-    """A row per suffix with a prefix that reaches LENGTH bytes beyond its second anchor (what lies between the two can
-    start nothing that reaches further): how often the suffix occurs and where first, and how often its second phrase does.
+    """``sid, occurs`` and lists of ``k_i, k_key, k_first, k_whole``: of each string the suffixes with a prefix that reaches LENGTH bytes beyond their
+    second anchor (what lies between the two can start nothing that reaches further), the earliest place of their run, and whether
+    every occurrence of their second phrase belongs to it.
 
-    They are sorted by rank, and the runs of adjacent equal prefixes (by hash) numbered (column ``run``: the suffixes before it).
+    Suffixes are sorted by rank; adjacent ones with equal prefixes (by hash) are a run. A task adds up its runs; the first and the last, which may go on in
+    other partitions, are told to the driver, a row for each partition, and what they come to is put in when rows are read back by string.
     """
     schema = _schema(_PREFIX)
 
@@ -306,10 +325,87 @@ def _adjacent_runs(strings: DataFrame, ranks: DataFrame) -> DataFrame:
     size = strings.agg(F.coalesce(F.sum(F.length("gaps")), F.lit(0))).first()[0]
     chosen = picked(strings.sparkSession, size, "sid")
     some = strings.where(chosen).join(ranks.where(chosen), "sid")
-    keep = ["sid", "i", "occurs", "key", "first", "inner"]
-    done = numbered(strings.join(ranks, "sid"), some, make, _PREFIX, size, ["rank", "sid", "i"], [["prefix"]], lambda t: np.ones(t.num_rows, np.int64), 1, "sorted", keep)
-    out = done.withColumnRenamed("before0", "run")
-    out._scrivana_path = done._scrivana_path
+    dealt, n = sorted_parts(strings.join(ranks, "sid"), some, make, _PREFIX, size, ["rank", "sid", "i"]), partitions(strings.sparkSession, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        pid, t = held[0].column("to")[0].as_py(), unpack(iter(held), _PREFIX)
+        del held
+        order = np.lexsort((t["i"], t["sid"], t["rank"]))
+        t = {c: v[order] for c, v in t.items() if c != "rank"}
+        begin, many = _runs(t["prefix"])
+        row = np.repeat(np.arange(len(begin)), many)
+        all_ = np.add.reduceat(t["occurs"], begin)
+        least = np.lexsort((t["first"], t["key"], row))[begin]  # the first of each run by place
+        key, first, edge = t["key"][least], t["first"][least], np.zeros(len(begin), np.int32)
+        edge[-1], edge[0] = _LAST, _FIRST_RUN
+        note = [int(x) for k in (0, -1) for x in (t["prefix"][begin[k]], all_[k], key[k], first[k])] + [int(len(begin) == 1)]
+        rows = {"sid": t["sid"], "i": t["i"], "occurs": t["occurs"], "inner": t["inner"], "all": all_[row], "key": key[row], "first": first[row], "edge": edge[row]}
+        for b in pack(iter([rows]), _RUNS, lambda c: _hashed(c["sid"], n)):
+            rest = [pa.array(np.full(b.num_rows, pid, np.int32)), pa.nulls(b.num_rows, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *rest], names=[*b.schema.names, "pid", "note"])
+        blank = [pa.nulls(1, k) for k in (pa.int32(), *[pa.binary()] * len(rows))]
+        yield pa.RecordBatch.from_arrays([*blank, pa.array([pid], pa.int32()), pa.array([note], pa.list_(pa.int64()))], names=["to", *rows, "pid", "note"])
+
+    done = materialise(dealt.mapInArrow(tidy(run), f"{packed_ddl(_RUNS)}, pid int, note array<long>"), "sorted")
+    edges = _merged_edges((r["pid"], r["note"]) for r in done.where("note is not null").select("pid", "note").orderBy("pid").collect())
+    schema = _schema(_KNOWN)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for b in batches:
+            for k in range(b.num_rows):
+                one = b.slice(k, 1)
+                c, pid = unpack(iter([one]), _RUNS), one.column("pid")[0].as_py()
+                for e in (_FIRST_RUN, _LAST):
+                    if (pid, e) in edges and len(at := np.flatnonzero(c["edge"] == e)):
+                        for name, x in zip(("all", "key", "first"), edges[pid, e], strict=True):
+                            c[name] = c[name].copy()
+                            c[name][at] = x
+                parts.append(c)
+        if not parts:
+            return
+        t = {c: np.concatenate([x[c] for x in parts]) for c in parts[0]}
+        order = np.lexsort((t["i"], t["sid"]))
+        t = {c: v[order] for c, v in t.items()}
+        begin, many = _runs(t["sid"])
+        lists = [t["i"], t["key"], t["first"], (t["all"] == t["inner"]).astype(np.int64)]
+        for k in range(0, len(begin), 1 << 14):
+            s, m = begin[k : k + (1 << 14)], many[k : k + (1 << 14)]
+            lo, hi = int(s[0]), int(s[-1] + m[-1])
+            ends = pa.array(np.append(s, hi).astype(np.int32) - np.int32(lo))
+            cols = [pa.array(t["sid"][s]), pa.array(t["occurs"][s]), *(pa.ListArray.from_arrays(ends, pa.array(x[lo:hi])) for x in lists)]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    out = materialise(done.where("note is null").drop("note").repartitionById(n, "to").mapInArrow(tidy(known), _KNOWN), "known")
+    discard(done)
+    return out
+
+
+#: Rows of suffixes as they are packed, which of a partition's runs may go on elsewhere, and what is known of a string.
+_RUNS = "sid long, i long, occurs long, inner long, all long, key long, first long, edge int"
+_FIRST_RUN, _LAST = 1, 2
+_KNOWN = "sid long, occurs long, k_i array<long>, k_key array<long>, k_first array<long>, k_whole array<long>"
+
+
+def _merged_edges(notes: Iterator[tuple[int, list[int]]]) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """Sum and earliest place of the runs that are a partition's first or last, put together where they go on over partitions."""
+    out, prefix, all_, least, members = {}, None, 0, None, []
+
+    def close() -> None:
+        out.update({m: (all_, *least) for m in members})
+
+    for pid, n in notes:
+        for e, (p, a, *place) in ((_FIRST_RUN, n[:4]), (_LAST, n[4:8]))[: 1 if n[8] else 2]:
+            if e == _FIRST_RUN and p == prefix:
+                all_, least = all_ + a, min(least, tuple(place))
+                members.append((pid, e))
+                continue
+            close()
+            prefix, all_, least, members = p, a, tuple(place), [(pid, e)]
+    close()
     return out
 
 
@@ -324,15 +420,8 @@ def _verdicts(strings: DataFrame) -> DataFrame:
     names = materialise(_names(kinds), "names")
     ranks = suffix_ranks(names)
     discard(names)
-    suffixes = _adjacent_runs(kinds, ranks)
+    known = _adjacent_runs(kinds, ranks)
     discard(kinds, ranks)
-    runs = materialise(suffixes.groupBy("run").agg(F.sum("occurs").alias("all"), F.min(F.struct("key", "first")).alias("least"), F.count("*").alias("many")), "runs")
-    each = join_back(suffixes.select("sid", "i", "occurs", "inner", "run"), runs, "run", "many", ["sid", "i"])
-    whole = (F.col("all") == F.col("inner")).cast("long").alias("whole")
-    known = each.groupBy("sid").agg(F.max("occurs").alias("occurs"), F.collect_list(F.struct("i", "least.key", "least.first", whole)).alias("known"))
-    known = known.select("sid", "occurs", *[F.col(f"known.{c}").alias(f"k_{c}") for c in ("i", "key", "first", "whole")])
-    known = materialise(known, "known")
-    discard(suffixes, runs)
     ddl = "key long, first int, length int, state binary"
     schema = _schema(ddl)
 
