@@ -107,6 +107,17 @@ def phrases(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, _mix(h[:-1] * _M1 + h[1:] * _M2 + np.diff(at).astype(np.uint64))
 
 
+def phrases_of(texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Of several texts' bytes at once: document number, place in it and hash of every anchor. An anchor depends on its own bytes alone, so it is the
+    same in a row of texts; those that lie across two are none."""
+    ends = np.cumsum([len(t) for t in texts])
+    at, h = anchors(np.concatenate(texts) if texts else np.empty(0, np.uint8))
+    doc = np.searchsorted(ends, at, "right")
+    ok = at + K <= ends[doc] if len(at) else np.zeros(0, bool)
+    doc, at, h = doc[ok], at[ok], h[ok]
+    return doc, at - (np.append(0, ends)[doc]), h
+
+
 def string_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Hashes of the LENGTH bytes from each start (ascending)."""
     out, first = [], 0
@@ -180,13 +191,30 @@ def _phrase_rows(docs: DataFrame) -> DataFrame:
 _OCCURS, _AGAIN = "key long, at long, h long, hot boolean", "key long, at long, h long, n long"
 
 
+def _grouped_texts(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:
+    """Rows (the second column a text, as bytes) in groups of about a slice of text, a row at least."""
+    held, size = [], 0
+    for key, text, *rest in _small(batches, names):
+        held.append((key, _bytes(text), *rest))
+        size += len(held[-1][1])
+        if size >= _SLICE or len(held) >= 4096:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[Columns]:
-    for key, text in _small(batches, ["key", "text"]):
-        at, h = phrases(_bytes(text))
-        for k in range(0, len(h), _FLUSH):
-            part = h[k : k + _FLUSH].view(np.int64)
-            place = np.arange(k, k + len(part)) * GAP + np.diff(at[k : k + len(part) + 1])
-            yield {"key": np.full(len(part), key, np.int64), "at": place, "h": part, "hot": _frequent(part, hot)}
+    for group in _grouped_texts(batches, ["key", "text"]):
+        doc, at, h = phrases_of([raw for _, raw in group])
+        if len(at) < 2:
+            continue
+        first = np.searchsorted(doc, doc, "left")  # each document's first anchor
+        same = np.flatnonzero(doc[1:] == doc[:-1])
+        gap = at[same + 1] - at[same]
+        part = _mix(h[same] * _M1 + h[same + 1] * _M2 + gap.astype(np.uint64)).view(np.int64)
+        keys = np.array([key for key, _ in group], np.int64)
+        yield {"key": keys[doc[same]], "at": (same - first[same]) * GAP + gap, "h": part, "hot": _frequent(part, hot)}
 
 
 def _repeated(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -512,28 +540,51 @@ def _places(docs: DataFrame, info: DataFrame, hot: np.ndarray) -> DataFrame:
     frequent phrases are rows of one start each, which meet by their string's hash.
     """
 
-    def rows(kind: int, key: int, at: np.ndarray, many: np.ndarray, g: pa.Array, data: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        if len(at):
-            ends = np.append(0, np.cumsum(many) * 8).astype(np.int32)
-            hashes = pa.nulls(len(at), pa.binary()) if data is None else pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
-            cols = [pa.array(np.full(len(at), kind, np.int32)), pa.array(np.full(len(at), key)), pa.array(at.astype(np.int64)), pa.array(many.astype(np.int64)), g, hashes]
-            b = pa.RecordBatch.from_arrays(cols, names=["kind", "key", "at", "many", "g", "hashes"])
-            yield from (b.slice(k, 1 << 16) for k in range(0, b.num_rows, 1 << 16))
+    none = np.empty(0, np.int64)
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        many = [len(x[2]) for x in held]
+        kind = np.repeat(np.array([x[0] for x in held], np.int32), many)
+        key = np.repeat(np.array([x[1] for x in held], np.int64), many)
+        at, n, g, data = (np.concatenate([x[k] for x in held]).astype(np.int64, copy=False) for k in range(2, 6))
+        ends = np.append(0, np.cumsum(np.where(kind == _GONE, 0, n)) * 8).astype(np.int32)
+        hashes = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+        b = pa.RecordBatch.from_arrays([*map(pa.array, (kind, key, at, n)), pa.array(g, mask=kind == _GONE), hashes], names=["kind", "key", "at", "many", "g", "hashes"])
+        yield from (b.slice(k, 1 << 16) for k in range(0, b.num_rows, 1 << 16))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, text, found in _small(batches, ["key", "text", "info"]):
-            raw = _bytes(text)
-            at, h = phrases(raw)
-            begins, sizes, p, first, n = _sift(at, len(raw), found)
-            yield from rows(_GONE, key, begins, sizes, pa.nulls(len(begins), pa.int64()), None)
-            g = h[p].view(np.int64)
-            often = np.isin(g, hot)
-            for k in range(0, len(g), 1 << 16):  # bounded for a very long text
-                o, m, a = often[k : k + (1 << 16)], n[k : k + (1 << 16)], first[k : k + (1 << 16)]
-                strings = string_hashes(raw, _each(a, m))
-                single = np.repeat(o, m)
-                yield from rows(_ASKED, key, a[~o], m[~o], pa.array(g[k : k + (1 << 16)][~o]), strings[~single])
-                yield from rows(_OFTEN, key, _each(a[o], m[o]), np.ones(m[o].sum(), np.int64), pa.array(strings[single].view(np.int64)), strings[single])
+        held, size = [], 0
+        for group in _grouped_texts(batches, ["key", "text", "info"]):
+            doc, places, anchor = phrases_of([raw for _, raw, _ in group])
+            cuts = np.searchsorted(doc, np.arange(len(group) + 1))
+            for d, (key, raw, found) in enumerate(group):
+                at, a_ = places[cuts[d] : cuts[d + 1]], anchor[cuts[d] : cuts[d + 1]]
+                h = _mix(a_[:-1] * _M1 + a_[1:] * _M2 + np.diff(at).astype(np.uint64))
+                begins, sizes, p, first, n = _sift(at, len(raw), found)
+                if len(begins):
+                    held.append((_GONE, key, begins, sizes, np.zeros(len(begins), np.int64), none))
+                    size += len(begins)
+                g = h[p].view(np.int64)
+                often = np.isin(g, hot) if len(hot) else np.zeros(len(g), bool)
+                for k in range(0, len(g), 1 << 16):  # bounded for a very long text
+                    o, m, a = often[k : k + (1 << 16)], n[k : k + (1 << 16)], first[k : k + (1 << 16)]
+                    strings = string_hashes(raw, _each(a, m)).view(np.int64)
+                    if not o.any():
+                        held.append((_ASKED, key, a, m, g[k : k + (1 << 16)], strings))
+                        size += len(strings)
+                        continue
+                    single = np.repeat(o, m)
+                    held.append((_ASKED, key, a[~o], m[~o], g[k : k + (1 << 16)][~o], strings[~single]))
+                    held.append((_OFTEN, key, _each(a[o], m[o]), np.ones(m[o].sum(), np.int64), strings[single], strings[single]))
+                    size += len(strings)
+                    if size >= 1 << 18:
+                        yield from flush(held)
+                        held, size = [], 0
+                if size >= 1 << 18:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
 
     return docs.select("key", "text").join(info, "key").mapInArrow(tidy(sift), _STARTS)
 
