@@ -61,8 +61,9 @@ def due_history(reviews: DataFrame) -> DataFrame:
 
 
 def due(records: DataFrame, notes: DataFrame, now: Column) -> DataFrame:
-    """Records (note_id, next_at) due by now, with their notes' preview."""
-    return records.where(F.col("next_at") <= now).join(notes, F.col("note_id") == F.col("id")).select("note_id", "next_at", preview(F.col("content"), 200, "never").alias("preview"))
+    """Records (note_id, next_at, others) due by now, with ``preview``, the start of their note (id, content)."""
+    n = notes.select(F.col("id").alias("__id"), preview(F.col("content"), 200, "never").alias("preview"))
+    return records.where(F.col("next_at") <= now).join(n, F.col("note_id") == F.col("__id")).drop("__id")
 
 
 def first_uploads(files: DataFrame) -> DataFrame:

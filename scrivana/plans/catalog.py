@@ -322,9 +322,8 @@ def review_schedule(spark, d):
 @query(f"WITH {_SCHED}, l AS (SELECT user_id, note_id, max(review_count) AS review_count, max_by(seen + to_days(interval_days), review_count) AS next_at FROM s GROUP BY ALL) SELECT user_id, note_id, epoch_us(next_at) AS next_us, text[:200] AS preview FROM l JOIN documents ON note_id = doc_id WHERE next_at <= TIMESTAMP '{{NOW}}'")
 def due_reviews(spark, d):
     last = _reviews(spark, d).groupBy("user_id", "note_id").agg(F.max_by("next_at", "review_count").alias("next_at"))
-    n = notes(spark, d).select("id", "content")
-    out = last.where(F.col("next_at") <= F.lit(NOW).cast("timestamp")).join(n, F.col("note_id") == F.col("id"))
-    return out.select("user_id", "note_id", F.unix_micros("next_at").alias("next_us"), T.preview(F.col("content"), 200, "never").alias("preview"))
+    out = N.due(last, notes(spark, d), F.lit(NOW).cast("timestamp"))
+    return out.select("user_id", "note_id", F.unix_micros("next_at").alias("next_us"), "preview")
 
 
 @query(f"WITH {_SCHED}, n AS (SELECT *, seen + to_days(interval_days) AS next_at, lead(seen) OVER (PARTITION BY user_id, note_id ORDER BY seen) AS following FROM s) SELECT user_id, note_id, review_count, epoch_us(next_at) AS next_us FROM n WHERE following IS NULL OR following > next_at")

@@ -155,5 +155,8 @@ def debounce(events: DataFrame, gap_ms: int) -> DataFrame:
 
 
 def debounce_stream(events: DataFrame, gap: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """The same on a stream: session windows of the gap, closed by the watermark."""
-    return events.withWatermark("at", late).groupBy("key", F.session_window("at", gap).alias("burst")).agg(F.max("at").alias("at"), F.count("*").alias("events"))
+    """The same on a stream: session windows of the gap, closed by the watermark; ``events`` is how many events the burst had."""
+    others = [c for c in events.columns if c not in ("key", "at")]
+    last = F.max(F.struct("at", *others)).alias("last")
+    bursts = events.withWatermark("at", late).groupBy("key", F.session_window("at", gap).alias("burst")).agg(last, F.count("*").alias("events"))
+    return bursts.select("key", "last.*", "events")

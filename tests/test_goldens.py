@@ -12,7 +12,7 @@ from scrivana.operators import notes as N
 from scrivana.operators import retrieval as R
 from scrivana.operators import registry as G
 from scrivana.sources.files import list_files, read_documents, read_images, read_texts, split_text
-from scrivana.streaming.stateful import debounce_stream, rate_limit, rate_limit_stream
+from scrivana.streaming.stateful import debounce, debounce_stream, rate_limit, rate_limit_stream
 
 
 def one(spark, value, f, kind="string"):
@@ -109,10 +109,12 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     want = sorted(map(tuple, rate_limit(spark.createDataFrame(rows, kind), 2, 60).collect()))
     assert sorted(map(tuple, spark.table("limited").collect())) == want and any(not r[3] for r in want)
-    bursts = debounce_stream(stream.select("key", F.timestamp_seconds("at").alias("at")), "5 seconds", "1 second")
+    bursts = debounce_stream(stream.select("key", F.timestamp_seconds("at").alias("at"), "seq"), "5 seconds", "1 second")
     q = bursts.writeStream.format("memory").queryName("bursts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.key, r.events) for r in spark.table("bursts").collect()} >= {("a", 3), ("a", 1), ("b", 3), ("b", 1)}
+    quiet = debounce(spark.createDataFrame(rows, kind).withColumn("at", F.timestamp_seconds("at")), 5000)
+    assert {(r.key, r.seq) for r in spark.table("bursts").collect()} <= {(r.key, r.seq) for r in quiet.collect()}
 
 
 def test_stores(spark, tmp_path):
