@@ -93,6 +93,12 @@ w AS (SELECT qid, query, round(CASE WHEN n > 0 AND n / length(query) > 0.1 THEN
 
 @query(f"WITH {_BM25} SELECT * FROM bm")
 def bm25_topk(spark, d):
+    return R.bm25(notes(spark, d), _asked(spark, d))
+
+
+@query(f"WITH {_BM25} SELECT * FROM bm")
+def bm25_index(spark, d):
+    """The same by the index of blocks. For queries as long as these it skips little and is the slower of the two."""
     return X.search_text(_text_index(spark, d), _asked(spark, d))
 
 
