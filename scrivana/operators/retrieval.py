@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivana.functions.text import dynamic_weights, tokens
+from scrivana.operators.text_tiles import split_texts, tiled_scores, token_stats
+from scrivana.store import new_path, written
 
 K1, B, FUSION = 1.5, 0.75, 60
 
@@ -23,23 +25,12 @@ def top_k(scored: DataFrame, k: int, order: Column, by: str = "qid") -> DataFram
 def bm25(corpus: DataFrame, queries: DataFrame, k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
     """``qid, id, score, rank`` for queries (user_id, qid, query), each over its tenant's texts (user_id, id, content), without an index.
 
-    For few queries over texts that are searched once; see ``text_index`` for others. One scan of the corpus: only the tokens of the tenant's queries are kept, and an empty token for every text, so that
-    the number and mean length of a tenant's texts are counted like any token's. What no query names is dropped before any shuffle.
+    Two scans of the corpus: one counts a tenant's texts and the texts of each token, the other scores tiles (see :func:`text_tiles.tiled_scores`). What is shuffled
+    follows the texts and queries, not their pairs.
     """
-    asked = queries.select("user_id", "qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("tok"))
-    wanted = asked.select("user_id", "tok").union(queries.select("user_id", F.lit(""))).distinct()
-    words = F.coalesce(tokens(F.col("content")), F.array().cast("array<string>"))
-    every = corpus.select("user_id", "id", words.alias("t")).select("user_id", "id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("tok"))
-    tf = every.join(wanted, ["user_id", "tok"], "left_semi").groupBy("user_id", "tok", "id", "dl").agg(F.count("*").alias("tf"))
-    mine = Window.partitionBy("user_id")
-    whole = F.col("tok") == ""
-    df = tf.groupBy("user_id", "tok").agg(F.count("*").alias("df"), F.avg("dl").alias("mean"))  # a row for each token asked
-    df = df.withColumn("n", F.max(F.when(whole, F.col("df"))).over(mine)).withColumn("avgdl", F.max(F.when(whole, F.col("mean"))).over(mine)).where(~whole)
-    scored = tf.join(df, ["user_id", "tok"]).join(asked, ["user_id", "tok"])
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = scored.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k(scored, k, F.col("score").desc())
+    texts = split_texts(corpus)
+    stats = written(token_stats(texts), new_path(corpus.sparkSession, "token-stats"))
+    return top_k(tiled_scores(texts, stats, queries, k, k1, b), k, F.col("score").desc())
 
 
 def fuse(branches: dict[str, DataFrame], queries: DataFrame, constant: int = FUSION) -> DataFrame:
@@ -58,7 +49,7 @@ def look_up(hits: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def lexical_overlap(query: Column, toks: Column) -> Column:
-    """The default scorer: the share of a query's distinct tokens that are among a text's distinct tokens, as its index has them."""
+    """The default scorer: the share of a query's distinct tokens that are among a text's tokens."""
     q = F.array_distinct(tokens(query))
     return F.when(F.size(q) > 0, F.round(F.size(F.array_intersect(q, toks)) / F.size(q), 4)).otherwise(0.0)
 
