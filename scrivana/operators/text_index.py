@@ -1,4 +1,4 @@
-"""A BM25 index: postings in blocks ordered by impact, their maxima, and searches that skip what cannot reach the top."""
+"""BM25 indexes: stored words and token counts for long queries, and postings in blocks ordered by impact, whose maxima let short ones skip what cannot reach the top."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scrivana.functions.text import tokens
 from scrivana.operators.retrieval import B, K1, top_k
+from scrivana.operators.text_tiles import split_texts, tiled_scores, token_stats
 from scrivana.store import written
 
 #: Postings of a block.
@@ -145,3 +146,22 @@ def search_text(index: TextIndex, queries: DataFrame, k: int = 5) -> DataFrame:
     pairs = found.join(index.forward.select("id", "toks", "ws"), "id").join(whole, "qid")
     score = F.aggregate("asked", F.lit(0.0), lambda a, x: a + x["idf"] * w(x))
     return top_k(pairs.select("qid", "id", F.round(score, 6).alias("score")).where("score > 0"), k, F.col("score").desc())
+
+
+@dataclass
+class WordIndex:
+    """Tables of an index in one folder: ``texts`` and ``stats`` as ``text_tiles`` has them."""
+
+    texts: DataFrame
+    stats: DataFrame
+
+
+def build_word_index(corpus: DataFrame, path: str) -> WordIndex:
+    """Index texts (user_id, id, content) into the folder ``path``: each text's words and each tenant's tokens. Its size is about that of the texts."""
+    texts = written(split_texts(corpus), f"{path}/texts")
+    return WordIndex(texts, written(token_stats(texts), f"{path}/stats"))
+
+
+def search_words(index: WordIndex, queries: DataFrame, k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
+    """As :func:`search_text`, in tiles of texts and queries: what it shuffles does not grow with the texts that a query's tokens meet, which with long queries are all."""
+    return top_k(tiled_scores(index.texts, index.stats, queries, k, k1, b), k, F.col("score").desc())

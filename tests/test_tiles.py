@@ -8,7 +8,9 @@ from collections import Counter
 import pytest
 
 from scrivana.operators import retrieval as R
+from scrivana.operators import text_index as X
 from scrivana.operators import text_tiles as S
+from scrivana.store import new_path
 
 
 def shuffled(spark, run):
@@ -51,6 +53,8 @@ def test_bm25_of_any_tiles(spark, monkeypatch, texts, queries, share):
     t, q = spark.createDataFrame(rows, "user_id string, id long, content string"), spark.createDataFrame(asked, "user_id string, qid long, query string")
     got = sorted((r.qid, r.id, round(r.score, 6), r["rank"]) for r in R.bm25(t, q).collect())
     assert got == plain(rows, asked) and len(got) > 80
+    index = X.build_word_index(t, new_path(spark, "test-words"))
+    assert sorted((r.qid, r.id, round(r.score, 6), r["rank"]) for r in X.search_words(index, q).collect()) == got
 
 
 def test_bm25_shuffles_no_pairs(spark):
