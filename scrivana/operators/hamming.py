@@ -11,6 +11,12 @@ from scrivana.store import new_path, placed, written
 
 #: Bits of a hash, blocks that it is cut into, and pages up to which a document is clustered in one fold.
 BITS, BLOCKS, FOLD_PAGES = 64, 4, 1000
+#: Rows of each side of a tile of all pairs; pairs of a task of a radius search, one of about so many pairs of hashes meeting in a block; and partitions at most.
+TILE, TASK_PAIRS, MEETING_SHARE, MOST_TASKS = 4096, 4_000_000, 40, 10_000
+
+
+def tasks_of(pairs: int) -> int:
+    return max(8, min(-(-pairs // TASK_PAIRS), MOST_TASKS))
 
 
 def hash_number(h: Column) -> Column:
@@ -28,12 +34,12 @@ def _near_keys(k: int, blocks: int, masks: list[int]) -> Column:
     return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.struct(F.lit(k).alias("k"), own.bitwiseXOR(m).alias("key")))
 
 
-def near_hashes(asked: DataFrame, hashes: DataFrame, radius: int, by: list[str] = (), blocks: int = BLOCKS) -> DataFrame:
+def near_hashes(asked: DataFrame, hashes: DataFrame, radius: int, by: list[str] = (), blocks: int = BLOCKS, *, parts: int | None = None) -> DataFrame:
     """``by, g, h, bits``: the hashes h (long, distinct in ``by``) within ``radius`` bits of each asked g (likewise), every pair once.
 
     Of two hashes so near, one of the blocks differs in at most radius / blocks bits: each hash is found by the values of its blocks, and an asked one looks up
     all values that near its own. A pair that meets in several blocks is taken in the first. Work follows the pairs that share a block
-    value, not the product of both sides.
+    value, not the product of both sides. ``parts``: partitions of that meeting, which adaptive execution would choose by the few bytes that go in.
     """
     within = radius // blocks
     keys, probes = [], []
@@ -44,6 +50,8 @@ def near_hashes(asked: DataFrame, hashes: DataFrame, radius: int, by: list[str]
         probes.append(_near_keys(k, blocks, masks))
     right = hashes.select(*by, "h", F.explode(F.array(*keys)).alias("at")).select(*by, "h", "at.*")
     left = asked.select(*by, "g", F.explode(F.concat(*probes)).alias("at")).select(*by, "g", "at.*")
+    if parts:
+        left, right = (x.repartition(parts, *by, "k", "key") for x in (left, right))
     diff = F.col("g").bitwiseXOR(F.col("h"))
     earlier = F.lit(False)
     for k in range(blocks):
@@ -57,10 +65,26 @@ def radius_search(asked: DataFrame, rows: DataFrame, radius: int) -> DataFrame:
     number of rows. Rows of one hash are one class, so a hash of a third of all rows makes no pairs of its copies. Null hashes are near nothing."""
     classes = rows.where("h is not null").groupBy("h").agg(F.min("id").alias("b"), F.count("*").alias("copies"))
     want = asked.where("h is not null").select("a", F.col("h").alias("g"))
-    pairs = near_hashes(want.select("g").distinct(), classes.select("h"), radius)
+    asked_hashes = want.select("g").distinct()
+    parts = tasks_of(asked_hashes.count() * classes.count() // MEETING_SHARE)
+    pairs = near_hashes(asked_hashes, classes.select("h"), radius, parts=parts)
     return want.join(pairs.join(classes, "h"), "g").select("a", "b", "copies", "bits")
 
 
+def all_distances(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """``a, b, bits`` of every asked row (a, h) with every row (id, h): the bits in which their hashes differ, null where one has none.
+
+    The result is the product of both sides. Tiles of about TILE rows of each meet in tasks of their own; there are as many partitions as tiles, up to MOST_TASKS.
+    """
+    na, nb = (max(1, -(-x.count() // TILE)) for x in (asked, rows))
+    parts = min(na * nb, MOST_TASKS)
+    mine = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(mine("a", na).alias("ta"), all_(nb).alias("tb"), "a", F.col("h").alias("g")).repartition(parts, "ta", "tb")
+    right = rows.select(all_(na).alias("ta"), mine("id", nb).alias("tb"), F.col("id").alias("b"), "h").repartition(parts, "ta", "tb")
+    return left.join(right, ["ta", "tb"]).select("a", "b", F.bit_count(F.col("g").bitwiseXOR(F.col("h"))).alias("bits"))
+
+
 def _fold(pages: DataFrame, threshold: int) -> DataFrame:
     import pandas as pd
 
