@@ -24,6 +24,14 @@ def _place(token: str, places: int) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:4], 16) % places
 
 
+def term_vectors(toks: pa.ListArray, places: int) -> np.ndarray:
+    """Tokens of each row counted by hashed place; a token of a batch is hashed once, however often it occurs."""
+    codes = toks.flatten().dictionary_encode()
+    place = np.array([_place(t, places) for t in codes.dictionary.to_pylist()], np.int64)
+    row = np.repeat(np.arange(len(toks)), toks.value_lengths().to_numpy(zero_copy_only=False))
+    return np.bincount(row * places + place[codes.indices.to_numpy(zero_copy_only=False)], minlength=len(toks) * places).reshape(len(toks), places)
+
+
 def merge_alike(chunks: DataFrame, alike: float = ALIKE, places: int = PLACES) -> DataFrame:
     """``doc, chunk_index, first, parts, content`` of chunks (doc, chunk_index, content) merged in order: the next chunk joins the one so far while the
     cosine of their term vectors is above ``alike``, else it begins another. ``first`` is the index of its first part, ``parts`` how many it has.
@@ -32,15 +40,15 @@ def merge_alike(chunks: DataFrame, alike: float = ALIKE, places: int = PLACES) -
     one merged chunk, however long the document (each step needs the one before, so a document is one task's). Chunks without a token are alike to none. A document
     without chunks has none.
     """
-    rows = chunks.select("doc", "chunk_index", "content", F.coalesce(tokens(F.col("content")), F.array().cast("array<string>")).alias("toks"))
-    rows = rows.repartition("doc").sortWithinPartitions("doc", "chunk_index")
+    rows = chunks.select("doc", "chunk_index", "content").repartition("doc").sortWithinPartitions("doc", "chunk_index")
+    rows = rows.withColumn("toks", F.coalesce(tokens(F.col("content")), F.array().cast("array<string>")))
     kind = chunks.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, number, first, parts, vector, out = None, 0, 0, [], None, []
         for b in batches:
-            for d, k, text, toks in zip(*(b.column(c).to_pylist() for c in ("doc", "chunk_index", "content", "toks")), strict=True):
-                v = np.bincount([_place(t, places) for t in toks], minlength=places) if toks else np.zeros(places, np.int64)
+            counted = term_vectors(b.column("toks"), places)
+            for d, k, text, v in zip(*(b.column(c).to_pylist() for c in ("doc", "chunk_index", "content")), counted, strict=True):
                 if parts and d == doc:
                     size = float(np.sqrt(float(vector @ vector)) * np.sqrt(float(v @ v)))
                     if size > 0 and float(vector @ v) / size > alike:

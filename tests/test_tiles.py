@@ -65,3 +65,15 @@ def test_bm25_shuffles_no_pairs(spark):
     q = spark.createDataFrame([("a", k, some()) for k in range(200)], "user_id string, qid long, query string")
     found, rows = shuffled(spark, lambda: R.bm25(t, q).collect())
     assert len(found) == 1000 and 0 < rows < 30_000
+
+
+def test_tokens_are_hashed_once_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    from scrivana.operators import chunks as C
+
+    asked = []
+    monkeypatch.setattr(C, "_place", lambda t, n: asked.append(t) or len(t) % n)
+    toks = pa.array([["a", "bb", "a"], [], ["bb", "bb"]] * 500, pa.list_(pa.string()))
+    assert C.term_vectors(toks, 4).tolist() == [[0, 2, 1, 0], [0, 0, 0, 0], [0, 0, 2, 0]] * 500 and sorted(asked) == ["a", "bb"]
+    assert C.term_vectors(toks[:0], 4).shape == (0, 4) and C.term_vectors(toks.slice(1, 2), 4).tolist() == [[0, 0, 0, 0], [0, 0, 2, 0]]
