@@ -7,19 +7,25 @@ Spark 4.1 goes on with the filters of one query in later ones on the same DataFr
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of files that a task reads, unless the option ``bytes`` says otherwise, and of a batch that it sends.
 TASK_BYTES, BATCH_BYTES = 128 << 20, 8 << 20
 #: Encodings that are tried in order; a text that fits none is empty.
 ENCODINGS = ("utf-8", "gbk")
+#: The folder of a null tenant, and characters of a tenant that a folder's name has as hexadecimal numbers: as Spark's partitions have them.
+NO_TENANT, UNSAFE = "__HIVE_DEFAULT_PARTITION__", re.compile(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]")
 
 
 def decoded(raw: bytes) -> str:
@@ -140,3 +146,33 @@ def uploads(spark: SparkSession, path: str, source: str = "uploads", tenants: li
         spark.dataSource.register(s)
     chosen = {k: json.dumps(v) for k, v in (("tenants", tenants), ("kinds", kinds)) if v is not None}
     return spark.read.format(source).options(**chosen, **options).load(path)
+
+
+def store_texts(texts: DataFrame, path: str) -> int:
+    """Texts (user_id, content) as an upload folder, a file each that ends in a line break; the number of files.
+
+    Tasks write the files themselves, where they are read: Spark's own writer starts a process for each file of a local folder and lets the driver move
+    them. Equal texts are one task's and a file's name is its text's hash and number, so a task that runs again writes the same files.
+    """
+    root = path if "://" in path else f"file://{path}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = FileSystem.from_uri(root)
+        folders, seen, n = set(), Counter(), 0
+        for b in batches:
+            for user, text in zip(*(b.column(c).to_pylist() for c in ("user_id", "content")), strict=True):
+                raw = ((text or "") + "\n").encode()
+                folder = f"{base}/user_id={NO_TENANT if user is None else UNSAFE.sub(lambda m: f'%{ord(m[0]):02X}', user)}"
+                if folder not in folders:
+                    fs.create_dir(folder)
+                    folders.add(folder)
+                name = folder, hashlib.md5(raw).hexdigest()
+                seen[name] += 1
+                with fs.open_output_stream(f"{folder}/{name[1]}-{seen[name]}.txt") as f:
+                    f.write(raw)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    # one more file for each equal text, so null and empty ones must meet as well
+    dealt = texts.select("user_id", F.coalesce("content", F.lit("")).alias("content")).repartition("user_id", "content")
+    return dealt.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

@@ -77,3 +77,17 @@ def test_tokens_are_hashed_once_a_batch(monkeypatch):
     toks = pa.array([["a", "bb", "a"], [], ["bb", "bb"]] * 500, pa.list_(pa.string()))
     assert C.term_vectors(toks, 4).tolist() == [[0, 2, 1, 0], [0, 0, 0, 0], [0, 0, 2, 0]] * 500 and sorted(asked) == ["a", "bb"]
     assert C.term_vectors(toks[:0], 4).shape == (0, 4) and C.term_vectors(toks.slice(1, 2), 4).tolist() == [[0, 0, 0, 0], [0, 0, 2, 0]]
+
+
+def test_tasks_write_files_in_place(spark, tmp_path):
+    """A file a text, equal ones too (a null tenant's is there, but no tenant reads it), named by what it holds; no process, checksum or move for each."""
+    from scrivana.sources.uploads import store_texts, uploads
+
+    t = spark.createDataFrame([("u1", "one"), ("u1", "one"), ("u2", "two"), ("u2", None), ("u2", ""), ("a/b", "x"), (None, "y")], "user_id string, content string").repartition(3)
+    assert store_texts(t, str(tmp_path / "x")) == 7
+    want = [("a%2Fb", "x\n"), ("u1", "one\n"), ("u1", "one\n"), ("u2", "\n"), ("u2", "\n"), ("u2", "two\n")]
+    assert sorted(tuple(r) for r in uploads(spark, str(tmp_path / "x")).select("user_id", "content").collect()) == want
+    files = sorted(p.name for p in (tmp_path / "x").rglob("*") if p.is_file())
+    assert len(files) == 7 and all(re.fullmatch(r"[0-9a-f]{32}-[12]\.txt", f) for f in files)
+    assert store_texts(t, str(tmp_path / "x")) == 7 and sorted(p.name for p in (tmp_path / "x").rglob("*") if p.is_file()) == files
+    assert store_texts(t.where("false"), str(tmp_path / "y")) == 0
