@@ -35,3 +35,13 @@ def test_image_lists(spark):
     r = QUERIES["image_sets"](spark, SF)
     assert {"images", "n_images", "first_ids", "chunks"} <= set(r.columns)
     assert r.agg(F.sum("chunks")).first()[0] == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_megabytes_of_exact_halves(spark):
+    """6.25 MB and 18.75 MB are halves in binary too: printf gives 6.2 and 18.8."""
+    import duckdb
+    from scrivana.functions.views import megabytes
+
+    sizes = [k * 6553600 for k in range(1, 6)] + [0, 1, 52428, 52429, 157286, 104857600, 999999999999]
+    got = [r.m for r in spark.createDataFrame([(n,) for n in sizes], "n long").coalesce(1).select(megabytes(F.col("n")).alias("m")).collect()]
+    assert got == [duckdb.execute("select printf('%.1fMB', ? / 1048576.0)", [n]).fetchone()[0] for n in sizes] and got[0] == "6.2MB"
