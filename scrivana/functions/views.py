@@ -88,8 +88,8 @@ def cache_key(prefix: str, positional: list[Column], named: Column) -> Column:
 
 
 def megabytes(size: Column) -> Column:
-    """One digit after the point; exact halves go to the even one, as C's printf has it (Java's goes up)."""
-    return F.format_string("%.1fMB", F.bround(size / (1024 * 1024), 1))
+    """One digit after the point; exact halves go to the even one, as C's printf has it (Java's goes up). Null if the size is."""
+    return F.when(size.isNotNull(), F.format_string("%.1fMB", F.bround(size / (1024 * 1024), 1)))
 
 
 def quiz_json(raw: Column) -> Column:
