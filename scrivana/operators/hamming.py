@@ -11,8 +11,10 @@ from scrivana.store import new_path, placed, written
 
 #: Bits of a hash, blocks that it is cut into, and pages up to which a document is clustered in one fold.
 BITS, BLOCKS, FOLD_PAGES = 64, 4, 1000
-#: Rows of each side of a tile of all pairs; pairs of a task of a radius search, one of about so many pairs of hashes meeting in a block; and partitions at most.
+#: Root of the pairs of a tile of all pairs; pairs of a task of a radius search, one of about so many pairs of hashes meeting in a block; and partitions at most.
 TILE, TASK_PAIRS, MEETING_SHARE, MOST_TASKS = 4096, 4_000_000, 40, 10_000
+#: How many times fewer asked rows, and more rows, than TILE a tile of all pairs has: their ids recur soon, which Parquet stores in little.
+NARROW = 4
 
 
 def tasks_of(pairs: int) -> int:
@@ -74,15 +76,17 @@ def radius_search(asked: DataFrame, rows: DataFrame, radius: int) -> DataFrame:
 def all_distances(asked: DataFrame, rows: DataFrame) -> DataFrame:
     """``a, b, bits`` of every asked row (a, h) with every row (id, h): the bits in which their hashes differ, null where one has none.
 
-    The result is the product of both sides. Tiles of about TILE rows of each meet in tasks of their own; there are as many partitions as tiles, up to MOST_TASKS.
+    The result is the product of both sides. Tiles of about TILE / NARROW by TILE * NARROW meet in tasks of their own; there are as many partitions as tiles, up to MOST_TASKS.
+    Each row in turn meets all asked ones of its tile, always in one order: written as Parquet, such ids take next to nothing.
     """
-    na, nb = (max(1, -(-x.count() // TILE)) for x in (asked, rows))
+    na, nb = (max(1, -(-x.count() // most)) for x, most in ((asked, max(1, TILE // NARROW)), (rows, TILE * NARROW)))
     parts = min(na * nb, MOST_TASKS)
     mine = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select(mine("a", na).alias("ta"), all_(nb).alias("tb"), "a", F.col("h").alias("g")).repartition(parts, "ta", "tb")
-    right = rows.select(all_(na).alias("ta"), mine("id", nb).alias("tb"), F.col("id").alias("b"), "h").repartition(parts, "ta", "tb")
-    return left.join(right, ["ta", "tb"]).select("a", "b", F.bit_count(F.col("g").bitwiseXOR(F.col("h"))).alias("bits"))
+    left = rows.select(all_(na).alias("ta"), mine("id", nb).alias("tb"), F.col("id").alias("b"), "h").repartition(parts, "ta", "tb")
+    right = asked.select(mine("a", na).alias("ta"), all_(nb).alias("tb"), "a", F.col("h").alias("g")).repartition(parts, "ta", "tb")
+    # a merge reads the left side in turn and holds a tile's asked rows, whatever their bytes
+    return left.join(right.hint("merge"), ["ta", "tb"]).select("a", "b", F.bit_count(F.col("g").bitwiseXOR(F.col("h"))).alias("bits"))
 
 
 def _fold(pages: DataFrame, threshold: int) -> DataFrame:

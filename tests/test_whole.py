@@ -45,3 +45,17 @@ def test_megabytes_of_exact_halves(spark):
     sizes = [k * 6553600 for k in range(1, 6)] + [0, 1, 52428, 52429, 157286, 104857600, 999999999999]
     got = [r.m for r in spark.createDataFrame([(n,) for n in sizes], "n long").coalesce(1).select(megabytes(F.col("n")).alias("m")).collect()]
     assert got == [duckdb.execute("select printf('%.1fMB', ? / 1048576.0)", [n]).fetchone()[0] for n in sizes] and got[0] == "6.2MB"
+
+
+def test_order_of_distances(spark, monkeypatch):
+    """A row's pairs with the asked rows of a tile lie together: Parquet then stores ids in runs, and the pairs at half the bytes."""
+    monkeypatch.setattr(H, "TILE", 64)
+    ids = spark.range(1000).select("id", F.xxhash64("id").alias("h"))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for larger tables
+    try:
+        got = H.all_distances(ids.where("id % 20 = 0").select(F.col("id").alias("a"), "h"), ids).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    tiles = -(-50 // 16)  # of asked rows
+    assert len(got) == 50_000 and sum(x.b != y.b for x, y in zip(got, got[1:], strict=False)) < 1000 * tiles
