@@ -59,3 +59,19 @@ def test_order_of_distances(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     tiles = -(-50 // 16)  # of asked rows
     assert len(got) == 50_000 and sum(x.b != y.b for x, y in zip(got, got[1:], strict=False)) < 1000 * tiles
+
+
+def test_order_of_cosines(spark, monkeypatch):
+    """A part's pairs lie in order of their cosine, whole and once, also where a tile is several parts and a part several batches."""
+    monkeypatch.setattr(I, "PAIR_ROWS", 60)
+    monkeypatch.setattr(I, "PAIR_QUERIES", 20)
+    monkeypatch.setattr(I, "PART_PAIRS", 300)
+    monkeypatch.setattr(I, "BATCH_PAIRS", 70)
+    rng = random.Random(2)
+    rows = [(k, [float(rng.randint(-2, 2)) for _ in range(3)]) for k in range(300)] + [(300, [0.0] * 3), (301, None)]
+    v = spark.createDataFrame(rows, "id long, v array<float>")
+    got = I.tiled_cosines(v, v.where("id % 5 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))).collect()
+    size = lambda x: sum(y * y for y in x) ** 0.5 or 1.0
+    want = {(a, b): sum(x * y for x, y in zip(p, q, strict=True)) / size(p) / size(q) for a, p in rows if a % 5 == 0 and p for b, q in rows if q}
+    assert len(got) == len(want) and all(abs(want[r.qid, r.id] - r.cosine) < 1e-6 for r in got)
+    assert sum(x.cosine > y.cosine for x, y in zip(got, got[1:], strict=False)) < len(got) / 50
